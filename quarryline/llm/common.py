@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Tokenizer file of the token operators, by its public name.
 TOKENIZER = "word_bpe_49k.json"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -34,10 +35,17 @@ def new_table_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+    """df, written as Parquet to the shared folder and read again: cuts lineage and survives lost executors.
+
+    The write's own shuffle files are no longer needed afterwards and are removed (a public Spark setting).
+    """
     spark, path = df.sparkSession, new_table_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
+    schema, before = df.schema, spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -21,13 +21,13 @@ class WordHashes(dict):
 
         self.of = xxhash.xxh3_64_intdigest
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        got = self[word] = self.of(word.encode("utf-8", "surrogatepass"))
+        got = self[word] = self.of(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
         return got
 
-    def array(self, words: list[str]) -> np.ndarray:
+    def array(self, words: list[str] | list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
