@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language import op5_hyperdimensional_language
 from .packing import op6_hierarchical_packing
+from .pii import op1_surrogates
 from .prefix_hash import op9_prefix_fingerprints
 from .probminhash import op10_probminhash
 from .repair_codec import op3_repair_tokens
@@ -16,6 +17,7 @@ from .substrings import op4_block_anchors
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_surrogates,
         op3_repair_tokens,
         op4_block_anchors,
         op5_hyperdimensional_language,
