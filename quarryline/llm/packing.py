@@ -128,8 +128,8 @@ def packed(docs: DataFrame, path: str, end_id: int = END_ID, tiers: tuple[int, .
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "window", "step_group"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.append(encode.ids(text.as_py()), np.uint32(end_id)).astype("<u4")
+            for doc_id, got in zip(batch.column(0).to_pylist(), encode.each(t.as_py() for t in batch.column(1)), strict=True):
+                own = np.append(got, np.uint32(end_id)).astype("<u4")
                 todo.append((len(ids), 0, len(own)))
                 doc_ids.append(doc_id)
                 ids.append(own)

@@ -129,8 +129,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_ids: in
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int32()), strict=True)], [c.split()[0] for c in SHARD_SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(np.append(encode.ids(text.as_py()), np.uint32(end_id)))
+            for doc_id, got in zip(batch.column(0).to_pylist(), encode.each(t.as_py() for t in batch.column(1)), strict=True):
+                ids.append(np.append(got, np.uint32(end_id)))
                 doc_ids.append(doc_id)
                 size += len(ids[-1])
                 if size >= shard_ids:

@@ -2,18 +2,22 @@
 
 The tokenizer's normalizer and pre-tokenizer never join text across a space or a line feed, so
 a text's ids are the ids of its pieces between them, one after the other. Pieces repeat, so their ids
-are kept; a new piece of plain Latin letters and signs goes straight to the library's BPE model.
+are kept.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Pieces kept in a worker; beyond it the table starts anew (about 150 MB).
-KEPT_PIECES = 600_000
-#: The pre-tokenizer's split, as given in the tokenizer file (a fixed value).
+#: Pieces kept in a worker; beyond it the table starts anew (about 200 MB).
+KEPT_PIECES = 700_000
+#: Characters that are encoded at once.
+GROUP_CHARS = 1_000_000
+#: The pre-tokenizer's split, as given in the tokenizer file and ASCII signs (fixed values).
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
@@ -25,38 +29,80 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """ids(text): uint32 array, equal to the library's encode(text, add_special_tokens=False).ids."""
+    """ids of texts: uint32 arrays, equal to the library's encode(text, add_special_tokens=False).ids.
+
+    A group's new plain pieces go to the library in one call: the file's BPE model behind a split at white space, over the words
+    that the pre-tokenizer would make of them; a word's last id is one with the end-of-word suffix.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         import json
 
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         # only for files of this very shape are plain pieces given to the model itself
         text = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
-        self.plain = regex.compile(r"[!-~¡-¬®-ÿ]+").fullmatch if all(x in text for x in ("NFC", "Lowercase", "ByteLevel", r"\\p{L}]+|[\\p{N}]|[^\\s")) else (lambda piece: None)
+        self.of_word: dict[str, bytes] = {}
+        self.shaped = all(x in text for x in ("NFC", "Lowercase", "ByteLevel", r"\\p{L}]+|[\\p{N}]|[^\\s")) and spec["model"].get("end_of_word_suffix") == "</w>"
+        self.plain = regex.compile(r"[!-~¡-¬®-ÿ]+").fullmatch
         self.split = regex.compile(SPLIT).findall
-        self.model = self.tokenizer.model.tokenize
         self.letters = byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        if self.plain(piece) and "<|" not in piece:
-            low = piece.lower()
-            ids = [t.id for word in ([low] if low.isascii() and low.isalpha() else self.split(low)) for t in self.model(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        if len(self) >= KEPT_PIECES:
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def pretokens(self, piece: str) -> list[str] | None:
+        """Words that the pre-tokenizer makes of a plain piece; None for other pieces."""
+        if not (piece.isascii() and piece.isprintable() or self.plain(piece)) or "<|" in piece or not self.shaped:
+            return None
+        core = piece.rstrip(SIGNS)
+        if core.isalpha():  # letters and then signs, as most pieces are
+            return [core.lower()] if len(core) == len(piece) else [core.lower(), piece[len(core) :]]
+        return self.split(piece.lower())
+
+    def learn(self, pieces: set[str]) -> None:
+        cut = {piece: self.pretokens(piece) for piece in pieces}
+        new = list({w for own in cut.values() if own for w in own}.difference(self.of_word))
+        if new:
+            text = "\n".join(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in new)
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            data, start = ids.tobytes(), 0
+            for word, stop in zip(new, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                self.of_word[word] = data[start:stop]
+                start = stop
+        for piece, own in cut.items():
+            if own is None:
+                self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                self[piece] = self.of_word[own[0]] if len(own) == 1 else b"".join([self.of_word[w] for w in own])
+
+    def group(self, texts: list[str | None]) -> list[np.ndarray]:
+        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        if len(self) > KEPT_PIECES:
             self.clear()
-        got = self[piece] = np.array(ids, dtype="<u4").tobytes()
-        return got
-
-    def ids(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" "))), dtype="<u4")
+        if len(self.of_word) > KEPT_PIECES // 2:
+            self.of_word.clear()
+        if new := set().union(*pieces).difference(self):
+            self.learn(new)
+        return [np.frombuffer(b"".join(map(self.__getitem__, p)), "<u4") for p in pieces]
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """ids of each text, encoded GROUP_CHARS characters at a time."""
+        own: list[str | None] = []
+        size = 0
+        for text in texts:
+            own.append(text)
+            size += len(text or "")
+            if size >= GROUP_CHARS:
+                yield from self.group(own)
+                own, size = [], 0
+        yield from self.group(own)
 
 
 @functools.cache
