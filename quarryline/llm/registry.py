@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op2_seeded_alignment
 from .language import op5_hyperdimensional_language
 from .packing import op6_hierarchical_packing
 from .pii import op1_surrogates
 from .prefix_hash import op9_prefix_fingerprints
 from .probminhash import op10_probminhash
+from .quality import op7_ordinal_quality
 from .repair_codec import op3_repair_tokens
 from .substrings import op4_block_anchors
 
@@ -18,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_surrogates,
+        op2_seeded_alignment,
         op3_repair_tokens,
         op4_block_anchors,
         op5_hyperdimensional_language,
         op6_hierarchical_packing,
+        op7_ordinal_quality,
         op9_prefix_fingerprints,
         op10_probminhash,
     )
