@@ -43,7 +43,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema, before = df.schema, spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     finally:
         spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     return spark.read.schema(schema).parquet(path)

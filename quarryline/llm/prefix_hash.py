@@ -3,7 +3,7 @@
 A text's prefix array holds, modulo a prime, the polynomial of its first n code points for every n. Two entries give the
 hash of any span, wherever it stands, so spans compare in a step and the longest common extension of two texts is found
 by binary search. A document's fingerprint is its length, its whole hash modulo two primes, the SKETCH smallest hashes of its
-spans of SPAN code points, and the hashes of its prefixes at lengths that grow by a quarter. Likeness of two fingerprints is the
+spans of SPAN code points, and the hashes of its prefixes at lengths that grow by a third. Likeness of two fingerprints is the
 share of spans (Jaccard) that the sample shows or, if larger, the share of the longer text that the longest common prefix covers,
 found by binary search over those lengths.
 
@@ -33,7 +33,7 @@ from .common import documents, written
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003_337, 911_382_323)
 SPAN = 16
-SKETCH = 64
+SKETCH = 40
 ROWS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long"
 
 _powers: list[np.ndarray] = [np.ones(1, np.int64), np.ones(1, np.int64)]
@@ -111,36 +111,39 @@ def inverse_powers(n: int) -> np.ndarray:
 
 @functools.cache
 def marks() -> np.ndarray:
-    """Prefix lengths whose hashes are kept: 4, 5, 6, 7, 8, 10, 12, 15, ..."""
+    """Prefix lengths whose hashes are kept: 4, 5, 6, 8, 10, 13, 17, ..."""
     out = [4]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+        out.append(max(out[-1] + 1, out[-1] * 4 // 3))
     return np.array(out)
 
 
-def hexed(values: np.ndarray) -> str:
-    return values.astype(">u4").tobytes().hex()
-
-
 def fingerprint(p: Prefixes, sketch: np.ndarray) -> str:
-    whole = [int(p.sums[k][-1] % PRIMES[k]) for k in (0, 1)]
+    """Hexadecimal digits of: length (8 bytes), whole hashes (4 each), size of the sketch (1), its hashes (4 each), prefix hashes (4 each)."""
     kept = marks()[: np.searchsorted(marks(), p.n, "right")]
-    return f"{p.n:x}-{whole[0]:08x}{whole[1]:08x}-{hexed(sketch >> np.uint64(32))}-{hexed(p.sums[0][kept] % PRIMES[0])}"
+    whole = np.array([p.sums[k][-1] % PRIMES[k] for k in (0, 1)])
+    return (p.n.to_bytes(8) + b"".join((whole.astype(">u4").tobytes(), bytes([len(sketch)]), (sketch >> np.uint64(32)).astype(">u4").tobytes(), (p.sums[0][kept] % PRIMES[0]).astype(">u4").tobytes()))).hex()
+
+
+def parts(print_: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Length, sketch and prefix hashes of a fingerprint."""
+    data = bytes.fromhex(print_)
+    stop = 17 + 4 * data[16]
+    return int.from_bytes(data[:8]), np.frombuffer(data[17:stop], ">u4").astype(np.uint32), np.frombuffer(data[stop:], ">u4").astype(np.uint32)
 
 
 def likeness(a: str, b: str) -> float:
     """Likeness of two fingerprints, 0 to 1; 1 for equal ones."""
     if a == b:
         return 1.0
-    (m, _, x, p), (n, _, y, q) = a.split("-"), b.split("-")
-    x, y, p, q = (np.frombuffer(bytes.fromhex(f), ">u4").astype(np.uint32) for f in (x, y, p, q))
+    (m, x, p), (n, y, q) = parts(a), parts(b)
     both = np.unique(np.concatenate([x, y]))[:SKETCH]
     shared = float((np.isin(both, x) & np.isin(both, y)).sum() / len(both)) if len(both) else 0.0
     low, high = 0, min(len(p), len(q))
     while low < high:  # equal at one length means equal at all shorter ones
         mid = (low + high + 1) // 2
         low, high = (mid, high) if p[mid - 1] == q[mid - 1] else (low, mid - 1)
-    return max(shared, int(marks()[low - 1]) / max(int(m, 16), int(n, 16)) if low else 0.0)
+    return max(shared, int(marks()[low - 1]) / max(m, n) if low else 0.0)
 
 
 class Item:
@@ -195,7 +198,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(table([Item(i, text).row(Item(j, after))]), NAMES)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = written(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(within, f"{ROWS}, part int, edge string, edge_id long, edge_text string"), "fingerprints")
+    found = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(within, f"{ROWS}, part int, edge string, edge_id long, edge_text string")
+    prints = ("fingerprint", "edited_fingerprint")
+    found = written(found.withColumns({c: F.unhex(c) for c in prints}), "fingerprints").withColumns({c: F.lower(F.hex(c)) for c in prints})
     # parts that have rows, in order; the last one's next is the first one. A row per task.
     parts = found.where("edge = 'first'").select("part")
     order = Window.orderBy("part")

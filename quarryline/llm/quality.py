@@ -15,41 +15,79 @@ their row; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import functools
+import operator
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from .words import mixed, word_hashes
 
-FEATURES = 1 << 16
+FEATURES = 1 << 18
 SAMPLE_ROWS = 12_000
 #: Features of a sampled document that are used for fitting, those of the smallest hashes; scoring uses all.
 MOST_FEATURES = 4_000
-STEPS, RATE, RIDGE = 150, 0.05, 1e-4
+#: Features of the shares of words that occur again, and that occur twice running.
+REPEATS = (0, 1)
+KEPT_WORDS = 400_000
+STEPS, RATE, RIDGE = 200, 0.1, 1e-4
 LEAST_TAIL = 0.5
+#: How far from chance, in standard deviations, a feature must go with the grade in the sample.
+LEAST_Z = 3.5
+#: Lengths of word beginnings that are features.
+BEGINNINGS = (4, 5, 6, 8)
 SIGNS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _spaces = bytes.maketrans(SIGNS, b" " * len(SIGNS))
 
 
+class WordFeatures(dict):
+    """Feature indices (u4) of a lower-case word and its beginnings; words seen are kept, up to KEPT_WORDS."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        names = [word, *(word[:n] + b"-" for n in BEGINNINGS if len(word) > n)]
+        got = self[word] = struct.pack(f"<{len(names)}I", *(xxhash.xxh3_64_intdigest(x) % FEATURES for x in names))
+        return got
+
+
+class Shapes(dict):
+    """Number of a word's shape: its last two signs if it ends in one, whether it is in capitals."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        tail = word[-2:] if word[-1] < 128 and not word[-1:].isalnum() else b"letter"
+        got = self[word] = xxhash.xxh3_64_intdigest(b"shape " + tail + b" capitals" * word.isupper()) % FEATURES
+        return got
+
+
+@functools.cache
+def kept_words() -> tuple[WordFeatures, Shapes]:
+    return WordFeatures(), Shapes()
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices in ascending order and values. Words count once; shares of shapes and repeats count by their size."""
+    """Indices in ascending order and values. Words and their beginnings count once; shapes and repeats count by their share."""
     raw = (text or "").encode("utf-8", "surrogatepass").split()
     if not raw:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    of = word_hashes().array
-    words = np.unique(of((text or "").lower().encode("utf-8", "surrogatepass").translate(_spaces).split()))
-    tails = of([w[-2:] if not w[-1:].isalnum() and w[-1] < 128 else b"letter" for w in raw])
-    own = of(raw)
-    shapes, counts = np.unique(np.concatenate([tails, of([b"capitals"]).repeat(sum(w.isupper() for w in raw)), of([b"repeat"]).repeat(int((own[1:] == own[:-1]).sum()))]), return_counts=True)
-    index = np.concatenate([mixed(words) % np.uint64(FEATURES), mixed(shapes + np.uint64(1)) % np.uint64(FEATURES), mixed(of([b"repeated share"])) % np.uint64(FEATURES)]).astype(np.int64)
-    value = np.concatenate([np.ones(len(words)), 4 * counts / len(raw), [4 * (1 - len(np.unique(own)) / len(raw)) ** 2]])
-    at, back = np.unique(index, return_inverse=True)
-    return at, np.bincount(back, value).astype(np.float32)
+    of_word, of_shape = kept_words()
+    words = set((text or "").lower().encode("utf-8", "surrogatepass").translate(_spaces).split())
+    once = np.frombuffer(b"".join(map(of_word.__getitem__, words)), "<u4")
+    shapes, counts = np.unique(np.fromiter(map(of_shape.__getitem__, raw), np.int64, len(raw)), return_counts=True)
+    index = np.concatenate([once, shapes, REPEATS]).astype(np.int64)
+    value = np.concatenate([np.ones(len(once)), 4 * counts / len(raw), [4 * (1 - len(set(raw)) / len(raw)) ** 2, 4 * sum(map(operator.eq, raw, raw[1:])) / len(raw)]])
+    order = np.argsort(index, kind="stable")
+    index, value = index[order], value[order]
+    new = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+    # a word or beginning counts once, however many words share it
+    return index[new], np.minimum(np.add.reduceat(value, new), np.maximum(1, np.maximum.reduceat(value, new))).astype(np.float32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -72,8 +110,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     keep = np.flatnonzero(size)
     index, value = np.concatenate([rows[k][0] for k in keep]), np.concatenate([rows[k][1] for k in keep])
     y, start, owner = grades[keep], np.cumsum(size[keep]) - size[keep], np.repeat(np.arange(len(keep)), size[keep])
-    seen = np.bincount(index, minlength=FEATURES)
-    value = np.where(seen[index] > 2, value, 0)  # what two documents have can't be told from chance
+    # a feature whose documents' grades can't be told from chance gets no weight
+    n = len(y)
+    spread = np.sqrt(np.maximum(np.bincount(index, value.astype(np.float64) ** 2, FEATURES) / n - (np.bincount(index, value, FEATURES) / n) ** 2, 1e-12))
+    above = np.bincount(index, value * (y - y.mean())[owner], FEATURES) / (max(y.std(), 1e-6) * np.sqrt(n) * spread)
+    value = np.where((np.abs(above) >= LEAST_Z)[index], value, 0)
     share = np.array([(y >= k).mean() for k in range(1, levels)]).clip(1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
     theta = np.concatenate([np.zeros(FEATURES), first[:1], np.log(np.maximum(1e-3, np.diff(first)))])

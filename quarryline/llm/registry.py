@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op2_seeded_alignment
+from .fixity import OP8_SQL, op8_merkle_fixity
 from .language import op5_hyperdimensional_language
 from .packing import op6_hierarchical_packing
 from .pii import op1_surrogates
@@ -26,9 +27,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_hyperdimensional_language,
         op6_hierarchical_packing,
         op7_ordinal_quality,
+        op8_merkle_fixity,
         op9_prefix_fingerprints,
         op10_probminhash,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_merkle_fixity": OP8_SQL}
