@@ -34,7 +34,7 @@ GROUP_CHARS = 1_000_000
 #: Trigram shares are added up in units of one in so many.
 UNIT = 1 << 24
 #: Documents below this cosine are rejected by the pipeline's stage.
-LEAST_SCORE = 0.05
+LEAST_SCORE = 0.0
 
 
 @functools.cache
@@ -89,8 +89,8 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def held_out(doc_id: Column | str = "doc_id") -> Column:
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False)) if isinstance(doc_id, str) else F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -137,6 +137,23 @@ def predicted(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> Data
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def kept(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, all columns, whose text has a letter and a cosine of at least `least` with some learned language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = 0
+            for rows in grouped(iter([pa.RecordBatch.from_arrays([batch.column("text")], ["text"])])):
+                active, counts = counted([r[0] for r in rows])
+                vectors = counts @ trigram_vectors(active)
+                cosines = (vectors @ prototypes.T) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+                good = (counts.sum(1) > 0) & (np.round(cosines.astype(np.float64), 4) >= least).any(1)
+                yield batch.slice(start, len(rows)).filter(pa.array(good))
+                start += len(rows)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     langs, prototypes = learn(docs.where(~held_out()))

@@ -165,8 +165,8 @@ def replaced(match: Column, made: Column) -> Column:
     return F.when(kind == "name", name).when(kind == "address", plain).otherwise(in_case_of(plain, match))
 
 
-def with_surrogates(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """docs with its text's personal data replaced; all columns and rows are kept."""
+def with_surrogates(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
+    """docs with its text's personal data replaced; all columns and rows are kept. count: name of a column for the number of matches."""
     given = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("row")).withColumn("text", F.col("row").getField(text).cast("string"))
     maybe = F.col("text").rlike("[0-9@]") | F.col("text").rlike(TITLE)
@@ -190,8 +190,8 @@ def with_surrogates(docs: DataFrame, key: str = KEY, text: str = "text") -> Data
     )
     done = some.join(per_text, "place").select("row", F.when(F.size(names) > 0, bare).otherwise(F.array_join(cut, "")).alias("text"), F.size("matches").alias("n_entities"))
     out = done.unionByName(none.withColumn("n_entities", F.lit(0)))
-    return out.select(*[(F.col("text") if c == text else F.col("row").getField(c)).alias(c) for c in given], F.col("n_entities").alias("n_entities"))
+    return out.select(*[(F.col("text") if c == text else F.col("row").getField(c)).alias(c) for c in given], *([F.col("n_entities").alias(count)] if count else []))
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_surrogates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", "n_entities")
+    return with_surrogates(documents(spark, sf_dir).select("doc_id", "text"), count="n_entities")

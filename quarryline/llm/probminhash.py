@@ -208,5 +208,14 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     )
 
 
+def one_per_class(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of docs, all columns, that are their class's smallest doc_id; of rows that share a doc_id one, and all with a null doc_id."""
+    classes = near_duplicates(docs.select("doc_id", "text"), least)
+    kept_ids = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    stay = docs.join(kept_ids, F.col("doc_id") == F.col("__kept"), "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
+    return stay.unionByName(docs.where("doc_id IS NULL"))
+
+
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
