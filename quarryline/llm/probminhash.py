@@ -6,10 +6,11 @@ shingle. Arrivals are made in rounds, and a shingle whose last arrival is later
 Two documents agree in a register with the probability Jaccard similarity of their weighted shingles.
 
 1. Documents with the same shingles are one node (its smallest doc_id): copies are collapsed before anything is paired.
-2. Bands of registers give bucket keys. A bucket's members are paired with its smallest node, not with each other: one pair per
+2. Bands of registers and the size of the shingle set give bucket keys: sets of which one is at least LEAST of the other meet in one of two size
+   classes, so that documents that only share a passage seldom meet. A bucket's members are paired with its smallest node, not with each other: one pair per
    member, by a partial aggregation and a join, so that a hot bucket is split over tasks.
 3. Pairs are verified on the whole shingle sets (Jaccard of at least LEAST), and verified pairs are joined to components.
-4. Only buckets whose members are still in different components go on: their next 2, 4, 8, ... members are paired with the later
+4. Only buckets whose members are still in different components go on: their next 4, 16, 64, ... members are paired with the later
    members of other components, until every such pair has been verified. No link between different components is missed for want of a pair.
 
 Loops end when nothing is open; their state is written to the shared folder each time.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, written
@@ -33,8 +34,8 @@ from .words import mixed, windows, word_hashes
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS = 20
-ROWS = 4
+BANDS = 26
+ROWS = 5
 REGISTERS = BANDS * ROWS
 #: Arrivals of a document, as a multiple of its rate, by which all registers are filled but for one case in e**6.
 ENOUGH = REGISTERS * (np.log(REGISTERS) + 6)
@@ -142,23 +143,21 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def star(own: DataFrame, small: bool) -> DataFrame:
-        both = own.where("a <> b").select("a", "b").union(own.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if small:
-            both = both.where("b < a")
+        both = own.union(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("b < a" if small else "a <> b")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         joined = both.join(least, "a")
         if small:
             return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        return joined.where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
-    def state(own: DataFrame) -> tuple:
-        return tuple(own.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def kept(own: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        table = written(own.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        return table, (seen.get["n"], seen.get["sum"])
 
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = state(edges)
+    edges, before = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while before[0]:
-        edges = written(star(star(edges, False), True), "edges")
-        now = state(edges)
+        edges, now = kept(star(star(edges, False), True))
         if now == before:
             break
         before = now
@@ -172,12 +171,15 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     usable = marked.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     # `first` of equal values: rows of a digest have the same bands
     nodes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    spread = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
+    # sizes whose ratio is at least `least` are in one class or in neighbouring ones; each node is in its class and in the next
+    size = F.floor(F.log("n") / float(np.log(1 / least + 1e-9)))
+    spread = nodes.select(F.explode("bands").alias("band"), "node", "n", size.alias("size")).select(F.explode(F.array("size", F.col("size") + 1)).alias("size"), "band", "node", "n")
+    spread = spread.select(F.xxhash64("band", "size").alias("bucket"), "node", "n")
     leaders = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.min_by("n", "node").alias("leader_n"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(spread.join(leaders, "bucket"), "buckets")
     alike = "least(a_n, b_n) >= {} * greatest(a_n, b_n)".format(least)
     wanted = members.select("node").distinct()
-    node_sets = written(sets(docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")), "shingle-sets")
+    node_sets = written(sets(docs.join(wanted.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")), "shingle-sets")
     pairs = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("n").alias("a_n"), F.col("leader_n").alias("b_n")).where(alike)
     stars = components(verified(pairs.select("a", "b").distinct(), node_sets, least))
 
@@ -190,13 +192,13 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         return own.where(F.col("size") > tested + 1).join(torn, "bucket", "left_semi")
 
     left = written(still_open(labelled(members.select("bucket", "node", "n", "size")), 1).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")) - 1), "open")
-    start, block = 1, 2
+    start, block = 1, 4
     while (most := left.agg(F.max("size")).first()[0] or 0) > start + 1:
         lead = left.where((F.col("rank") >= start) & (F.col("rank") < start + block)).select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("rank").alias("b_rank"), F.col("label").alias("b_label"))
         pairs = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), "rank", "label").join(lead, "bucket").where((F.col("rank") > F.col("b_rank")) & (F.col("label") != F.col("b_label"))).where(alike)
         new = verified(pairs.select("a", "b").distinct(), node_sets, least)
         stars = components(stars.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new))
-        start, block = start + block, block * 2
+        start, block = start + block, block * 4
         if start + 1 >= most:
             break
         left = written(still_open(labelled(left.drop("label").where(F.col("rank") >= start)), start), "open")

@@ -1,0 +1,211 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarryline.llm import decontaminate, fixity, pii, prefix_hash
+
+DOC = "Write to ann.lee@mail.example.com or ANN.LEE@MAIL.EXAMPLE.COM, call +1 (377) 555-0271, card 4539 1488 0343 6467 from 10.20.30.40. token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\""
+
+
+def replaced(spark, texts, **more):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pii.with_surrogates(docs, **more).orderBy("doc_id").collect()]
+
+
+def test_surrogates_keep_type_format_and_identity(spark):
+    a, b, c = replaced(spark, [DOC, "again ann.lee@mail.example.com; not an address: 1.2.3 or 999.1.1.1, version 4.0.", "clean text"])
+    assert c == "clean text" and "999.1.1.1, version 4.0." in b
+    for secret in ("ann.lee", "555-0271", "4539 1488", "10.20.30.40", "24be64439e"):
+        assert secret not in a.lower()
+    low, high = re.findall(r"[\w.]+@[\w.]+\.com", a, re.I)
+    assert low.upper() == high and low in b and re.fullmatch(r"[a-z]{3}\.[a-z]{3}@[a-z]{4}\.[a-z]{7}\.com", low)
+    assert re.search(r"call \+1 \(\d{3}\) \d{3}-\d{4}, card \d{4} \d{4} \d{4} \d{4} from (\d{1,3}\.){3}\d{1,3}\. token = \"[0-9a-f]{40}\"$", a)
+    assert replaced(spark, [DOC])[0] == a and replaced(spark, [DOC], key="another")[0] != a
+
+
+def test_names_match_gender_script_and_case(spark):
+    a, b, c, d = replaced(spark, ["Mr. John Smith met Mrs. Smith. Smith left. Smithson stayed.", "Dr. Mary Jones and DR", "господин Иванов", "Herr MÜLLER"])
+    m = re.fullmatch(r"Mr\. ([A-Z][a-z]+n) ([A-Z][a-z]+r) met Mrs\. ([A-Z][a-z]+r)\. ([A-Z][a-z]+r) left\. Smithson stayed\.", a)
+    assert m and m[2] == m[3] == m[4] != "Smith"
+    assert re.fullmatch(r"Dr\. [A-Z][a-z]+a [A-Z][a-z]+r and DR", b)
+    assert re.fullmatch(r"господин [А-Я][а-я]+р", c) and c != "господин Иванов"
+    assert re.fullmatch(r"Herr [A-Z]+R", d)
+
+
+def test_collisions_are_resolved(spark):
+    # 90 addresses of one letter and two digits: few values, so that first attempts collide with each other and with entities
+    values = [f"{a}{i}@x.de" for a in "abcdefghi" for i in range(10)]
+    out = replaced(spark, values)
+    assert len(set(out)) == len(values) and not set(out) & set(values)
+    assert all(re.fullmatch(r"[a-z]\d@[a-z]\.de", x) for x in out)
+
+
+def test_surrogates_odd_rows(spark):
+    rows = [(1, None, "a", 1), (None, "a@b.com", None, 2), (2, "", "b", 3), (2, "a@b.com", "c", 4), (2, "a@b.com", "c", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, place int")
+    got = pii.with_surrogates(docs)
+    assert got.columns == docs.columns and got.count() == 5
+    texts = [r.text for r in got.where("place in (2, 4)").collect()]
+    assert len(set(texts)) == 1 and texts[0] != "a@b.com"
+    assert sorted(str(r.text) for r in got.where("place in (1, 3)").collect()) == ["", "None"]
+    assert pii.with_surrogates(docs.limit(0)).count() == 0
+    long = ("x" * 50_000 + " ") * 3 + "a@b.com"
+    assert replaced(spark, [long])[0][:-7] == long[:-7]
+
+
+def test_surrogates_of_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before, after = ({r.doc_id: r.text for r in d.collect()} for d in (docs, pii.op1_surrogates(spark, sf_dir)))
+    shapes = re.compile(r"\S+@\S+|(?<!\d)\d{16}(?!\d)|\d+\.\d+\.\d+\.\d+|\+1 \(\d+\) \d+-\d+|\b[0-9a-fA-F]{40}\b")
+    for doc_id, text in before.items():
+        assert shapes.sub("@", text) == shapes.sub("@", after[doc_id])
+        assert not any(v in after[doc_id] for v in shapes.findall(text))
+
+
+ITEM = "the quick brown fox jumps over the lazy dog while seven green frogs sing songs about rainy days in may"
+
+
+def pairs(spark, docs, items, **more):
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontaminate.contamination(d, b, **more).collect()}
+
+
+def test_copies_and_edited_copies_are_found(spark):
+    rng = random.Random(2)
+    filler = " ".join(f"z{rng.randrange(500)}" for _ in range(200))
+    words = ITEM.split()
+    edited = words[:4] + ["red"] + words[5:10] + words[11:14] + ["two", "new"] + words[14:]
+    docs = [(1, f"{filler} {ITEM.upper()}! {filler}"), (2, f"{filler} {' '.join(edited)}"), (3, filler), (4, "the quick brown cat"), (5, f"{ITEM} {ITEM}")]
+    got = pairs(spark, docs, [(10, ITEM), (11, "something else altogether that nobody wrote down anywhere")])
+    assert set(got) == {(1, 10), (2, 10), (5, 10)}
+    assert got[1, 10].score == 1 and (got[1, 10].first_word, got[1, 10].end_word) == (200, 200 + len(words))
+    assert 0.6 < got[2, 10].score < 1
+
+
+def plain_alignment(a, b):
+    score, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            score[i][j] = max(0, score[i - 1][j - 1] + (decontaminate.MATCH if x == y else decontaminate.MISS), score[i - 1][j] + decontaminate.GAP, score[i][j - 1] + decontaminate.GAP)
+            best = max(best, score[i][j])
+    return best
+
+
+def test_alignment_equals_plain_smith_waterman():
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 5, rng.integers(1, 40)).astype(np.int32) for _ in range(60)]
+    items = [rng.integers(1, 5, rng.integers(1, 20)).astype(np.int32) for _ in range(60)]
+    best, _ = decontaminate.align(docs, items)
+    assert best.tolist() == [plain_alignment(a.tolist(), b.tolist()) for a, b in zip(docs, items, strict=True)]
+
+
+def test_contamination_of_documents(spark, sf_dir):
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.op2_seeded_alignment(spark, sf_dir).collect()}
+    assert {(i, j) for i, t in docs for j, p in items if p in t} <= got
+    # against aligning every pair in full
+    plain = set()
+    for j, p in items[:6]:
+        block = decontaminate.Items([(j, p)])
+        best, _ = decontaminate.align([block.numbers(decontaminate.words_of(t)) for _, t in docs], [block.words[0]] * len(docs))
+        plain |= {(i, j) for (i, _), s in zip(docs, best.tolist(), strict=True) if s >= decontaminate.LEAST * decontaminate.MATCH * len(block.words[0])}
+    assert {x for x in got if x[1] in {j for j, _ in items[:6]}} == plain
+
+
+def test_contamination_odd_rows(spark, monkeypatch):
+    assert set(pairs(spark, [(None, ITEM), (1, None), (2, ""), (3, ITEM), (3, ITEM)], [(1, ITEM), (2, None), (3, "word"), (4, ""), (None, ITEM)])) == {(None, 1), (None, None), (3, 1), (3, None)}
+    assert pairs(spark, [(1, ITEM)], []) == {} and pairs(spark, [], [(1, ITEM)]) == {}
+    docs = spark.createDataFrame([(1, ITEM, 5), (2, "other text", 6), (None, None, 7)], "doc_id long, text string, score int")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert [r.score for r in decontaminate.kept(docs, bench).orderBy("score").collect()] == [6, 7]
+    assert decontaminate.kept(docs, bench.limit(0)).count() == 3
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)  # several blocks
+    assert set(pairs(spark, [(1, ITEM)], [(1, ITEM), (2, ITEM + " indeed")])) == {(1, 1), (1, 2)}
+
+
+def files(spark, rows):
+    return fixity.records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
+def test_audit_finds_planted_damage(spark):
+    rows = [(i, f"http://h/{i % 7}", f"<p>{i}</p>" * (i % 5)) for i in range(700)]
+    other = [(i, u, h + "!" if i == 300 else h) for i, u, h in rows if i != 41] + [(600, "http://h/new", "new")]
+    got = {(r.file_id, r.record_id, r.copy, r.state) for r in fixity.audit(files(spark, rows), files(spark, other)).collect()}
+    changed = {x for x in got if x[1] != 600}
+    assert changed == {(0, 41, 1, "missing"), (1, 300, 1, "changed")}
+    # one of the two records with id 600 is the old one
+    assert {x[:3] for x in got if x[1] == 600} <= {(2, 600, 1), (2, 600, 2)} and any(x[1] == 600 for x in got)
+    assert fixity.audit(files(spark, rows), files(spark, rows[::-1])).count() == 0
+
+
+def test_roots_are_hashes_of_hashes(spark):
+    own = fixity.leaves(files(spark, [(i, "u", "h") for i in range(20)]))
+    top = fixity.parents(fixity.parents(own)).collect()
+    hashes = [r.hash for r in own.orderBy("idx").collect()]
+    kids = ["".join(hashes[:16]), "".join(hashes[16:])]
+    assert [r.hash for r in top] == [hashlib.sha256("".join(hashlib.sha256(k.encode()).hexdigest() for k in kids).encode()).hexdigest()]
+    assert top[0].start == 0 and top[0].stop == own.agg(F.sum("length")).first()[0]
+
+
+def test_audit_odd_rows(spark):
+    rows = [(None, "u", "h"), (None, None, None), (3, None, "x"), (3, None, "x"), (4, "u", "")]
+    assert fixity.audit(files(spark, rows), files(spark, rows)).count() == 0
+    assert fixity.audit(files(spark, rows), files(spark, [])).where("state = 'missing'").count() == 5
+    assert fixity.audit(files(spark, []), files(spark, [])).count() == 0
+
+
+def test_prefixes_against_plain_comparison():
+    rng = random.Random(3)
+    for _ in range(40):
+        a, b = ("".join(rng.choice("aabé") for _ in range(rng.randrange(0, 40))) for _ in range(2))
+        p, q = (prefix_hash.Prefixes(prefix_hash.code_points(t)) for t in (a, b))
+        for _ in range(10):
+            i, j = rng.randrange(len(a) + 1), rng.randrange(len(b) + 1)
+            n = rng.randrange(min(len(a) - i, len(b) - j) + 1)
+            assert p.same(i, q, j, n) == (a[i : i + n] == b[j : j + n])
+            common = 0
+            while i + common < len(a) and j + common < len(b) and a[i + common] == b[j + common]:
+                common += 1
+            assert p.common(i, q, j) == common
+
+
+def edited(texts):
+    out = []
+    for k, t in enumerate(texts):
+        n, after = len(t), texts[(k + 1) % len(texts)]
+        out.append(t[: n - n // 4] + after[: n // 4])
+    return out
+
+
+def test_op9_against_plain_python(spark, sf_dir):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    want = edited([t for _, t in docs])
+    got = {r.doc_id: r for r in prefix_hash.op9_prefix_fingerprints(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for k, ((doc_id, t), e) in enumerate(zip(docs, want, strict=True)):
+        r, after = got[doc_id], got[docs[(k + 1) % len(docs)][0]]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        assert r.near_next == prefix_hash.likeness(r.fingerprint, after.fingerprint) and r.near_edited == prefix_hash.likeness(r.fingerprint, r.edited_fingerprint)
+        assert (t == e) == (r.fingerprint == r.edited_fingerprint) and 0 <= r.near_next <= 1
+        if len(t) >= 40:
+            assert r.near_edited >= 0.5 or t == e
+    assert np.median([r.near_edited for r in got.values()]) > 0.55 > 0.1 > np.median([r.near_next for r in got.values()])
+
+
+def test_op9_odd_rows(spark):
+    docs = spark.createDataFrame([(2, "abcdefgh", 1), (None, None, 2), (1, "xy", 3), (1, "xy", 3), (3, "😀😀😀😀z", 4)], "doc_id long, text string, part int")
+    rows = prefix_hash.fingerprints(docs).collect()
+    order = ["", "xy", "xy", "abcdefgh", "😀😀😀😀z"]
+    assert sorted(r.edited_sha256 for r in rows) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in edited(order))
+    assert prefix_hash.fingerprints(docs.limit(0)).count() == 0
+    assert [r.near_next for r in prefix_hash.fingerprints(docs.where("doc_id = 2")).collect()] == [1.0]
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 5_000])
+def test_sketches_of_repetitive_texts(n):
+    p = prefix_hash.Prefixes(prefix_hash.code_points("ab" * n))
+    assert len(p.sketch()) == min(2, max(0, 2 * n - min(16, 2 * n) + 1)) if n else len(p.sketch()) == 0
