@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-1. The SEED-grams of all test items are counted over the whole corpus. Of every WINDOW consecutive ones of an item the rarest is a seed, so that
-   any stretch of an item that long has one, however common the item is in the corpus.
+1. The SEED-grams of all test items are counted over the whole corpus. Of every WINDOW consecutive ones of an item those are seeds that aren't much
+   more frequent (SPREAD times and FEW) than the rarest, so that any stretch of an item that long has some, however common the item is in
+   the corpus, and an edited copy isn't missed for what it left out.
 2. Documents are scanned for seeds; each hit opens a region of the document around the place that the item would have there. Overlapping regions of
    a (document, item) pair are one.
 3. Region and item are aligned word by word (MATCH, MISS, GAP). The score is the best local alignment's, as a share of a perfect copy's. Pairs
@@ -29,6 +30,7 @@ from .common import documents
 
 SEED = 2
 WINDOW = 6
+SPREAD, FEW = 4, 64
 MATCH, MISS, GAP = 2, -1, -1
 LEAST = 0.5
 BLOCK_WORDS = 2_000_000
@@ -90,15 +92,14 @@ class Items:
         return at[good], which[good]
 
     def choose(self, counts: np.ndarray) -> None:
-        """Keeps as seeds the rarest gram of each WINDOW consecutive ones of an item."""
+        """Keeps as seeds the rare grams of each WINDOW consecutive ones of an item."""
         seeds = np.zeros(len(self.keys), bool)
         self.at: dict[int, list[tuple[int, int]]] = {}
         for item, own in enumerate(self.places):
-            rank = np.lexsort((own, counts[own]))
-            order = np.empty(len(own), np.int64)
-            order[rank] = np.arange(len(own))
-            view = np.lib.stride_tricks.sliding_window_view(order, min(WINDOW, len(own)))
-            for place in np.unique(view.argmin(1) + np.arange(len(view))).tolist():
+            view = np.lib.stride_tricks.sliding_window_view(counts[own], min(WINDOW, len(own)))
+            most = SPREAD * view.min(1) + FEW
+            # a gram is a seed if it is rare enough in any window that it is in
+            for place in np.unique(np.add(*np.nonzero(view <= most[:, None]))).tolist():
                 seeds[own[place]] = True
                 self.at.setdefault(int(own[place]), []).append((item, place))
         self.use(seeds)
