@@ -93,55 +93,61 @@ def unpacked(row: dict) -> tuple[np.ndarray, ...]:
     return k1, k2, np.cumsum(from_planes(row["places"]), dtype=np.uint32).astype(np.int64), np.frombuffer(row["hashes"], np.uint8)
 
 
-def found(k1: np.ndarray, k2: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
-    """(k1, k2, places) per document."""
-    if len(k1):
-        order = np.lexsort((place, k2, k1))
-        k1, k2, place = k1[order], k2[order], place[order]
-        cuts = np.flatnonzero((np.diff(k1) != 0) | (np.diff(k2) != 0)) + 1
-        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(k1)], strict=True):
-            yield int(k1[a]), int(k2[a]), place[a:b].astype("<u4").tobytes()
-
-
-def answers(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["k1", "k2", "places"])
+def to_documents(k1: np.ndarray, k2: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Packed rows of places, dealt by document."""
+    order = np.lexsort((place, k2, k1))
+    k1, k2, place = k1[order], k2[order], place[order]
+    new = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])] if len(k1) else np.zeros(0, bool)
+    owner = np.cumsum(new) - 1
+    k1, k2 = k1[new], k2[new]
+    return packed(DONE, (mixed(k2.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[owner], owner, place, np.zeros((len(place), 0), np.uint8), k1, k2)
 
 
 #: Kinds of packed rows: entries that want an answer, entries that are only to be known, answers that a chunk found itself.
 ASK, KNOW, DONE = 0, 1, 2
 
 
-def bucketed(batches: Iterator[pa.RecordBatch], judge) -> Iterator[pa.RecordBatch]:
-    """Answers of whole buckets; rows come sorted by bucket. judge(entries, kinds): which entries have an answer."""
-
-    def flush(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        parts = [(r["kind"], *unpacked(r)) for r in rows if r["kind"] != DONE]
-        out = [x for r in rows if r["kind"] == DONE for x in found(*unpacked(r)[:3])]
-        if parts:
-            kinds = np.concatenate([np.full(len(p[1]), p[0], np.int8) for p in parts])
-            k1, k2, place = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-            yes = judge(np.concatenate([p[4] for p in parts]), kinds, k1, k2, place)
-            out += found(k1[yes], k2[yes], place[yes])
-        if out:
-            yield answers(out)
-
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of a bucket at a time; they come sorted by it."""
     rows: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
             if rows and rows[0]["bucket"] != row["bucket"]:
-                yield from flush(rows)
+                yield rows
                 rows = []
             rows.append(row)
     if rows:
-        yield from flush(rows)
+        yield rows
+
+
+def judged(batches: Iterator[pa.RecordBatch], judge, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Places that have an answer, packed by document. judge(hashes, kinds, k1, k2, places): which entries of a bucket do."""
+    for rows in by_bucket(batches):
+        parts = [(np.full(len(u[0]), r["kind"], np.int8), *u) for r in rows for u in (unpacked(r),)]
+        kinds, k1, k2, place = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        yes = kinds == DONE
+        if not yes.all():
+            yes[~yes] = judge(np.concatenate([p[4] for p in parts]), kinds[~yes], k1[~yes], k2[~yes], place[~yes])
+        yield sent([*to_documents(k1[yes], k2[yes], place[yes], buckets)])
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document, with all its places."""
+    for rows in by_bucket(batches):
+        k1, k2, place = (np.concatenate(x) for x in zip(*(unpacked(r)[:3] for r in rows), strict=True))
+        order = np.lexsort((place, k2, k1))
+        k1, k2, place = k1[order], k2[order], place[order].astype("<u4")
+        starts = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+        ends = np.r_[starts[1:], len(k1)]
+        yield pa.RecordBatch.from_arrays([pa.array(k1[starts]), pa.array(k2[starts]), pa.array([place[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], ["k1", "k2", "places"])
 
 
-def dealt(rows: DataFrame, buckets: int, judge) -> DataFrame:
-    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lambda b: bucketed(b, judge), FOUND)
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
 
 
 def anchors(keyed_docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
-    """FOUND: places of runs of window / 2 words that are a block somewhere and occur at two places."""
+    """PACKED by document: places of runs of window / 2 words that are a block somewhere and occur at two places."""
     anchor = window // 2
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +169,7 @@ def anchors(keyed_docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFr
             entry = ((h & np.uint64(0x7FFFFFFF)) << np.uint64(1)).astype("<u4")
             out = [*packed(ASK, bucket[~hit], owner[~hit], place[~hit], entry[~hit] | is_block[~hit], k1, k2)]
             out += packed(KNOW, bucket[hit & one], owner[hit & one], place[hit & one], entry[hit & one] | np.uint32(1), k1, k2)
-            out += packed(DONE, owner[hit] % buckets, owner[hit], place[hit], np.zeros(int(hit.sum()), np.uint8), k1, k2)
+            out += packed(DONE, owner[hit] % buckets, owner[hit], place[hit], np.zeros((int(hit.sum()), 0), np.uint8), k1, k2)
             yield sent(out)
 
     def judge(raw: np.ndarray, kinds: np.ndarray, *_) -> np.ndarray:
@@ -175,15 +181,15 @@ def anchors(keyed_docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFr
         # a chunk that only makes known has hits of its own: its entry counts as two
         return ((np.bincount(group, 1 + (kinds == KNOW)) > 1) & (np.bincount(group, block) > 0))[group] & (kinds == ASK)
 
-    return dealt(keyed_docs.select("k1", "k2", "text").mapInArrow(send, PACKED), buckets, judge)
+    return dealt(keyed_docs.select("k1", "k2", "text").mapInArrow(send, PACKED), buckets).mapInArrow(lambda b: judged(b, judge, buckets), PACKED)
 
 
-def places_of(binaries: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b, "<u4") for b in binaries]).astype(np.int64)
+def places_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4").astype(np.int64)
 
 
 def repeats(hit_docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
-    """FOUND: starts of windows that also start earlier. hit_docs: k1, k2, text, hits (array of binary places)."""
+    """PACKED by document: starts of windows that also start earlier. hit_docs: k1, k2, text, hits (u4 places)."""
     anchor = window // 2
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +218,7 @@ def repeats(hit_docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFram
             entry[:, 0], entry[:, 1], entry[:, 2] = h[new] & np.uint64(0xFFFFFFFF), h[new] >> np.uint64(32), g[new] & np.uint64(0xFFFFFFFF)
             bucket = ((g[new] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             out = [*packed(ASK, bucket, owner[new], place[new], entry, k1, k2)]
-            out += packed(DONE, owner[again] % buckets, owner[again], place[again], np.zeros(int(again.sum()), np.uint8), k1, k2)
+            out += packed(DONE, owner[again] % buckets, owner[again], place[again], np.zeros((int(again.sum()), 0), np.uint8), k1, k2)
             yield sent(out)
 
     def judge(raw: np.ndarray, _, k1: np.ndarray, k2: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -225,7 +231,7 @@ def repeats(hit_docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFram
         yes[order] = (a != a[first]) | (b != b[first]) | (p != p[first])
         return yes
 
-    return dealt(hit_docs.select("k1", "k2", "text", "hits").mapInArrow(send, PACKED), buckets, judge)
+    return dealt(hit_docs.select("k1", "k2", "text", "hits").mapInArrow(send, PACKED), buckets).mapInArrow(lambda b: judged(b, judge, buckets), PACKED)
 
 
 def spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -245,7 +251,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
 
     def by_document(places: DataFrame, name: str) -> DataFrame:
-        return places.groupBy(*KEYS).agg(F.collect_list("places").alias(name))
+        return dealt(places, buckets).mapInArrow(merged, FOUND).withColumnRenamed("places", name)
 
     hits = written(anchors(own, buckets, window), "anchors")
     hit_docs = own.select("k1", "k2", "text").join(by_document(hits, "hits"), [*KEYS])
