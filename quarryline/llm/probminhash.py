@@ -6,7 +6,7 @@ shingle. Arrivals are made in rounds, and a shingle whose last arrival is later
 Two documents agree in a register with the probability Jaccard similarity of their weighted shingles.
 
 1. Documents with the same shingles are one node (its smallest doc_id): copies are collapsed before anything is paired.
-2. Bands of registers and the size of the shingle set give bucket keys: sets of which one is at least LEAST of the other meet in one of two size
+2. Nodes with too few shingles that any other candidate has are out, exactly. Bands of registers and the size of the shingle set give bucket keys: sets of which one is at least LEAST of the other meet in one of two size
    classes, so that documents that only share a passage seldom meet. A bucket's members are paired with its smallest node, not with each other: one pair per
    member, by a partial aggregation and a join, so that a hot bucket is split over tasks.
 3. Pairs are verified on the whole shingle sets (Jaccard of at least LEAST), and verified pairs are joined to components.
@@ -110,14 +110,25 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id and its shingle set: sorted different u4 hashes."""
+    """doc_id and its shingle set: different 4-byte hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [np.unique((shingles(t.as_py()) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["node", "set"])
+            got = [np.unique((shingles(t.as_py()) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], ["node", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, set binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, set array<int>")
+
+
+def reachable(node_sets: DataFrame, least: float) -> DataFrame:
+    """node, n, shared of nodes that can have a partner: n shingles, of which `shared` occur in another node's set too.
+
+    A partner has at most the shared ones in common, so nodes with fewer than `least` of their own are out: those that only share a passage with others, and
+    copies edited beyond the similarity. Shingles are counted with partial aggregation; one of a single node brings that node along.
+    """
+    lone = node_sets.select("node", F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    own = node_sets.select("node", F.size("set").cast("long").alias("n")).join(lone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
+    return own.where(F.col("shared") >= least * F.col("n"))
 
 
 def verified(pairs: DataFrame, node_sets: DataFrame, least: float) -> DataFrame:
@@ -127,10 +138,11 @@ def verified(pairs: DataFrame, node_sets: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = np.intersect1d(x, y, assume_unique=True).size
                 keep.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     x, y = node_sets.select(F.col("node").alias("a"), F.col("set").alias("x")), node_sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -175,12 +187,17 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     size = F.floor(F.log("n") / float(np.log(1 / least + 1e-9)))
     spread = nodes.select(F.explode("bands").alias("band"), "node", "n", size.alias("size")).select(F.explode(F.array("size", F.col("size") + 1)).alias("size"), "band", "node", "n")
     spread = spread.select(F.xxhash64("band", "size").alias("bucket"), "node", "n")
-    leaders = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.min_by("n", "node").alias("leader_n"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowded = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
+    wanted = spread.join(crowded, "bucket", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+    node_sets = written(sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "shingle-sets")
+    # what can't have a partner leaves the buckets before leaders are chosen
+    alive = written(reachable(node_sets, least), "reachable")
+    spread = written(spread.drop("n").join(alive, "node"), "spread")
+    leaders = spread.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "shared"), "node").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(spread.join(leaders, "bucket"), "buckets")
-    alike = "least(a_n, b_n) >= {} * greatest(a_n, b_n)".format(least)
-    wanted = members.select("node").distinct()
-    node_sets = written(sets(docs.join(wanted.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")), "shingle-sets")
-    pairs = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("n").alias("a_n"), F.col("leader_n").alias("b_n")).where(alike)
+    # the most that two sets can have in common is what each shares with any other
+    alike = "least(a_shared, b_shared) >= {0} * (a_n + b_n - least(a_shared, b_shared))".format(least)
+    pairs = members.where("node <> lead.node").select(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("n").alias("a_n"), F.col("lead.n").alias("b_n"), F.col("shared").alias("a_shared"), F.col("lead.shared").alias("b_shared")).where(alike)
     stars = components(verified(pairs.select("a", "b").distinct(), node_sets, least))
 
     def labelled(own: DataFrame) -> DataFrame:
@@ -191,11 +208,11 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         torn = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
         return own.where(F.col("size") > tested + 1).join(torn, "bucket", "left_semi")
 
-    left = written(still_open(labelled(members.select("bucket", "node", "n", "size")), 1).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")) - 1), "open")
+    left = written(still_open(labelled(members.select("bucket", "node", "n", "shared", "size")), 1).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")) - 1), "open")
     start, block = 1, 4
     while (most := left.agg(F.max("size")).first()[0] or 0) > start + 1:
-        lead = left.where((F.col("rank") >= start) & (F.col("rank") < start + block)).select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("rank").alias("b_rank"), F.col("label").alias("b_label"))
-        pairs = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), "rank", "label").join(lead, "bucket").where((F.col("rank") > F.col("b_rank")) & (F.col("label") != F.col("b_label"))).where(alike)
+        lead = left.where((F.col("rank") >= start) & (F.col("rank") < start + block)).select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("shared").alias("b_shared"), F.col("rank").alias("b_rank"), F.col("label").alias("b_label"))
+        pairs = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("shared").alias("a_shared"), "rank", "label").join(lead, "bucket").where((F.col("rank") > F.col("b_rank")) & (F.col("label") != F.col("b_label"))).where(alike)
         new = verified(pairs.select("a", "b").distinct(), node_sets, least)
         stars = components(stars.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new))
         start, block = start + block, block * 4
