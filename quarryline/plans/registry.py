@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogs, graphs, retrieval, texts
+from . import catalogs, graphs, retrieval, streams, texts
 
-MODULES = (retrieval, texts, graphs, catalogs)
+MODULES = (retrieval, texts, graphs, catalogs, streams)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}
