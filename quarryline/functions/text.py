@@ -21,15 +21,13 @@ MARKERS = {
     "ui": ["button", "form", "screen", "page", "modal", "dialog", "input", "field", "click", "submit", "navigate", "ui", "user interface", "menu", "dropdown", "checkbox"],
     "business": ["order", "invoice", "product", "catalog", "customer", "supplier", "shipment", "delivery", "payment", "refund", "stock", "inventory", "warehouse", "sku", "master data", "reference data", "workflow", "approval", "notification", "report", "dashboard", "kpi", "erp", "crm", "dam", "pim", "plm", "mdm", "wms"],
 }
-#: Patterns with ASCII boundaries on both sides, so that engines agree on texts with accents.
-EDGE, END = r"(?:^|[^A-Za-z0-9_])", r"(?:$|[^A-Za-z0-9_])"
+#: Patterns of names and transitions, of explicit ASCII letters.
 ENTITY = r"\b([A-Z][a-z]+(?:[A-Z][a-zA-Z0-9]+)+)\b"
 FIELD = r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"
 TRANSITION = r"\b([A-Z][a-zA-Z]+)\s*(?:->|→|to)\s*([A-Z][a-zA-Z]+)\b"
 SYSTEM = r"(?i)\b([a-z][a-z]+(?:\s[a-z][a-z]+)?)\s+(?:system|service|platform|module|component)\b"
 #: (markers, least number of them, type), in order of priority; then fields and entities, then the overview.
 PRIORITY = [("validation", 3, "validation_rule"), ("rule", 2, "business_rule"), ("error", 2, "error_handling"), ("security", 2, "security_requirement"), ("mapping", 2, "data_mapping_candidate"), ("state", 3, "state_model"), ("event", 2, "event_definition"), ("ui", 3, "ui_interaction"), ("integration", 3, "api_contract"), ("architecture", 2, "integration_flow")]
-CHUNK_TYPES = ("text", "table", "figure", "code", "title", "list", "caption", "formula", "header", "footer", "page", "other")
 
 
 def found_markers(text: Column, group: str) -> Column:

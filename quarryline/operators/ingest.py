@@ -103,3 +103,27 @@ def section_confidence(sections: DataFrame, claims: DataFrame) -> DataFrame:
     pairs = sections.join(own, "pack_id").where(F.exists("words", lambda w: F.lower(F.col("text")).contains(w))).select("pack_id", "section", "w")
     found = pairs.groupBy("pack_id", "section").agg(F.count("w").alias("claims"), F.avg("w").alias("confidence"))
     return sections.select("pack_id", "section").join(found, ["pack_id", "section"], "left").select("pack_id", "section", F.coalesce("claims", F.lit(0)).alias("claims"), F.round(F.coalesce("confidence", F.lit(UNSUPPORTED)), 6).alias("confidence"))
+
+
+def openapi_schemas(specs: DataFrame) -> DataFrame:
+    """Schemas of version 3 or 2 specs (source, spec): source, name, number of properties."""
+    found = F.coalesce(F.get_json_object("spec", "$.components.schemas"), F.get_json_object("spec", "$.definitions"))
+    own = specs.select("source", F.explode(F.from_json(found, "map<string,string>")).alias("name", "body"))
+    return own.select("source", "name", F.coalesce(F.size(F.from_json(F.get_json_object("body", "$.properties"), "map<string,string>")), F.lit(0)).alias("properties"))
+
+
+def tool_capabilities(tools: DataFrame) -> DataFrame:
+    """Tools (source, name, description, schema as JSON) as capabilities whose text names the parameters and which are required."""
+    names = F.map_keys(F.from_json(F.get_json_object("schema", "$.properties"), "map<string,string>"))
+    required = F.coalesce(F.from_json(F.get_json_object("schema", "$.required"), "array<string>"), F.array().cast("array<string>"))
+    listed = F.array_join(F.transform(names, lambda n: F.concat(n, F.when(F.array_contains(required, n), F.lit(" (required)")).otherwise(" (optional)"))), ", ")
+    text = F.concat(F.lit("Tool: "), "name", F.coalesce(F.concat(F.lit("\n"), F.nullif("description", F.lit(""))), F.lit("")), F.when(F.size(names) > 0, F.concat(F.lit("\nParameters: "), listed)).otherwise(""))
+    return tools.select(F.concat("source", F.lit("__tool__"), "name").alias("capability_id"), text.alias("text"))
+
+
+def section_groups(chunks: DataFrame, most: int = 15, least: int = 3) -> DataFrame:
+    """A document's first `most` sections in header order, of these the ones with `least` chunks or more: chunks (doc_id, header, pos, text)."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n")
+    own = chunks.groupBy("doc_id", "header").agg(F.count(F.lit(1)).alias("chunks"), joined.alias("text"))
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("header")))
+    return own.where((F.col("place") <= most) & (F.col("chunks") >= least)).drop("place")

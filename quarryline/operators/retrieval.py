@@ -241,3 +241,19 @@ def budgeted(entries: DataFrame, budget: int, by: tuple[str, ...], size: Column)
     """Entries in descending score order until the next one would pass the budget; nothing after it is taken."""
     used = F.sum(size).over(Window.partitionBy(*by).orderBy(F.desc("score"), "chunk_id").rowsBetween(Window.unboundedPreceding, 0))
     return entries.withColumn("used", used).where(F.col("used") <= budget)
+
+
+def assembled(entries: DataFrame, most: int, summary_most: int) -> DataFrame:
+    """Context of a query from entries (query_id, section, chunk_id, score, size): summaries within their own budget, then approved examples, then patterns of the
+    knowledge base in what is left. Adds the section's running size."""
+    query = Window.partitionBy("query_id")
+    used = F.sum("size").over(Window.partitionBy("query_id", "section").orderBy(F.desc("score"), "chunk_id").rowsBetween(Window.unboundedPreceding, 0))
+    own = entries.withColumn("used", used)
+
+    def taken(section: str, fits: Column) -> Column:
+        return F.coalesce(F.max(F.when((F.col("section") == section) & fits, F.col("used"))).over(query), F.lit(0))
+
+    own = own.withColumn("__s", taken("summary", F.col("used") <= summary_most))
+    own = own.withColumn("__a", taken("approved", F.col("__s") + F.col("used") <= most))
+    before = F.when(F.col("section") == "approved", F.col("__s")).otherwise(F.col("__s") + F.col("__a"))
+    return own.where(F.when(F.col("section") == "summary", F.col("used") <= summary_most).otherwise(before + F.col("used") <= most)).drop("__s", "__a")
