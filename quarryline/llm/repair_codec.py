@@ -38,21 +38,25 @@ SHARD_SCHEMA = "part int, shard int, part_start long, n_ids long, base int, doc_
 
 
 def slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.intp)
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
 
 
 def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, symbols): rules[k] is the pair of symbol base + k, lengths[k] the ids it expands to."""
-    seq = ids.astype(np.uint64)
-    rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
     room = max(65_536 - base, 4_096)
+    # a pair of symbols is one number, of 4 bytes where symbols have 2
+    kind, bits = (np.uint32, 16) if base + room <= 65_536 else (np.uint64, 32)
+    seq = ids.astype(kind)
+    rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
     for left in range(rounds, 0, -1):
         most = (room - len(lengths)) // left
         if len(seq) < 2 or not most:
             break
-        keys = seq[:-1] << np.uint64(32) | seq[1:]
+        keys = seq[:-1] << kind(bits) | seq[1:]
         at = slots(keys)
-        held = np.zeros(1 << SLOT_BITS, np.uint64)
+        held = np.zeros(1 << SLOT_BITS, kind)
         held[at] = keys
         same = held[at] == keys
         counts = np.bincount(at[same], minlength=1 << SLOT_BITS)
@@ -62,17 +66,17 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
             break
         rule = np.full(1 << SLOT_BITS, -1, np.int32)
         rule[best] = np.arange(len(best)) + len(lengths)
-        found = np.where(same, rule[at], -1)
-        hits = np.flatnonzero(found >= 0)
+        found = rule[at]
+        hits = np.flatnonzero((found >= 0) & same)
         # in a run of overlapping pairs every other one is replaced, from its left end
         fresh = np.r_[True, np.diff(hits) > 1]
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(hits)), 0))
         hits = hits[(np.arange(len(hits)) - run) % 2 == 0]
-        seq[hits] = (found[hits] + base).astype(np.uint64)
+        seq[hits] = (found[hits] + base).astype(kind)
         keep = np.ones(len(seq), bool)
         keep[hits + 1] = False
         seq = seq[keep]
-        pairs = np.stack([held[best] >> np.uint64(32), held[best] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        pairs = np.stack([held[best] >> kind(bits), held[best] & kind((1 << bits) - 1)], 1).astype(np.uint32)
         all_lengths = np.r_[np.ones(base, np.int64), lengths]
         rules.append(pairs)
         lengths = np.r_[lengths, all_lengths[pairs].sum(1)]

@@ -12,8 +12,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Pieces kept in a worker; beyond it the table starts anew (about 200 MB).
-KEPT_PIECES = 700_000
+#: Pieces kept in a worker; beyond it the table starts anew (about 300 MB).
+KEPT_PIECES = 1_500_000
 #: Characters that are encoded at once.
 GROUP_CHARS = 1_000_000
 #: The pre-tokenizer's split, as given in the tokenizer file and ASCII signs (fixed values).
