@@ -10,8 +10,9 @@ Two documents agree in a register with the probability Jaccard similarity of the
    classes, so that documents that only share a passage seldom meet. A bucket's members are paired with its smallest node, not with each other: one pair per
    member, by a partial aggregation and a join, so that a hot bucket is split over tasks.
 3. Pairs are verified on the whole shingle sets (Jaccard of at least LEAST), and verified pairs are joined to components.
-4. Only buckets whose members are still in different components go on: their next 4, 16, 64, ... members are paired with the later
-   members of other components, until every such pair has been verified. No link between different components is missed for want of a pair.
+4. Only buckets whose members are still in different components go on: 4, 16, 64, ... members of a bucket's largest component meet its members of other
+   components, and are done with. Most of the others join at once; the rest goes on until every pair of different components has been verified, so no link
+   between them is missed for want of a pair.
 
 Loops end when nothing is open; their state is written to the shared folder each time.
 
@@ -200,25 +201,24 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     pairs = members.where("node <> lead.node").select(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("n").alias("a_n"), F.col("lead.n").alias("b_n"), F.col("shared").alias("a_shared"), F.col("lead.shared").alias("b_shared")).where(alike)
     stars = components(verified(pairs.select("a", "b").distinct(), node_sets, least))
 
-    def labelled(own: DataFrame) -> DataFrame:
-        return own.join(stars, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    def still_open(own: DataFrame, tested: int) -> DataFrame:
-        """Members of buckets that hold different components and have pairs beyond their first `tested` members."""
-        torn = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        return own.where(F.col("size") > tested + 1).join(torn, "bucket", "left_semi")
-
-    left = written(still_open(labelled(members.select("bucket", "node", "n", "shared", "size")), 1).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")) - 1), "open")
-    start, block = 1, 4
-    while (most := left.agg(F.max("size")).first()[0] or 0) > start + 1:
-        lead = left.where((F.col("rank") >= start) & (F.col("rank") < start + block)).select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("shared").alias("b_shared"), F.col("rank").alias("b_rank"), F.col("label").alias("b_label"))
-        pairs = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("shared").alias("a_shared"), "rank", "label").join(lead, "bucket").where((F.col("rank") > F.col("b_rank")) & (F.col("label") != F.col("b_label"))).where(alike)
+    def torn(own: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, with the label that most of them have."""
+        labelled = own.join(stars, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        return labelled.join(sizes.select("bucket", "main"), "bucket")
+
+    # leaders so far are done with: they have met every member of another component
+    left = written(torn(members.where("node <> lead.node AND size > 2").select("bucket", "node", "n", "shared")), "open")
+    block = 4
+    while not left.isEmpty():
+        order = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+        chosen = left.where("label = main").withColumn("rank", order).where(F.col("rank") <= block).select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("shared").alias("b_shared"))
+        chosen = written(chosen, "leaders")
+        pairs = left.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("shared").alias("a_shared")).join(chosen, "bucket").where(alike)
         new = verified(pairs.select("a", "b").distinct(), node_sets, least)
         stars = components(stars.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new))
-        start, block = start + block, block * 4
-        if start + 1 >= most:
-            break
-        left = written(still_open(labelled(left.drop("label").where(F.col("rank") >= start)), start), "open")
+        rest = left.select("bucket", "node", "n", "shared").join(chosen.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti")
+        left, block = written(torn(rest), "open"), block * 4
     return (
         marked.select("doc_id", "digest")
         .join(nodes.select("digest", "node"), "digest", "left")
