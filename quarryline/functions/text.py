@@ -30,6 +30,11 @@ SYSTEM = r"(?i)\b([a-z][a-z]+(?:\s[a-z][a-z]+)?)\s+(?:system|service|platform|mo
 PRIORITY = [("validation", 3, "validation_rule"), ("rule", 2, "business_rule"), ("error", 2, "error_handling"), ("security", 2, "security_requirement"), ("mapping", 2, "data_mapping_candidate"), ("state", 3, "state_model"), ("event", 2, "event_definition"), ("ui", 3, "ui_interaction"), ("integration", 3, "api_contract"), ("architecture", 2, "integration_flow")]
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end (trim takes blanks alone)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def found_markers(text: Column, group: str) -> Column:
     """The group's markers that occur in the text, sorted."""
     low = F.lower(text)
@@ -150,14 +155,14 @@ PLACEHOLDER = r"(?i)\[TODO\]|\[TBD\]|\[PLACEHOLDER\]|\[INSERT[^\]]*\]|\bTODO:|\[
 
 
 def guard_state(raw: Column) -> Column:
-    text = F.trim(raw)
+    text = stripped(raw)
     relaxed = text.rlike(r"(?im)^#[^#].*Integration\s+Design")
     return F.when(raw.isNull() | (text == ""), "empty").when(text.startswith(GUARD_HEADING), "exact").when(text.contains(GUARD_HEADING), "preamble").when(relaxed, "relaxed").otherwise("rejected")
 
 
 def guarded(raw: Column) -> Column:
     """The text from its required heading on; null for rejected texts."""
-    text = F.trim(raw)
+    text = stripped(raw)
     start = F.regexp_instr(text, F.lit(r"(?im)^#[^#].*Integration\s+Design"))
     state = guard_state(raw)
     return F.when(state == "exact", text).when(state == "preamble", F.substring(text, F.instr(text, GUARD_HEADING), F.length(text))).when(state == "relaxed", F.substring(text, start, F.length(text)))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions.text import stripped
+
 #: Allowed changes of an entry's and of an approval's status.
 ENTRY_STEPS = [("PENDING_TAG_REVIEW", "TAG_CONFIRMED"), ("TAG_CONFIRMED", "PROCESSING"), ("PROCESSING", "DONE")]
 APPROVAL_STEPS = [("PENDING", "APPROVED"), ("PENDING", "REJECTED")]
@@ -26,7 +28,7 @@ def parse_bullets(files: DataFrame) -> DataFrame:
     own = files.select("file_name", F.coalesce(front("source"), F.get(names, F.lit(0)), F.lit("Unknown")).alias("source"), F.coalesce(front("target"), F.get(names, F.lit(1)), F.lit("Unknown")).alias("target"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     heading = F.when(F.col("line").startswith("#"), F.lower("line"))
     own = own.withColumn("heading", F.last(heading, ignorenulls=True).over(Window.partitionBy("file_name").orderBy("line_no")))
-    parts = F.transform(F.split(F.regexp_replace("line", r"^[-*]\s+", ""), r"\|"), lambda p: F.trim(p))
+    parts = F.transform(F.split(F.regexp_replace("line", r"^[-*]\s+", ""), r"\|"), lambda p: stripped(p))
     own = own.where(F.col("line").rlike(r"^[-*]\s+") & (F.size(F.split("line", r"\|")) >= 3)).withColumn("p", parts)
     low = F.coalesce("heading", F.lit(""))
     return own.select("file_name", "line_no", F.col("p")[0].alias("req_id"), "source", "target", F.col("p")[1].alias("category"), F.col("p")[2].alias("description"), (low.contains("mandatory") & ~low.rlike("non-mandatory|optional")).alias("mandatory"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions.text import stripped
+
 #: Marks of codes and bold lines.
 CODE = r"(?i)^FR[‐-―−\-.]\S"
 BOLD = r"^\*\*(.+?)\*\*\s*$"
@@ -22,7 +24,7 @@ def is_mandatory(heading: Column) -> Column:
 def heading_lines(files: DataFrame) -> DataFrame:
     """file_name, pos, text, level and heading (null for plain lines); fence marks are gone, fenced lines are plain."""
     order = Window.partitionBy("file_name").orderBy("pos")
-    own = files.select("file_name", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("text", F.trim("line"))
+    own = files.select("file_name", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("text", stripped(F.col("line")))
     fence = F.col("text").startswith("```")
     own = own.withColumn("fences", F.sum(fence.cast("int")).over(order)).where(~fence)
     plain, bold = F.col("fences") % 2 == 0, F.trim(F.regexp_extract("text", BOLD, 1))

@@ -233,7 +233,7 @@ SQL = {
     "file_routes": """WITH f AS (SELECT doc_id, 'file' || doc_id || '.' || ['pdf', 'HTML', 'md', 'txt', 'csv', 'yaml', 'bin'][doc_id % 7 + 1] AS name, ['application/pdf', 'text/html', NULL, NULL][doc_id % 4 + 1] AS mime FROM documents)
         SELECT *, CASE WHEN mime = 'application/pdf' THEN 'pdf' WHEN mime = 'text/html' THEN 'html' WHEN lower(name) LIKE '%.pdf' THEN 'pdf' WHEN lower(name) LIKE '%.html' THEN 'html' WHEN name LIKE '%.md' THEN 'markdown' WHEN name LIKE '%.txt' THEN 'text' WHEN name LIKE '%.csv' THEN 'csv' WHEN name LIKE '%.yaml' THEN 'yaml' ELSE 'unsupported' END AS reader FROM f""",
     "log_levels": f"WITH {LOG_SQL} SELECT conv_id, turn, {LEVEL_SQL} AS level, regexp_replace(message, '^\\[[A-Z][A-Z0-9-]*(?:\\s+[0-9]+/[0-9]+)?\\]\\s*', '') AS clean FROM log",
-    "structural_guard": f"WITH {DESIGN} SELECT conv_id, ['exact', 'preamble', 'relaxed', 'rejected'][conv_id % 4 + 1] AS state, CASE conv_id % 4 WHEN 0 THEN length(trim(content, chr(32))) WHEN 1 THEN length(trim(content, chr(32))) - 6 WHEN 2 THEN length(trim(content, chr(32))) END AS kept_chars FROM design",
+    "structural_guard": f"WITH {DESIGN} SELECT conv_id, ['exact', 'preamble', 'relaxed', 'rejected'][conv_id % 4 + 1] AS state, CASE conv_id % 4 WHEN 0 THEN length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) WHEN 1 THEN length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) - 6 WHEN 2 THEN length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) END AS kept_chars FROM design",
     "quality_scores": f"WITH {SIGNALS_SQL} SELECT conv_id, section_count, word_count, has_diagram, table_count, placeholder_count, issues, CAST(score AS DOUBLE) AS score, len(issues) = 0 AND score >= 0.6 AS passed, CAST(round(na_ratio, 4) AS DOUBLE) AS na_ratio FROM q",
     "section_split": f"WITH {DESIGN}, p AS (SELECT conv_id, unnest(string_split(chr(10) || content, chr(10) || '## ')) AS part, generate_subscripts(string_split(chr(10) || content, chr(10) || '## '), 1) - 1 AS idx FROM design) SELECT conv_id, CAST(idx AS INTEGER) AS idx, CASE WHEN idx > 0 THEN trim(split_part(part, chr(10), 1)) END AS title, CASE WHEN idx = 0 THEN length(part) - 1 WHEN contains(part, chr(10)) THEN length(part) - length(split_part(part, chr(10), 1)) - 1 ELSE 0 END AS body_chars FROM p",
     "diagram_check": f"WITH {DESIGN}, b AS (SELECT conv_id, regexp_extract_all(content, '(?is)```mermaid\\s*\\n(.*?)```', 1) AS bs FROM design), u AS (SELECT conv_id, unnest(bs) AS body, generate_subscripts(bs, 1) - 1 AS block FROM b) SELECT conv_id, CAST(block AS INTEGER) AS block, lower(regexp_extract(body, '(?i)^\\s*(flowchart|graph|sequenceDiagram|classDiagram|stateDiagram|erDiagram|gantt|pie)\\b', 1)) AS kind, CAST(len(list_filter(string_split(body, chr(10)), lambda n: trim(n) <> '')) AS INTEGER) AS lines, regexp_matches(body, '-->|---|==>|-\\.->|==') AS has_arrow, regexp_matches(body, '(?i)\\b(Source|Target)\\s+System|participant\\s+(Src|Int|Tgt)\\b') AS is_stub FROM u",

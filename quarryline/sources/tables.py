@@ -22,7 +22,8 @@ def read_text_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     own = spark.read.format("binaryFile").load(path).select("path", "content")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     own = own.select("path", text.alias("text"))
-    return own.where("trim(text) <> ''"), own.where("trim(text) = ''").select("path")
+    some = F.col("text").rlike(r"\S")
+    return own.where(some), own.where(~some).select("path")
 
 
 def replaced_per_source(existing: DataFrame, new: DataFrame, key: str = "source") -> DataFrame:
