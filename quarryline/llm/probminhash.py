@@ -10,8 +10,8 @@ Two documents agree in a register with the probability Jaccard similarity of the
    classes, so that documents that only share a passage seldom meet. A bucket's members are paired with its smallest node, not with each other: one pair per
    member, by a partial aggregation and a join, so that a hot bucket is split over tasks.
 3. Pairs are verified on the whole shingle sets (Jaccard of at least LEAST), and verified pairs are joined to components.
-4. Only buckets whose members are still in different components go on: 4, 16, 64, ... members of a bucket's largest component meet its members of other
-   components, and are done with. Most of the others join at once; the rest goes on until every pair of different components has been verified, so no link
+4. Only buckets whose members are still in different components go on: 4, 16, 64, ... members, those of a bucket's largest component first, meet its members of
+   other components, and are done with. Most of the others join at once; the rest goes on until every pair of different components has been verified, so no link
    between them is missed for want of a pair.
 
 Loops end when nothing is open; their state is written to the shared folder each time.
@@ -202,23 +202,25 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     stars = components(verified(pairs.select("a", "b").distinct(), node_sets, least))
 
     def torn(own: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components, with the label that most of them have."""
+        """Members of buckets that hold several components, with the size of their component there."""
         labelled = own.join(stars, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        return labelled.join(sizes.select("bucket", "main"), "bucket")
+        sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size")).withColumn("labels", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+        return labelled.join(sizes.where("labels > 1").select("bucket", "label", "size"), ["bucket", "label"])
 
     # leaders so far are done with: they have met every member of another component
     left = written(torn(members.where("node <> lead.node AND size > 2").select("bucket", "node", "n", "shared")), "open")
     block = 4
     while not left.isEmpty():
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        chosen = left.where("label = main").withColumn("rank", order).where(F.col("rank") <= block).select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("shared").alias("b_shared"))
-        chosen = written(chosen, "leaders")
-        pairs = left.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("shared").alias("a_shared")).join(chosen, "bucket").where(alike)
+        order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("size"), "label", "node"))
+        chosen = written(left.withColumn("rank", order).where(F.col("rank") <= block).select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("shared").alias("b_shared"), F.col("label").alias("b_label"), F.col("size").alias("b_size")), "leaders")
+        own = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("shared").alias("a_shared"), "label", "size")
+        # each pair once: the leader is the earlier one in the bucket's order
+        later = (F.col("label") != F.col("b_label")) & (F.struct(-F.col("size"), "label", "a") > F.struct(-F.col("b_size"), "b_label", "b"))
+        pairs = own.join(chosen, "bucket").where(later).where(alike)
         new = verified(pairs.select("a", "b").distinct(), node_sets, least)
         stars = components(stars.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new))
         rest = left.select("bucket", "node", "n", "shared").join(chosen.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti")
-        left, block = written(torn(rest), "open"), block * 4
+        left, block = written(torn(rest), "open"), min(4 * block, 1 << 30)
     return (
         marked.select("doc_id", "digest")
         .join(nodes.select("digest", "node"), "digest", "left")
