@@ -186,8 +186,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     nodes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     # sizes whose ratio is at least `least` are in one class or in neighbouring ones; each node is in its class and in the next
     size = F.floor(F.log("n") / float(np.log(1 / least + 1e-9)))
-    spread = nodes.select(F.explode("bands").alias("band"), "node", "n", size.alias("size")).select(F.explode(F.array("size", F.col("size") + 1)).alias("size"), "band", "node", "n")
-    spread = spread.select(F.xxhash64("band", "size").alias("bucket"), "node", "n")
+    banded = written(nodes.dropDuplicates(["node"]).select("node", "n", "bands", size.alias("own_class")), "banded")
+    spread = banded.select(F.posexplode("bands").alias("i", "band"), "node", "n", "own_class").select(F.explode(F.array("own_class", F.col("own_class") + 1)).alias("class"), "i", "band", "node", "n")
+    spread = spread.select(F.xxhash64("band", "class").alias("bucket"), "i", "class", "node", "n")
     crowded = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     wanted = spread.join(crowded, "bucket", "left_semi").select(F.col("node").alias("doc_id")).distinct()
     node_sets = written(sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "shingle-sets")
@@ -208,18 +209,21 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         return labelled.join(sizes.where("labels > 1").select("bucket", "label", "size"), ["bucket", "label"])
 
     # leaders so far are done with: they have met every member of another component
-    left = written(torn(members.where("node <> lead.node AND size > 2").select("bucket", "node", "n", "shared")), "open")
+    left = written(torn(members.where("node <> lead.node AND size > 2").select("bucket", "i", "class", "node", "n", "shared").join(banded.select("node", "bands", "own_class"), "node")), "open")
     block = 4
     while not left.isEmpty():
         order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("size"), "label", "node"))
-        chosen = written(left.withColumn("rank", order).where(F.col("rank") <= block).select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("shared").alias("b_shared"), F.col("label").alias("b_label"), F.col("size").alias("b_size")), "leaders")
-        own = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("shared").alias("a_shared"), "label", "size")
+        chosen = written(left.withColumn("rank", order).where(F.col("rank") <= block).select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("shared").alias("b_shared"), F.col("label").alias("b_label"), F.col("size").alias("b_size"), F.col("bands").alias("b_bands"), F.col("own_class").alias("b_class")), "leaders")
+        own = left.select("bucket", "i", "class", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("shared").alias("a_shared"), "label", "size", "bands", "own_class")
         # each pair once: the leader is the earlier one in the bucket's order
         later = (F.col("label") != F.col("b_label")) & (F.struct(-F.col("size"), "label", "a") > F.struct(-F.col("b_size"), "b_label", "b"))
-        pairs = own.join(chosen, "bucket").where(later).where(alike)
+        # and only in the first bucket that the two share
+        again = F.exists(F.zip_with(F.slice("bands", F.lit(1), F.col("i")), F.slice("b_bands", F.lit(1), F.col("i")), lambda x, y: x == y), lambda same: same)
+        first = (F.col("class") == F.greatest("own_class", "b_class")) & ~again
+        pairs = own.join(chosen, "bucket").where(later & first).where(alike)
         new = verified(pairs.select("a", "b").distinct(), node_sets, least)
         stars = components(stars.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new))
-        rest = left.select("bucket", "node", "n", "shared").join(chosen.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti")
+        rest = left.drop("label", "size").join(chosen.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti")
         left, block = written(torn(rest), "open"), min(4 * block, 1 << 30)
     return (
         marked.select("doc_id", "digest")
