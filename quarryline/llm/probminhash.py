@@ -10,7 +10,7 @@ Two documents agree in a register with the probability Jaccard similarity of the
    classes, so that documents that only share a passage seldom meet. A bucket's members are paired with its smallest node, not with each other: one pair per
    member, by a partial aggregation and a join, so that a hot bucket is split over tasks.
 3. Pairs are verified on the whole shingle sets (Jaccard of at least LEAST), and verified pairs are joined to components.
-4. Only buckets whose members are still in different components go on: 4, 16, 64, ... members, those of a bucket's largest component first, meet its members of
+4. Only buckets whose members are still in different components go on: 16, 128, 1024, ... members, those of a bucket's largest component first, meet its members of
    other components, and are done with. Most of the others join at once; the rest goes on until every pair of different components has been verified, so no link
    between them is missed for want of a pair.
 
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     # leaders so far are done with: they have met every member of another component
     left = written(torn(members.where("node <> lead.node AND size > 2").select("bucket", "i", "class", "node", "n", "shared").join(banded.select("node", "bands", "own_class"), "node")), "open")
-    block = 4
+    block = 16
     while not left.isEmpty():
         order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("size"), "label", "node"))
         chosen = written(left.withColumn("rank", order).where(F.col("rank") <= block).select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("shared").alias("b_shared"), F.col("label").alias("b_label"), F.col("size").alias("b_size"), F.col("bands").alias("b_bands"), F.col("own_class").alias("b_class")), "leaders")
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         new = verified(pairs.select("a", "b").distinct(), node_sets, least)
         stars = components(stars.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new))
         rest = left.drop("label", "size").join(chosen.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti")
-        left, block = written(torn(rest), "open"), min(4 * block, 1 << 30)
+        left, block = written(torn(rest), "open"), min(8 * block, 1 << 30)
     return (
         marked.select("doc_id", "digest")
         .join(nodes.select("digest", "node"), "digest", "left")
