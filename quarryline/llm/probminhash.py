@@ -3,9 +3,11 @@
 A document's shingles are its runs of SHINGLE words (lower case, split at white space), weighted by how often they occur. Each
 shingle is a Poisson process whose rate is its weight; every arrival falls on one of the REGISTERS, and a register keeps its earliest
 shingle. Arrivals are made in rounds, and a shingle whose last arrival is later than all registers' makes no more (early termination).
-Two documents agree in a register with the probability Jaccard similarity of their weighted shingles.
+Two documents agree in a register with the probability Jaccard similarity of their weighted shingles. Counts can set documents apart whose shingle sets are
+alike, and sets are what is verified: every document therefore also has bands of the signature with unit weights, whose registers agree with the Jaccard
+similarity of the sets. Without a repeated shingle both signatures are one, and the bands are made once.
 
-1. Documents with the same shingles are one node (its smallest doc_id): copies are collapsed before anything is paired.
+1. Documents with the same shingle set are one node (its smallest doc_id, whose bands it has): copies are collapsed before anything is paired.
 2. Nodes with too few shingles that any other candidate has are out, exactly. Bands of registers and the size of the shingle set give bucket keys: sets of which one is at least LEAST of the other meet in one of two size
    classes, so that documents that only share a passage seldom meet. A bucket's members are paired with its smallest node, not with each other: one pair per
    member, by a partial aggregation and a join, so that a hot bucket is split over tasks.
@@ -84,16 +86,23 @@ def signature(items: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return held
 
 
-def band_keys(held: np.ndarray) -> np.ndarray:
+def band_keys(held: np.ndarray, first: int = 0) -> np.ndarray:
+    """Keys of bands number `first` and on; bands of different numbers have nothing to do with each other."""
     rows = held.reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
+    key = np.arange(first, first + BANDS, dtype=np.uint64)
     for r in range(ROWS):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
     return key.view(np.int64)
 
 
+def bands_of(items: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """BANDS keys of the set and, where a shingle is repeated, BANDS more of the weighted one."""
+    own = band_keys(signature(items, np.ones_like(weights)))
+    return np.concatenate([own, band_keys(signature(items, weights), BANDS)]) if (weights > 1).any() else own
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the shingles (null without words), n different shingles, bands."""
+    """doc_id, digest of the shingle set (null without words), n different shingles, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -104,7 +113,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 items, weights = np.unique(shingles(text.as_py()), return_counts=True)
                 counts.append(len(items))
                 digests.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
-                bands.append(band_keys(signature(items, weights)) if len(items) else [])
+                bands.append(bands_of(items, weights) if len(items) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, n long, bands array<long>")
@@ -182,8 +191,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marked = written(signed(docs), "signatures")
     usable = marked.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    # `first` of equal values: rows of a digest have the same bands
-    nodes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    # rows of a digest have the same n and bands of the set, but not the same counts
+    nodes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.min_by("bands", F.struct("doc_id", "bands")).alias("bands")), "nodes")
     # sizes whose ratio is at least `least` are in one class or in neighbouring ones; each node is in its class and in the next
     size = F.floor(F.log("n") / float(np.log(1 / least + 1e-9)))
     banded = written(nodes.dropDuplicates(["node"]).select("node", "n", "bands", size.alias("own_class")), "banded")

@@ -64,6 +64,35 @@ def test_classes_equal_brute_force(spark, corpus):
     assert got == brute_classes(corpus)
 
 
+def repeating(rng, t, n, times):
+    """t with a line of n words after it, several times: the set of shingles hardly changes, their counts do."""
+    return t + f"\n{text(rng, n)}" * times
+
+
+def test_classes_with_repeated_lines_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(30):
+        base = text(rng, 300)
+        rows += [base, repeating(rng, base, 12, 60), repeating(rng, edited(rng, base, 2), 8, 40), edited(rng, base, 3)]
+    # the same set with other counts is one node, whichever row comes first
+    rows += ["a b c d e f a b c d e f a b c d e", "a b c d e f a b c d e f a b c d e f a b c d e"]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows, 100))
+    want = brute_classes(rows)
+    assert len(set(want.values())) < 40
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
+
+
+def test_bands_of_sets_do_not_depend_on_counts():
+    items = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.where(np.arange(len(items)) < 12, 60, 1)
+    plain, heavy = probminhash.bands_of(items, np.ones_like(counts)), probminhash.bands_of(items, counts)
+    assert len(plain) == probminhash.BANDS and len(heavy) == 2 * probminhash.BANDS and len(set(heavy.tolist())) == len(heavy)
+    assert (heavy[: len(plain)] == plain).all()
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     errors = []
