@@ -196,6 +196,17 @@ def test_op9_against_plain_python(spark, sf_dir):
     assert np.median([r.near_edited for r in got.values()]) > 0.55 > 0.1 > np.median([r.near_next for r in got.values()])
 
 
+def test_op9_fingerprints_are_fine_enough():
+    rng = np.random.default_rng(8)
+    for n in (400, 1000, 3000, 9000):
+        a, b = ("".join(map(chr, rng.integers(97, 123, n))) for _ in range(2))
+        p, q = (prefix_hash.Prefixes(prefix_hash.code_points(t)) for t in (a, a[: n - n // 4] + b[: n // 4]))
+        assert len(p.sketch()) == 64
+        # the kept prefixes show at least 4 / 5 of the three quarters that the texts have in common
+        empty = np.zeros(0, np.uint64)
+        assert 0.59 < prefix_hash.likeness(prefix_hash.fingerprint(p, empty), prefix_hash.fingerprint(q, empty)) <= 0.75
+
+
 def test_op9_odd_rows(spark):
     docs = spark.createDataFrame([(2, "abcdefgh", 1), (None, None, 2), (1, "xy", 3), (1, "xy", 3), (3, "😀😀😀😀z", 4)], "doc_id long, text string, part int")
     rows = prefix_hash.fingerprints(docs).collect()
