@@ -14,7 +14,9 @@ from quarryline.llm.common import documents, tokenizer_path, written
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay; those without letters or unlike any of them go."""
-    return language.kept(docs, *language.learn(docs.where(~language.held_out())))
+    learned = docs.where(~language.held_out())
+    model = language.learn(learned)
+    return language.kept(docs, *model, language.least_scores(learned, *model))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,8 +33,13 @@ UNKNOWN = "und"
 GROUP_CHARS = 1_000_000
 #: Trigram shares are added up in units of one in so many.
 UNIT = 1 << 24
-#: Documents below this cosine are rejected by the pipeline's stage.
+#: Cosine that `kept` asks for where it is given no scores of learned documents.
 LEAST_SCORE = 0.0
+#: Excerpts of learned documents whose cosines show what a text of so many letters reaches: characters from the start.
+EXCERPTS = (4, 8, 16, 32, 64, 128, 256, 512, 1024)
+#: A text is rejected below this share of the cosine that all but one in LOW of the learned excerpts with as many letters reach.
+SHARE = 0.5
+LOW = 100
 
 
 @functools.cache
@@ -118,6 +123,46 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, (found / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
+def letter_class(letters_: np.ndarray) -> np.ndarray:
+    """Powers of two up to the number of letters, and up to the longest excerpt."""
+    return np.floor(np.log2(np.clip(letters_, 1, EXCERPTS[-1]))).astype(np.int64)
+
+
+def least_scores(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> np.ndarray:
+    """The least cosine to be kept with, by letter_class: from excerpts of all learned documents (lang, text) against their own language.
+
+    A class without excerpts takes the next shorter one's, 0 if there is none. Only counts of cosines (four digits) reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], int] = {}
+        for rows in grouped(batches):
+            for size in EXCERPTS:
+                some = [(langs.index(lang), text[:size]) for lang, text in rows if len(text) >= size]
+                if not some:
+                    continue
+                active, counts = counted([t for _, t in some])
+                vectors, n = counts @ trigram_vectors(active), counts.sum(1)
+                cosines = (vectors * prototypes[[k for k, _ in some]]).sum(1) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
+                keys = np.stack([letter_class(n), np.rint(cosines.astype(np.float64) * 1e4).astype(np.int64)], 1)[n > 0]
+                for (k, c), m in zip(*(x.tolist() for x in np.unique(keys, axis=0, return_counts=True)), strict=True):
+                    seen[k, c] = seen.get((k, c), 0) + m
+        k, c = ([x[i] for x in seen] for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(c, pa.int32()), pa.array(list(seen.values()), pa.int64())], ["k", "cosine", "m"])
+
+    cut = docs.where(F.col("lang").cast("string").isin(langs) & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.substring(F.col("text").cast("string"), 1, EXCERPTS[-1]).alias("text"))
+    rows = cut.mapInArrow(run, "k int, cosine int, m long").groupBy("k", "cosine").agg(F.sum("m").alias("m")).collect() if langs else []
+    least = np.zeros(int(letter_class(np.array([EXCERPTS[-1]]))[0]) + 1)
+    for k in range(len(least)):
+        own = sorted((r.cosine, r.m) for r in rows if r.k == k)
+        if own:
+            total = np.cumsum([m for _, m in own])
+            least[k] = max(0.0, SHARE * own[int(np.searchsorted(total, total[-1] / LOW))][0] / 1e4)
+        elif k:
+            least[k] = least[k - 1]
+    return least
+
+
 def predicted(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score of each row."""
 
@@ -137,8 +182,9 @@ def predicted(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> Data
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def kept(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, all columns, whose text has a letter and a cosine of at least `least` with some learned language."""
+def kept(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float | np.ndarray = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, all columns, whose text has a letter and a cosine of at least `least` (by letter_class, if an array) with some learned language."""
+    by_class = np.zeros(int(letter_class(np.array([EXCERPTS[-1]]))[0]) + 1) + least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +193,7 @@ def kept(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float
                 active, counts = counted([r[0] for r in rows])
                 vectors = counts @ trigram_vectors(active)
                 cosines = (vectors @ prototypes.T) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
-                good = (counts.sum(1) > 0) & (np.round(cosines.astype(np.float64), 4) >= least).any(1)
+                good = (counts.sum(1) > 0) & (np.round(cosines.astype(np.float64), 4) >= by_class[letter_class(counts.sum(1))][:, None]).any(1)
                 yield batch.slice(start, len(rows)).filter(pa.array(good))
                 start += len(rows)
 

@@ -47,6 +47,28 @@ def test_op5_odd_rows(spark):
     assert language.kept(docs, *none).count() == 0 and language.predicted(docs.limit(0), langs, prototypes).count() == 0
 
 
+def test_unlike_texts_go_and_short_clean_ones_stay(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    top = docs.agg({"doc_id": "max"}).first()[0]
+    rng = np.random.default_rng(9)
+    noise = [" ".join("".join(map(chr, rng.integers(33, 127, 6))) for _ in range(80)) for _ in range(20)]
+    script = [" ".join("".join(map(chr, rng.integers(0x3B1, 0x3C9, 7))) for _ in range(60)) for _ in range(20)]
+    held = [r for r in docs.where(language.held_out()).collect() if len((r.text or "").split()) >= 6]
+    short = [" ".join(r.text.split()[:6]) for r in held]
+    texts = [*noise, *script, *short]
+    more = spark.createDataFrame([(top + 1 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    # without a language: nothing is learned from them
+    both = docs.unionByName(more, allowMissingColumns=True)
+    stay = {r.doc_id for r in corpus_pipeline.language_id(spark, both, sf_dir).select("doc_id").collect()}
+    went = [i not in stay for i in range(top + 1, top + 1 + len(texts))]
+    assert all(went[:40])
+    assert sum(went[40:]) <= 0.01 * len(short)
+    own = [r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert sum(i in stay for i in own) >= 0.995 * len(own)
+
+
 def test_op7_ordinal_probabilities(spark, sf_dir):
     rows = quality.op7_ordinal_quality(spark, sf_dir).collect()
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
