@@ -11,7 +11,8 @@ same document). Every window holds a whole block of ANCHOR = WINDOW / 2 words th
 
 A task of steps 1 and 2 settles what it sees itself: of a hash that occurs often in its chunk of documents only one place is sent,
 so a passage in a third of all rows is no larger a group than one entry per chunk. Entries travel packed, a row per (chunk, bucket). The
-number of buckets grows with the text (BUCKET_CHARS characters each), so that a bucket fits a task. No pairs are made.
+number of buckets grows with the text (BUCKET_CHARS characters each), so that a bucket fits a task; answers go to
+documents by both keys, so that copies of one text are spread over the buckets. No pairs are made.
 
 Defined cases: a null or empty text has no words; a null doc_id is smaller than all others; rows that share a doc_id are told apart by a hash of their
 text and ordered by it; exactly repeated rows are one document, each with its result; an empty table gives no rows; other columns
@@ -93,6 +94,11 @@ def unpacked(row: dict) -> tuple[np.ndarray, ...]:
     return k1, k2, np.cumsum(from_planes(row["places"]), dtype=np.uint32).astype(np.int64), np.frombuffer(row["hashes"], np.uint8)
 
 
+def dealt_by(k1: np.ndarray, k2: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a document: by both keys, so that copies of one text are spread."""
+    return (mixed(mixed(k1.view(np.uint64)) + k2.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
 def to_documents(k1: np.ndarray, k2: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Packed rows of places, dealt by document."""
     order = np.lexsort((place, k2, k1))
@@ -100,7 +106,7 @@ def to_documents(k1: np.ndarray, k2: np.ndarray, place: np.ndarray, buckets: int
     new = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])] if len(k1) else np.zeros(0, bool)
     owner = np.cumsum(new) - 1
     k1, k2 = k1[new], k2[new]
-    return packed(DONE, (mixed(k2.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[owner], owner, place, np.zeros((len(place), 0), np.uint8), k1, k2)
+    return packed(DONE, dealt_by(k1, k2, buckets)[owner], owner, place, np.zeros((len(place), 0), np.uint8), k1, k2)
 
 
 #: Kinds of packed rows: entries that want an answer, entries that are only to be known, answers that a chunk found itself.
@@ -169,7 +175,7 @@ def anchors(keyed_docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFr
             entry = ((h & np.uint64(0x7FFFFFFF)) << np.uint64(1)).astype("<u4")
             out = [*packed(ASK, bucket[~hit], owner[~hit], place[~hit], entry[~hit] | is_block[~hit], k1, k2)]
             out += packed(KNOW, bucket[hit & one], owner[hit & one], place[hit & one], entry[hit & one] | np.uint32(1), k1, k2)
-            out += packed(DONE, owner[hit] % buckets, owner[hit], place[hit], np.zeros((int(hit.sum()), 0), np.uint8), k1, k2)
+            out += packed(DONE, dealt_by(k1, k2, buckets)[owner[hit]], owner[hit], place[hit], np.zeros((int(hit.sum()), 0), np.uint8), k1, k2)
             yield sent(out)
 
     def judge(raw: np.ndarray, kinds: np.ndarray, *_) -> np.ndarray:
@@ -218,7 +224,7 @@ def repeats(hit_docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFram
             entry[:, 0], entry[:, 1], entry[:, 2] = h[new] & np.uint64(0xFFFFFFFF), h[new] >> np.uint64(32), g[new] & np.uint64(0xFFFFFFFF)
             bucket = ((g[new] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             out = [*packed(ASK, bucket, owner[new], place[new], entry, k1, k2)]
-            out += packed(DONE, owner[again] % buckets, owner[again], place[again], np.zeros((int(again.sum()), 0), np.uint8), k1, k2)
+            out += packed(DONE, dealt_by(k1, k2, buckets)[owner[again]], owner[again], place[again], np.zeros((int(again.sum()), 0), np.uint8), k1, k2)
             yield sent(out)
 
     def judge(raw: np.ndarray, _, k1: np.ndarray, k2: np.ndarray, place: np.ndarray) -> np.ndarray:

@@ -196,6 +196,17 @@ def test_repeats_odd_rows(spark):
     assert substrings.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_copies_of_one_text_are_spread_over_buckets(spark):
+    k1 = np.arange(1000, dtype=np.int64)
+    k2 = np.full(1000, -5, np.int64)
+    sizes = Counter(r[0] for r in substrings.to_documents(k1, k2, np.zeros(1000, np.int64), 8) for _ in range(len(r[2]) // 8))
+    assert len(sizes) == 8 and max(sizes.values()) < 200
+    t = " ".join(f"v{i}" for i in range(30))
+    own = substrings.keyed(spark.createDataFrame([(i, t) for i in range(200)], "doc_id long, text string").coalesce(1))
+    places = substrings.anchors(own, 8).collect()
+    assert len({r.bucket for r in places}) == 8
+
+
 def test_spans():
     assert substrings.spans(np.array([], np.int64), 20) == []
     assert substrings.spans(np.array([3, 4, 24, 50]), 20) == [(3, 44), (50, 70)]
