@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates, with DataFrame functions alone.
 
-1. Detection: one pattern finds e-mail addresses, phone, card and account numbers, IP addresses, hexadecimal secrets and
-   titled names. Texts without a digit, an at sign or a title are passed by.
+1. Detection: one pattern finds e-mail addresses, phone, card and account numbers, IP addresses, hexadecimal secrets,
+   values after a word for secrets, titled names and listed first names with a surname. Texts without a digit, an at sign, a title or a listed name are passed by.
 2. Entities: each (type, lower-case value) of the corpus once; a name part takes its gender from the title or a list of first names.
 3. Surrogates: a keyed SHA-512 digest of type, value and attempt picks letters for letters and digits for digits (addresses stay
    addresses, names are built from syllables of their script with an ending for their gender). An attempt fails if its surrogate is an
@@ -31,6 +31,8 @@ FIRST_NAMES = {
 }
 NAME_PART = r"\p{Lu}[\p{L}'’-]+"
 TITLE = "(?<!\\p{L})(?:" + "|".join(TITLES.values()) + ")(?!\\p{L})"
+LISTED = r"(?<!\p{L})(?:" + "|".join(n.capitalize() for names in FIRST_NAMES.values() for n in names.split()) + ")(?!\\p{L})"
+UNTITLED = rf"{LISTED} (?:{LISTED} )?{NAME_PART}"
 NAME = TITLE + rf"\.? {NAME_PART}(?: {NAME_PART}){{0,2}}"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -38,11 +40,16 @@ ADDRESS = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
 NUMBER = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
-ACCOUNT = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?![\p{L}\p{N}])"
-SECRET = r"(?<![\p{L}\p{N}])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])"
+ACCOUNT = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])"
+SECRET = r"(?<![\p{L}\p{N}])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\p{L}\p{N}])"
+#: A value with a digit after a word for secrets and a sign that it is one; only the value is taken.
+VALUE = r"(?=[A-Za-z_+/.-]{0,128}\d)[A-Za-z0-9_+/.-]{8,256}(?![A-Za-z0-9_+/.@-])"
+KEYED = r"(?<=[=:\s\"'])" + VALUE.replace("[A-Za-z0-9_+/.-]{8", r"(?<=(?i:token|key|password|passwd|secret)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/.-]{8", 1)
 #: In the order in which they are tried at a place of a text.
-PATTERNS = {"email": EMAIL, "secret": SECRET, "account": ACCOUNT, "phone": PHONE, "address": ADDRESS, "number": NUMBER, "card": CARD, "name": NAME}
+PATTERNS = {"email": EMAIL, "secret": SECRET, "keyed": KEYED, "account": ACCOUNT, "phone": PHONE, "address": ADDRESS, "number": NUMBER, "card": CARD, "untitled": UNTITLED, "name": NAME}
 ANY = "|".join(PATTERNS.values())
+#: Shapes that tell a match's type, without what stands around it; others are names.
+SHAPES = {k: p for k, p in PATTERNS.items() if k not in ("keyed", "untitled", "name")} | {"keyed": VALUE}
 #: Consonants and vowels of the syllables of made-up names, and endings of first names by gender and of surnames.
 SCRIPTS = {
     "Latin": ("bdfgklmnprstvz", "aeiou", {"m": "n", "f": "a", "": "e", "s": "r"}),
@@ -54,9 +61,9 @@ MOST_ATTEMPTS = 200
 
 
 def kind_of(match: Column) -> Column:
-    """Type of a match: the first pattern that it is a whole instance of."""
+    """Type of a match: the first shape that it is a whole instance of."""
     out = F.lit("name")
-    for kind, pattern in reversed(list(PATTERNS.items())[:-1]):
+    for kind, pattern in reversed(SHAPES.items()):
         out = F.when(match.rlike(rf"^(?:{pattern})$"), kind).otherwise(out)
     return out
 
@@ -68,12 +75,17 @@ def title_gender(title: Column) -> Column:
     return out
 
 
+def name_parts(match: Column) -> Column:
+    """The parts of a name without its title."""
+    return F.slice(F.split(match, " "), F.when(match.rlike(f"^(?:{TITLE})"), 2).otherwise(1), F.lit(9))
+
+
 def entities_of(match: Column) -> Column:
-    """Entities of a match: array of (kind, value, gender, role); a name gives one for each part after the title."""
+    """Entities of a match: array of (kind, value, gender, role); a name gives one for each part but the title."""
     parts = F.split(match, " ")
     named = F.transform(
-        F.slice(parts, 2, 9),
-        lambda part, i: F.struct(F.lit("name").alias("kind"), F.lower(part).alias("value"), title_gender(parts[0]).alias("gender"), F.when(i == F.size(parts) - 2, "s").otherwise("g").alias("role")),
+        name_parts(match),
+        lambda part, i: F.struct(F.lit("name").alias("kind"), F.lower(part).alias("value"), title_gender(parts[0]).alias("gender"), F.when(i == F.size(name_parts(match)) - 1, "s").otherwise("g").alias("role")),
     )
     plain = F.array(F.struct(kind_of(match).alias("kind"), F.lower(match).alias("value"), F.lit(None).cast("string").alias("gender"), F.lit(None).cast("string").alias("role")))
     return F.when(kind_of(match) == "name", named).otherwise(plain)
@@ -160,7 +172,7 @@ def name_in_case_of(made: Column, original: Column) -> Column:
 def replaced(match: Column, made: Column) -> Column:
     """The match with its entities' surrogates, from the map made (kind:value -> surrogate)."""
     parts = F.split(match, " ")
-    name = F.concat_ws(" ", F.array(parts[0]), F.transform(F.slice(parts, 2, 9), lambda p: name_in_case_of(made[F.concat(F.lit("name:"), F.lower(p))], p)))
+    name = F.concat_ws(" ", F.when(F.size(name_parts(match)) < F.size(parts), parts[0]), F.transform(name_parts(match), lambda p: name_in_case_of(made[F.concat(F.lit("name:"), F.lower(p))], p)))
     kind, plain = kind_of(match), made[F.concat(kind_of(match), F.lit(":"), F.lower(match))]
     return F.when(kind == "name", name).when(kind == "address", plain).otherwise(in_case_of(plain, match))
 
@@ -169,7 +181,7 @@ def with_surrogates(docs: DataFrame, key: str = KEY, text: str = "text", count:
     """docs with its text's personal data replaced; all columns and rows are kept. count: name of a column for the number of matches."""
     given = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("row")).withColumn("text", F.col("row").getField(text).cast("string"))
-    maybe = F.col("text").rlike("[0-9@]") | F.col("text").rlike(TITLE)
+    maybe = F.col("text").rlike("[0-9@]") | F.col("text").rlike(f"{TITLE}|{LISTED}")
     some = row.where(maybe).withColumn("matches", F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).where(F.size("matches") > 0)
     with_matches = F.coalesce(maybe, F.lit(False)) & F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     none = row.where(~with_matches).select("row", "text")

@@ -36,6 +36,19 @@ def test_names_match_gender_script_and_case(spark):
     assert re.fullmatch(r"Herr [A-Z]+R", d)
 
 
+def test_accounts_secrets_and_untitled_names(spark):
+    accounts = ["DE89370400440532013000", "NL91ABNA0417164300", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "DE89 3704 0044 0532 0130 00", "NO9386011117947"]
+    for a, out in zip(accounts, replaced(spark, [f"to {a}, please" for a in accounts]), strict=True):
+        assert re.fullmatch("to " + re.sub("[A-Z]", "[A-Z]", re.sub(r"\d", r"\\d", a)) + ", please", out)
+        assert out[3:5] == a[:2] and out[5:9] != a[2:6] and a[-6:] not in out
+    long, key = "0a1b" * 20, "sk_live_9aZ8bY7cX6"
+    a, b, c = replaced(spark, [f"sum {long} end", f'api key = "{key}"; the key: value stays', "we met Maria Gonzalez and Mary Anna Lee. Gonzalez left Madrid"])
+    assert re.fullmatch("sum [0-9a-f]{80} end", a) and long not in a
+    assert re.fullmatch(r'api key = "[a-z]{2}_[a-z]{4}_\d[a-z][A-Z]\d[a-z][A-Z]\d[a-z][A-Z]\d"; the key: value stays', b) and key not in b
+    m = re.fullmatch(r"we met [A-Z][a-z]+a ([A-Z][a-z]+r) and [A-Z][a-z]+a [A-Z][a-z]+a [A-Z][a-z]+r\. ([A-Z][a-z]+r) left Madrid", c)
+    assert m and m[1] == m[2] != "Gonzalez" and "Mar" not in c[:8] and "Lee" not in c
+
+
 def test_collisions_are_resolved(spark):
     # 90 addresses of one letter and two digits: few values, so that first attempts collide with each other and with entities
     values = [f"{a}{i}@x.de" for a in "abcdefghi" for i in range(10)]
