@@ -1,24 +1,28 @@
 """Token ids of whole texts, by the tokenizers library.
 
-The tokenizer's normalizer and pre-tokenizer never join text across a space or a line feed, so
-a text's ids are the ids of its pieces between them, one after the other. Pieces repeat, so their ids
-are kept.
+The tokenizer's normalizer and pre-tokenizer never join text across a space or a line feed, so a text's ids are the ids
+of its pieces between them, one after the other. Pieces repeat: Arrow finds the different ones of a group of texts, the ids
+of each are looked up or made once, and the texts' ids are gathered from one flat array.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Iterator
+import json
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces kept in a worker; beyond it the table starts anew (about 300 MB).
+#: Pieces kept in a worker, and words; beyond it a table starts anew (about 300 MB for both at most).
 KEPT_PIECES = 1_500_000
+KEPT_WORDS = 750_000
 #: Characters that are encoded at once.
-GROUP_CHARS = 1_000_000
-#: The pre-tokenizer's split, as given in the tokenizer file and ASCII signs (fixed values).
-SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+GROUP_CHARS = 8_000_000
+#: The pre-tokenizer's split, as given in the tokenizer file, and a piece of Latin-1 letters and then ASCII signs (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+WORD_AND_SIGNS = r"^(?P<word>[A-Za-zªµºÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-/:-@\[-`{-~]*)$"
 
 
 def byte_letters() -> dict[int, str]:
@@ -28,17 +32,50 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-class Encoder(dict):
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at starts, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return flat[np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)]
+
+
+class Kept:
+    """Ids of different strings: for the n-th string the n-th run of one flat array."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = pa.array([], pa.string())
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> None:
+        starts = len(self.flat) + np.cumsum(lengths) - lengths
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.flat, self.starts, self.lengths = (np.concatenate(x) for x in ((self.flat, ids), (self.starts, starts), (self.lengths, lengths)))
+
+    def numbers(self, keys: pa.Array, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The number of each key; learn gives (lengths, ids) of those that are new."""
+        if len(self.keys) > self.most:
+            self.clear()
+        found = pc.index_in(keys, value_set=self.keys)
+        unknown = found.is_null().to_numpy(zero_copy_only=False)
+        numbers = found.fill_null(0).to_numpy().astype(np.int64)
+        if unknown.any():
+            new = pc.dictionary_encode(keys.filter(pa.array(unknown)))
+            numbers[unknown] = len(self.keys) + new.indices.to_numpy()
+            self.add(new.dictionary, *learn(new.dictionary))
+        return numbers
+
+
+class Encoder:
     """ids of texts: uint32 arrays, equal to the library's encode(text, add_special_tokens=False).ids.
 
-    A group's new plain pieces go to the library in one call: the file's BPE model behind a split at white space, over the words
+    New plain pieces go to the library in one call: the file's BPE model behind a split at white space, over the words
     that the pre-tokenizer would make of them; a word's last id is one with the end-of-word suffix.
     """
 
     def __init__(self, path: str):
-        super().__init__()
-        import json
-
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -47,50 +84,66 @@ class Encoder(dict):
             spec = json.load(f)
         # only for files of this very shape are plain pieces given to the model itself
         text = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
-        self.of_word: dict[str, bytes] = {}
         self.shaped = all(x in text for x in ("NFC", "Lowercase", "ByteLevel", r"\\p{L}]+|[\\p{N}]|[^\\s")) and spec["model"].get("end_of_word_suffix") == "</w>"
         self.plain = regex.compile(r"[!-~¡-¬®-ÿ]+").fullmatch
         self.split = regex.compile(SPLIT).findall
         self.letters = byte_letters()
-        self.words = Tokenizer(self.tokenizer.model)
-        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words, self.pieces = Kept(KEPT_WORDS), Kept(KEPT_PIECES)
 
     def pretokens(self, piece: str) -> list[str] | None:
         """Words that the pre-tokenizer makes of a plain piece; None for other pieces."""
-        if not (piece.isascii() and piece.isprintable() or self.plain(piece)) or "<|" in piece or not self.shaped:
+        if not self.shaped or not self.plain(piece) or "<|" in piece:
             return None
-        core = piece.rstrip(SIGNS)
-        if core.isalpha():  # letters and then signs, as most pieces are
-            return [core.lower()] if len(core) == len(piece) else [core.lower(), piece[len(core) :]]
         return self.split(piece.lower())
 
-    def learn(self, pieces: set[str]) -> None:
-        cut = {piece: self.pretokens(piece) for piece in pieces}
-        new = list({w for own in cut.values() if own for w in own}.difference(self.of_word))
-        if new:
-            text = "\n".join(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in new)
-            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            data, start = ids.tobytes(), 0
-            for word, stop in zip(new, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
-                self.of_word[word] = data[start:stop]
-                start = stop
-        for piece, own in cut.items():
-            if own is None:
-                self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                self[piece] = self.of_word[own[0]] if len(own) == 1 else b"".join([self.of_word[w] for w in own])
+    def learn_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        text = "\n".join(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words.to_pylist())
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        return np.diff(np.flatnonzero(self.ends[ids]), prepend=-1), ids
+
+    def learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of a word and signs are cut by Arrow, others one by one."""
+        cut = pc.extract_regex(pieces, WORD_AND_SIGNS)
+        simple = pc.and_(cut.is_valid(), pc.invert(pc.match_substring(pieces, "<|"))).to_numpy(zero_copy_only=False) & self.shaped
+        word, signs = (cut.field(c).filter(pa.array(simple)) for c in ("word", "signs"))
+        other = pieces.filter(pa.array(~simple)).to_pylist()
+        split = [self.pretokens(p) for p in other]
+        n, parts = len(word), [len(x or ()) for x in split]
+        # all words at once: those of simple pieces, their signs (where there are any), the words of the other plain pieces
+        has = pc.not_equal(signs, "").to_numpy(zero_copy_only=False)
+        words = pa.concat_arrays([pc.utf8_lower(word), signs.filter(pa.array(has)), pa.array([w for x in split for w in x or ()], pa.string())])
+        own = self.words
+        numbers = own.numbers(words, self.learn_words)
+        starts, lengths = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
+        for k, rows, at in ((0, slice(None), numbers[:n]), (1, has, numbers[n : n + has.sum()])):
+            starts[rows, k], lengths[rows, k] = own.starts[at], own.lengths[at]
+        ids, size = [gathered(own.flat, starts.ravel(), lengths.ravel())], np.zeros(len(pieces), np.int64)
+        size[simple] = lengths.sum(1)
+        rest, ends = [], np.cumsum(parts) + n + has.sum()
+        for piece, words_, end, m in zip(other, split, ends.tolist(), parts, strict=True):
+            at = numbers[end - m : end]
+            rest.append(gathered(own.flat, own.starts[at], own.lengths[at]) if words_ is not None else np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32))
+        size[~simple] = [len(x) for x in rest]
+        # back into the order of the pieces
+        ids = np.concatenate([*ids, *rest])
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+        starts_ = np.zeros(len(pieces), np.int64)
+        starts_[order] = np.cumsum(size[order]) - size[order]
+        return size, gathered(ids, starts_, size)
 
     def group(self, texts: list[str | None]) -> list[np.ndarray]:
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self) > KEPT_PIECES:
-            self.clear()
-        if len(self.of_word) > KEPT_PIECES // 2:
-            self.of_word.clear()
-        if new := set().union(*pieces).difference(self):
-            self.learn(new)
-        return [np.frombuffer(b"".join(map(self.__getitem__, p)), "<u4") for p in pieces]
+        if not texts:
+            return []
+        cut = pc.split_pattern(pc.replace_substring(pa.array([t or "" for t in texts], pa.string()), "\n", " "), " ")
+        numbers = self.pieces.numbers(cut.values, self.learn)
+        lengths = self.pieces.lengths[numbers]
+        ids = gathered(self.pieces.flat, self.pieces.starts[numbers], lengths)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[cut.offsets.to_numpy()]
+        return np.split(ids, ends[1:-1])
 
     def each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """ids of each text, encoded GROUP_CHARS characters at a time."""
