@@ -2,8 +2,9 @@
 
 Documents are range-partitioned by doc_id; a partition is cut into shards of at least SHARD_IDS ids (its last
 may be smaller), and each shard's ids are compressed by Re-Pair: frequent pairs of neighbouring symbols are replaced by new symbols
-(nonterminals), again and again. A round counts the pairs, takes the most frequent ones and replaces their occurrences
-from left to right, so that a round replaces many pairs and a shard needs few rounds.
+(nonterminals), again and again, until no pair occurs twice or all symbols of the alphabet are used. A round counts all pairs
+exactly and takes those that come near the most frequent one (SHARE), the more frequent first where they overlap; a pair that
+loses all but one of its places to others waits for a later round.
 
 File format: Parquet, a row per shard in ascending order of (part, shard):
   part, shard, part_start (ids before the shard in its part), n_ids, base (first nonterminal),
@@ -29,11 +30,13 @@ from .common import documents, new_table_path, tokenizer_path
 
 END_ID = 1
 SHARD_IDS = 1_000_000
-ROUNDS = 5
-#: A pair is replaced if it occurs so often in its shard.
-LEAST_COUNT = 16
-#: Slots in which pairs are counted; where two pairs meet, one waits for a later round.
+#: Symbols are two bytes wide, so terminals and rules make up at most so many; a vocabulary that leaves fewer than LEAST_RULES takes four.
+ALPHABET = 65_536
+LEAST_RULES = 4_096
+#: Slots in which a round looks up its pairs; of two that fall in one, the less frequent waits for the next round.
 SLOT_BITS = 20
+#: A round takes the pairs that are at least one in SHARE as frequent as the most frequent one.
+SHARE = 4
 SHARD_SCHEMA = "part int, shard int, part_start long, n_ids long, base int, doc_ids array<long>, doc_lengths array<long>, rules binary, lengths binary, symbols binary, symbol_bytes int"
 
 
@@ -43,40 +46,79 @@ def slots(keys: np.ndarray) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def every_other(places: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Of runs of neighbouring places (same: a place's pair is also that of the one before) the first, third, ... one."""
+    fresh, at = np.r_[True, ~(same & (np.diff(places) == 1))], np.arange(len(places))
+    return (at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0
+
+
+def pair_counts(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs, in order, and how often each can be replaced: of a run of one symbol's pairs every other counts."""
+    same = keys[1:] == keys[:-1]
+    if same.any():
+        keys = keys[every_other(places, same)]
+    own = np.sort(keys)
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    return own[first], np.diff(first, append=len(own))
+
+
+def replaced_places(places: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose pair is replaced, and its rank (0 the first): of overlapping ones the better rank, of a run of one rank every other."""
+    while True:
+        near = np.diff(places) == 1
+        loses, wins = near & (rank[1:] > rank[:-1]), near & (rank[:-1] > rank[1:])  # to the one before; to the one after
+        beaten = np.r_[False, loses] | np.r_[wins, False]
+        if not beaten.any():
+            break
+        # those that nothing beats stay for sure, and what they beat goes
+        stays = ~(np.r_[False, loses & ~beaten[:-1]] | np.r_[wins & ~beaten[1:], False])
+        places, rank = places[stays], rank[stays]
+    stays = every_other(places, np.ones(len(places) - 1, bool)) if len(places) else np.zeros(0, bool)
+    return places[stays], rank[stays]
+
+
+def compress(ids: np.ndarray, base: int, alphabet: int = ALPHABET) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, symbols): rules[k] is the pair of symbol base + k, lengths[k] the ids it expands to."""
-    room = max(65_536 - base, 4_096)
+    room = max(alphabet - base, LEAST_RULES)
     # a pair of symbols is one number, of 4 bytes where symbols have 2
     kind, bits = (np.uint32, 16) if base + room <= 65_536 else (np.uint64, 32)
     seq = ids.astype(kind)
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
-    for left in range(rounds, 0, -1):
-        most = (room - len(lengths)) // left
-        if len(seq) < 2 or not most:
-            break
+    most = len(ids)  # no pair occurs more often
+    while len(lengths) < room and len(seq) > 1:
         keys = seq[:-1] << kind(bits) | seq[1:]
-        at = slots(keys)
-        held = np.zeros(1 << SLOT_BITS, kind)
-        held[at] = keys
-        same = held[at] == keys
-        counts = np.bincount(at[same], minlength=1 << SLOT_BITS)
+        at = slots(keys).astype(np.intp)
+        bound = np.bincount(at, minlength=1 << SLOT_BITS).astype(np.int32)  # pairs of a slot together: at least a pair's count
+        most = min(most, int(bound.max()))
+        if most < 2:
+            break
+        least = max(2, most // SHARE)
+        places = np.flatnonzero(bound.take(at) >= least)
+        pairs, counts = pair_counts(keys[places], places)
         best = np.flatnonzero(counts >= least)
-        best = best[np.lexsort((held[best], -counts[best]))][:most]
         if not len(best):
-            break
-        rule = np.full(1 << SLOT_BITS, -1, np.int32)
-        rule[best] = np.arange(len(best)) + len(lengths)
-        found = rule[at]
-        hits = np.flatnonzero((found >= 0) & same)
-        # in a run of overlapping pairs every other one is replaced, from its left end
-        fresh = np.r_[True, np.diff(hits) > 1]
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(hits)), 0))
-        hits = hits[(np.arange(len(hits)) - run) % 2 == 0]
-        seq[hits] = (found[hits] + base).astype(kind)
+            most = least - 1
+            continue
+        best = best[np.argsort(-counts[best], kind="stable")][: room - len(lengths)]
+        most, pairs = int(counts[best[0]]), pairs[best]
+        # slots are written from the last to the first: the more frequent pair holds a slot
+        rank, held, own = np.full(1 << SLOT_BITS, -1, np.int32), np.zeros(1 << SLOT_BITS, kind), slots(pairs)[::-1]
+        rank[own], held[own] = np.arange(len(pairs))[::-1], pairs[::-1]
+        at = at[places]
+        found = np.where(held.take(at) == keys[places], rank.take(at), -1)
+        places, found = places[found >= 0], found[found >= 0]
+        hits, number = replaced_places(places, found)
+        uses = np.bincount(number, minlength=len(pairs))
+        if uses.max() < 2:  # all get in each other's way: the first alone
+            hits, number = replaced_places(places[found == 0], found[found == 0])
+            uses = np.bincount(number, minlength=len(pairs))
+        hits, number = hits[uses[number] > 1], number[uses[number] > 1]
+        seq[hits] = (np.cumsum(uses > 1) - 1 + base + len(lengths))[number].astype(kind)
         keep = np.ones(len(seq), bool)
         keep[hits + 1] = False
         seq = seq[keep]
-        pairs = np.stack([held[best] >> kind(bits), held[best] & kind((1 << bits) - 1)], 1).astype(np.uint32)
+        pairs = pairs[uses > 1]
+        pairs = np.stack([pairs >> kind(bits), pairs & kind((1 << bits) - 1)], 1).astype(np.uint32)
         all_lengths = np.r_[np.ones(base, np.int64), lengths]
         rules.append(pairs)
         lengths = np.r_[lengths, all_lengths[pairs].sum(1)]

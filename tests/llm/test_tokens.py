@@ -29,7 +29,7 @@ def test_encoder_equals_library(texts):
 def test_grammar_round_trip_and_spans():
     rng = np.random.default_rng(1)
     for ids in (np.zeros(0, np.uint32), np.array([7], np.uint32), np.full(500, 3, np.uint32), np.tile(rng.integers(0, 50, 40), 60).astype(np.uint32), rng.integers(0, 60_000, 5_000).astype(np.uint32)):
-        rules, lengths, symbols = repair_codec.compress(ids, 60_000, least=4)
+        rules, lengths, symbols = repair_codec.compress(ids, 60_000)
         g = repair_codec.Grammar(60_000, rules, lengths, symbols)
         assert g.decode_span(0, len(ids)).tolist() == ids.tolist()
         assert len(symbols) <= len(ids)
@@ -38,6 +38,24 @@ def test_grammar_round_trip_and_spans():
                 assert g.decode_span(a, b).tolist() == ids[a:b].tolist()
 
 
+def most_frequent(symbols):
+    """Count of the most frequent pair whose places don't overlap, one by one."""
+    last, counts = {}, {}
+    for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
+        if last.get(pair, -2) < i - 1:
+            last[pair], counts[pair] = i, counts.get(pair, 0) + 1
+    return max(counts.values(), default=0)
+
+
+def test_no_pair_is_left_while_symbols_are_free(texts):
+    ids = np.concatenate(list(encoder(tokenizer_path()).each(texts.values())))
+    rng = np.random.default_rng(2)
+    for own, base, alphabet in ((ids[:30_000], 49_408, 65_536), (rng.integers(0, 9, 4_000).astype(np.uint32), 9, 65_536), (np.tile(np.array([1, 1, 2], np.uint32), 500), 3, 65_536), (ids[:60_000], 49_408, 49_508)):
+        rules, lengths, symbols = repair_codec.compress(own, base, alphabet)
+        assert len(rules) == max(alphabet - base, repair_codec.LEAST_RULES) or most_frequent(symbols.tolist()) < 2
+        assert repair_codec.Grammar(base, rules, lengths, symbols).decode_span(0, len(own)).tolist() == own.tolist()
+
+
 def test_op3_against_library(spark, sf_dir, texts):
     got = {r.doc_id: r for r in repair_codec.op3_repair_tokens(spark, sf_dir).collect()}
     start = 0
