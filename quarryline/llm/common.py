@@ -21,10 +21,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Where that is unset, a session on this machine alone (local[...], as in tests) gets a temporary folder; on a cluster it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -46,7 +48,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path, compression="zstd")
     finally:
         spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.path_written = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes the files of tables from `written` that nothing reads any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table.path_written
+        file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,25 @@
 """Personal data replaced by keyed surrogates, with DataFrame functions alone.
 
-1. Detection: one pattern finds e-mail addresses, phone, card and account numbers, IP addresses, hexadecimal secrets,
-   values after a word for secrets, titled names and listed first names with a surname. Texts without a digit, an at sign, a title or a listed name are passed by.
-2. Entities: each (type, lower-case value) of the corpus once; a name part takes its gender from the title or a list of first names.
-3. Surrogates: a keyed SHA-512 digest of type, value and attempt picks letters for letters and digits for digits (addresses stay
-   addresses, names are built from syllables of their script with an ending for their gender). An attempt fails if its surrogate is an
-   entity of the corpus or was taken; failed ones try again, until none is left. So different entities stay different, equal ones equal.
-4. Replacement: texts are cut at their entities and put together again with the surrogates, in the case of the original; bare mentions of
-   a document's titled names follow.
-
-Only texts with entities are shuffled. Shuffles are keyed by entity (pre-aggregated; joins are split by adaptive execution) and by document.
-
-Defined cases: a null text stays null, an empty one empty; rows with a null doc_id are treated like others; repeated rows each get
-their row; an empty table gives no rows; other columns are kept as they are, whatever their names.
+1. Detection: one pattern, applied once to each text, finds e-mail addresses (any script), phone numbers (with country code or national),
+   card and account numbers, IP addresses, prefixed and hexadecimal secrets, values after a word for secrets, titled names and listed first names
+   with a surname. Texts without a digit, an at sign, a title or a listed name are passed by. What was found is written beside the rows and used from there.
+2. Entities: each (kind, lower-case value) of the corpus once. A name gives one for each part, whose gender is that of the title or of the
+   listed first name; an e-mail address one for itself and one for its domain, so that addresses of one domain keep one domain.
+3. Surrogates: a keyed SHA-512 digest of kind, value and attempt picks digits for digits and letters of the same script for letters. Top-level domains,
+   country codes and the prefixes of keys stay; card and account numbers with right check digits get right ones; names are built from syllables of
+   their script with an ending for their gender. An attempt fails if its surrogate is an entity of the corpus or was taken; failed ones try
+   again, until none is left. So different entities stay different, equal ones equal.
+4. Replacement: texts are cut at their entities and put together again with the surrogates, in the case of the original. Bare mentions of a
+   document's names follow, as they were spelled and in capitals.
+
+Only texts with entities are shuffled. Shuffles are keyed by entity (pre-aggregated; joins are split by adaptive execution) and by text.
+
+Limits: people with neither a title nor a listed first name before a surname, street addresses, and secrets of other letters without a prefix or a
+word for them are not found. A word that is spelled like one of the document's names is taken for it ("Mr Black likes Black tea").
+
+Defined cases: a null text stays null, an empty one empty; a very long text is handled whole, like others; rows with a null doc_id are treated like
+others; repeated rows and equal texts get equal results, a row each; where two kinds of entity fit one place the first of PATTERNS wins, and between
+entities that draw one surrogate the smaller value; an empty table gives no rows; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,34 +28,47 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import documents, written
+from .common import documents, forget, written
 
 #: Titles with the gender they show, and common first names.
 TITLES = {"m": "Mr|Herr|Monsieur|Señor|Sr|г-н|господин", "f": "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|г-жа|госпожа", "": "Mx|Dr|Prof"}
 FIRST_NAMES = {
-    "m": "james john robert michael david william thomas charles daniel peter hans karl jean pierre jose juan carlos luis иван пётр",
-    "f": "mary anna elizabeth maria susan karen sarah laura emma julia petra ursula marie claire carmen lucia ana elena ольга анна",
+    "m": "james john robert michael david william richard joseph thomas charles christopher daniel matthew anthony mark donald steven paul andrew joshua kenneth kevin brian george edward peter "
+    "hans karl klaus stefan jürgen wolfgang uwe dieter heinrich otto jean pierre jacques philippe françois michel louis henri antoine jose josé juan carlos luis miguel antonio javier pedro diego "
+    "giovanni marco luca paolo ivan dmitri sergei иван пётр сергей алексей дмитрий",
+    "f": "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen lisa nancy betty margaret sandra ashley emily donna michelle carol amanda helen anna maria laura emma julia alice "
+    "petra ursula monika sabine heike katrin ingrid helga marie claire sophie isabelle nathalie camille juliette carmen lucia ana elena isabel rosa pilar teresa francesca giulia chiara olga natalia ольга анна елена мария наталья",
 }
-NAME_PART = r"\p{Lu}[\p{L}'’-]+"
+PART = r"\p{Lu}(?:\p{L}|['’-](?=\p{Lu}))+"
 TITLE = "(?<!\\p{L})(?:" + "|".join(TITLES.values()) + ")(?!\\p{L})"
-LISTED = r"(?<!\p{L})(?:" + "|".join(n.capitalize() for names in FIRST_NAMES.values() for n in names.split()) + ")(?!\\p{L})"
-UNTITLED = rf"{LISTED} (?:{LISTED} )?{NAME_PART}"
-NAME = TITLE + rf"\.? {NAME_PART}(?: {NAME_PART}){{0,2}}"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+LISTED = r"(?<!\p{L})(?=\p{Lu})(?:" + "|".join(n.capitalize() for names in FIRST_NAMES.values() for n in names.split()) + ")(?!\\p{L})"
+UNTITLED = rf"{LISTED} (?:{LISTED} )?{PART}"
+NAME = TITLE + rf"\.? {PART}(?: {PART}){{0,2}}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 ADDRESS = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
-PHONE = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
+PHONE = "|".join(
+    (
+        r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+        r"(?<!\d)\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)",
+        r"(?<![\d.,/-])0\d(?:[ .-]\d{2}){4}(?!\d)",
+        r"(?<![\d.,/-])\(?0\d{2,4}\)?[ /-]\d{3,4}[ -]?\d{3,5}(?!\d)",
+    )
+)
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
 NUMBER = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
 ACCOUNT = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])"
+#: Prefixes of keys (fixed values), and what follows them.
+PREFIX = r"(?:AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|xox[abprs]-|[sp]k_(?:live|test)_|sk-(?:ant-|proj-)?)"
+TOKEN = rf"(?<![\p{{L}}\p{{N}}]){PREFIX}[A-Za-z0-9_-]{{16,255}}(?![A-Za-z0-9_-])"
 SECRET = r"(?<![\p{L}\p{N}])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\p{L}\p{N}])"
 #: A value with a digit after a word for secrets and a sign that it is one; only the value is taken.
 VALUE = r"(?=[A-Za-z_+/.-]{0,128}\d)[A-Za-z0-9_+/.-]{8,256}(?![A-Za-z0-9_+/.@-])"
 KEYED = r"(?<=[=:\s\"'])" + VALUE.replace("[A-Za-z0-9_+/.-]{8", r"(?<=(?i:token|key|password|passwd|secret)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/.-]{8", 1)
 #: In the order in which they are tried at a place of a text.
-PATTERNS = {"email": EMAIL, "secret": SECRET, "keyed": KEYED, "account": ACCOUNT, "phone": PHONE, "address": ADDRESS, "number": NUMBER, "card": CARD, "untitled": UNTITLED, "name": NAME}
+PATTERNS = {"email": EMAIL, "token": TOKEN, "secret": SECRET, "keyed": KEYED, "account": ACCOUNT, "phone": PHONE, "address": ADDRESS, "number": NUMBER, "card": CARD, "untitled": UNTITLED, "name": NAME}
 ANY = "|".join(PATTERNS.values())
-#: Shapes that tell a match's type, without what stands around it; others are names.
+#: Shapes that tell a match's kind, without what stands around it; others are names.
 SHAPES = {k: p for k, p in PATTERNS.items() if k not in ("keyed", "untitled", "name")} | {"keyed": VALUE}
 #: Consonants and vowels of the syllables of made-up names, and endings of first names by gender and of surnames.
 SCRIPTS = {
@@ -56,12 +76,16 @@ SCRIPTS = {
     "Cyrillic": ("бдфгклмнпрствз", "аеиоу", {"m": "н", "f": "а", "": "е", "s": "р"}),
     "Greek": ("βγδζκλμνπρστφχ", "αεηιο", {"m": "ς", "f": "α", "": "ε", "s": "ρ"}),
 }
+#: First letter and number of letters that stand for a letter of a script.
+ALPHABETS = {"Cyrillic": ("а", 32), "Greek": ("α", 17)}
 KEY = "surrogate key of the sample queries"
 MOST_ATTEMPTS = 200
+#: From this attempt on, local parts, domains and names grow, so that they can't run out.
+GROWS = 8
 
 
 def kind_of(match: Column) -> Column:
-    """Type of a match: the first shape that it is a whole instance of."""
+    """Kind of a match: the first shape that it is a whole instance of."""
     out = F.lit("name")
     for kind, pattern in reversed(SHAPES.items()):
         out = F.when(match.rlike(rf"^(?:{pattern})$"), kind).otherwise(out)
@@ -80,15 +104,21 @@ def name_parts(match: Column) -> Column:
     return F.slice(F.split(match, " "), F.when(match.rlike(f"^(?:{TITLE})"), 2).otherwise(1), F.lit(9))
 
 
-def entities_of(match: Column) -> Column:
-    """Entities of a match: array of (kind, value, gender, role); a name gives one for each part but the title."""
-    parts = F.split(match, " ")
-    named = F.transform(
-        name_parts(match),
-        lambda part, i: F.struct(F.lit("name").alias("kind"), F.lower(part).alias("value"), title_gender(parts[0]).alias("gender"), F.when(i == F.size(name_parts(match)) - 1, "s").otherwise("g").alias("role")),
-    )
-    plain = F.array(F.struct(kind_of(match).alias("kind"), F.lower(match).alias("value"), F.lit(None).cast("string").alias("gender"), F.lit(None).cast("string").alias("role")))
-    return F.when(kind_of(match) == "name", named).otherwise(plain)
+def domain_of(email: Column) -> Column:
+    return F.substring_index(email, "@", -1)
+
+
+def entity(kind: Column, value: Column, gender: Column, role: Column) -> Column:
+    return F.struct(kind.alias("kind"), F.lower(value).alias("value"), gender.cast("string").alias("gender"), role.cast("string").alias("role"))
+
+
+def entities_of(found: Column) -> Column:
+    """Entities of a match (kind, match): array of (kind, value, gender, role)."""
+    kind, match, none = found["kind"], found["match"], F.lit(None)
+    parts = name_parts(match)
+    named = F.transform(parts, lambda part, i: entity(F.lit("name"), part, title_gender(F.split(match, " ")[0]), F.when(i == F.size(parts) - 1, "s").otherwise("g")))
+    plain = entity(kind, match, none, none)
+    return F.when(kind == "name", named).when(kind == "email", F.array(plain, entity(F.lit("domain"), domain_of(match), none, none))).otherwise(F.array(plain))
 
 
 def draw(digest: Column, i: Column, n: int) -> Column:
@@ -100,15 +130,21 @@ def letter(first: str, at: Column) -> Column:
     return F.char(F.lit(ord(first)) + at)
 
 
+def script_letter(first: str, count: int, digest: Column, i: Column) -> Column:
+    """One of `count` letters from `first` on."""
+    return F.substring(F.lit("".join(chr(ord(first) + k) for k in range(count))), draw(digest, i, count) + 1, F.lit(1))
+
+
 def like_for_like(digest: Column, value: Column, letters: int = 26) -> Column:
-    """A digit for each digit, one of the first `letters` letters for each letter; other signs stay."""
-    return F.array_join(
-        F.transform(
-            F.split(value, ""),
-            lambda c, i: F.when(c.rlike("[0-9]"), draw(digest, i, 10).cast("string")).when(c.rlike(r"\p{L}"), letter("a", draw(digest, i, letters))).otherwise(c),
-        ),
-        "",
-    )
+    """A digit for each digit, a letter of the same script (of Latin ones, one of the first `letters`) for each letter; other signs stay."""
+
+    def put(c: Column, i: Column) -> Column:
+        out = F.when(c.rlike("[0-9]"), draw(digest, i, 10).cast("string"))
+        for script, (first, count) in ALPHABETS.items():
+            out = out.when(c.rlike(rf"\p{{Is{script}}}"), script_letter(first, count, digest, i))
+        return out.when(c.rlike(r"\p{L}"), letter("a", draw(digest, i, letters))).otherwise(c)
+
+    return F.array_join(F.transform(F.split(value, ""), put), "")
 
 
 def syllables(digest: Column, count: Column, consonants: str, vowels: str) -> Column:
@@ -118,29 +154,63 @@ def syllables(digest: Column, count: Column, consonants: str, vowels: str) -> Co
     return F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(pick(2 * i, consonants), pick(2 * i + 1, vowels))), "")
 
 
+def grown(digest: Column, attempt: Column) -> Column:
+    """Nothing at first, more and more letters from attempt GROWS on."""
+    count = F.floor(attempt / GROWS).cast("int")
+    return F.when(count > 0, F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: letter("a", draw(digest, i + 31, 26))), "")).otherwise("")
+
+
 def made_name(digest: Column, value: Column, gender: Column, role: Column, attempt: Column) -> Column:
     """Syllables of the value's script (Latin if none fits) with the ending of its role and gender; later attempts are longer."""
     out = None
     for script, (consonants, vowels, ends) in SCRIPTS.items():
         end = F.when(role == "s", ends["s"]).when(gender == "m", ends["m"]).when(gender == "f", ends["f"]).otherwise(ends[""])
-        made = F.concat(syllables(digest, F.lit(3) + F.floor(attempt / 4).cast("int"), consonants, vowels), end)
+        made = F.concat(syllables(digest, F.lit(3) + F.floor(attempt / GROWS).cast("int"), consonants, vowels), end)
         out = made if out is None else F.when(value.rlike(rf"\p{{Is{script}}}"), made).otherwise(out)
     return out
 
 
+def check_sum(value: Column) -> Column:
+    """Of a card number: the sum of its digits, every other one from the right but the last doubled and its digits added."""
+    digits = F.reverse(F.split(F.regexp_replace(value, "[^0-9]", ""), ""))
+    return F.aggregate(
+        F.transform(digits, lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise((c.cast("int") * 2) % 10 + F.floor(c.cast("int") / 5).cast("int"))), F.lit(0), lambda acc, d: acc + d
+    )
+
+
+def with_check_digit(made: Column) -> Column:
+    body = F.substring(made, F.lit(1), F.length(made) - 1)
+    return F.concat(body, ((10 - check_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
+
+
+def remainder_97(value: Column, check: Column) -> Column:
+    """Of an account number with these check digits: its rest, country and check digits, letters as 10 to 35, modulo 97."""
+    plain = F.upper(F.regexp_replace(value, " ", ""))
+    chars = F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 2), check), "")
+    return F.aggregate(chars, F.lit(0), lambda acc, c: F.when(c.rlike("[0-9]"), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97))
+
+
+def with_account_check(made: Column) -> Column:
+    check = F.lpad((98 - remainder_97(made, F.lit("00"))).cast("string"), 2, "0")
+    return F.concat(F.substring(made, 1, 2), check, F.substring(made, F.lit(5), F.length(made)))
+
+
 def surrogate(kind: Column, value: Column, gender: Column, role: Column, attempt: Column, key: str) -> Column:
-    """Lower-case surrogate of an entity."""
+    """Lower-case surrogate of an entity; that of an e-mail address still has its own domain."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 512)
-    top = F.regexp_extract(value, r"\.[a-z]+$", 0)
-    country = F.when(kind == "phone", F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)).when(kind == "account", F.substring(value, 1, 2)).otherwise("")
-    rest = F.substring(value, F.length(country) + 1, F.length(value))
+    top, local = F.regexp_extract(value, r"\.\p{L}+$", 0), F.substring_index(value, "@", 1)
+    start = F.when(kind == "phone", F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])|^\(?0", 0)).when(kind == "account", F.substring(value, 1, 2)).when(kind == "token", F.regexp_extract(value, rf"^(?i:{PREFIX})", 0)).otherwise("")
+    made = F.concat(start, like_for_like(digest, F.substring(value, F.length(start) + 1, F.length(value))))
     octets = F.array_join(F.transform(F.split(value, r"\."), lambda o, i: (F.conv(F.substring(digest, 4 * i + 1, F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string")), ".")
     return (
-        F.when(kind == "email", F.concat(like_for_like(digest, F.substring(value, F.lit(1), F.length(value) - F.length(top))), top))
+        F.when(kind == "email", F.concat(like_for_like(digest, local), grown(digest, attempt), F.lit("@"), domain_of(value)))
+        .when(kind == "domain", F.concat(like_for_like(digest, F.substring(value, F.lit(1), F.length(value) - F.length(top))), grown(digest, attempt), top))
         .when(kind == "address", octets)
         .when(kind == "secret", like_for_like(digest, value, 6))
         .when(kind == "name", made_name(digest, value, gender, role, attempt))
-        .otherwise(F.concat(country, like_for_like(digest, rest)))
+        .when((kind == "card") & (check_sum(value) % 10 == 0), with_check_digit(made))
+        .when((kind == "account") & (remainder_97(value, F.substring(value, 3, 2)) == 1), with_account_check(made))
+        .otherwise(made)
     )
 
 
@@ -151,17 +221,18 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
     for attempt in range(MOST_ATTEMPTS):
         tried = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.col("role"), F.lit(attempt), key))
         taken = known if settled is None else known.unionByName(settled.select("kind", "surrogate"))
-        first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("value"))
-        won = written(tried.join(taken, ["kind", "surrogate"], "left_anti").withColumn("first", first).where("first = 1").select("kind", "value", "surrogate"), "surrogates")
+        won = written(tried.join(taken, ["kind", "surrogate"], "left_anti").groupBy("kind", "surrogate").agg(F.min("value").alias("value")), "surrogates")
         settled = won if settled is None else settled.unionByName(won)
-        pending = written(pending.join(won, ["kind", "value"], "left_anti"), "pending")
+        before, pending = pending, written(pending.join(won, ["kind", "value"], "left_anti"), "pending")
+        if attempt:
+            forget(before)
         if pending.isEmpty():
             return settled
     raise ValueError(f"no free surrogate after {MOST_ATTEMPTS} attempts: a format has fewer values than the corpus has entities of it")
 
 
 def in_case_of(made: Column, original: Column) -> Column:
-    """made, letter by letter in the case of the original of the same length."""
+    """made, letter by letter in the case of the original; what is longer stays small."""
     return F.array_join(F.zip_with(F.split(made, ""), F.split(original, ""), lambda m, o: F.when(o.rlike(r"\p{Lu}"), F.upper(m)).otherwise(m)), "")
 
 
@@ -169,40 +240,49 @@ def name_in_case_of(made: Column, original: Column) -> Column:
     return F.when((F.length(original) > 1) & (F.upper(original) == original), F.upper(made)).when(F.upper(F.substring(original, 1, 1)) == F.substring(original, 1, 1), F.initcap(made)).otherwise(made)
 
 
-def replaced(match: Column, made: Column) -> Column:
+def of_map(made: Column, kind: str | Column, value: Column) -> Column:
+    return made[F.concat(F.lit(kind) if isinstance(kind, str) else kind, F.lit(":"), F.lower(value))]
+
+
+def replaced(found: Column, made: Column) -> Column:
     """The match with its entities' surrogates, from the map made (kind:value -> surrogate)."""
+    kind, match = found["kind"], found["match"]
     parts = F.split(match, " ")
-    name = F.concat_ws(" ", F.when(F.size(name_parts(match)) < F.size(parts), parts[0]), F.transform(name_parts(match), lambda p: name_in_case_of(made[F.concat(F.lit("name:"), F.lower(p))], p)))
-    kind, plain = kind_of(match), made[F.concat(kind_of(match), F.lit(":"), F.lower(match))]
-    return F.when(kind == "name", name).when(kind == "address", plain).otherwise(in_case_of(plain, match))
+    name = F.concat_ws(" ", F.when(F.size(name_parts(match)) < F.size(parts), parts[0]), F.transform(name_parts(match), lambda p: name_in_case_of(of_map(made, "name", p), p)))
+    plain = of_map(made, kind, match)
+    local, domain = F.substring_index(match, "@", 1), domain_of(match)
+    email = F.concat(in_case_of(F.substring_index(plain, "@", 1), local), F.lit("@"), in_case_of(of_map(made, "domain", domain), domain))
+    return F.when(kind == "name", name).when(kind == "email", email).when(kind == "address", plain).otherwise(in_case_of(plain, match))
 
 
 def with_surrogates(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
     """docs with its text's personal data replaced; all columns and rows are kept. count: name of a column for the number of matches."""
-    given = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("row")).withColumn("text", F.col("row").getField(text).cast("string"))
-    maybe = F.col("text").rlike("[0-9@]") | F.col("text").rlike(f"{TITLE}|{LISTED}")
-    some = row.where(maybe).withColumn("matches", F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).where(F.size("matches") > 0)
-    with_matches = F.coalesce(maybe, F.lit(False)) & F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    none = row.where(~with_matches).select("row", "text")
+    given, void = docs.columns, {c for c, kind in docs.dtypes if kind == "void"}
+    own = F.col(f"`{text}`").cast("string")
+    maybe = own.rlike("[0-9@]") | own.rlike(f"{TITLE}|{LISTED}")
+    matches = F.when(maybe, F.regexp_extract_all(own, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.transform(F.coalesce(matches, F.array().cast("array<string>")), lambda m: F.struct(kind_of(m).alias("kind"), m.alias("match")))
+    # the one pass of the pattern over the corpus
+    marked = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in given if c not in void]).alias("row"), found.alias("found")), "marked")
+    marked = marked.withColumn("text", F.col("row").getField(text).cast("string") if text not in void else F.lit(None).cast("string"))
     # a document is known by its text: equal texts have equal entities
-    some = some.withColumn("place", F.sha2("text", 256))
-    mentions = some.select("place", F.explode(F.flatten(F.transform("matches", entities_of))).alias("e")).select("place", "e.*").groupBy("place", "kind", "value").agg(F.min("gender").alias("gender"), F.max("role").alias("role"))
+    some = marked.where(F.size("found") > 0).withColumn("place", F.sha2("text", 256))
+    mentions = some.select("place", F.explode(F.flatten(F.transform("found", entities_of))).alias("e")).select("place", "e.*").groupBy("place", "kind", "value").agg(F.min("gender").alias("gender"), F.max("role").alias("role"))
     mentions = written(mentions, "mentions")
     listed = F.when(F.col("value").isin(FIRST_NAMES["m"].split()), "m").when(F.col("value").isin(FIRST_NAMES["f"].split()), "f")
     entities = written(mentions.groupBy("kind", "value").agg(F.min("gender").alias("gender"), F.max("role").alias("role")).withColumn("gender", F.when(F.col("kind") == "name", F.coalesce(listed, "gender"))), "entities")
     made = assigned(entities, key)
     per_text = mentions.select("place", "kind", "value").join(made, ["kind", "value"]).groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(":"), "value"), "surrogate"))).alias("made"))
-    cut = F.zip_with(F.split("text", ANY, -1), F.transform("matches", lambda m: replaced(m, F.col("made"))), lambda piece, put: F.concat(piece, F.coalesce(put, F.lit(""))))
-    names = F.map_filter("made", lambda k, _: k.startswith("name:"))
-    bare = F.aggregate(
-        F.map_entries(names),
-        F.array_join(cut, ""),
-        lambda acc, e: F.regexp_replace(acc, F.concat(F.lit(r"(?<!\p{L})"), F.initcap(F.substring(e["key"], F.lit(6), F.length(e["key"]))), F.lit(r"(?!\p{L})")), F.initcap(e["value"])),
-    )
-    done = some.join(per_text, "place").select("row", F.when(F.size(names) > 0, bare).otherwise(F.array_join(cut, "")).alias("text"), F.size("matches").alias("n_entities"))
-    out = done.unionByName(none.withColumn("n_entities", F.lit(0)))
-    return out.select(*[(F.col("text") if c == text else F.col("row").getField(c)).alias(c) for c in given], *([F.col("n_entities").alias(count)] if count else []))
+    cut = F.zip_with(F.split("text", ANY, -1), F.transform("found", lambda m: replaced(m, F.col("made"))), lambda piece, put: F.concat(piece, F.coalesce(put, F.lit(""))))
+    # the names as they are spelled, and in capitals
+    spelled = F.array_distinct(F.flatten(F.transform(F.filter("found", lambda m: m["kind"] == "name"), lambda m: name_parts(m["match"]))))
+    forms = F.array_union(spelled, F.transform(spelled, F.upper))
+    done = some.join(per_text, "place").select("row", "made", forms.alias("forms"), F.array_join(cut, "").alias("text"), F.size("found").alias("n_entities"))
+    bare = F.aggregate("forms", F.col("text"), lambda acc, form: F.regexp_replace(acc, F.concat(F.lit(r"(?<!\p{L})\Q"), form, F.lit(r"\E(?!\p{L})")), name_in_case_of(of_map(F.col("made"), "name", form), form)))
+    done = done.select("row", F.when(F.size("forms") > 0, bare).otherwise(F.col("text")).alias("text"), "n_entities")
+    out = done.unionByName(marked.where(F.size("found") == 0).select("row", "text", F.lit(0).alias("n_entities")))
+    kept = [F.col("text").alias(c) if c == text else F.lit(None).alias(c) if c in void else F.col("row").getField(c).alias(c) for c in given]
+    return out.select(*kept, *([F.col("n_entities").alias(count)] if count else []))
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
