@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarryline.llm import probminhash, substrings
 
@@ -40,8 +41,13 @@ def corpus():
     return list(enumerate(rows, 100))
 
 
+def probability_jaccard(x, y):
+    """Of two counters, term by term."""
+    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in x | y) for i in x.keys() & y.keys())
+
+
 def brute_classes(rows, least=0.8):
-    sets = {i: set(probminhash.shingles(t).tolist()) for i, t in rows}
+    sets = {i: Counter(probminhash.shingles(t).tolist()) for i, t in rows}
     parent = {i: i for i in sets}
 
     def find(x):
@@ -52,8 +58,10 @@ def brute_classes(rows, least=0.8):
     ids = [i for i in sets if sets[i]]
     for n, i in enumerate(ids):
         for j in ids[:n]:
-            both = len(sets[i] & sets[j])
-            if both >= least * len(sets[i] | sets[j]):
+            x, y = sets[i], sets[j]
+            both = len(x.keys() & y.keys())
+            # by number or, where shingles are repeated, by count
+            if both >= least * len(x | y) or (max([*x.values(), *y.values()]) > 1 and both and probability_jaccard(x, y) >= least):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     return {i: find(i) for i in sets}
@@ -75,8 +83,10 @@ def test_classes_with_repeated_lines_equal_brute_force(spark):
     for _ in range(30):
         base = text(rng, 300)
         rows += [base, repeating(rng, base, 12, 60), repeating(rng, edited(rng, base, 2), 8, 40), edited(rng, base, 3)]
-    # the same set with other counts is one node, whichever row comes first
+    # the same set with other counts; a repeated line that makes up most of two texts with little else in common, and of one without repeats
     rows += ["a b c d e f a b c d e f a b c d e", "a b c d e f a b c d e f a b c d e f a b c d e"]
+    line = text(rng, 40)
+    rows += [(line + "\n") * 30 + text(rng, 30), (line + "\n") * 25 + text(rng, 30), line * 1 + " " + text(rng, 3)]
     rng.shuffle(rows)
     rows = list(enumerate(rows, 100))
     want = brute_classes(rows)
@@ -85,12 +95,33 @@ def test_classes_with_repeated_lines_equal_brute_force(spark):
     assert got == want
 
 
-def test_bands_of_sets_do_not_depend_on_counts():
-    items = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.where(np.arange(len(items)) < 12, 60, 1)
-    plain, heavy = probminhash.bands_of(items, np.ones_like(counts)), probminhash.bands_of(items, counts)
-    assert len(plain) == probminhash.BANDS and len(heavy) == 2 * probminhash.BANDS and len(set(heavy.tolist())) == len(heavy)
-    assert (heavy[: len(plain)] == plain).all()
+def test_recall_of_pairs_at_the_threshold():
+    """Pairs whose similarity lies between 0.8 and 0.85, half of them with repeated lines: at least nine in ten share a band of the measure that links them."""
+    rng = random.Random(13)
+    met = total = 0
+    while total < 120:
+        base = text(rng, 240)
+        other = edited(rng, base, rng.randrange(3, 7))
+        if total % 2:
+            line = "\n" + text(rng, 9)
+            base, other = base + line * 20, other + line * rng.randrange(15, 25)
+        (x, v), (y, w) = (np.unique(probminhash.shingles(t), return_counts=True) for t in (base, other))
+        sims = [probminhash.probability_jaccard(x, y, np.ones(len(x)), np.ones(len(y))), probminhash.probability_jaccard(x, y, v, w)]
+        if not 0.8 <= max(sims) <= 0.85:
+            continue
+        total += 1
+        weights = [(np.ones_like(v), np.ones_like(w)), (v, w)][int(sims[1] > sims[0])]
+        met += bool((probminhash.band_keys(probminhash.signature(x, weights[0])) == probminhash.band_keys(probminhash.signature(y, weights[1]))).any())
+    assert met >= 0.9 * total
+
+
+def test_probability_jaccard_against_its_definition():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        x, y = (np.unique(rng.integers(0, 60, 40)) for _ in range(2))
+        v, w = rng.integers(1, 5, len(x)), rng.integers(1, 5, len(y))
+        plain = probability_jaccard(Counter(dict(zip(x.tolist(), v.tolist(), strict=True))), Counter(dict(zip(y.tolist(), w.tolist(), strict=True))))
+        assert abs(probminhash.probability_jaccard(x, y, v, w) - plain) < 1e-9
 
 
 def test_signature_estimates_probability_jaccard():
@@ -142,8 +173,8 @@ def test_near_duplicates_odd_rows(spark):
     got = Counter((r.doc_id, r.class_id) for r in probminhash.near_duplicates(docs).collect())
     assert got == Counter([(1, 1), (None, None), (3, 3), (4, 4), (5, 5), (6, 1), (6, 1), (7, 7)])
     assert probminhash.near_duplicates(docs.limit(0)).count() == 0
-    stay = probminhash.one_per_class(docs)
-    assert stay.columns == docs.columns
+    stay = probminhash.one_per_class(docs.withColumns({"__first": F.lit(1), "row": F.lit("x"), "kept": F.map_from_arrays(F.array(F.lit("k")), F.array(F.lit(1)))}))
+    assert stay.columns == [*docs.columns, "__first", "row", "kept"]
     assert sorted(str(r.doc_id) for r in stay.collect()) == ["1", "3", "4", "5", "7", "None"]
 
 
