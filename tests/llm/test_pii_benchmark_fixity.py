@@ -196,35 +196,58 @@ def test_contamination_odd_rows(spark, monkeypatch):
     assert set(pairs(spark, [(1, ITEM)], [(1, ITEM), (2, ITEM + " indeed")])) == {(1, 1), (1, 2)}
 
 
-def files(spark, rows):
-    return fixity.records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+def files(spark, rows, path):
+    """The trees of files that are written for the rows."""
+    fixity.write_files(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{path}")
+    return fixity.trees(spark, f"file://{path}")
 
 
-def test_audit_finds_planted_damage(spark):
+def test_audit_finds_planted_damage(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fixity, "FILE_PAGES", 256)
     rows = [(i, f"http://h/{i % 7}", f"<p>{i}</p>" * (i % 5)) for i in range(700)]
     other = [(i, u, h + "!" if i == 300 else h) for i, u, h in rows if i != 41] + [(600, "http://h/new", "new")]
-    got = {(r.file_id, r.record_id, r.copy, r.state) for r in fixity.audit(files(spark, rows), files(spark, other)).collect()}
+    one, two = files(spark, rows, tmp_path / "a"), files(spark, other, tmp_path / "b")
+    got = {(r.file_id, r.record_id, r.copy, r.state) for r in fixity.audit(one, two).collect()}
     changed = {x for x in got if x[1] != 600}
     assert changed == {(0, 41, 1, "missing"), (1, 300, 1, "changed")}
     # one of the two records with id 600 is the old one
     assert {x[:3] for x in got if x[1] == 600} <= {(2, 600, 1), (2, 600, 2)} and any(x[1] == 600 for x in got)
-    assert fixity.audit(files(spark, rows), files(spark, rows[::-1])).count() == 0
-
-
-def test_roots_are_hashes_of_hashes(spark):
-    own = fixity.leaves(files(spark, [(i, "u", "h") for i in range(20)]))
-    top = fixity.parents(fixity.parents(own)).collect()
-    hashes = [r.hash for r in own.orderBy("idx").collect()]
-    kids = ["".join(hashes[:16]), "".join(hashes[16:])]
-    assert [r.hash for r in top] == [hashlib.sha256("".join(hashlib.sha256(k.encode()).hexdigest() for k in kids).encode()).hexdigest()]
-    assert top[0].start == 0 and top[0].stop == own.agg(F.sum("length")).first()[0]
-
-
-def test_audit_odd_rows(spark):
-    rows = [(None, "u", "h"), (None, None, None), (3, None, "x"), (3, None, "x"), (4, "u", "")]
-    assert fixity.audit(files(spark, rows), files(spark, rows)).count() == 0
-    assert fixity.audit(files(spark, rows), files(spark, [])).where("state = 'missing'").count() == 5
-    assert fixity.audit(files(spark, []), files(spark, [])).count() == 0
+    assert fixity.audit(one, files(spark, rows[::-1], tmp_path / "c")).count() == 0
+
+
+def test_damage_done_to_the_files_is_found(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"<p>{i} text</p>" * 20) for i in range(600)]
+    one, _ = files(spark, rows, tmp_path / "a"), files(spark, rows, tmp_path / "b")
+    (file,) = (tmp_path / "b").glob("file_id=0/*.txt")
+    data = bytearray(file.read_bytes())
+    records = list(fixity.parsed(bytes(data)))
+    assert [r[0] for r in records] == list(range(600)) and records[0][1] == 0 and records[-1][2] == len(data)
+    data[records[77][2] - 20] ^= 1  # a bit of a body
+    data[records[400][1] + 3] ^= 1  # a bit of a start line
+    file.write_bytes(data)
+    (tmp_path / "b" / "file_id=0" / f".{file.name}.crc").unlink(missing_ok=True)
+    got = {(r.record_id, r.state, r.primary_offset) for r in fixity.audit(one, fixity.trees(spark, f"file://{tmp_path}/b")).collect()}
+    assert got == {(77, "changed", records[77][1]), (400, "missing", records[400][1]), (None, "added", None)}
+
+
+def test_roots_are_hashes_of_hashes_and_ranges():
+    records = [b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Target-URI: u\r\nContent-Length: 4\r\n\r\n\r\n\r\n\r\n\r\n" % i for i in range(20)]
+    nodes = fixity.file_nodes(b"".join(records))
+    ends = np.cumsum([len(r) for r in records]).tolist()
+    lines = [f"{hashlib.sha256(r).hexdigest()} {e - len(r)} {e}\n" for r, e in zip(records, ends, strict=True)]
+    kids = [hashlib.sha256("".join(x).encode()).hexdigest() for x in (lines[:16], lines[16:])]
+    top = "".join(f"{k} {a} {b}\n" for k, a, b in zip(kids, (0, ends[15]), (ends[15], ends[-1]), strict=True))
+    assert nodes[-1] == (2, 0, hashlib.sha256(top.encode()).hexdigest(), 0, ends[-1], None, None)
+    assert [n[5] for n in nodes[:20]] == list(range(20))
+
+
+def test_audit_odd_rows(spark, tmp_path):
+    rows = [(None, "u", "h"), (None, None, None), (3, "a\r\nb", "WARC/1.1\r\n"), (3, None, "x"), (3, None, "x"), (4, "u", "y" * 300_000)]
+    one, two, none = (files(spark, r, tmp_path / n) for r, n in ((rows, "a"), (rows[::-1], "b"), ([], "c")))
+    assert fixity.audit(one, two).count() == 0
+    got = fixity.audit(one, none).collect()
+    assert sorted(r.state for r in got) == ["missing"] * 6 and sorted(r.copy for r in got if r.record_id == 3) == [1, 2, 3]
+    assert fixity.audit(none, none).count() == 0
 
 
 def test_prefixes_against_plain_comparison():
