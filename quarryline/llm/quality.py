@@ -5,9 +5,12 @@ probability is P(grade >= k) = sigmoid(f - threshold[k]), with thresholds in asc
 by a tail probability.
 
 The model is fitted on a bounded sample: the at most SAMPLE_ROWS rated documents with the smallest hash of their id, whatever the size of the tables.
-Their features are gathered at the driver (SAMPLE_ROWS x MOST_FEATURES at most). Every document is then scored in one pass without a shuffle.
+Their features, all of them, are gathered at the driver: at most SAMPLE_ROWS times those of a document. Every document is then scored in one pass
+without a shuffle. Graded ratings may be made of ordered evidence: in the sample query quality and the absence of abuse each lift a document by a
+grade, so that the middle grade holds both kinds of middling documents, and only the top grade (which is selected) asks for both.
 
-Defined cases: a null or empty text has no features and gets the thresholds' probabilities, but is never selected; ratings with a null id or grade, or
+Defined cases: a null or empty text has no features and gets the thresholds' probabilities, but is never selected; a very long text counts whole; of
+rated rows with equal hashes of their ids the smaller id and grade comes first into the sample; ratings with a null id or grade, or
 without a document, are not used; several ratings of a document each count; without any rating the model predicts grade 0; a null doc_id stays null; repeated rows each get
 their row; an empty table gives no rows; other columns are not read.
 """
@@ -30,8 +33,6 @@ from .common import documents
 
 FEATURES = 1 << 18
 SAMPLE_ROWS = 12_000
-#: Features of a sampled document that are used for fitting, those of the smallest hashes; scoring uses all.
-MOST_FEATURES = 4_000
 #: Features of the shares of words that occur again, and that occur twice running.
 REPEATS = (0, 1)
 KEPT_WORDS = 400_000
@@ -109,33 +110,44 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     size = np.array([len(i) for i, _ in rows])
     keep = np.flatnonzero(size)
     index, value = np.concatenate([rows[k][0] for k in keep]), np.concatenate([rows[k][1] for k in keep])
-    y, start, owner = grades[keep], np.cumsum(size[keep]) - size[keep], np.repeat(np.arange(len(keep)), size[keep])
+    y, owner = grades[keep], np.repeat(np.arange(len(keep)), size[keep])
     # a feature whose documents' grades can't be told from chance gets no weight
     n = len(y)
     spread = np.sqrt(np.maximum(np.bincount(index, value.astype(np.float64) ** 2, FEATURES) / n - (np.bincount(index, value, FEATURES) / n) ** 2, 1e-12))
     above = np.bincount(index, value * (y - y.mean())[owner], FEATURES) / (max(y.std(), 1e-6) * np.sqrt(n) * spread)
-    value = np.where((np.abs(above) >= LEAST_Z)[index], value, 0)
+    told = (np.abs(above) >= LEAST_Z)[index]
+    index, value, owner = index[told], value[told], owner[told]
     share = np.array([(y >= k).mean() for k in range(1, levels)]).clip(1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
     theta = np.concatenate([np.zeros(FEATURES), first[:1], np.log(np.maximum(1e-3, np.diff(first)))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        w, t = theta[:FEATURES], np.cumsum(np.concatenate([theta[FEATURES : FEATURES + 1], np.exp(theta[FEATURES + 1 :])]))
-        f = np.add.reduceat(w[index] * value, start)
-        # tails with P(grade >= 0) = 1 and P(grade >= levels) = 0 around them
-        edge = np.concatenate([np.ones((len(y), 1)), sigmoid(f[:, None] - t[None, :]), np.zeros((len(y), 1))], 1)
-        slope = edge * (1 - edge)
-        rows_at = np.arange(len(y))
-        p = np.maximum(edge[rows_at, y] - edge[rows_at, y + 1], 1e-12)
-        df = -(slope[rows_at, y] - slope[rows_at, y + 1]) / p / len(y)
-        dt = np.zeros(levels + 1)
-        np.add.at(dt, y, slope[rows_at, y] / p / len(y))
-        np.add.at(dt, y + 1, -slope[rows_at, y + 1] / p / len(y))
-        dt = dt[1:levels]
-        grad = np.concatenate([np.bincount(index, value * df[owner], FEATURES) + RIDGE * w, [dt.sum()], [dt[k:].sum() * np.exp(theta[FEATURES + k]) for k in range(1, levels - 1)]])
+        _, grad = loss_and_gradient(theta, index, value, owner, y, levels)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(theta[:FEATURES].astype(np.float32), np.cumsum(np.concatenate([theta[FEATURES : FEATURES + 1], np.exp(theta[FEATURES + 1 :])])))
+    return Model(theta[:FEATURES].astype(np.float32), thresholds(theta))
+
+
+def thresholds(theta: np.ndarray) -> np.ndarray:
+    """A first one, and steps exp(d) to the next ones: always in ascending order."""
+    return np.cumsum(np.concatenate([theta[FEATURES : FEATURES + 1], np.exp(theta[FEATURES + 1 :])]))
+
+
+def loss_and_gradient(theta: np.ndarray, index: np.ndarray, value: np.ndarray, owner: np.ndarray, y: np.ndarray, levels: int) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of the grades y with a ridge penalty, and its gradient; value[k] is feature index[k] of row owner[k]."""
+    w, t, n = theta[:FEATURES], thresholds(theta), len(y)
+    f = np.bincount(owner, w[index] * value, n)
+    # tails with P(grade >= 0) = 1 and P(grade >= levels) = 0 around them
+    edge = np.concatenate([np.ones((n, 1)), sigmoid(f[:, None] - t[None, :]), np.zeros((n, 1))], 1)
+    slope, rows_at = edge * (1 - edge), np.arange(n)
+    p = np.maximum(edge[rows_at, y] - edge[rows_at, y + 1], 1e-12)
+    df = -(slope[rows_at, y] - slope[rows_at, y + 1]) / p / n
+    dt = np.zeros(levels + 1)
+    np.add.at(dt, y, slope[rows_at, y] / p / n)
+    np.add.at(dt, y + 1, -slope[rows_at, y + 1] / p / n)
+    dt = dt[1:levels]
+    grad = np.concatenate([np.bincount(index, value * df[owner], FEATURES) + RIDGE * w, [dt.sum()], [dt[k:].sum() * np.exp(theta[FEATURES + k]) for k in range(1, levels - 1)]])
+    return float(-np.log(p).mean() + RIDGE / 2 * (w @ w)), grad
 
 
 def learn(docs: DataFrame, ratings: DataFrame, levels: int, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -143,7 +155,7 @@ def learn(docs: DataFrame, ratings: DataFrame, levels: int, sample_rows: int = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [tuple(x[:MOST_FEATURES] for x in features(t.as_py())) for t in batch.column(1)]
+            got = [features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in got], pa.binary())], ["grade", "index", "value"])
 
     rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, levels - 1))
@@ -162,7 +174,7 @@ def graded(docs: DataFrame, model: Model, select_grade: int, least: float = LEAS
     def run(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(t.as_py()) for t in batch.column(1)]
-            tails = np.round(model.tails(np.array([float(model.weights[i] @ x) if len(i) else 0.0 for i, x in got])), 6)
+            tails = np.round(model.tails(np.array([float(model.weights[i] @ x) if len(i) else 0.0 for i, x in got], np.float64)), 6)
             chosen = (tails[:, select_grade - 1] >= least) & np.array([len(i) > 0 for i, _ in got], bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(1)), pa.array(list(tails), pa.list_(pa.float64())), pa.array(chosen)], ["doc_id", "expected_grade", "tails", "selected"])
 
