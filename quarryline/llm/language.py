@@ -4,13 +4,14 @@ Each letter has a random +1/-1 vector. A trigram's vector binds (multiplies) the
 (rolled) by their place; a text's vector bundles (adds) those of its trigrams. A language's prototype bundles the
 texts of that language, each divided by its trigram count. A text gets the language with the largest cosine.
 
-Vectors are linear in trigram counts: counts are gathered per group of texts and multiplied with the trigram
-vectors once. Training adds up integers per (language, dimension), so that the order of tasks doesn't matter;
-only languages x DIMENSIONS numbers reach the driver.
-
-Defined cases: `und` with score 0 for a null text or one without a letter; ties go to the first language in
-alphabetical order; rows with null lang or text are not learned from; without any learned language every text is
-`und`; a null doc_id counts as not held out; repeated rows each get their row; other columns are not read.
+Vectors are linear in trigram counts: counts are gathered per group of texts (bounded in characters and in rows) and
+multiplied with the trigram vectors in blocks of at most CELLS counts. Training adds up integers per (language, dimension), so
+that the order of tasks doesn't matter; only languages x DIMENSIONS numbers reach the driver.
+
+Defined cases: `und` with score 0 for a null text or one without a letter; a very long text is a group of its own and counts whole; ties go to
+the first language in alphabetical order; rows with null lang or text are not learned from; without any learned language every text is
+`und`, and `kept` keeps every text with a letter; a null doc_id counts as not held out; repeated rows each get their row; an empty table
+gives no rows; other columns are not read (`kept` passes them on).
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ DIMENSIONS = 1024
 SYMBOLS = 128
 SEED = 20
 UNKNOWN = "und"
-#: Characters whose trigrams are counted at once.
+#: Characters and rows whose trigrams are counted at once, and counts that are multiplied at once.
 GROUP_CHARS = 1_000_000
+GROUP_ROWS = 4_096
+CELLS = 1 << 24
 #: Trigram shares are added up in units of one in so many.
 UNIT = 1 << 24
 #: Cosine that `kept` asks for where it is given no scores of learned documents.
 LEAST_SCORE = 0.0
-#: Excerpts of learned documents whose cosines show what a text of so many letters reaches: characters from the start.
+#: Lengths in characters of the excerpts of learned documents whose cosines show what a text of so many letters reaches.
 EXCERPTS = (4, 8, 16, 32, 64, 128, 256, 512, 1024)
 #: A text is rejected below this share of the cosine that all but one in LOW of the learned excerpts with as many letters reach.
 SHARE = 0.5
@@ -62,32 +65,50 @@ def trigram_vectors(keys: np.ndarray) -> np.ndarray:
     return (np.roll(v, 2, 1)[a] * np.roll(v, 1, 1)[b] * v[c]).astype(np.float32)
 
 
-def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigrams that occur, and their counts in each text. A trigram's middle is a letter."""
+def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Key and text of each trigram. A trigram's middle is a letter."""
     table = symbols()
     codes = [table[np.frombuffer(f" {(t or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)] for t in texts]
     flat = np.concatenate(codes).astype(np.int64) if codes else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
     if len(flat) < 3:
-        return np.zeros(0, np.int64), np.zeros((len(texts), 0), np.float32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     good = (flat[1:-1] > 0) & (owner[:-2] == owner[2:])
-    keys, owner = ((flat[:-2] << 14) + (flat[1:-1] << 7) + flat[2:])[good], owner[1:-1][good]
-    seen = np.bincount(keys, minlength=1)
-    active = np.flatnonzero(seen)
-    place = np.zeros(len(seen), np.int64)
+    return ((flat[:-2] << 14) + (flat[1:-1] << 7) + flat[2:])[good], owner[1:-1][good]
+
+
+def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, and each one's place among them."""
+    active = np.flatnonzero(np.bincount(keys, minlength=1))
+    place = np.zeros(int(keys.max(initial=0)) + 1, np.int64)
     place[active] = np.arange(len(active))
-    counts = np.bincount(owner * max(1, len(active)) + place[keys], minlength=len(texts) * len(active)) if len(active) else np.zeros(0)
-    return active, counts.reshape(len(texts), len(active)).astype(np.float32)
+    return active, place[keys]
+
+
+def bundled(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of texts, and how many trigrams each has. No more than CELLS counts are held at once."""
+    keys, owner = trigrams(texts)
+    total = np.bincount(owner, minlength=len(texts))
+    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    if len(keys):
+        active, place = placed(keys)
+        vectors, rows = trigram_vectors(active), max(1, CELLS // len(active))
+        cuts = np.searchsorted(owner, np.arange(0, len(texts) + rows, rows))  # owners are in order
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            n = min(rows, len(texts) - k * rows)
+            counts = np.bincount((owner[i:j] - k * rows) * len(active) + place[i:j], minlength=n * len(active))
+            out[k * rows : k * rows + n] = counts.reshape(n, len(active)).astype(np.float32) @ vectors
+    return out, total
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (their last column is a text), GROUP_CHARS characters or a row at a time."""
+    """Rows (their last column is a text), GROUP_CHARS characters, GROUP_ROWS rows or one row at a time."""
     rows, size = [], 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             rows.append(row)
             size += len(row[-1] or "")
-            if size >= GROUP_CHARS:
+            if size >= GROUP_CHARS or len(rows) >= GROUP_ROWS:
                 yield rows
                 rows, size = [], 0
     if rows:
@@ -104,12 +125,13 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for rows in grouped(batches):
-            active, counts = counted([r[1] for r in rows])
-            total = counts.sum(1)
-            share = counts / np.maximum(total, 1)[:, None]
+            keys, owner = trigrams([r[1] for r in rows])
+            active, place = placed(keys)
+            share, vectors = 1 / np.bincount(owner, minlength=len(rows)).clip(1)[owner], trigram_vectors(active)
             langs = np.array([r[0] for r in rows])
             for lang in sorted(set(langs.tolist())):
-                add = share[langs == lang].sum(0, dtype=np.float64).astype(np.float32) @ trigram_vectors(active)
+                own = (langs == lang)[owner]
+                add = np.bincount(place[own], share[own], len(active)).astype(np.float32) @ vectors
                 sums[lang] = sums.get(lang, 0) + np.rint(add.astype(np.float64) * UNIT).astype(np.int64)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(v)], ["lang", "dim", "part"])
@@ -131,26 +153,24 @@ def letter_class(letters_: np.ndarray) -> np.ndarray:
 def least_scores(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> np.ndarray:
     """The least cosine to be kept with, by letter_class: from excerpts of all learned documents (lang, text) against their own language.
 
-    A class without excerpts takes the next shorter one's, 0 if there is none. Only counts of cosines (four digits) reach the driver.
+    Every document that is long enough gives one excerpt of each length, from a place that its checksum draws from the whole text. A class without
+    excerpts takes the next shorter one's, 0 if there is none. Only counts of cosines (four digits) reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], int] = {}
         for rows in grouped(batches):
-            for size in EXCERPTS:
-                some = [(langs.index(lang), text[:size]) for lang, text in rows if len(text) >= size]
-                if not some:
-                    continue
-                active, counts = counted([t for _, t in some])
-                vectors, n = counts @ trigram_vectors(active), counts.sum(1)
-                cosines = (vectors * prototypes[[k for k, _ in some]]).sum(1) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
-                keys = np.stack([letter_class(n), np.rint(cosines.astype(np.float64) * 1e4).astype(np.int64)], 1)[n > 0]
-                for (k, c), m in zip(*(x.tolist() for x in np.unique(keys, axis=0, return_counts=True)), strict=True):
-                    seen[k, c] = seen.get((k, c), 0) + m
+            vectors, n = bundled([text for _, text in rows])
+            cosines = (vectors * prototypes[[langs.index(lang) for lang, _ in rows]]).sum(1) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
+            keys = np.stack([letter_class(n), np.rint(cosines.astype(np.float64) * 1e4).astype(np.int64)], 1)[n > 0]
+            for (k, c), m in zip(*(x.tolist() for x in np.unique(keys, axis=0, return_counts=True)), strict=True):
+                seen[k, c] = seen.get((k, c), 0) + m
         k, c = ([x[i] for x in seen] for i in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(c, pa.int32()), pa.array(list(seen.values()), pa.int64())], ["k", "cosine", "m"])
 
-    cut = docs.where(F.col("lang").cast("string").isin(langs) & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.substring(F.col("text").cast("string"), 1, EXCERPTS[-1]).alias("text"))
+    learned = docs.where(F.col("lang").cast("string").isin(langs) & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"), F.length(F.col("text").cast("string")).alias("n"), F.crc32("text").alias("sum"))
+    cut = F.array(*[F.when(F.col("n") >= size, F.substring("text", (1 + F.pmod(F.col("sum") + size, F.col("n") - size + 1)).cast("int"), F.lit(size))) for size in EXCERPTS])
+    cut = learned.select("lang", F.explode(F.array_compact(cut)).alias("text"))
     rows = cut.mapInArrow(run, "k int, cosine int, m long").groupBy("k", "cosine").agg(F.sum("m").alias("m")).collect() if langs else []
     least = np.zeros(int(letter_class(np.array([EXCERPTS[-1]]))[0]) + 1)
     for k in range(len(least)):
@@ -168,11 +188,10 @@ def predicted(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches):
-            active, counts = counted([r[1] for r in rows])
-            vectors = counts @ trigram_vectors(active)
+            vectors, n = bundled([r[1] for r in rows])
             norm = np.linalg.norm(vectors, axis=1)
             cosines = np.round((vectors @ prototypes.T).astype(np.float64) / np.maximum(norm, 1e-9)[:, None], 4)
-            known = (counts.sum(1) > 0) & (len(langs) > 0)
+            known = (n > 0) & (len(langs) > 0)
             best = cosines.argmax(1) if langs else np.zeros(len(rows), int)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]), pa.array([float(min(1, max(0, cosines[i, b]))) if k else 0.0 for i, (b, k) in enumerate(zip(best, known, strict=True))])],
@@ -183,17 +202,17 @@ def predicted(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> Data
 
 
 def kept(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float | np.ndarray = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, all columns, whose text has a letter and a cosine of at least `least` (by letter_class, if an array) with some learned language."""
+    """The rows of docs, all columns, whose text has a letter and a cosine of at least `least` (by letter_class, if an array) with some learned language, if there is any."""
     by_class = np.zeros(int(letter_class(np.array([EXCERPTS[-1]]))[0]) + 1) + least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start = 0
             for rows in grouped(iter([pa.RecordBatch.from_arrays([batch.column("text")], ["text"])])):
-                active, counts = counted([r[0] for r in rows])
-                vectors = counts @ trigram_vectors(active)
+                vectors, n = bundled([r[0] for r in rows])
                 cosines = (vectors @ prototypes.T) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
-                good = (counts.sum(1) > 0) & (np.round(cosines.astype(np.float64), 4) >= by_class[letter_class(counts.sum(1))][:, None]).any(1)
+                like = (np.round(cosines.astype(np.float64), 4) >= by_class[letter_class(n)][:, None]).any(1)
+                good = (n > 0) & (like if langs else True)
                 yield batch.slice(start, len(rows)).filter(pa.array(good))
                 start += len(rows)
 

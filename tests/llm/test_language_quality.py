@@ -12,17 +12,13 @@ def test_trigram_vectors_are_bound_permuted_letters():
     assert (got == np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]).all()
 
 
-def test_counted_equals_plain_counts():
+def test_trigrams_equal_plain_ones():
     texts = ["Abc abc, d", None, "", "é1x", "  "]
-    active, counts = language.counted(texts)
+    keys, owner = language.trigrams(texts)
     table = language.symbols()
-    for row, text in zip(counts, texts, strict=True):
+    for k, text in enumerate(texts):
         codes = [int(table[ord(ch)]) for ch in f" {(text or '').lower()} "]
-        plain = {}
-        for x, y, z in zip(codes, codes[1:], codes[2:]):
-            if y:
-                plain[(x << 14) + (y << 7) + z] = plain.get((x << 14) + (y << 7) + z, 0) + 1
-        assert {int(k): int(n) for k, n in zip(active, row, strict=True) if n} == plain
+        assert keys[owner == k].tolist() == [(x << 14) + (y << 7) + z for x, y, z in zip(codes, codes[1:], codes[2:], strict=False) if y]
 
 
 def test_op5_held_out_accuracy(spark, sf_dir):
@@ -97,3 +93,83 @@ def test_op7_odd_rows(spark):
     assert quality.graded(docs.limit(0), some, 2).count() == 0
     # the sample is bounded
     assert len(quality.learn(docs, spark.createDataFrame([(1, 2)], "doc_id long, grade int"), 3, sample_rows=1).thresholds) == 2
+
+
+def test_short_rows_stay_within_bounds():
+    """100,000 short and empty rows: as many at a time as GROUP_ROWS says, and few counts at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    letters_ = np.array(list("abcdefghijklmnopqrstuvwxyzéßñ  "))
+    texts = ["".join(rng.choice(letters_, 40)) if i % 3 else ("" if i % 2 else None) for i in range(100_000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 10_000])], ["text"]) for i in range(0, len(texts), 10_000)]
+    tracemalloc.start()
+    seen = 0
+    for rows in language.grouped(iter(batches)):
+        assert len(rows) <= language.GROUP_ROWS
+        vectors, n = language.bundled([r[0] for r in rows])
+        seen += len(n)
+    assert seen == len(texts) and tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+def test_vectors_and_predictions_against_a_plain_version(spark):
+    """Vectors trigram by trigram, prototypes text by text, cosines one by one."""
+    table, v = language.symbols(), language.letters().astype(int)
+
+    def vector(text):
+        codes = [int(table[ord(c)]) for c in f" {text.lower()} "]
+        own = [np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False) if b]
+        return sum(own) if own else np.zeros(language.DIMENSIONS, int), len(own)
+
+    rows = [("en", "the cat sat on the mat and the dog"), ("en", "this is the house that jack built"), ("fr", "le chat est dans la maison avec le chien"), ("fr", "où est la bibliothèque s'il vous plaît"), ("de", "der Hund und die Katze schlafen über Nacht")]
+    whole, n = language.bundled([t for _, t in rows])
+    assert [(a.astype(int) == vector(t)[0]).all() and m == vector(t)[1] for a, m, (_, t) in zip(whole, n, rows, strict=True)] == [True] * 5
+    langs, prototypes = language.learn(spark.createDataFrame(rows, "lang string, text string"))
+    plain = {k: sum(vector(t)[0] / vector(t)[1] for x, t in rows if x == k) for k in langs}
+    for k, p in zip(langs, prototypes, strict=True):
+        assert np.allclose(p, plain[k] / np.linalg.norm(plain[k]), atol=1e-5)
+    tests = ["the house and the cat", "la maison avec le chat", "die Nacht und der Hund", "123", "", None]
+    got = {r.doc_id: r for r in language.predicted(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), langs, prototypes).collect()}
+    for i, t in enumerate(tests):
+        x, m = vector(t or "")
+        if not m:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        cosines = {k: float(x @ p / np.linalg.norm(x) / np.linalg.norm(p)) for k, p in plain.items()}
+        assert got[i].lang_pred == max(cosines, key=cosines.get) and abs(got[i].score - max(cosines.values())) < 2e-4
+
+
+def test_without_learned_languages_texts_with_letters_stay(spark):
+    docs = spark.createDataFrame([(1, "some words", "a"), (2, "123", "b"), (3, None, "c")], "doc_id long, text string, n string")
+    assert [r.doc_id for r in language.kept(docs, [], np.zeros((0, language.DIMENSIONS), np.float32)).collect()] == [1]
+
+
+def test_gradient_and_loss_against_plain_versions():
+    rng = np.random.default_rng(5)
+    rows, levels = 40, 4
+    index = np.concatenate([np.sort(rng.choice(30, 6, replace=False)) for _ in range(rows)])
+    value, owner, y = rng.random(len(index)), np.repeat(np.arange(rows), 6), rng.integers(0, levels, rows)
+    theta = np.zeros(quality.FEATURES + levels - 1)
+    theta[:30], theta[quality.FEATURES :] = rng.normal(0, 0.3, 30), [-0.5, 0.1, -0.2]
+
+    def plain(theta):
+        t = [theta[quality.FEATURES]]
+        for d in theta[quality.FEATURES + 1 :]:
+            t.append(t[-1] + np.exp(d))
+        total = 0.0
+        for r in range(rows):
+            f = sum(theta[i] * x for i, x, o in zip(index, value, owner, strict=True) if o == r)
+            tails = [1.0, *(1 / (1 + np.exp(-(f - x))) for x in t), 0.0]
+            total -= np.log(tails[y[r]] - tails[y[r] + 1])
+        return total / rows + quality.RIDGE / 2 * (theta[: quality.FEATURES] ** 2).sum()
+
+    loss, gradient = quality.loss_and_gradient(theta, index, value, owner, y, levels)
+    assert abs(loss - plain(theta)) < 1e-9
+    for k in (0, 7, 29, quality.FEATURES, quality.FEATURES + 1, quality.FEATURES + 2):
+        up, down = theta.copy(), theta.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        assert abs((plain(up) - plain(down)) / 2e-5 - gradient[k]) < 1e-6
