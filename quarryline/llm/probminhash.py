@@ -14,9 +14,10 @@ Two documents agree in a register with the probability Jaccard similarity of the
    members are paired with its most central node (that with the smallest share of shingles of its own), not with each other: one pair per member, by a partial
    aggregation and a join, so that a hot bucket is split over tasks.
 3. Pairs are verified on the whole shingle sets and counts (similarity of at least LEAST), and verified pairs are joined to components.
-4. Only buckets whose members are still in different components go on: 16, 128, 1024, ... members, those of a bucket's largest component first, meet its members of
+4. Only buckets whose members are still in different components go on: 64, 4096, ... members, those of a bucket's largest component first, meet its members of
    other components, and are done with. Most of the others join at once; the rest goes on until every pair of different components has been verified, so no link
-   between them is missed for want of a pair. Pairs that cannot be alike for their shares of own shingles are never made.
+   between them is missed for want of a pair. Pairs that cannot be alike, for their shares of own shingles or for the parities of their sets (odd sketches:
+   sets differ in at least as many shingles as their sketches in bits), are never made.
 
 Loops end when nothing is open; their state is written to the shared folder each time, and what is done with is removed.
 
@@ -118,16 +119,23 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, digest binary, n long, bands array<long>, heavy_bands array<long>")
 
 
+def odd_sketch(items: np.ndarray) -> np.ndarray:
+    """Parity of the number of items in each of 4 to 8 times as many bits: two sets differ in at least as many items as their sketches do in bits."""
+    bits = max(64, 1 << int(4 * len(items) - 1).bit_length()) if len(items) else 64
+    odd = np.bincount((mixed(items) >> np.uint64(1)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """node, its shingle set in order (8-byte hashes), the counts (null where all are 1) and their sum."""
+    """node, its shingle set in order (8-byte hashes), the counts (null where all are 1) and their sum, the set's odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [np.unique(shingles(t.as_py()).view(np.int64), return_counts=True) for t in batch.column(1)]
             counts = [w.astype(np.int32) if (w > 1).any() else None for _, w in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array([int(w.sum()) for _, w in got], pa.int64())], ["node", "set", "counts", "total"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array([int(w.sum()) for _, w in got], pa.int64()), pa.array([odd_sketch(x.view(np.uint64)) for x, _ in got], pa.list_(pa.int64()))], ["node", "set", "counts", "total", "odd"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, set array<long>, counts array<int>, total long")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, set array<long>, counts array<int>, total long, odd array<long>")
 
 
 def reachable(node_sets: DataFrame, least: float) -> DataFrame:
@@ -242,14 +250,18 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     central = F.struct((F.col("shared") / F.col("n")).alias("share"), (-F.col("node")).alias("node"))
     leaders = spread.groupBy("bucket").agg(F.max_by(F.struct("node", *measures), central).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(spread.join(leaders, "bucket"), "buckets")
-    # the most that two nodes can have in common is what each shares with any other
-    can = f"least(a_shared, b_shared) >= {least} * (a_n + b_n - least(a_shared, b_shared))"
-    can += f" OR ((a_total > a_n OR b_total > b_n) AND least(a_heavy / a_total, b_heavy / b_total) >= {least})"
+    # the most that two nodes can have in common is what each shares with any other; where P and Q are the parts of either's weight that it shares with
+    # others, the probability Jaccard similarity is at most 1 / (1 / P + 1 / Q - 1), as 1 / (1 / p + (1 - Q) / q) is concave in a common shingle's parts p and q
+    sets_can = f"least(a_shared, b_shared) >= {least} * (a_n + b_n - least(a_shared, b_shared))"
+    counts_can = f"((a_total > a_n OR b_total > b_n) AND 1 / (a_total / a_heavy + b_total / b_heavy - 1) >= {least} - 1e-9)"
+    # sets of that similarity differ in at most this many shingles, so their odd sketches in at most as many bits
+    bits = "aggregate(zip_with(odd, b_odd, (p, q) -> bit_count(p ^ q)), 0, (sum, n) -> sum + n)"
+    close = f"(size(odd) <> size(b_odd) OR {bits} <= {(1 - least) / (1 + least)} * (a_n + b_n) + 1e-6)"
 
     def named(prefix: str, source: str = "") -> list:
         return [F.col(f"{source}{m}").alias(f"{prefix}_{m}") for m in measures]
 
-    pairs = members.where("node <> lead.node").select(F.col("node").alias("a"), F.col("lead.node").alias("b"), *named("a"), *named("b", "lead.")).where(can)
+    pairs = members.where("node <> lead.node").select(F.col("node").alias("a"), F.col("lead.node").alias("b"), *named("a"), *named("b", "lead.")).where(f"({sets_can}) OR {counts_can}")
     stars = components(verified(pairs.select("a", "b").distinct(), node_sets, least))
 
     def torn(own: DataFrame) -> DataFrame:
@@ -260,13 +272,13 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         return labelled.join(sizes.join(several, "bucket", "left_semi"), ["bucket", "label"])
 
     # leaders so far are done with: they have met every member of another component
-    left = written(torn(members.where("node <> lead.node AND size > 2").select("bucket", "i", "class", "node", *measures).join(banded.select("node", "bands", "heavy_bands", "own_class"), "node")), "open")
+    left = written(torn(members.where("node <> lead.node AND size > 2").select("bucket", "i", "class", "node", *measures).join(banded.select("node", "bands", "heavy_bands", "own_class"), "node").join(node_sets.select("node", "odd"), "node")), "open")
     forget(spread)
-    block = 16
+    block = 64
     while not left.isEmpty():
         order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("size"), "label", "node"))
-        chosen = written(left.withColumn("rank", order).where(F.col("rank") <= block).select("bucket", F.col("node").alias("b"), *named("b"), F.col("label").alias("b_label"), F.col("size").alias("b_size"), F.col("bands").alias("b_bands"), F.col("heavy_bands").alias("b_heavy_bands"), F.col("own_class").alias("b_class")), "leaders")
-        own = left.select("bucket", "i", "class", F.col("node").alias("a"), *named("a"), "label", "size", "bands", "heavy_bands", "own_class")
+        chosen = written(left.withColumn("rank", order).where(F.col("rank") <= block).select("bucket", F.col("node").alias("b"), *named("b"), F.col("label").alias("b_label"), F.col("size").alias("b_size"), F.col("bands").alias("b_bands"), F.col("heavy_bands").alias("b_heavy_bands"), F.col("own_class").alias("b_class"), F.col("odd").alias("b_odd")), "leaders")
+        own = left.select("bucket", "i", "class", F.col("node").alias("a"), *named("a"), "label", "size", "bands", "heavy_bands", "own_class", "odd")
         # each pair once: the leader is the earlier one in the bucket's order
         later = (F.col("label") != F.col("b_label")) & (F.struct(-F.col("size"), "label", "a") > F.struct(-F.col("b_size"), "b_label", "b"))
         # and only in the first bucket that the two share, those of sets before those of counts
@@ -276,11 +288,11 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         near = F.abs(F.col("own_class") - F.col("b_class")) <= 1
         of_sets = (F.col("class") == F.greatest("own_class", "b_class")) & ~shared("bands", F.col("i"))
         first = F.when(F.col("class") == COUNTS, ~shared("heavy_bands", F.col("i")) & ~(near & shared("bands", F.lit(BANDS)))).otherwise(of_sets)
-        pairs = own.join(chosen, "bucket").where(later & first).where(can)
+        pairs = own.join(chosen, "bucket").where(later & first).where(f"({sets_can} AND {close}) OR {counts_can}")
         new = verified(pairs.select("a", "b").distinct(), node_sets, least)
         stars = components(stars.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new))
         rest = left.drop("label", "size").join(chosen.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti")
-        done, left, block = left, written(torn(rest), "open"), min(8 * block, 1 << 30)
+        done, left, block = left, written(torn(rest), "open"), min(64 * block, 1 << 30)
         forget(done, chosen)
     forget(node_sets, alive, members, left, banded)
     return (
