@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,29 +38,37 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts lineage and survives lost executors.
-
-    The write's own shuffle files are no longer needed afterwards and are removed (a public Spark setting).
-    """
-    spark, path = df.sparkSession, new_table_path(df.sparkSession, name)
-    schema, before = df.schema, spark.conf.get(CLEANUP, None)
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """A write's own shuffle files are no longer needed afterwards and are removed (a public Spark setting)."""
+    before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path, compression="zstd")
+        yield
     finally:
         spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+    spark, path = df.sparkSession, new_table_path(df.sparkSession, name)
+    schema = df.schema
+    with shuffles_removed(spark):
+        df.write.parquet(path, compression="zstd")
     table = spark.read.schema(schema).parquet(path)
     table.path_written = path
     return table
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes the files of tables from `written` that nothing reads any more."""
     for table in tables:
-        spark, path = table.sparkSession, table.path_written
-        file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
+        removed(table.sparkSession, table.path_written)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Records lie one after the other in WARC files. A record's leaf is the SHA-256 of its bytes and its offset range; FAN consecutive nodes of a level
 have a parent, whose hash is that of their hashes and offset ranges in order and whose range spans theirs. A file's root stands for the whole file.
 
-Files are written by Spark's text writer (a record's end is the line separator) and read by its binary reader: a task parses a file at a time,
-which has FILE_PAGES pages at most, and gives the nodes of its tree. Two replicas are compared from the roots down: only children of nodes
+Files are written by Spark's text writer (a record's end is the line separator), compressed as is usual for WARC, and read by its binary reader; offsets
+are those of the plain file. A task parses a file at a time, which has FILE_PAGES pages at most, and gives the nodes of its tree. Two replicas are compared from the roots down: only children of nodes
 that differ are looked at on the next level. Records below the differing leaves are then matched by their id, which tells changed records from
 missing and additional ones; records that are merely moved by these are not reported. After a missing or additional record the ranges of the rest
 of its file differ, so that rest is opened too.
@@ -19,6 +19,7 @@ is reported record by record; other columns are not read.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections import Counter
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_table_path, written
+from .common import new_table_path, removed, shuffles_removed, written
 
 FAN = 16
 #: Page ids of a file.
@@ -54,7 +55,9 @@ def write_files(pages: DataFrame, path: str) -> None:
     """WARC files of pages (page_id, url, html), a folder per file_id."""
     file_id = F.coalesce(F.floor(F.col("page_id") / FILE_PAGES), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(4096)))
     own = pages.select(file_id.alias("file_id"), "page_id", warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    own.repartition("file_id").sortWithinPartitions("file_id", "page_id", "record").select("file_id", "record").write.option("lineSep", END).partitionBy("file_id").text(path)
+    own = own.repartition("file_id").sortWithinPartitions("file_id", "page_id", "record").select("file_id", "record")
+    with shuffles_removed(pages.sparkSession):
+        own.write.option("lineSep", END).partitionBy("file_id").text(path, compression="gzip")
 
 
 HEADER = re.compile(rb"WARC/1\.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:(-?\d*)>\r\nWARC-Target-URI: [^\r\n]*\r\nContent-Length: (\d+)\r\n\r\n")
@@ -102,10 +105,10 @@ def trees(spark: SparkSession, path: str) -> DataFrame:
         types = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         for batch in batches:
             for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(file_id, *n) for n in file_nodes(content.as_py())]
+                rows = [(file_id, *n) for n in file_nodes(gzip.decompress(content.as_py()))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [c.split()[0] for c in NODES.split(", ")])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt.gz").load(path)
     file_id = F.regexp_extract("path", r"/file_id=(-?\d+)/", 1).cast("long")
     return written(files.select(file_id.alias("file_id"), "content").mapInArrow(run, NODES), "tree")
 
@@ -152,10 +155,13 @@ def damaged(pages: DataFrame) -> DataFrame:
 def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written as WARC files twice (the second time with damage), read back and audited."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long"), "url", "html")
-    primary, replica = new_table_path(spark, "warc-primary"), new_table_path(spark, "warc-replica")
-    write_files(pages, primary)
-    write_files(damaged(pages), replica)
-    return audit(trees(spark, primary), trees(spark, replica))
+    sides = []
+    for name, own in (("warc-primary", pages), ("warc-replica", damaged(pages))):
+        path = new_table_path(spark, name)
+        write_files(own, path)
+        sides.append(trees(spark, path))
+        removed(spark, path)  # the sample's files have been read
+    return audit(*sides)
 
 
 OP8_SQL = f"""

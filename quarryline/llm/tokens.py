@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept in a worker, and words; beyond it a table starts anew (about 300 MB for both at most).
-KEPT_PIECES = 1_500_000
-KEPT_WORDS = 750_000
+#: Pieces kept in a worker, and words; beyond it a table starts anew (about 200 MB for both at most).
+KEPT_PIECES = 1_000_000
+KEPT_WORDS = 500_000
 #: Characters that are encoded at once.
-GROUP_CHARS = 8_000_000
+GROUP_CHARS = 4_000_000
 #: The pre-tokenizer's split, as given in the tokenizer file, and a piece of Latin-1 letters and then ASCII signs (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WORD_AND_SIGNS = r"^(?P<word>[A-Za-zªµºÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-/:-@\[-`{-~]*)$"

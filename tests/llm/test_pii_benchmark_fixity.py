@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 import re
@@ -218,13 +219,13 @@ def test_audit_finds_planted_damage(spark, tmp_path, monkeypatch):
 def test_damage_done_to_the_files_is_found(spark, tmp_path):
     rows = [(i, f"http://h/{i}", f"<p>{i} text</p>" * 20) for i in range(600)]
     one, _ = files(spark, rows, tmp_path / "a"), files(spark, rows, tmp_path / "b")
-    (file,) = (tmp_path / "b").glob("file_id=0/*.txt")
-    data = bytearray(file.read_bytes())
+    (file,) = (tmp_path / "b").glob("file_id=0/*.txt.gz")
+    data = bytearray(gzip.decompress(file.read_bytes()))
     records = list(fixity.parsed(bytes(data)))
     assert [r[0] for r in records] == list(range(600)) and records[0][1] == 0 and records[-1][2] == len(data)
     data[records[77][2] - 20] ^= 1  # a bit of a body
     data[records[400][1] + 3] ^= 1  # a bit of a start line
-    file.write_bytes(data)
+    file.write_bytes(gzip.compress(data))
     (tmp_path / "b" / "file_id=0" / f".{file.name}.crc").unlink(missing_ok=True)
     got = {(r.record_id, r.state, r.primary_offset) for r in fixity.audit(one, fixity.trees(spark, f"file://{tmp_path}/b")).collect()}
     assert got == {(77, "changed", records[77][1]), (400, "missing", records[400][1]), (None, "added", None)}
