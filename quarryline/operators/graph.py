@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RELATED_WEIGHT = 0.4
-#: At most this many names of a chunk are paired, as many as the classifier gives (10 entities, 10 systems).
-PAIRED_NAMES = 20
 ENTITY_TYPES = {"business_rule": "rule", "integration_flow": "process", "data_flow": "process", "process_description": "process", "entity_definition": "api_entity", "data_model": "api_entity", "data_schema": "api_entity"}
 LABELS = {"TRANSITIONS_TO": "transitions to", "CALLS": "calls", "GOVERNS": "governs", "TRIGGERS": "triggers", "HANDLES_ERROR": "handles error", "MAPS_TO": "maps to", "DEFINED_BY": "defines", "RELATED_TO": "related to"}
 
@@ -66,8 +64,8 @@ def typed_relations(chunks: DataFrame) -> DataFrame:
 
 
 def pairs_in_row(names: Column) -> Column:
-    """Unordered pairs of a chunk's names, smaller first; names are capped per chunk, so no shuffle and no self-join."""
-    own = F.slice(F.array_sort(F.array_distinct(names)), 1, PAIRED_NAMES)
+    """Unordered pairs of a chunk's names, smaller first; a chunk has few names (the classifier gives 20 at most), so no shuffle and no self-join."""
+    own = F.array_sort(F.array_distinct(names))
     return F.flatten(F.transform(own, lambda a: F.transform(F.filter(own, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
 
@@ -137,6 +135,23 @@ def supporting_chunks(entities: DataFrame, chosen: DataFrame, per_entity: int =
     return own.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("entity_id", "pos"))).where(F.col("n") <= per_query).select("query_id", "entity_id", "chunk_id")
 
 
+def walked_entities(edges: DataFrame, chosen: DataFrame, depth: int = 2, most: int = 10, typed_only: bool = True) -> DataFrame:
+    """query_id, entity_id of entities that edges lead to from a query's first `most` seed entities (query_id, entity_id), within depth + 1 hops.
+
+    The walk goes along all edges, an edge's end counts if it is typed (or typed_only is off). A hop joins the last frontier with the edges; seeds per query are few.
+    """
+    order = Window.partitionBy("query_id").orderBy("entity_id")
+    frontier = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("query_id", F.col("entity_id").alias("from_id"))
+    steps = edges.select("from_id", "to_id", "rel_type")
+    seen, found = frontier, None
+    for _ in range(depth + 1):
+        out = frontier.join(steps, "from_id").select("query_id", "to_id", "rel_type").distinct()
+        found = out if found is None else found.unionByName(out)
+        frontier = out.select("query_id", F.col("to_id").alias("from_id")).distinct().join(seen, ["query_id", "from_id"], "left_anti")
+        seen = seen.unionByName(frontier)
+    return found.where(F.lit(not typed_only) | (F.col("rel_type") != "RELATED_TO")).select("query_id", F.col("to_id").alias("entity_id")).distinct()
+
+
 def delete_document(entities: DataFrame, edges: DataFrame, doc_id: Column, chunk_of: Column) -> tuple[DataFrame, DataFrame]:
     """Both tables without a document: its id and chunks leave the arrays, rows left empty go, and edges that lose an end. chunk_of(chunk) is null for other chunks."""
     own = entities.withColumns({"doc_ids": F.array_remove("doc_ids", doc_id), "chunk_ids": F.filter("chunk_ids", chunk_of)}).where(F.size("doc_ids") > 0).withColumn("chunk_count", F.size("chunk_ids"))

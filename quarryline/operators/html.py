@@ -11,86 +11,98 @@ from urllib.parse import urljoin, urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Elements that are dropped, boilerplate names, text blocks, allowed markup and refused file endings.
-DROPPED = {"script", "style", "nav", "footer", "header", "aside", "noscript", "iframe", "form", "button", "svg", "img"}
-BOILERPLATE = re.compile(r"cookie|banner|sidebar|breadcrumb|advert|\bad\b|popup|newsletter|social", re.I)
-BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "pre", "code", "td", "th"}
+#: Elements that are dropped, parts of ids and classes of boilerplate, allowed markup and refused file endings.
+DROPPED = {"script", "style", "noscript", "nav", "footer", "aside", "header", "form", "button", "svg", "iframe", "img"}
+BOILERPLATE = {"id": ("cookie", "banner", "popup", "modal"), "class": ("cookie", "banner", "popup", "sidebar", "advertisement", "ad-")}
+HEADINGS, PARAGRAPHS, LISTINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p", "li"}, {"code", "pre"}
 VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 ALLOWED = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "br", "hr", "ul", "ol", "li", "strong", "em", "code", "pre", "blockquote", "table", "thead", "tbody", "tr", "th", "td", "a"}
 ALLOWED_ATTRIBUTES = ("href", "title")
-REFUSED = (".pdf", ".zip", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".css", ".js", ".ico", ".mp4", ".exe")
+REFUSED = (".pdf", ".zip", ".gz", ".tar", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".webp", ".woff", ".woff2", ".ttf", ".eot", ".css", ".js", ".map", ".xml", ".json", ".yaml", ".yml")
 MOST_CHARS = 50_000
 
 
 class Cleaner(HTMLParser):
+    """Texts of headings, paragraphs, list items and listings, in the order in which these begin; what lies in two of them is in both."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip: list[str] = []
-        self.lines: list[str] = []
-        self.own: list[str] = []
-        self.block: str | None = None
+        self.open: list[tuple[str, list[str] | None]] = []  # open elements, with the texts of those that give a line
+        self.found: list[tuple[str, list[str]]] = []
+        self.dropped = 0  # open elements from the outermost dropped one on
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.skip:
-            if tag not in VOID:
-                self.skip.append(tag)
-        elif tag not in VOID and (tag in DROPPED or any(k in ("id", "class") and v and BOILERPLATE.search(v) for k, v in attrs)):
-            self.skip.append(tag)
-        elif tag in BLOCKS:
-            self.close_block()
-            self.block = tag
+        if tag in VOID:
+            return
+        if self.dropped or tag in DROPPED or any(part in (v or "") for k, v in attrs for part in BOILERPLATE.get(k, ())):
+            self.dropped += 1
+            self.open.append((tag, None))
+            return
+        texts: list[str] | None = [] if tag in HEADINGS | PARAGRAPHS | LISTINGS else None
+        if texts is not None:
+            self.found.append((tag, texts))
+        self.open.append((tag, texts))
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skip:
-            if tag in self.skip:
-                while self.skip.pop() != tag:
-                    pass
-        elif tag in BLOCKS:
-            self.close_block()
+        if any(name == tag for name, _ in self.open):
+            while self.open.pop()[0] != tag:
+                self.dropped = max(0, self.dropped - 1)
+            self.dropped = max(0, self.dropped - 1)
 
     def handle_data(self, data: str) -> None:
-        if not self.skip and self.block:
-            self.own.append(data)
-
-    def close_block(self) -> None:
-        text = " ".join("".join(self.own).split())
-        if text:
-            mark = {"li": "- "}.get(self.block or "", "#" * int(self.block[1]) + " " if self.block and re.fullmatch("h[1-6]", self.block) else "")
-            self.lines.append(mark + text)
-        self.own, self.block = [], None
+        if not self.dropped and (own := data.strip()):
+            for _, texts in self.open:
+                if texts is not None:
+                    texts.append(own)
 
 
 def clean_text(html: str | None) -> str:
     parser = Cleaner()
     parser.feed(html or "")
     parser.close()
-    parser.close_block()
-    return "\n".join(parser.lines)
+    lines = []
+    for tag, texts in parser.found:
+        if text := "".join(texts):
+            lines.append(f"\n## {text}" if tag in HEADINGS else f"```\n{text}\n```" if tag in LISTINGS else text)
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
 class Sanitizer(HTMLParser):
+    """Allowed markup with safe links; other tags go, their text stays. Every element that is opened is closed."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
+        self.open: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ALLOWED:
             safe = "".join(f' {k}="{escape(v or "")}"' for k, v in attrs if tag == "a" and k in ALLOWED_ATTRIBUTES and not re.match(r"\s*(javascript|data|vbscript):", v or "", re.I))
             self.out.append(f"<{tag}{safe}>")
+            if tag not in VOID:
+                self.open.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ALLOWED and tag not in VOID:
-            self.out.append(f"</{tag}>")
+        if tag in self.open:
+            self.close_to(tag)
+
+    def close_to(self, tag: str | None) -> None:
+        while self.open:
+            self.out.append(f"</{self.open[-1]}>")
+            if self.open.pop() == tag:
+                break
 
     def handle_data(self, data: str) -> None:
         self.out.append(escape(data, quote=False))
 
 
 def sanitized_text(html: str | None) -> str:
+    """Of the first MOST_CHARS characters; a tag that is cut there goes."""
     parser = Sanitizer()
-    parser.feed(html or "")
+    parser.feed(re.sub(r"<[^<>]*\Z", "", (html or "")[:MOST_CHARS]) if len(html or "") > MOST_CHARS else html or "")
     parser.close()
-    return "".join(parser.out)[:MOST_CHARS]
+    parser.close_to(None)
+    return "".join(parser.out)
 
 
 class Links(HTMLParser):

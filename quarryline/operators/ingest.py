@@ -87,22 +87,39 @@ def claim_counts(claims: DataFrame) -> DataFrame:
     return claims.groupBy("pack_id").agg(*[F.count_if(F.col("confidence") == k).alias(k) for k in WEIGHTS])
 
 
-def evidence_report(claims: DataFrame) -> DataFrame:
-    """Per pack: claims, ids used twice, share without evidence, and whether that is over a half."""
+def evidence_report(claims: DataFrame, least_lists: tuple[str, ...] = ()) -> DataFrame:
+    """Per pack: claims, ids used twice, claims of an unknown confidence, share without evidence and whether that is over a half, issues.
+
+    claims: pack_id, claim_id, confidence, and if there `scope` and `expected_scope` (compared whatever their case) and boolean columns least_lists, of which one claim of
+    a pack must have each.
+    """
     twice = claims.groupBy("pack_id", "claim_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("pack_id").agg(F.count(F.lit(1)).alias("duplicated"))
-    own = claims.groupBy("pack_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("confidence") == "missing_evidence").alias("missing"))
-    ratio = F.col("missing") / F.col("claims")
-    return own.join(twice, "pack_id", "left").select("pack_id", "claims", F.coalesce("duplicated", F.lit(0)).alias("duplicated"), F.round(ratio, 6).alias("missing_ratio"), (ratio > 0.5).alias("weak"))
+    scoped = F.lower("scope") != F.lower("expected_scope") if {"scope", "expected_scope"} <= set(claims.columns) else F.lit(False)
+    checks = [F.count_if(~F.coalesce(F.col("confidence").isin(*WEIGHTS), F.lit(False))).alias("invalid"), F.count_if(scoped).alias("off_scope"), *[F.max(F.col(c).cast("int")).alias(f"has_{c}") for c in least_lists]]
+    own = claims.groupBy("pack_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("confidence") == "missing_evidence").alias("missing"), *checks).join(twice, "pack_id", "left")
+    ratio, duplicated = F.col("missing") / F.col("claims"), F.coalesce("duplicated", F.lit(0))
+    issues = F.array_compact(F.array(F.when(F.col("off_scope") > 0, "scope"), *[F.when(F.coalesce(f"has_{c}", F.lit(0)) == 0, f"empty_{c}") for c in least_lists], F.when(duplicated > 0, "duplicates"), F.when(F.col("invalid") > 0, "invalid_confidence"), F.when(ratio > 0.5, "missing_evidence")))
+    return own.select("pack_id", "claims", duplicated.alias("duplicated"), "invalid", F.round(ratio, 6).alias("missing_ratio"), (ratio > 0.5).alias("weak"), issues.alias("issues"))
 
 
 def section_confidence(sections: DataFrame, claims: DataFrame) -> DataFrame:
-    """Mean weight of the claims of a pack that share a word of more than four letters with a section's text. The pack is the join key."""
-    weight = F.coalesce(*[F.when(F.col("confidence") == k, v) for k, v in WEIGHTS.items()])
-    words = F.filter(F.split(F.lower("statement"), r"\s+"), lambda w: F.length(w) > 4)
-    own = claims.select("pack_id", words.alias("words"), weight.alias("w"))
-    pairs = sections.join(own, "pack_id").where(F.exists("words", lambda w: F.lower(F.col("text")).contains(w))).select("pack_id", "section", "w")
-    found = pairs.groupBy("pack_id", "section").agg(F.count("w").alias("claims"), F.avg("w").alias("confidence"))
-    return sections.select("pack_id", "section").join(found, ["pack_id", "section"], "left").select("pack_id", "section", F.coalesce("claims", F.lit(0)).alias("claims"), F.round(F.coalesce("confidence", F.lit(UNSUPPORTED)), 6).alias("confidence"))
+    """Sections (pack_id, section, text) with the mean weight of the pack's claims (claim, confidence, statement) that have a word of more than four letters in
+    common with them, the claims' ids and issues.
+
+    Words meet by an equi-join on (pack, word) after each side's words are made distinct, so that a pack's claims and sections are not paired with each other.
+    """
+    weight = F.coalesce(*[F.when(F.col("confidence") == k, v) for k, v in WEIGHTS.items()], F.lit(UNSUPPORTED))
+
+    def long_words(text: str) -> Column:
+        return F.explode(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > 4)))
+
+    own = claims.select("pack_id", "claim", weight.alias("w"), "confidence", long_words("statement").alias("word"))
+    hits = sections.select("pack_id", "section", long_words("text").alias("word")).join(own, ["pack_id", "word"]).groupBy("pack_id", "section", "claim").agg(F.first("w").alias("w"), F.first("confidence").alias("confidence"))
+    found = hits.groupBy("pack_id", "section").agg(F.count("w").alias("claims"), F.avg("w").alias("confidence"), F.count_if(F.col("confidence") == "missing_evidence").alias("missing"), F.min("claim").alias("first_claim"))
+    issues = F.when(F.col("claims").isNull(), F.array(F.lit("unverified"))).otherwise(F.array_compact(F.array(F.when(F.round("confidence", 3) < 0.4, "low_evidence_density"), F.when(F.col("missing") > 0, "missing_evidence"))))
+    return sections.select("pack_id", "section").join(found, ["pack_id", "section"], "left").select(
+        "pack_id", "section", F.coalesce("claims", F.lit(0)).alias("claims"), F.round(F.coalesce("confidence", F.lit(UNSUPPORTED)), 6).alias("confidence"), "first_claim", issues.alias("issues"),
+    )
 
 
 def openapi_schemas(specs: DataFrame) -> DataFrame:

@@ -28,12 +28,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, dl of every term of a chunk. Only a chunk's own terms are grouped."""
-    terms = chunks.select("chunk_id", F.explode(words(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return terms.join(chunks.select("chunk_id", F.size(words(F.col("text"))).cast("long").alias("dl")), "chunk_id")
-
-
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: n, avgdl."""
     return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.size(words(F.col("text"))), F.lit(0))).alias("avgdl"))
@@ -74,6 +68,78 @@ def overlap(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return own.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.count(F.lit(1)) / F.first("size"), 6).alias("score"))
 
 
+#: Queries and chunks that are multiplied at once in a task; more queries mean more passes over the chunks.
+TERM_QUERIES, TERM_CHUNKS = 512, 256
+
+
+def top_by_terms(chunks: DataFrame, weights: DataFrame, k: int, part: str, average: float = 1.0) -> DataFrame:
+    """The k best chunks of each query by a sum over common terms: query_id, chunk_id, score. weights: query_id, term, w, floor.
+
+    The weights of a block of TERM_QUERIES queries go to the tasks; a task multiplies its chunks' term parts with them and keeps k per query, so that k x
+    queries rows per task are shuffled, whatever the number of chunks that share a word with a query. part: "bm25" (of the term's count and the chunk's
+    length) or "once" (1 for every common term). A query's floor is added where a term is shared.
+    """
+    schema = "query_id long, chunk_id long, score double"
+
+    def local(rows: list[tuple], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        ids, terms = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+        q, t = {x: i for i, x in enumerate(ids)}, {x: i for i, x in enumerate(terms)}
+        w, floor, vocabulary = np.zeros((len(terms), len(ids))), np.zeros(len(ids)), pa.array(terms, pa.string())
+        for query_id, term, weight, low in rows:
+            w[t[term], q[query_id]], floor[q[query_id]] = weight, low
+        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+        for batch in batches:
+            for at in range(0, batch.num_rows, TERM_CHUNKS):
+                own = batch.slice(at, TERM_CHUNKS)
+                chunk_ids, lists = own.column(0).to_numpy(zero_copy_only=False), own.column(1)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                found = pc.index_in(pc.list_flatten(lists), value_set=vocabulary)
+                known = found.is_valid().to_numpy(zero_copy_only=False)
+                place = np.repeat(np.arange(len(sizes)), sizes)[known] * len(terms) + found.drop_null().to_numpy()
+                cells, tf = np.unique(place, return_counts=True)
+                dl = sizes[cells // len(terms)]
+                tf = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average)) if part == "bm25" else np.ones(len(tf))
+                x = np.zeros((len(sizes), len(terms)))
+                x.ravel()[cells] = tf
+                score = x @ w
+                for j in range(len(ids)):
+                    some = np.flatnonzero(score[:, j] > 0)
+                    if len(some):
+                        s, i = np.concatenate([best[j][0], np.round(score[some, j] + floor[j], 6)]), np.concatenate([best[j][1], chunk_ids[some]])
+                        order = np.lexsort((i, -s))[:k]
+                        best[j] = s[order], i[order]
+        n = [len(s) for s, _ in best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.concatenate([i for _, i in best]).astype(np.int64)), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "chunk_id", "score"])
+
+    spark, own = chunks.sparkSession, chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long"), words(F.col("text")).alias("w"))
+    blocks = -(-weights.select("query_id").distinct().count() // TERM_QUERIES)
+    found = []
+    for b in range(blocks):
+        rows = [tuple(r) for r in weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(F.col("query_id").cast("long"), "term", F.col("w").cast("double"), F.col("floor").cast("double")).collect()]
+        if rows:
+            found.append(own.mapInArrow(functools.partial(local, rows), schema))
+    return ranked(functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema), k)
+
+
+def bm25_top(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best chunks of each query by BM25+, with their rank: one pass for the query terms' document counts, one for each block of queries."""
+    wanted = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    own = chunks.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    df = own.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = corpus_stats(chunks).first()
+    weighted = wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * F.log((stats.n + 1) / F.col("df"))).alias("w"))
+    floor = weighted.groupBy("query_id").agg(F.sum(F.col("w") * DELTA).alias("floor"))
+    return top_by_terms(chunks, weighted.join(floor, "query_id"), k, "bm25", stats.avgdl or 1.0)
+
+
+def overlap_top(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k chunks with the largest share of each query's different terms, with their rank."""
+    own = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("t")).select("query_id", F.explode("t").alias("term"), (1 / F.size("t")).alias("w"), F.lit(0.0).alias("floor"))
+    return top_by_terms(chunks, own, k, "once")
+
+
 def ranked(scores: DataFrame, k: int | None = None, by: tuple[str, ...] = ("query_id",), rank: str = "rank") -> DataFrame:
     """Adds the rank within each query; keeps the first k."""
     out = scores.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "chunk_id")))
@@ -152,8 +218,9 @@ def tag_filter(candidates: DataFrame, tags: Column) -> DataFrame:
 
 def tag_filter_or_all(candidates: DataFrame, match: Column) -> DataFrame:
     """Per query the matching candidates if there are any, else all."""
-    some = F.max(F.col("__match").cast("int")).over(Window.partitionBy("query_id"))
-    return candidates.withColumn("__match", match).withColumn("__some", some).where((F.col("__some") == 0) | F.col("__match")).drop("__match", "__some")
+    own = candidates.select(F.struct(*candidates.columns).alias("row"), F.col("query_id"), match.alias("match"))
+    some = F.max(F.col("match").cast("int")).over(Window.partitionBy("query_id"))
+    return own.withColumn("some", some).where((F.col("some") == 0) | F.col("match")).select("row.*")
 
 
 def primary_tag_top(candidates: DataFrame, tag: Column, fetch: int = 10, keep: int = 2) -> DataFrame:
@@ -178,18 +245,21 @@ def tfidf_rerank(candidates: DataFrame, queries: DataFrame, stop_words: list[str
     """
     texts = candidates.select("query_id", "chunk_id", "text").unionByName(queries.select("query_id", F.lit(-1).cast("long").alias("chunk_id"), "text"))
     tokens = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"([0-9a-z_à-öø-ÿ]{2,})"), F.lit(1)), lambda t: ~t.isin(stop_words))
-    tf = texts.select("query_id", "chunk_id", F.explode(tokens).alias("term")).groupBy("query_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    per_term = tf.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    per_term = per_term.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cf"), "term"))).where(F.col("place") <= most_terms)
-    n = texts.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    weight = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    w = tf.join(per_term.join(n, "query_id"), ["query_id", "term"]).select("query_id", "chunk_id", "term", "n", weight.alias("w"))
-    q = w.where("chunk_id = -1").select("query_id", "term", F.col("w").alias("q"))
-    dots = w.join(q, ["query_id", "term"], "left").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.coalesce("q", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    qn = dots.where("chunk_id = -1").select("query_id", F.col("norm").alias("qnorm"))
-    cosine = dots.join(qn, "query_id").select("query_id", "chunk_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("cosine"))
-    out = candidates.join(cosine, ["query_id", "chunk_id"], "left").join(n.withColumnRenamed("n", "__n"), "query_id")
-    return out.withColumn("score", F.when(F.col("__n") <= 2, F.col("score")).otherwise(F.round(0.5 * F.col("score") + 0.5 * F.coalesce("cosine", F.lit(0.0)), 6))).drop("cosine", "__n")
+    query, term = Window.partitionBy("query_id"), Window.partitionBy("query_id", "term")
+    # a text without terms keeps one row, so that it counts
+    tf = texts.select("query_id", "chunk_id", F.explode_outer(tokens).alias("term")).groupBy("query_id", "chunk_id", "term").agg(F.count("term").alias("tf"))
+    own = tf.withColumns({"df": F.count(F.lit(1)).over(term), "cf": F.sum("tf").over(term)})
+    own = own.withColumns({"place": F.dense_rank().over(query.orderBy(F.desc("cf"), "term")), "n": F.size(F.collect_set("chunk_id").over(query))})
+    known = F.col("term").isNotNull() & (F.col("place") <= most_terms)
+    own = own.withColumn("w", F.when(known, F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).otherwise(0.0))
+    own = own.withColumn("q", F.coalesce(F.max(F.when(F.col("chunk_id") == -1, F.col("w"))).over(term), F.lit(0.0)))
+    dots = own.groupBy("query_id", "chunk_id").agg(F.first("n").alias("n"), F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
+    dots = dots.withColumn("qnorm", F.max(F.when(F.col("chunk_id") == -1, F.col("norm"))).over(query))
+    cosine = F.when((F.col("norm") > 0) & (F.col("qnorm") > 0), F.col("dot") / (F.col("norm") * F.col("qnorm"))).otherwise(0.0)
+    found = dots.select("query_id", "chunk_id", F.struct("n", cosine.alias("cosine")).alias("found"))
+    row = candidates.select("query_id", "chunk_id", F.struct(*candidates.columns).alias("row")).join(found, ["query_id", "chunk_id"])
+    mixed = F.when(F.col("found.n") <= 2, F.col("row.score")).otherwise(F.round(0.5 * F.col("row.score") + 0.5 * F.col("found.cosine"), 6))
+    return row.select(*[mixed.alias(c) if c == "score" else F.col(f"row.{c}").alias(c) for c in candidates.columns])
 
 
 def semantic_bonus(candidates: DataFrame, bonus_types: DataFrame, bonus: float = 0.08) -> DataFrame:
@@ -232,9 +302,18 @@ def faithfulness(ranks: DataFrame, musts: DataFrame, top: int = 3) -> DataFrame:
 
 
 def index_percentiles(values: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """Values at place floor(n * share) in ascending order, not interpolated: values (label, value)."""
-    own = values.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("value")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
-    return own.groupBy("label").agg(*[F.max(F.when(F.col("place") == F.floor(F.col("n") * p), F.col("value"))).alias(name) for name, p in shares.items()])
+    """Values at place floor(n * share) in ascending order, not interpolated: values (label, value).
+
+    Equal values are counted first; a label's different values are dealt out by their leading digits, whose counts show which part a place falls in, so
+    that a window only sees one part of a label.
+    """
+    counts = values.where("value IS NOT NULL").groupBy("label", "value").agg(F.count(F.lit(1)).alias("m")).withColumn("part", F.floor("value"))
+    parts = counts.groupBy("label", "part").agg(F.sum("m").alias("m"))
+    before = parts.select("label", "part", (F.sum("m").over(Window.partitionBy("label").orderBy("part")) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy("label")).alias("n"))
+    upto = F.sum("m").over(Window.partitionBy("label", "part").orderBy("value"))
+    own = counts.join(before, ["label", "part"]).withColumn("stop", F.col("before") + upto).withColumn("start", F.col("stop") - F.col("m"))
+    place = lambda p: F.floor(F.col("n") * p)
+    return own.groupBy("label").agg(*[F.max(F.when((F.col("start") <= place(p)) & (place(p) < F.col("stop")), F.col("value"))).alias(name) for name, p in shares.items()])
 
 
 def budgeted(entries: DataFrame, budget: int, by: tuple[str, ...], size: Column) -> DataFrame:

@@ -244,13 +244,17 @@ def claim_counts(spark, sf_dir):
 
 
 def evidence_validation(spark, sf_dir):
-    return i.evidence_report(i.normalised_claims(claims(spark, sf_dir)))
+    """Claims as they come: some of an unknown confidence; a pack needs claims of both flows (even documents) and rules (ids divisible by 7), in its own scope."""
+    own = claims(spark, sf_dir).withColumns({"scope": F.col("pack_id"), "expected_scope": F.when(F.col("doc_id") % 501 == 0, "other").otherwise(F.upper("pack_id")), "flows": F.col("doc_id") % 2 == 0, "rules": F.col("doc_id") % 7 == 0})
+    return i.evidence_report(own, ("flows", "rules"))
 
 
 def section_evidence(spark, sf_dir):
-    """Claims of a source whose long words occur in the source's first documents (its sections), and the sections' confidence."""
-    sections = table(spark, sf_dir, "documents").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 5").select(F.col("source").alias("pack_id"), F.col("doc_id").alias("section"), "text")
-    return i.section_confidence(sections, i.normalised_claims(claims(spark, sf_dir)))
+    """Documents as sections, in packs of a source's 64 neighbouring ids; a claim is part of its document's pack. Sections with the claims that share a long word with them."""
+    pack = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 64).cast("string"))
+    sections = table(spark, sf_dir, "documents").select(pack.alias("pack_id"), F.col("doc_id").alias("section"), "text")
+    own = i.normalised_claims(claims(spark, sf_dir)).select(F.concat_ws("-", "pack_id", F.floor(F.col("doc_id") / 64).cast("string")).alias("pack_id"), F.col("doc_id").alias("claim"), "statement", "confidence")
+    return i.section_confidence(sections, own)
 
 
 def golden_union(spark, sf_dir):
@@ -345,10 +349,20 @@ SQL = {
     "log_page": "SELECT event_id, event_type FROM events WHERE event_id >= 500 ORDER BY event_id LIMIT 100",
     "claims_normalised": f"WITH {CLAIMS} SELECT doc_id, pack_id, claim_id, confidence FROM cl",
     "claim_counts": f"WITH {CLAIMS} SELECT pack_id, count(*) FILTER (confidence = 'confirmed') AS confirmed, count(*) FILTER (confidence = 'inferred') AS inferred, count(*) FILTER (confidence = 'to_validate') AS to_validate, count(*) FILTER (confidence = 'missing_evidence') AS missing_evidence FROM cl GROUP BY 1",
-    "evidence_validation": f"WITH {CLAIMS}, d AS (SELECT pack_id, count(*) AS duplicated FROM (SELECT pack_id, claim_id FROM cl GROUP BY ALL HAVING count(*) > 1) GROUP BY 1), a AS (SELECT pack_id, count(*) AS claims, count(*) FILTER (confidence = 'missing_evidence') AS missing FROM cl GROUP BY 1) SELECT pack_id, claims, coalesce(duplicated, 0) AS duplicated, round(missing / claims, 6) AS missing_ratio, missing / claims > 0.5 AS weak FROM a LEFT JOIN d USING (pack_id)",
-    "section_evidence": f"""WITH {CLAIMS}, s AS (SELECT source AS pack_id, doc_id AS section, text FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5),
-        m AS (SELECT s.pack_id, s.section, cl.doc_id AS claim, CASE confidence WHEN 'confirmed' THEN 1.0 WHEN 'inferred' THEN 0.7 WHEN 'to_validate' THEN 0.5 ELSE 0.2 END AS w FROM s JOIN cl USING (pack_id) WHERE len(list_filter(regexp_split_to_array(lower(statement), '\\s+'), lambda x: length(x) > 4 AND contains(lower(s.text), x))) > 0)
-        SELECT s.pack_id, s.section, count(w) AS claims, CAST(round(coalesce(avg(w), 0.5), 6) AS DOUBLE) AS confidence FROM s LEFT JOIN m ON s.pack_id = m.pack_id AND s.section = m.section GROUP BY ALL""",
+    "evidence_validation": """WITH cl AS (SELECT source AS pack_id, 'C-' || (doc_id % 97) AS claim_id, CASE WHEN doc_id % 13 = 0 THEN 'maybe' WHEN toxic = 1 THEN 'to_validate' WHEN quality = 1 THEN 'confirmed' ELSE 'inferred' END AS confidence, doc_id FROM labels JOIN documents USING (doc_id)),
+        d AS (SELECT pack_id, count(*) AS duplicated FROM (SELECT pack_id, claim_id FROM cl GROUP BY ALL HAVING count(*) > 1) GROUP BY 1),
+        a AS (SELECT pack_id, count(*) AS claims, count(*) FILTER (confidence = 'maybe') AS invalid, count(*) FILTER (confidence = 'missing_evidence') AS missing, count(*) FILTER (doc_id % 501 = 0) AS off, count(*) FILTER (doc_id % 2 = 0) AS flows, count(*) FILTER (doc_id % 7 = 0) AS rules FROM cl GROUP BY 1)
+        SELECT pack_id, claims, coalesce(duplicated, 0) AS duplicated, invalid, round(missing / claims, 6) AS missing_ratio, missing / claims > 0.5 AS weak,
+          list_filter([CASE WHEN off > 0 THEN 'scope' END, CASE WHEN flows = 0 THEN 'empty_flows' END, CASE WHEN rules = 0 THEN 'empty_rules' END, CASE WHEN duplicated > 0 THEN 'duplicates' END, CASE WHEN invalid > 0 THEN 'invalid_confidence' END, CASE WHEN missing / claims > 0.5 THEN 'missing_evidence' END], lambda x: x IS NOT NULL) AS issues
+        FROM a LEFT JOIN d USING (pack_id)""",
+    "section_evidence": f"""WITH {CLAIMS}, s AS (SELECT source || '-' || (doc_id // 64) AS pack_id, doc_id AS section, text FROM documents),
+        cw AS (SELECT DISTINCT pack_id || '-' || (doc_id // 64) AS pack_id, doc_id AS claim, confidence, unnest(list_filter(regexp_split_to_array(lower(statement), '\\s+'), lambda x: length(x) > 4)) AS word FROM cl),
+        sw AS (SELECT DISTINCT pack_id, section, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(x) > 4)) AS word FROM s),
+        m AS (SELECT DISTINCT pack_id, section, claim, confidence, CASE confidence WHEN 'confirmed' THEN 1.0 WHEN 'inferred' THEN 0.7 WHEN 'to_validate' THEN 0.5 ELSE 0.2 END AS w FROM cw JOIN sw USING (pack_id, word)),
+        g AS (SELECT pack_id, section, count(*) AS claims, avg(w) AS confidence, count(*) FILTER (confidence = 'missing_evidence') AS missing, min(claim) AS first_claim FROM m GROUP BY ALL)
+        SELECT s.pack_id, s.section, coalesce(claims, 0) AS claims, CAST(round(coalesce(confidence, 0.5), 6) AS DOUBLE) AS confidence, first_claim,
+          CASE WHEN claims IS NULL THEN ['unverified'] ELSE list_filter([CASE WHEN round(confidence, 3) < 0.4 THEN 'low_evidence_density' END, CASE WHEN missing > 0 THEN 'missing_evidence' END], lambda x: x IS NOT NULL) END AS issues
+        FROM s LEFT JOIN g ON s.pack_id = g.pack_id AND s.section = g.section""",
     "golden_union": "WITH u AS (SELECT item_id AS id, 0 AS domain, length(text) AS chars FROM benchmark UNION ALL SELECT doc_id, 1, length(text) FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY domain) AS n FROM u) SELECT id, CAST(domain AS INTEGER) AS domain, CAST(chars AS INTEGER) AS chars FROM n WHERE n = 1",
     "eval_compare": "WITH m AS (SELECT doc_id % 2 AS k, avg(quality) AS quality, avg(toxic) AS toxic FROM labels GROUP BY 1), u AS (SELECT k, 'quality' AS metric, quality AS v FROM m UNION ALL SELECT k, 'toxic', toxic FROM m) SELECT metric, round(a.v, 6) AS base, round(b.v, 6) AS new, round(b.v - a.v, 6) AS delta, round((b.v - a.v) / a.v * 100, 3) AS percent FROM u a JOIN u b USING (metric) WHERE a.k = 0 AND b.k = 1",
     "unified_documents": "SELECT 'doc-' || doc_id AS id, source, lang, NULL AS url FROM documents UNION ALL SELECT 'page-' || page_id, NULL, NULL, url FROM pages",

@@ -6,7 +6,7 @@ the candidates and typed relations of the text rules.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as x
@@ -106,10 +106,18 @@ def graph_seed_entities(spark, sf_dir):
     return g.entities_of_chunks(entities(spark, sf_dir), seeds(spark, sf_dir))
 
 
+def both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from systems to parts, and back as untyped ones."""
+    own = edges(spark, sf_dir).select("from_id", "to_id", "rel_type")
+    return own.unionByName(own.where("rel_type <> 'RELATED_TO'").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), F.lit("RELATED_TO").alias("rel_type")))
+
+
 def graph_expansion(spark, sf_dir):
-    """Seed chunks -> entities -> their first chunks, at the score of expanded chunks."""
-    e = entities(spark, sf_dir)
-    return g.supporting_chunks(e, g.entities_of_chunks(e, seeds(spark, sf_dir))).withColumn("score", F.lit(0.05))
+    """A customer's five best (dearest) orders -> their parts -> parts that typed edges lead to within three hops -> their first orders, at the score of expanded chunks."""
+    e, o = entities(spark, sf_dir), table(spark, sf_dir, "orders").where("o_custkey % 20 = 0")
+    best = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("n")).where("n <= 5").drop("n")
+    reached = g.walked_entities(both_ways(spark, sf_dir), g.entities_of_chunks(e, best), 2)
+    return g.supporting_chunks(e, reached).withColumn("score", F.lit(0.05))
 
 
 def graph_entity_detail(spark, sf_dir):
@@ -189,7 +197,15 @@ SQL = {
     "graph_neighbourhood": f"WITH RECURSIVE {HIERARCHY}, walk AS (SELECT 'R' || r_regionkey AS node, 0 AS depth FROM region WHERE r_name LIKE 'A%' UNION SELECT to_id, depth + 1 FROM walk JOIN tree ON node = from_id WHERE depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node",
     "graph_subgraph": f"WITH RECURSIVE {HIERARCHY}, walk AS (SELECT 'R' || r_regionkey AS node, 0 AS depth FROM region WHERE r_name LIKE 'A%' UNION SELECT to_id, depth + 1 FROM walk JOIN tree ON node = from_id WHERE depth < 2) SELECT from_id, to_id FROM tree WHERE from_id IN (SELECT node FROM walk) AND to_id IN (SELECT node FROM walk)",
     "graph_seed_entities": f"WITH {LINES}, {SEEDS} SELECT * FROM se",
-    "graph_expansion": f"WITH {LINES}, {SEEDS}, s AS (SELECT query_id, entity_id, unnest(chunk_ids[1:2]) AS chunk_id, generate_subscripts(chunk_ids[1:2], 1) AS pos FROM se JOIN ents USING (entity_id)), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY entity_id, pos) AS n FROM s) SELECT query_id, entity_id, chunk_id, CAST(0.05 AS DOUBLE) AS score FROM n WHERE n <= 20",
+    "graph_expansion": f"""WITH {LINES}, b AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders WHERE o_custkey % 20 = 0) WHERE n <= 5),
+        e0 AS (SELECT query_id, entity_id FROM (SELECT query_id, part AS entity_id, row_number() OVER (PARTITION BY query_id ORDER BY part) AS n FROM (SELECT DISTINCT query_id, part FROM lines JOIN b USING (chunk_id))) WHERE n <= 10),
+        w AS (SELECT from_id, to_id, rel_type FROM rels UNION ALL SELECT to_id, from_id, 'RELATED_TO' FROM rels WHERE rel_type <> 'RELATED_TO'),
+        h1 AS (SELECT DISTINCT query_id, to_id, rel_type FROM e0 JOIN w ON entity_id = from_id), f1 AS (SELECT DISTINCT query_id, to_id AS entity_id FROM h1 EXCEPT SELECT query_id, entity_id FROM e0),
+        h2 AS (SELECT DISTINCT query_id, to_id, rel_type FROM f1 JOIN w ON entity_id = from_id), f2 AS (SELECT DISTINCT query_id, to_id AS entity_id FROM h2 EXCEPT SELECT * FROM e0 EXCEPT SELECT * FROM f1),
+        h3 AS (SELECT DISTINCT query_id, to_id, rel_type FROM f2 JOIN w ON entity_id = from_id),
+        r AS (SELECT DISTINCT query_id, to_id AS entity_id FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) WHERE rel_type <> 'RELATED_TO'),
+        s AS (SELECT query_id, entity_id, unnest(chunk_ids[1:2]) AS chunk_id, generate_subscripts(chunk_ids[1:2], 1) AS pos FROM r JOIN ents USING (entity_id)), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY entity_id, pos) AS n FROM s)
+        SELECT query_id, entity_id, chunk_id, CAST(0.05 AS DOUBLE) AS score FROM n WHERE n <= 20""",
     "graph_entity_detail": f"WITH {LINES}, i AS (SELECT part AS entity_id, list_sort(list(DISTINCT system)) AS incoming FROM lines GROUP BY part), f AS (SELECT entity_id, unnest(chunk_ids[1:3]) AS chunk_id, generate_subscripts(chunk_ids[1:3], 1) AS pos FROM ents), p AS (SELECT entity_id, list(o_orderpriority ORDER BY pos) AS previews FROM f JOIN orders ON chunk_id = o_orderkey GROUP BY entity_id) SELECT entity_id, incoming, previews FROM ents LEFT JOIN i USING (entity_id) LEFT JOIN p USING (entity_id)",
     "graph_delete_document": f"WITH {LINES}, e AS (SELECT part AS id, count(DISTINCT chunk_id) AS n FROM lines WHERE doc_id <> 3 GROUP BY 1), r AS (SELECT rel_id AS id, len(list_filter(doc_ids, lambda d: d <> 3)) AS n, from_id, to_id FROM rels) SELECT id, n FROM e UNION ALL SELECT id, n FROM r WHERE n > 0 AND from_id IN (SELECT id FROM e) AND to_id IN (SELECT id FROM e)",
     "graph_delete_entities": f"WITH {LINES} SELECT rel_id, from_id, to_id FROM rels WHERE to_id NOT IN (SELECT entity_id FROM ents WHERE len(chunk_ids) < 20)",

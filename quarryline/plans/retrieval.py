@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.operators import retrieval as r
+from quarryline.sources.tables import stored
 
 INTENTS = ("overview", "business_rules", "data_mapping", "errors", "architecture")
 #: Word lists that are added to a query for its intent, and the chunk types that earn a bonus.
@@ -72,8 +73,8 @@ truth AS (SELECT DISTINCT item_id AS query_id, doc_id AS item FROM benchmark JOI
 
 def two_lists(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     c, q = chunks(spark, sf_dir), text_queries(spark, sf_dir)
-    a = r.ranked(r.bm25(c, q), k).withColumn("list", F.lit("a"))
-    b = r.ranked(r.overlap(c, q), k).withColumn("list", F.lit("b"))
+    a = r.bm25_top(c, q, k).withColumn("list", F.lit("a"))
+    b = r.overlap_top(c, q, k).withColumn("list", F.lit("b"))
     return a.unionByName(b).drop("rank").join(c.select("chunk_id", F.substring("text", 1, 100).alias("key")), "chunk_id")
 
 
@@ -99,7 +100,7 @@ def retrieval_bm25_scores(spark, sf_dir):
 
 
 def retrieval_bm25_topk(spark, sf_dir):
-    return r.ranked(r.bm25(chunks(spark, sf_dir), text_queries(spark, sf_dir)), 5)
+    return r.bm25_top(chunks(spark, sf_dir), text_queries(spark, sf_dir), 5)
 
 
 def query_variants(spark, sf_dir):
@@ -129,10 +130,11 @@ def ensemble_threshold(spark, sf_dir):
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates after fusion, cut to 30, with text, tags and the query's intent."""
+    """Candidates after fusion, cut to 30, with text, tags and the query's intent; written once (30 rows a query), as queries read them several times."""
     c = chunks(spark, sf_dir).select("chunk_id", "text", "source", "lang", F.concat_ws(",", "source", "lang").alias("tags_csv"))
     intent = F.element_at(F.array(*[F.lit(i) for i in INTENTS]), (F.col("query_id") % len(INTENTS) + 1).cast("int"))
-    return r.ranked(r.ensemble(two_lists(spark, sf_dir), {"a": r.ENSEMBLE[0], "b": r.ENSEMBLE[1]}), 30).select("query_id", "chunk_id", "score").join(c, "chunk_id").withColumn("intent", intent)
+    own = r.ranked(r.ensemble(two_lists(spark, sf_dir), {"a": r.ENSEMBLE[0], "b": r.ENSEMBLE[1]}), 30).select("query_id", "chunk_id", "score")
+    return stored(own.join(c, "chunk_id").withColumn("intent", intent), "fused")
 
 
 INTENT_SQL = "CASE query_id % 5 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(INTENTS)) + " END"
@@ -164,8 +166,9 @@ def tag_kb_variant(spark, sf_dir):
 
 def judge_rescore(spark, sf_dir):
     """Labels judge the fused candidates of even queries."""
-    judged = fused(spark, sf_dir).where("query_id % 2 = 0").join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "chunk_id"), "chunk_id").groupBy("query_id", "chunk_id").agg(F.max(F.col("quality") + 0.5).alias("judge_score"))
-    return r.rescored(fused(spark, sf_dir).select("query_id", "chunk_id", "score"), judged).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    own = fused(spark, sf_dir)
+    judged = own.where("query_id % 2 = 0").join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "chunk_id"), "chunk_id").groupBy("query_id", "chunk_id").agg(F.max(F.col("quality") + 0.5).alias("judge_score"))
+    return r.rescored(own.select("query_id", "chunk_id", "score"), judged).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def tfidf_rerank(spark, sf_dir):
@@ -195,7 +198,7 @@ def semantic_bonus(spark, sf_dir):
     """Chunk types stand in by language here; the bonus table is derived from the intents."""
     kinds = F.create_map(*[F.lit(x) for kv in (("en", "system_overview"), ("fr", "business_rule"), ("de", "error_handling"), ("es", "api_contract")) for x in kv])
     own = fused(spark, sf_dir).withColumn("semantic_type", kinds[F.col("lang")])
-    bonus = own.select("intent").distinct().withColumn("semantic_type", F.explode(F.create_map(*[x for k, v in BONUS_TYPES.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])[F.col("intent")]))
+    bonus = spark.createDataFrame([(k, t) for k, v in BONUS_TYPES.items() for t in v], "intent string, semantic_type string")
     return r.ranked(r.semantic_bonus(own, bonus), 10).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -245,14 +248,14 @@ def metric_ndcg5_dense(spark, sf_dir):
 
 def metric_summary_bm25(spark, sf_dir):
     """Mean recall@5, reciprocal rank and NDCG@5 of BM25+ against word-for-word truth."""
-    ranks = r.ranked(r.bm25(chunks(spark, sf_dir), text_queries(spark, sf_dir)), 10).withColumnRenamed("chunk_id", "item")
+    ranks = r.bm25_top(chunks(spark, sf_dir), text_queries(spark, sf_dir), 10).withColumnRenamed("chunk_id", "item")
     t = truth(spark, sf_dir)
     own = r.recall_at(ranks, t, 5).join(r.reciprocal_ranks(ranks, t), "query_id").join(r.ndcg_at(ranks, t, 5), "query_id")
     return own.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("recall"), 5).alias("recall5"), F.round(F.avg("rr"), 5).alias("mrr"), F.round(F.avg("ndcg"), 5).alias("ndcg5"))
 
 
 def top_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.ranked(r.bm25(chunks(spark, sf_dir), text_queries(spark, sf_dir)), 5).join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    return r.bm25_top(chunks(spark, sf_dir), text_queries(spark, sf_dir), 5).join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
 
 
 def metric_keyword_coverage(spark, sf_dir):

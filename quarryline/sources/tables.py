@@ -64,11 +64,31 @@ def write_report(metrics: DataFrame, path: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the session's shared checkpoint folder; on one machine without it, a temporary one."""
+    """A new folder in the session's shared checkpoint folder; a session on this machine alone gets a temporary one, on a cluster it must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(table: DataFrame, name: str) -> DataFrame:
+    """The table, written to the shared folder and read again: what several branches of a plan read is computed once, and survives lost executors."""
+    path = scratch(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    """The number of the last complete version of a table under root; None if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    names = [f.getPath() for f in files.listStatus(path) if f.getPath().getName().startswith("version=")]
+    done = [int(p.getName().split("=")[1]) for p in names if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(done, default=None)

@@ -1,7 +1,8 @@
 """Structured Streaming jobs: logs, audit events, progress and incremental ingestion. Each runs with availableNow and ends when its input is read.
 
 Watermarks equal the retention of the logs: later rows are dropped. Aggregates are written per batch as a new version of their table, so that a retried batch
-replaces its own version.
+replaces its own version. All state is in the checkpoint and in the tables themselves, none in the driver: a stopped job that is started again on the same
+folders goes on where it was.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as x
-from quarryline.sources.tables import replaced_per_source, scratch, write_version
+from quarryline.sources.tables import latest_version, replaced_per_source, scratch, write_version
 
 RETENTION = "90 days"
 
@@ -31,14 +32,15 @@ def appended(stream: DataFrame, out: str) -> DataFrame:
 
 
 def versioned(stream: DataFrame, out: str, mode: str, step: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Runs a stream whose batches (after step) are versions of a table; the last one is the result."""
-    spark, last = stream.sparkSession, []
+    """Runs a stream whose batches (after step) are versions of a table; the last one that is complete is the result, also of a run without new input."""
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        last.append(write_version(step(batch, number) if step else batch, out, number))
+        write_version(step(batch, number) if step else batch, out, number)
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(last[-1]) if last else spark.createDataFrame([], stream.schema)
+    last = latest_version(spark, out)
+    return spark.createDataFrame([], stream.schema) if last is None else spark.read.parquet(f"{out}/version={last:09d}")
 
 
 def structured_log(messages: DataFrame) -> DataFrame:
@@ -57,18 +59,42 @@ def progress(events: DataFrame) -> DataFrame:
 
 
 def ingest(documents: DataFrame, out: str) -> DataFrame:
-    """Batches of documents replace the chunks of their ids: id, content hash, size. Repeated rows of a batch count once."""
-    spark, before = documents.sparkSession, []
+    """Batches of documents replace the chunks of their ids where their content has changed: id, source, content hash, size.
+
+    Of a batch's rows with one id the one with the smallest hash counts. Beside the table's versions, out-runs gets a row per batch (new, changed and unchanged ids,
+    whether anything changed) and out-snapshots the hashes that a batch brought: both are written by batch number, so that a retried batch replaces its own.
+    """
+    spark = documents.sparkSession
 
     def step(batch: DataFrame, number: int) -> DataFrame:
-        new = batch.dropDuplicates(["doc_id"]).select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.length("text").alias("chars"))
-        old = spark.read.parquet(before[-1]) if before else None
-        before.append(f"{out}/version={number:09d}")
-        return new if old is None else replaced_per_source(old, new, "doc_id")
+        found = batch.select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.length("text").alias("chars"))
+        new = found.groupBy("doc_id").agg(F.min_by(F.struct("source", "content_hash", "chars"), F.struct("content_hash", "source")).alias("own")).select("doc_id", "own.*")
+        # a batch that is tried again starts from the version before it
+        before = latest_before(spark, out, number)
+        old = spark.read.parquet(f"{out}/version={before:09d}") if before is not None else spark.createDataFrame([], new.schema)
+        state = new.join(old.select("doc_id", F.col("content_hash").alias("old_hash")), "doc_id", "left")
+        state = state.withColumn("state", F.when(F.col("old_hash").isNull(), "new").when(F.col("old_hash") == F.col("content_hash"), "unchanged").otherwise("changed"))
+        write_version(state.select("doc_id", "content_hash", "state"), f"{out}-snapshots", number)
+        counts = [F.count_if(F.col("state") == s).alias(s) for s in ("new", "changed", "unchanged")]
+        run = spark.read.parquet(f"{out}-snapshots/version={number:09d}").agg(*counts).select(F.lit(number).alias("run"), "*", ((F.col("new") + F.col("changed")) > 0).alias("diff"))
+        write_version(run, f"{out}-runs", number)
+        fresh = state.where("state <> 'unchanged'").select(*new.columns)
+        return replaced_per_source(old, fresh, "doc_id")
 
     return versioned(documents, out, "append", step)
 
 
+def latest_before(spark: SparkSession, out: str, number: int) -> int | None:
+    """The last complete version before a number: batches are numbered without gaps, so it is the one before or there is none."""
+    last = latest_version(spark, out)
+    return None if last is None or number == 0 else min(last, number - 1)
+
+
+def ingestion_runs(spark: SparkSession, out: str) -> DataFrame:
+    """Run rows of all batches so far."""
+    return spark.read.parquet(f"{out}-runs/version=*")
+
+
 def run_log_stream(spark: SparkSession, path: str, message: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return appended(structured_log(message(stream_of(spark, path))), scratch(spark, "log-stream"))
 
@@ -81,5 +107,6 @@ def run_progress(spark: SparkSession, path: str) -> DataFrame:
     return versioned(progress(stream_of(spark, path)), scratch(spark, "progress"), "complete")
 
 
-def run_ingest(spark: SparkSession, path: str) -> DataFrame:
-    return ingest(stream_of(spark, path, 1), scratch(spark, "ingest"))
+def run_ingest(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
+    """out: the table's folder; a run on the same one goes on from there."""
+    return ingest(stream_of(spark, path, 1), out or scratch(spark, "ingest"))

@@ -51,3 +51,17 @@ def test_log_stream_equals_batch(spark, tmp_path):
     lines.write.parquet(f"file://{tmp_path}/log")
     batch = sorted(map(tuple, jobs.structured_log(spark.read.parquet(f"file://{tmp_path}/log")).collect()))
     assert sorted(map(tuple, jobs.run_log_stream(spark, f"file://{tmp_path}/log", lambda d: d).collect())) == batch == [("ERROR", "b"), ("INFO", "plain"), ("LLM", "a")]
+
+
+def test_ingestion_goes_on_after_a_restart(spark, tmp_path):
+    """A second run on the same folders only reads what is new, and keeps what the first one made."""
+    out, schema = f"file://{tmp_path}/table", "doc_id long, source string, text string"
+    spark.createDataFrame([(1, "s", "one"), (2, "s", "two"), (2, "s", "two")], schema).coalesce(1).write.parquet(f"file://{tmp_path}/docs")
+    assert jobs.run_ingest(spark, f"file://{tmp_path}/docs", out).count() == 2
+    spark.createDataFrame([(2, "s", "changed"), (3, "t", None), (1, "s", "one")], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/docs")
+    rows = {r.doc_id: r.chars for r in jobs.run_ingest(spark, f"file://{tmp_path}/docs", out).collect()}
+    assert rows == {1: 3, 2: 7, 3: None}
+    runs = [tuple(r) for r in jobs.ingestion_runs(spark, out).orderBy("run").select("run", "new", "changed", "unchanged", "diff").collect()]
+    assert runs == [(0, 2, 0, 0, True), (1, 1, 1, 1, True)]
+    # without new files nothing happens
+    assert jobs.run_ingest(spark, f"file://{tmp_path}/docs", out).count() == 3 and jobs.ingestion_runs(spark, out).count() == 2

@@ -39,30 +39,29 @@ def test_guard_and_slugs(spark):
     assert of(spark, x.private_url, "http://10.1.2.3/x", "https://example.com", "ftp://a.b", "http://localhost:80", None, "http://172.20.0.1") == [True, False, True, True, True, True]
 
 
-def plain_fixed(text, size, overlap):
-    """The cutter restated: position by position."""
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            for mark in (". ", ".\n", "\n\n", "\n", " "):
-                places = [i for i in range(start + size // 2, end - len(mark) + 1) if text.startswith(mark, i)]
-                if places:
-                    end = places[-1] + len(mark)
-                    break
-        if text[start:end].strip():
-            out.append(text[start:end].strip())
-        start = max(end - overlap, start + 1)
-    return out
-
-
 def test_fixed_chunks(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    want = [(r.doc_id, k, t) for r in docs.collect() for k, t in enumerate(plain_fixed(r.text, chunking.SIZE, chunking.OVERLAP))]
-    assert sorted(want) == sorted((r.doc_id, r.chunk_index, r.text) for r in chunking.fixed(docs).collect())
+    # stated pieces: the best break in the second half wins over a later one of another kind
+    assert chunking.fixed_pieces("aaaa bbbb. cccc dddd", 16, 4) == [(0, 11, "aaaa bbbb."), (7, 20, "bb. cccc dddd"), (19, 20, "d")]
+    assert chunking.fixed_pieces("one two three", 8, 2) == [(0, 8, "one two"), (6, 13, "o three"), (12, 13, "e")]
+    assert chunking.fixed_pieces("\n a\n\n\n\nb ", 10, 0) == [(0, 4, "a\n\nb")]
     assert len(chunking.fixed_pieces("x" * 900)) == 2  # the tail is cut again
     assert all(len(p[2]) <= 100 for p in chunking.fixed_pieces("Word " * 100, 100, 20))
-    assert chunking.fixed_pieces("") == []
+    assert chunking.fixed_pieces("") == [] == chunking.fixed_pieces(" \n ")
+    # properties over whole documents: in order, covering, of bounded size, overlapping, and ended by a break where the text goes on
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts, found = {r.doc_id: chunking.normalised(r.text) for r in docs.collect()}, {}
+    for r in chunking.fixed(docs).orderBy("doc_id", "chunk_index").collect():
+        found.setdefault(r.doc_id, []).append(r)
+    for doc_id, text in texts.items():
+        own = found.get(doc_id, [])
+        assert [r.chunk_index for r in own] == list(range(len(own))) and (own or not text)
+        for r, after in zip(own, own[1:] + [None], strict=True):
+            assert r.text == text[r.char_start : r.char_end].strip() and 0 < r.char_end - r.char_start <= chunking.SIZE
+            if after and r.char_end < len(text):
+                assert after.char_start == r.char_end - chunking.OVERLAP
+                half = text[r.char_start + chunking.SIZE // 2 : r.char_start + chunking.SIZE]
+                assert text[: r.char_end].endswith(chunking.BREAKS) or not any(b in half for b in chunking.BREAKS)
+        assert not text or (own[0].char_start == 0 and max(r.char_end for r in own) == len(text))
 
 
 def test_recursive_chunks_cover_the_text():
@@ -73,8 +72,9 @@ def test_recursive_chunks_cover_the_text():
         assert all(len(t) <= 120 and t for _, _, t in own)
         covered = set()
         for a, b, t in own:
-            assert text[a:b].strip() == t
+            assert chunking.normalised(text)[a:b].strip() == t
             covered.update(range(a, b))
+        text = chunking.normalised(text)
         assert all(i in covered or text[i].isspace() for i in range(len(text)))
     two = "## A\n" + "a" * 300 + "\n## B\n" + "b" * 300
     assert [t[:4] for *_, t in chunking.recursive_pieces(two, 400, 0)] == ["## A", "## B"]
@@ -84,10 +84,17 @@ PAGE = '<html><nav><a href="/n">menu</a></nav><script>var x</script><h1>Title</h
 
 
 def test_html_helpers():
-    assert html.clean_text(PAGE) == "# Title\nOne two\n- item"
+    # every level of heading is one, bullets have no mark, pieces of a text are joined without a blank
+    assert html.clean_text(PAGE) == "## Title\nOnetwo\nitem"
+    assert html.clean_text("<h3>T</h3><ul><li><p>a</p></li><li>b</li></ul><pre>x=1\ny=2</pre>") == "## T\na\na\nb\n```\nx=1\ny=2\n```"
+    assert html.clean_text('<div id="my-modal">no</div><p class="crumb">yes</p><div class="ad-box"><p>no</p></div><p>a<br>b &amp; c</p><p>open') == "yes\nab & c\nopen"
     assert html.page_links("http://h.com/x/", PAGE) == ["http://h.com/a", "http://h.com/n"]
     assert "http://other.org/" in html.page_links("http://h.com/x/", PAGE, same_domain=False)
     assert html.sanitized_text('<p onclick="x">a<script>b</script><a href="javascript:1" title="t">c</a>') == '<p>ab<a title="t">c</a>'
+    long = html.sanitized_text("<p>" + "x" * (html.MOST_CHARS - 8) + '<a href="http://h/">link</a>')
+    assert long == "<p>" + "x" * (html.MOST_CHARS - 8) + "</p>"
+    assert html.sanitized_text("<ul><li>a<li>b</ul></p>") == "<ul><li>a<li>b</li></li></ul>"
+    assert html.page_links("http://h.com/", '<a href="a.json">1</a><a href="b.exe">2</a>') == ["http://h.com/b.exe"]
     assert html.clean_text(None) == "" and html.page_links(None, None) == []
 
 
