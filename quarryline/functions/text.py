@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -88,6 +88,36 @@ def confidence(text: Column, kind: Column) -> Column:
     return F.round(F.least(F.lit(0.5) + sum((s.cast("int") for s in signals), F.lit(0)) * 0.1, F.lit(0.95)), 2)
 
 
+def marker_count(low: Column, group: str) -> Column:
+    """Number of the group's markers in a lower-case text."""
+    return sum((low.contains(m).cast("int") for m in MARKERS[group]), F.lit(0))
+
+
+def with_semantic_type(chunks: DataFrame, text: str = "text", chunk_type: str = "chunk_type") -> DataFrame:
+    """Adds semantic_type and confidence. The lower-case text, the markers' counts and the names are computed once a row, each in a projection of its own."""
+    groups = [g for g, _, _ in PRIORITY]
+    own = chunks.select(F.struct(*chunks.columns).alias("row"), F.col(text).alias("t"), F.col(chunk_type).alias("k"), F.lower(text).alias("low"))
+    own = own.select("row", "k", F.length("t").alias("length"), *[marker_count(F.col("low"), g).alias(g) for g in groups], F.size(field_names(F.col("t"))).alias("fields"), F.size(entity_names(F.col("t"))).alias("entities"), F.size(system_names(F.col("t"))).alias("systems"))
+    kind = F.when(F.col("k") == "figure", "diagram_or_visual").when(F.col("k") == "table", "data_mapping_candidate")
+    for group, least, name in PRIORITY:
+        kind = kind.when(F.col(group) >= least, name)
+    kind = kind.when(F.col("fields") >= 3, "field_definition").when(F.col("entities") >= 3, "entity_definition")
+    kind = kind.when((F.col("k") == "text") & (F.col("length") > 100) & (F.col("fields") == 0) & (F.col("entities") <= 1), "system_overview").otherwise("generic_context")
+    own = own.select("row", kind.alias("semantic_type"), "rule", "fields", "entities", "systems")
+    signals = [F.col("rule") >= 2, F.col("fields") >= 3, F.col("entities") >= 2, F.col("systems") >= 1, ~F.col("semantic_type").isin("generic_context", "system_overview")]
+    score = F.round(F.least(F.lit(0.5) + sum((x.cast("int") for x in signals), F.lit(0)) * 0.1, F.lit(0.95)), 2)
+    return own.select("row.*", "semantic_type", score.alias("confidence"))
+
+
+def enriched(chunks: DataFrame, force: bool = False) -> DataFrame:
+    """Chunks (version, text, chunk_type, ...) of the first version become ones of the second: semantic_type, confidence, entities_csv, modality. Those that are of the
+    second already keep their rows, with nulls there, unless force. enriched tells which were worked on."""
+    old = F.lit(True) if force else F.coalesce(F.col("version") != "v2", F.lit(True))
+    modality = F.when(F.col("chunk_type") == "figure", "visual").when(F.col("chunk_type") == "table", "table").otherwise("text")
+    done = with_semantic_type(chunks.where(old)).withColumns({"entities_csv": F.concat_ws(",", entity_names(F.col("text"))), "modality": modality, "version": F.lit("v2"), "enriched": F.lit(True)})
+    return done.unionByName(chunks.where(~old).withColumn("enriched", F.lit(False)), allowMissingColumns=True)
+
+
 def csv_parts(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "[,;]"), lambda p: F.trim(p)), lambda p: p != "")
 

@@ -98,3 +98,8 @@ def status_counts(entries: DataFrame) -> DataFrame:
 def promotable(documents: DataFrame, kb: DataFrame, entries: DataFrame) -> DataFrame:
     """Staged documents that the knowledge base lacks, with their entry's tags."""
     return documents.where("kb_status = 'staged'").join(kb.select("doc_id"), "doc_id", "left_anti").join(entries.select("id", F.concat_ws(",", "tags").alias("tags_csv")), documents.integration_id == F.col("id"), "left").drop("id")
+
+
+def retagged(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows (doc_id, chunk_id, tags_csv) of documents and of their chunks with a document's new tags (doc_id, new_tags), where it has some."""
+    return rows.join(new, "doc_id", "left").select("doc_id", "chunk_id", F.coalesce("new_tags", "tags_csv").alias("tags_csv"))

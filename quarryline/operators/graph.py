@@ -152,6 +152,32 @@ def walked_entities(edges: DataFrame, chosen: DataFrame, depth: int = 2, most: i
     return found.where(F.lit(not typed_only) | (F.col("rel_type") != "RELATED_TO")).select("query_id", F.col("to_id").alias("entity_id")).distinct()
 
 
+def entity_detail(entities: DataFrame, edges: DataFrame, texts: DataFrame, previews: int = 3, chars: int = 400) -> DataFrame:
+    """entity_id, incoming and outgoing edges (other end and type), and the beginnings of its first chunks' texts (chunk_id, text)."""
+
+    def ends(own: str, other: str, name: str) -> DataFrame:
+        return edges.groupBy(F.col(own).alias("entity_id")).agg(F.array_sort(F.collect_set(F.concat_ws(" ", other, "rel_type"))).alias(name))
+
+    first = entities.select("entity_id", F.posexplode(F.slice("chunk_ids", 1, previews)).alias("pos", "chunk_id")).join(texts, "chunk_id")
+    shown = first.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.substring("text", 1, chars).alias("text")))), lambda s: s["text"]).alias("previews"))
+    return entities.select("entity_id").join(ends("to_id", "from_id", "incoming"), "entity_id", "left").join(ends("from_id", "to_id", "outgoing"), "entity_id", "left").join(shown, "entity_id", "left")
+
+
+def entity_page(entities: DataFrame, pattern: str, entity_type: str, tag: str, offset: int, limit: int) -> DataFrame:
+    """A page of the entities (with aliases) whose name or an alias matches a pattern, of a type and with a tag; `total` is the number of all hits."""
+    named_ = F.col("name").rlike(pattern) | F.exists("aliases", lambda x: x.rlike(pattern))
+    hits = entities.where((F.col("entity_type") == entity_type) & F.col("tags_csv").contains(tag) & named_)
+    return hits.orderBy("entity_id").offset(offset).limit(limit).withColumn("total", F.lit(hits.count()).cast("long"))
+
+
+def token_search(entities: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k entities (entity_id, names: name and aliases) that have most of a query's tokens (query_id, text) in any of their names: query_id, entity_id, matches, rank."""
+    tokens = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != "")))
+    own = entities.select("entity_id", tokens(F.array_join("names", " ")).alias("token"))
+    found = queries.select("query_id", tokens("text").alias("token")).join(own, "token").groupBy("query_id", "entity_id").agg(F.count(F.lit(1)).alias("matches"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("matches"), "entity_id"))).where(F.col("rank") <= k)
+
+
 def delete_document(entities: DataFrame, edges: DataFrame, doc_id: Column, chunk_of: Column) -> tuple[DataFrame, DataFrame]:
     """Both tables without a document: its id and chunks leave the arrays, rows left empty go, and edges that lose an end. chunk_of(chunk) is null for other chunks."""
     own = entities.withColumns({"doc_ids": F.array_remove("doc_ids", doc_id), "chunk_ids": F.filter("chunk_ids", chunk_of)}).where(F.size("doc_ids") > 0).withColumn("chunk_count", F.size("chunk_ids"))

@@ -48,13 +48,22 @@ def normalised_capabilities(rows: DataFrame, kinds: list[str]) -> DataFrame:
     return rows.where(F.trim("name") != "").select(F.concat(F.lit("src_"), "source", F.lit("-"), "id").alias("capability_id"), "name", F.when(F.col("kind").isin(kinds), F.col("kind")).otherwise("guide_step").alias("kind"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
 
 
+#: Ids of a source whose chunks are numbered together.
+INDEX_IDS = 10_000
+
+
 def typed_chunks(capabilities: DataFrame) -> DataFrame:
-    """Chunks of capabilities (source, id, kind, text, rules, moves, confidence): a screen gives a flow, its validations and its transitions, others one text."""
+    """Chunks of capabilities (source, id, kind, text, rules, moves, confidence): a screen gives a flow, its validations and its transitions, others one text.
+
+    A chunk's index in its source is its place in a run of INDEX_IDS ids and the number of chunks in the runs before, so that a hot source is numbered by many tasks.
+    """
     part = lambda kind, text: F.struct(F.lit(kind).alias("chunk_kind"), text.alias("text"))
     screen = F.concat(F.array(part("flow", F.col("text"))), F.transform("rules", lambda r: part("validation", r)), F.transform("moves", lambda r: part("transition", r)))
-    own = capabilities.select("source", "id", (F.col("confidence") < LOW_CONFIDENCE).alias("low_confidence"), F.posexplode(F.when(F.col("kind") == "screen", screen).otherwise(F.array(part("text", F.col("text"))))).alias("pos", "c"))
-    index = F.row_number().over(Window.partitionBy("source").orderBy("id", "pos")) - 1
-    return own.select(F.concat(F.lit("src_"), "source", F.lit("-chunk-"), index).alias("chunk_id"), "id", "c.chunk_kind", "c.text", "low_confidence")
+    own = capabilities.select("source", "id", F.floor(F.col("id") / INDEX_IDS).alias("run"), (F.col("confidence") < LOW_CONFIDENCE).alias("low_confidence"), F.posexplode(F.when(F.col("kind") == "screen", screen).otherwise(F.array(part("text", F.col("text"))))).alias("pos", "c"))
+    sizes = own.groupBy("source", "run").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("source", "run", (F.sum("n").over(Window.partitionBy("source").orderBy("run")) - F.col("n")).alias("before"))
+    index = F.col("before") + F.row_number().over(Window.partitionBy("source", "run").orderBy("id", "pos")) - 1
+    return own.join(before, ["source", "run"]).select(F.concat(F.lit("src_"), "source", F.lit("-chunk-"), index).alias("chunk_id"), "id", "c.chunk_kind", "c.text", "low_confidence")
 
 
 def openapi_operations(specs: DataFrame) -> DataFrame:
@@ -138,8 +147,24 @@ def tool_capabilities(tools: DataFrame) -> DataFrame:
     return tools.select(F.concat("source", F.lit("__tool__"), "name").alias("capability_id"), text.alias("text"))
 
 
+def resource_capabilities(resources: DataFrame) -> DataFrame:
+    """Resources (source, name, uri, description, mime) as capabilities."""
+    line = lambda label, c: F.coalesce(F.concat(F.lit(f"\n{label}: "), F.nullif(F.col(c), F.lit(""))), F.lit(""))
+    return resources.select(F.concat("source", F.lit("__resource__"), "name").alias("capability_id"), F.concat(F.lit("Resource: "), "name", line("URI", "uri"), line("Type", "mime"), line("Description", "description")).alias("text"))
+
+
+def prompt_capabilities(prompts: DataFrame) -> DataFrame:
+    """Prompts (source, name, description, arguments: array of (name, required)) as capabilities."""
+    listed = F.array_join(F.transform("arguments", lambda a: F.concat(a["name"], F.when(a["required"], F.lit(" (required)")).otherwise(" (optional)"))), ", ")
+    text = F.concat(F.lit("Prompt: "), "name", F.coalesce(F.concat(F.lit("\n"), F.nullif("description", F.lit(""))), F.lit("")), F.when(F.size("arguments") > 0, F.concat(F.lit("\nArguments: "), listed)).otherwise(""))
+    return prompts.select(F.concat("source", F.lit("__prompt__"), "name").alias("capability_id"), text.alias("text"))
+
+
 def section_groups(chunks: DataFrame, most: int = 15, least: int = 3) -> DataFrame:
-    """A document's first `most` sections in header order, of these the ones with `least` chunks or more: chunks (doc_id, header, pos, text)."""
+    """A document's first `most` sections in header order, of these the ones with `least` chunks or more: chunks (doc_id, header, pos, text).
+
+    A section's text is a value of one row, so it must fit one: sections are parts of a document, not of a source.
+    """
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n")
     own = chunks.groupBy("doc_id", "header").agg(F.count(F.lit(1)).alias("chunks"), joined.alias("text"))
     own = own.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("header")))

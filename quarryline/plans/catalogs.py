@@ -157,16 +157,18 @@ def capability_chunks(spark, sf_dir):
 
 
 def openapi_operations(spark, sf_dir):
-    """Operations of specifications that are made of the nations of a region."""
-    path = F.concat(F.lit('"/'), F.lower("n_name"), F.lit('": {"get": {"summary": "list"'), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(', "operationId": "op'), "n_nationkey", F.lit('"'))).otherwise(""), F.lit('}, "post": {"summary": "add"}}'))
-    own = table(spark, sf_dir, "nation").groupBy(F.concat(F.lit("spec"), "n_regionkey").alias("source")).agg(F.concat(F.lit('{"openapi": "3.0.0", "paths": {'), F.array_join(F.array_sort(F.collect_list(path)), ", "), F.lit("}}")).alias("spec"))
+    """Operations of specifications that are made of a customer's orders."""
+    path = F.concat(F.lit('"/o'), "o_orderkey", F.lit('": {"get": {"summary": "list"'), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(', "operationId": "op'), "o_orderkey", F.lit('"'))).otherwise(""), F.lit('}, "post": {"summary": "add"}}'))
+    own = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("spec"), "o_custkey").alias("source")).agg(F.concat(F.lit('{"openapi": "3.0.0", "paths": {'), F.array_join(F.array_sort(F.collect_list(path)), ", "), F.lit("}}")).alias("spec"))
     return i.openapi_operations(own)
 
 
 def spec_hashes(spark, sf_dir):
-    """Hash of event properties as canonical JSON: equal whatever the order of keys; here, how often a property set occurs."""
-    own = table(spark, sf_dir, "events").select(i.canonical_hash(F.col("props")).alias("hash"))
-    return own.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).groupBy().agg(F.count(F.lit(1)).alias("hashes"), F.sum("n").alias("rows"))
+    """Canonical hashes of events' JSON: of two that differ in spacing and in the order of keys, and of one that isn't JSON. Per event whether the first two agree."""
+    a = F.concat(F.lit('{"id": '), "event_id", F.lit(', "kind": "'), "event_type", F.lit('"}'))
+    b = F.concat(F.lit('{ "kind" : "'), "event_type", F.lit('",  "id":'), "event_id", F.lit("}"))
+    own = table(spark, sf_dir, "events").select("event_id", i.canonical_hash(a).alias("a"), i.canonical_hash(b).alias("b"), i.canonical_hash(F.concat(F.lit("x"), a)).alias("c"))
+    return own.select("event_id", (F.col("a") == F.col("b")).alias("same"), F.col("c").isNull().alias("rejected"))
 
 
 def capability_set_hash(spark, sf_dir):
@@ -295,9 +297,11 @@ def source_dashboard(spark, sf_dir):
 
 
 def retagged(spark, sf_dir):
-    """New tags of labelled documents reach their rows."""
+    """New tags of labelled documents reach the documents' rows and those of their chunks."""
     new = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id", F.lit("review").alias("new_tags"))
-    return table(spark, sf_dir, "documents").join(new, "doc_id", "left").select("doc_id", F.coalesce("new_tags", F.concat_ws(",", "source", "lang")).alias("tags_csv"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(",", "source", "lang").alias("tags_csv"))
+    parts = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").alias("doc_id"), F.col("role").alias("tags_csv"))
+    return c.retagged(docs.withColumn("chunk_id", F.lit(None).cast("string")).unionByName(parts), new)
 
 
 def model_replies(spark, sf_dir):
@@ -336,7 +340,8 @@ SQL = {
     "capability_reconciliation": "WITH k AS (SELECT p_brand AS source, p_type AS kind, lower(trim(p_name)) AS name, p_name || ' ' || p_size AS description, p_retailprice / 3000 AS confidence, p_partkey AS id FROM part) SELECT source, kind, name, count(*) AS merged, round(max(confidence), 6) AS confidence, arg_max(id, (length(description), -id)) AS best_id, array_to_string(list_sort(list(DISTINCT description)), ' / ') AS description FROM k GROUP BY source, kind, name",
     "capability_rows": "SELECT 'src_' || p_brand || '-' || p_partkey AS capability_id, p_name AS name, CASE WHEN lower(p_type) IN ('economy', 'small', 'medium', 'large') THEN lower(p_type) ELSE 'guide_step' END AS kind, CASE WHEN p_partkey % 4 > 0 THEN p_size / 50 ELSE 1.0 END AS confidence FROM part WHERE p_partkey % 11 <> 0",
     "capability_chunks": "WITH k AS (SELECT lower(replace(p_brand, '#', '_')) AS source, p_partkey AS id, p_name AS text, p_size / 50 < 0.7 AS low_confidence, CASE WHEN p_size % 4 = 0 THEN list_concat([{'k': 'flow', 't': p_name}], list_transform(string_split(p_name, ' '), lambda r: {'k': 'validation', 't': r}), list_transform(string_split(p_type, ' '), lambda r: {'k': 'transition', 't': r})) ELSE [{'k': 'text', 't': p_name}] END AS parts FROM part), u AS (SELECT source, id, low_confidence, unnest(parts) AS c, generate_subscripts(parts, 1) AS pos FROM k) SELECT 'src_' || source || '-chunk-' || (row_number() OVER (PARTITION BY source ORDER BY id, pos) - 1) AS chunk_id, id, c.k AS chunk_kind, c.t AS text, low_confidence FROM u",
-    "openapi_operations": "SELECT 'spec' || n_regionkey AS source, '/' || lower(n_name) AS path, m AS method, CASE WHEN m = 'get' AND n_nationkey % 2 = 0 THEN 'op' || n_nationkey ELSE upper(m) || '_/' || lower(n_name) END AS operation_id, CASE m WHEN 'get' THEN 'list' ELSE 'add' END AS summary FROM nation, (VALUES ('get'), ('post')) t(m)",
+    "openapi_operations": "SELECT 'spec' || o_custkey AS source, '/o' || o_orderkey AS path, m AS method, CASE WHEN m = 'get' AND o_orderkey % 2 = 0 THEN 'op' || o_orderkey ELSE upper(m) || '_/o' || o_orderkey END AS operation_id, CASE m WHEN 'get' THEN 'list' ELSE 'add' END AS summary FROM orders, (VALUES ('get'), ('post')) t(m)",
+    "spec_hashes": "SELECT event_id, true AS same, true AS rejected FROM events",
     "capability_set_hash": "SELECT p_brand, sha256(string_agg(p_partkey || ':' || p_name, '|' ORDER BY p_partkey || ':' || p_name)) AS hash FROM part GROUP BY 1",
     "verdict_join": "SELECT page_id, url FROM pages LEFT JOIN labels ON page_id = doc_id WHERE coalesce(quality = 1, true)",
     "situated_chunks": "SELECT doc_id, md5(CASE WHEN quality IS NOT NULL THEN '<situating>quality ' || quality || '</situating>' || chr(10) || '<original>' || text || '</original>' ELSE text END) AS text_md5 FROM documents LEFT JOIN labels USING (doc_id)",
@@ -369,6 +374,6 @@ SQL = {
     "document_tag_search": "SELECT doc_id, [source, lang] AS tags FROM documents WHERE contains(source, '7') OR contains(lang, '7') OR contains(CAST(doc_id AS VARCHAR), '99')",
     "refresh_selection": "SELECT s_suppkey, 'route' || n_regionkey AS route FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0",
     "source_dashboard": "SELECT user_id AS source_id, count(*) FILTER (event_type = 'view') AS active, count(*) FILTER (event_type <> 'view') AS paused, max(ts) AS latest, count(*) FILTER (value < 10) AS low_confidence FROM events GROUP BY 1",
-    "retagged": "SELECT doc_id, CASE WHEN quality = 0 THEN 'review' ELSE source || ',' || lang END AS tags_csv FROM documents LEFT JOIN labels USING (doc_id)",
+    "retagged": "WITH a AS (SELECT doc_id, NULL AS chunk_id, source || ',' || lang AS tags_csv FROM documents UNION ALL SELECT conv_id, conv_id || '-' || turn, role FROM conversations) SELECT a.doc_id, chunk_id, CASE WHEN quality = 0 THEN 'review' ELSE tags_csv END AS tags_csv FROM a LEFT JOIN labels ON a.doc_id = labels.doc_id",
     "model_replies": "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_id END AS id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_type END AS kind, event_id % 4 = 3 AS rejected FROM events",
 }

@@ -121,12 +121,10 @@ def graph_expansion(spark, sf_dir):
 
 
 def graph_entity_detail(spark, sf_dir):
-    """Edges into an entity, with the previews of its first three chunks."""
-    own = entities(spark, sf_dir).select("entity_id", F.slice("chunk_ids", 1, 3).alias("first"))
-    prices = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), "o_orderpriority")
-    previews = own.select("entity_id", F.posexplode("first").alias("pos", "chunk_id")).join(prices, "chunk_id").groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "o_orderpriority"))), lambda s: s["o_orderpriority"]).alias("previews"))
-    incoming = edges(spark, sf_dir).groupBy(F.col("to_id").alias("entity_id")).agg(F.array_sort(F.collect_set("from_id")).alias("incoming"))
-    return own.select("entity_id").join(incoming, "entity_id", "left").join(previews, "entity_id", "left")
+    """Edges into and out of an entity (systems call parts), with the texts (400 characters at most) of its first three chunks."""
+    own = g.merge_entities(lines(spark, sf_dir).select(F.explode(F.array("part", "system")).alias("entity_id"), "chunk_id", "doc_id", "semantic_type", "tags_csv", "pos").withColumns({"name": F.col("entity_id"), "entity_type": F.col("semantic_type")}))
+    texts_ = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("text"))
+    return g.entity_detail(own, edges(spark, sf_dir), texts_)
 
 
 def graph_delete_document(spark, sf_dir):
@@ -142,16 +140,25 @@ def graph_delete_entities(spark, sf_dir):
 
 
 def entity_search(spark, sf_dir):
-    """Tag pattern, type and name, third page of ten."""
-    own = entities(spark, sf_dir).where((F.col("entity_type") == "N") & F.col("tags_csv").rlike("O") & F.lower("name").contains("1"))
-    return own.select("entity_id", "tags_csv").orderBy("entity_id").offset(20).limit(10)
+    """Tag pattern, type, and a pattern of the name or an alias (the type and the name), third page of ten, with the number of all hits."""
+    own = entities(spark, sf_dir).withColumn("aliases", F.array(F.concat_ws(" ", "entity_type", "name")))
+    return g.entity_page(own, "1[0-9]*$", "N", "O", 20, 10).select("entity_id", "tags_csv", "total")
 
 
 def name_token_search(spark, sf_dir):
-    """Customers' market segments and names as tokens; query tokens are the segments. Ranked by matching tokens."""
-    own = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(F.lower("p_name"), r"\s+")).alias("token")).distinct()
-    wanted = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.array_distinct(F.split(F.lower("p_name"), r"\s+"))).alias("token"))
-    return own.join(wanted, "token").groupBy("query_id").agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("p_partkey").alias("parts"))
+    """Parts by the tokens of their names; every twentieth part's name is a query. The five best of each query: by matching tokens, then id."""
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.array("p_name", "p_type").alias("names"))
+    wanted = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"))
+    return g.token_search(own, wanted, 5)
+
+
+def graph_subgraph_nodes(spark, sf_dir):
+    """Nodes within two hops with their labels, and how many edges of the subgraph leave them."""
+    seeds = table(spark, sf_dir, "region").where("r_name LIKE 'A%'").select(F.concat(F.lit("R"), "r_regionkey").alias("node"))
+    tree, near = hierarchy(spark, sf_dir), g.neighbourhood(hierarchy(spark, sf_dir), seeds, 2)
+    label = F.when(F.col("node").startswith("R"), "region").when(F.col("node").startswith("N"), "nation").when(F.col("node").startswith("C"), "customer").otherwise("order")
+    out = g.subgraph(tree, near).groupBy(F.col("from_id").alias("node")).agg(F.count(F.lit(1)).alias("edges"))
+    return near.join(out, "node", "left").select("node", "depth", label.alias("label"), F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +191,7 @@ def text_related(spark, sf_dir):
     return g.related(names, g.typed_relations(own)).groupBy("from_name", "to_name").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-QUERIES = {f.__name__: f for f in (graph_entities, graph_edges, graph_cooccurrence, graph_without_shadowed, graph_stats, graph_top_entities, graph_incremental, graph_neighbourhood, graph_subgraph, graph_seed_entities, graph_expansion, graph_entity_detail, graph_delete_document, graph_delete_entities, entity_search, name_token_search, text_entity_candidates, text_typed_relations, text_related)}
+QUERIES = {f.__name__: f for f in (graph_entities, graph_edges, graph_cooccurrence, graph_without_shadowed, graph_stats, graph_top_entities, graph_incremental, graph_neighbourhood, graph_subgraph, graph_subgraph_nodes, graph_seed_entities, graph_expansion, graph_entity_detail, graph_delete_document, graph_delete_entities, entity_search, name_token_search, text_entity_candidates, text_typed_relations, text_related)}
 SEEDS = "seeds AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id FROM orders WHERE o_orderpriority = '1-URGENT'), se AS (SELECT DISTINCT query_id, part AS entity_id FROM lines JOIN seeds USING (chunk_id))"
 SQL = {
     "graph_entities": f"WITH {LINES} SELECT entity_id, entity_id AS name, entity_type, doc_ids, chunk_ids, semantic_types, tags_csv, CAST(len(chunk_ids) AS INTEGER) AS chunk_count FROM ents",
@@ -206,10 +213,16 @@ SQL = {
         r AS (SELECT DISTINCT query_id, to_id AS entity_id FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) WHERE rel_type <> 'RELATED_TO'),
         s AS (SELECT query_id, entity_id, unnest(chunk_ids[1:2]) AS chunk_id, generate_subscripts(chunk_ids[1:2], 1) AS pos FROM r JOIN ents USING (entity_id)), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY entity_id, pos) AS n FROM s)
         SELECT query_id, entity_id, chunk_id, CAST(0.05 AS DOUBLE) AS score FROM n WHERE n <= 20""",
-    "graph_entity_detail": f"WITH {LINES}, i AS (SELECT part AS entity_id, list_sort(list(DISTINCT system)) AS incoming FROM lines GROUP BY part), f AS (SELECT entity_id, unnest(chunk_ids[1:3]) AS chunk_id, generate_subscripts(chunk_ids[1:3], 1) AS pos FROM ents), p AS (SELECT entity_id, list(o_orderpriority ORDER BY pos) AS previews FROM f JOIN orders ON chunk_id = o_orderkey GROUP BY entity_id) SELECT entity_id, incoming, previews FROM ents LEFT JOIN i USING (entity_id) LEFT JOIN p USING (entity_id)",
+    "graph_entity_detail": f"""WITH {LINES}, m AS (SELECT part AS id, chunk_id FROM lines UNION SELECT system, chunk_id FROM lines), f AS (SELECT id, chunk_id, row_number() OVER (PARTITION BY id ORDER BY chunk_id) AS pos FROM m),
+        p AS (SELECT id, list(o_orderstatus || ' ' || o_orderpriority ORDER BY pos) AS previews FROM f JOIN orders ON chunk_id = o_orderkey WHERE pos <= 3 GROUP BY id),
+        i AS (SELECT part AS id, list_sort(list(DISTINCT system || ' ' || rel_type)) AS incoming FROM lines GROUP BY part), o AS (SELECT system AS id, list_sort(list(DISTINCT part || ' ' || rel_type)) AS outgoing FROM lines GROUP BY system)
+        SELECT id AS entity_id, incoming, outgoing, previews FROM (SELECT DISTINCT id FROM m) LEFT JOIN i USING (id) LEFT JOIN o USING (id) LEFT JOIN p USING (id)""",
+    "graph_subgraph_nodes": f"""WITH RECURSIVE {HIERARCHY}, walk AS (SELECT 'R' || r_regionkey AS node, 0 AS depth FROM region WHERE r_name LIKE 'A%' UNION SELECT to_id, depth + 1 FROM walk JOIN tree ON node = from_id WHERE depth < 2),
+        n AS (SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node), e AS (SELECT from_id AS node, count(*) AS edges FROM tree WHERE from_id IN (SELECT node FROM n) AND to_id IN (SELECT node FROM n) GROUP BY 1)
+        SELECT node, depth, CASE left(node, 1) WHEN 'R' THEN 'region' WHEN 'N' THEN 'nation' WHEN 'C' THEN 'customer' ELSE 'order' END AS label, coalesce(edges, 0) AS edges FROM n LEFT JOIN e USING (node)""",
     "graph_delete_document": f"WITH {LINES}, e AS (SELECT part AS id, count(DISTINCT chunk_id) AS n FROM lines WHERE doc_id <> 3 GROUP BY 1), r AS (SELECT rel_id AS id, len(list_filter(doc_ids, lambda d: d <> 3)) AS n, from_id, to_id FROM rels) SELECT id, n FROM e UNION ALL SELECT id, n FROM r WHERE n > 0 AND from_id IN (SELECT id FROM e) AND to_id IN (SELECT id FROM e)",
     "graph_delete_entities": f"WITH {LINES} SELECT rel_id, from_id, to_id FROM rels WHERE to_id NOT IN (SELECT entity_id FROM ents WHERE len(chunk_ids) < 20)",
-    "entity_search": f"WITH {LINES} SELECT entity_id, tags_csv FROM ents WHERE entity_type = 'N' AND contains(tags_csv, 'O') AND contains(entity_id, '1') ORDER BY entity_id LIMIT 10 OFFSET 20",
-    "name_token_search": "WITH t AS (SELECT DISTINCT p_partkey, unnest(regexp_split_to_array(lower(p_name), '\\s+')) AS token FROM part) SELECT q.p_partkey AS query_id, count(*) AS matches, count(DISTINCT t.p_partkey) AS parts FROM t JOIN t q USING (token) WHERE q.p_partkey % 20 = 0 GROUP BY 1",
+    "entity_search": f"WITH {LINES}, h AS (SELECT entity_id, tags_csv FROM ents WHERE entity_type = 'N' AND contains(tags_csv, 'O') AND regexp_matches(entity_id, '1[0-9]*$')) SELECT entity_id, tags_csv, (SELECT count(*) FROM h) AS total FROM h ORDER BY entity_id LIMIT 10 OFFSET 20",
+    "name_token_search": "WITH t AS (SELECT DISTINCT p_partkey AS entity_id, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type), '\\s+')) AS token FROM part), q AS (SELECT DISTINCT p_partkey AS query_id, unnest(regexp_split_to_array(lower(p_name), '\\s+')) AS token FROM part WHERE p_partkey % 20 = 0), m AS (SELECT query_id, entity_id, count(*) AS matches FROM t JOIN q USING (token) WHERE token <> '' GROUP BY ALL) SELECT query_id, entity_id, matches, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, entity_id) AS INTEGER) AS rank FROM m) WHERE rank <= 5",
     "text_entity_candidates": f"WITH {CLASSIFIED} SELECT name, entity_type, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM cand WHERE name <> '' GROUP BY ALL",
 }

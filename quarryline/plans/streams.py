@@ -49,6 +49,16 @@ def bundle_round_trip(spark, sf_dir):
     return tables.import_bundle(own.where("chunk_id % 2 = 0"), path, "chunk_id long, source_type string, chars int", ["fr"])[0]
 
 
+def text_files(spark, sf_dir):
+    """Conversations as markdown files (every seventh empty), read back whole: file name, length and hash of those that aren't empty."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
+    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.when(F.col("conv_id") % 7 == 0, " ").otherwise(F.array_join(ordered, "\n")).alias("text"))
+    path = tables.scratch(spark, "texts")
+    own.repartition("conv_id").write.partitionBy("conv_id").option("lineSep", "\n\n").text(path)
+    found, _ = tables.read_text_files(spark, f"{path}/*/*.txt")
+    return found.select(F.regexp_extract("path", r"/conv_id=(\d+)/", 1).cast("long").alias("conv_id"), F.md5(F.regexp_replace("text", r"\n\n$", "")).alias("text_md5"))
+
+
 def report_sink(spark, sf_dir):
     """Quality and abuse shares by source, written by label and read again."""
     own = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy(F.col("source").alias("label")).agg(F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"))
@@ -57,7 +67,7 @@ def report_sink(spark, sf_dir):
     return spark.read.schema("metric string, value double, label string").parquet(path)
 
 
-QUERIES = {f.__name__: f for f in (stream_log_levels, stream_audit_counts, stream_run_progress, stream_ingest, upsert_by_source, bundle_round_trip, report_sink)}
+QUERIES = {f.__name__: f for f in (stream_log_levels, stream_audit_counts, stream_run_progress, stream_ingest, upsert_by_source, bundle_round_trip, text_files, report_sink)}
 SQL = {
     "stream_log_levels": texts.SQL["log_levels"],
     "stream_audit_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
@@ -65,5 +75,6 @@ SQL = {
     "stream_ingest": "SELECT doc_id, source, sha256(coalesce(text, '')) AS content_hash, CAST(length(text) AS INTEGER) AS chars FROM documents",
     "upsert_by_source": "SELECT doc_id, source, CAST(CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 2 = 0 THEN -length(text) ELSE length(text) END AS INTEGER) AS chars FROM documents",
     "bundle_round_trip": "SELECT doc_id AS chunk_id, lang AS source_type, CAST(length(text) AS INTEGER) AS chars FROM documents WHERE doc_id % 2 = 0 OR lang = 'fr'",
+    "text_files": "SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5 FROM conversations WHERE conv_id % 7 <> 0 GROUP BY conv_id",
     "report_sink": "WITH a AS (SELECT source AS label, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT label, 'quality' AS metric, quality AS value FROM a UNION ALL SELECT label, 'toxic', toxic FROM a",
 }

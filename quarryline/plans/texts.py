@@ -68,18 +68,31 @@ def classify_flags(spark, sf_dir):
 
 
 def classify_semantic_type(spark, sf_dir):
-    own = marked(spark, sf_dir).withColumn("semantic_type", x.semantic_type(F.col("text"), F.col("chunk_type")))
-    return own.select("doc_id", "semantic_type", x.confidence(F.col("text"), F.col("semantic_type")).alias("confidence"))
+    return x.with_semantic_type(marked(spark, sf_dir)).select("doc_id", "semantic_type", "confidence")
 
 
 CONFIDENCE_SQL = f"round(least(0.5 + 0.1 * (CAST(len({found_sql('rule')}) >= 2 AS INTEGER) + CAST(len({sql_matches(x.FIELD, 15)}) >= 3 AS INTEGER) + CAST(len({sql_matches(x.ENTITY, 10)}) >= 2 AS INTEGER) + CAST(len({SYSTEMS_SQL}) >= 1 AS INTEGER) + CAST(semantic_type NOT IN ('generic_context', 'system_overview') AS INTEGER)), 0.95), 2)"
 
 
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the first schema version, and of the second (every fourth)."""
+    return marked(spark, sf_dir).withColumn("version", F.when(F.col("doc_id") % 4 == 0, "v2").otherwise("v1"))
+
+
+def enriched_rows(spark, sf_dir):
+    """Rows of the second version as they are; the others with type, confidence, flattened names, flags and modality, as the second version."""
+    return x.enriched(versions(spark, sf_dir)).select("doc_id", "version", "semantic_type", "confidence", "entities_csv", "modality", "enriched")
+
+
+def enrich_forced(spark, sf_dir):
+    """The same by force: all rows anew."""
+    return x.enriched(versions(spark, sf_dir), force=True).groupBy("source").agg(F.count_if("enriched").alias("processed"), F.count_if(F.col("modality") == "visual").alias("visual"))
+
+
 def enrich_summary(spark, sf_dir):
-    """Documents of a source are enriched unless they are of the second schema version (every fourth here); counts per source and type."""
-    own = marked(spark, sf_dir).withColumn("version", F.when(F.col("doc_id") % 4 == 0, "v2").otherwise("v1"))
-    kind = F.when(F.col("version") == "v2", "kept").otherwise(x.semantic_type(F.col("text"), F.col("chunk_type")))
-    return own.select("source", "version", kind.alias("semantic_type")).groupBy("source").agg(F.count_if(F.col("version") == "v1").alias("processed"), F.count_if(F.col("version") == "v2").alias("skipped"), F.count_if(F.col("semantic_type") == "business_rule").alias("business_rules"))
+    """Documents of a source are enriched unless they are of the second schema version; counts per source and type."""
+    own = x.enriched(versions(spark, sf_dir))
+    return own.groupBy("source").agg(F.count_if("enriched").alias("processed"), F.count_if(~F.col("enriched")).alias("skipped"), F.count_if(F.col("semantic_type") == "business_rule").alias("business_rules"))
 
 
 def flatten_metadata(spark, sf_dir):
@@ -215,7 +228,7 @@ def html_sanitized(spark, sf_dir):
     return html.sanitized(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
-QUERIES = {f.__name__: f for f in (classify_names, classify_markers, classify_flags, classify_semantic_type, enrich_summary, flatten_metadata, split_csv, slugs, slugs_of_accents, clean_tags, html_plain, url_checks, file_routes, log_levels, structural_guard, quality_scores, section_split, diagram_check, mapping_table_check, chunk_fixed, chunk_recursive, html_clean, html_links, html_sanitized)}
+QUERIES = {f.__name__: f for f in (classify_names, classify_markers, classify_flags, classify_semantic_type, enriched_rows, enrich_forced, enrich_summary, flatten_metadata, split_csv, slugs, slugs_of_accents, clean_tags, html_plain, url_checks, file_routes, log_levels, structural_guard, quality_scores, section_split, diagram_check, mapping_table_check, chunk_fixed, chunk_recursive, html_clean, html_links, html_sanitized)}
 LOG_SQL = "log AS (SELECT conv_id, turn, ['[LLM] ', '[KB-RAG] ', '[ERROR] ', '[GUARD] ', '[STEP 2/5] ', '', '[llm] ', 'run completed: ', 'cancelled '][(conv_id * 7 + turn) % 9 + 1] || text AS message FROM conversations)"
 LEVEL_SQL = "CASE WHEN contains(message, '[LLM]') THEN 'LLM' WHEN contains(message, '[RAG]') OR contains(message, '[KB-RAG]') THEN 'RAG' WHEN contains(message, '[ERROR]') THEN 'ERROR' WHEN contains(message, '[GUARD]') THEN 'WARN' WHEN contains(message, '⛔') OR contains(message, 'cancelled') THEN 'CANCEL' WHEN contains(message, 'completed') OR contains(message, 'Approved') OR contains(message, '✓') THEN 'SUCCESS' ELSE 'INFO' END"
 SQL = {
@@ -224,6 +237,10 @@ SQL = {
     "classify_flags": f"WITH {MARKED} SELECT doc_id, chunk_type = 'table' AS contains_table, chunk_type = 'figure' AS contains_figure, chunk_type = 'code' OR contains(text, '```') OR contains(lower(text), '<code>') AS contains_code, len({found_sql('rule')}) > 0 AS contains_rules, len({found_sql('mapping')}) > 0 AS contains_mapping FROM marked",
     "classify_semantic_type": f"WITH {MARKED}, t AS (SELECT *, {TYPE_SQL} AS semantic_type FROM marked) SELECT doc_id, semantic_type, CAST({CONFIDENCE_SQL} AS DOUBLE) AS confidence FROM t",
     "enrich_summary": f"WITH {MARKED}, t AS (SELECT source, doc_id % 4 = 0 AS v2, {TYPE_SQL} AS kind FROM marked) SELECT source, count(*) FILTER (NOT v2) AS processed, count(*) FILTER (v2) AS skipped, count(*) FILTER (NOT v2 AND kind = 'business_rule') AS business_rules FROM t GROUP BY source",
+    "enriched_rows": f"""WITH {MARKED}, t AS (SELECT *, doc_id % 4 <> 0 AS enriched, {TYPE_SQL} AS semantic_type FROM marked)
+        SELECT doc_id, 'v2' AS version, CASE WHEN enriched THEN semantic_type END AS semantic_type, CASE WHEN enriched THEN CAST({CONFIDENCE_SQL} AS DOUBLE) END AS confidence, CASE WHEN enriched THEN array_to_string({sql_matches(x.ENTITY, 10)}, ',') END AS entities_csv,
+          CASE WHEN enriched THEN CASE chunk_type WHEN 'figure' THEN 'visual' WHEN 'table' THEN 'table' ELSE 'text' END END AS modality, enriched FROM t""",
+    "enrich_forced": f"WITH {MARKED} SELECT source, count(*) AS processed, count(*) FILTER (chunk_type = 'figure') AS visual FROM marked GROUP BY source",
     "flatten_metadata": f"WITH {MARKED} SELECT doc_id, array_to_string({sql_matches(x.ENTITY, 10)}, ',') AS entities_csv, array_to_string({found_sql('business')}, ',') AS terms_csv, source || ',' || lang AS tags_csv FROM marked",
     "split_csv": "SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_brand || ' ;, ' || p_type || ' ;, ' || '' || ' ;, ' || p_name, '[,;]'), lambda p: trim(p)), lambda p: p <> '') AS parts FROM part",
     "slugs": "SELECT p_partkey, 'ENT-' || lower(regexp_replace(trim(regexp_replace(p_name || ' - ' || p_brand || ' - ' || p_type, '[^A-Za-z0-9_\\s-]', '', 'g')), '[\\s_-]+', '_', 'g')) AS entity_id FROM part",
