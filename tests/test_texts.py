@@ -90,7 +90,7 @@ def test_html_helpers():
     assert html.clean_text('<div id="my-modal">no</div><p class="crumb">yes</p><div class="ad-box"><p>no</p></div><p>a<br>b &amp; c</p><p>open') == "yes\nab & c\nopen"
     assert html.page_links("http://h.com/x/", PAGE) == ["http://h.com/a", "http://h.com/n"]
     assert "http://other.org/" in html.page_links("http://h.com/x/", PAGE, same_domain=False)
-    assert html.sanitized_text('<p onclick="x">a<script>b</script><a href="javascript:1" title="t">c</a>') == '<p>ab<a title="t">c</a>'
+    assert html.sanitized_text('<p onclick="x">a<script>b</script><a href="javascript:1" title="t">c</a>') == '<p>ab<a title="t">c</a></p>'
     long = html.sanitized_text("<p>" + "x" * (html.MOST_CHARS - 8) + '<a href="http://h/">link</a>')
     assert long == "<p>" + "x" * (html.MOST_CHARS - 8) + "</p>"
     assert html.sanitized_text("<ul><li>a<li>b</ul></p>") == "<ul><li>a<li>b</li></li></ul>"
