@@ -5,7 +5,7 @@ Each letter has a random +1/-1 vector. A trigram's vector binds (multiplies) the
 texts of that language, each divided by its trigram count. A text gets the language with the largest cosine.
 
 Vectors are linear in trigram counts: counts are gathered per group of texts (bounded in characters and in rows) and
-multiplied with the trigram vectors in blocks of at most CELLS counts. Training adds up integers per (language, dimension), so
+multiplied with the trigram vectors in blocks of at most KEYS trigrams and CELLS counts. Training adds up integers per (language, dimension), so
 that the order of tasks doesn't matter; only languages x DIMENSIONS numbers reach the driver.
 
 Defined cases: `und` with score 0 for a null text or one without a letter; a very long text is a group of its own and counts whole; ties go to
@@ -30,10 +30,11 @@ DIMENSIONS = 1024
 SYMBOLS = 128
 SEED = 20
 UNKNOWN = "und"
-#: Characters and rows whose trigrams are counted at once, and counts that are multiplied at once.
+#: Characters and rows whose trigrams are counted at once, different trigrams and counts that are multiplied at once.
 GROUP_CHARS = 1_000_000
 GROUP_ROWS = 4_096
-CELLS = 1 << 24
+KEYS = 1 << 12
+CELLS = 1 << 21
 #: Trigram shares are added up in units of one in so many.
 UNIT = 1 << 24
 #: Cosine that `kept` asks for where it is given no scores of learned documents.
@@ -77,27 +78,31 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return ((flat[:-2] << 14) + (flat[1:-1] << 7) + flat[2:])[good], owner[1:-1][good]
 
 
-def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys, and each one's place among them."""
+def key_blocks(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of at most KEYS different keys: their vectors, where they stand in keys, and which of the block stands there."""
     active = np.flatnonzero(np.bincount(keys, minlength=1))
-    place = np.zeros(int(keys.max(initial=0)) + 1, np.int64)
+    place = np.zeros(int(keys.max(initial=0)) + 1, np.int32)
     place[active] = np.arange(len(active))
-    return active, place[keys]
+    place = place[keys]
+    for start in range(0, len(active), KEYS):
+        own = active[start : start + KEYS]
+        at = np.flatnonzero((place >= start) & (place < start + KEYS)) if len(active) > KEYS else np.arange(len(keys))
+        yield trigram_vectors(own), at, place[at] - start
 
 
 def bundled(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of texts, and how many trigrams each has. No more than CELLS counts are held at once."""
+    """The vectors of texts, and how many trigrams each has. No more than CELLS counts and KEYS trigram vectors are held at once."""
     keys, owner = trigrams(texts)
     total = np.bincount(owner, minlength=len(texts))
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    if len(keys):
-        active, place = placed(keys)
-        vectors, rows = trigram_vectors(active), max(1, CELLS // len(active))
-        cuts = np.searchsorted(owner, np.arange(0, len(texts) + rows, rows))  # owners are in order
+    for vectors, at, place in key_blocks(keys):
+        m, own = len(vectors), owner[at]
+        rows = max(1, CELLS // m)
+        cuts = np.searchsorted(own, np.arange(0, len(texts) + rows, rows))  # owners are in order
         for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
             n = min(rows, len(texts) - k * rows)
-            counts = np.bincount((owner[i:j] - k * rows) * len(active) + place[i:j], minlength=n * len(active))
-            out[k * rows : k * rows + n] = counts.reshape(n, len(active)).astype(np.float32) @ vectors
+            counts = np.bincount((own[i:j] - k * rows) * m + place[i:j], minlength=n * m)
+            out[k * rows : k * rows + n] += counts.reshape(n, m).astype(np.float32) @ vectors
     return out, total
 
 
@@ -126,13 +131,13 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         sums: dict[str, np.ndarray] = {}
         for rows in grouped(batches):
             keys, owner = trigrams([r[1] for r in rows])
-            active, place = placed(keys)
-            share, vectors = 1 / np.bincount(owner, minlength=len(rows)).clip(1)[owner], trigram_vectors(active)
-            langs = np.array([r[0] for r in rows])
-            for lang in sorted(set(langs.tolist())):
-                own = (langs == lang)[owner]
-                add = np.bincount(place[own], share[own], len(active)).astype(np.float32) @ vectors
-                sums[lang] = sums.get(lang, 0) + np.rint(add.astype(np.float64) * UNIT).astype(np.int64)
+            share = 1 / np.bincount(owner, minlength=len(rows)).clip(1)[owner]
+            names, number = np.unique([r[0] for r in rows], return_inverse=True)
+            for vectors, at, place in key_blocks(keys):
+                cell, m = number[owner[at]] * len(vectors) + place, len(vectors)
+                add = np.bincount(cell, share[at], len(names) * m).reshape(len(names), m).astype(np.float32) @ vectors
+                for lang, v in zip(names.tolist(), np.rint(add.astype(np.float64) * UNIT).astype(np.int64), strict=True):
+                    sums[lang] = sums.get(lang, 0) + v
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(v)], ["lang", "dim", "part"])
 
