@@ -173,3 +173,17 @@ def test_gradient_and_loss_against_plain_versions():
         up[k] += 1e-5
         down[k] -= 1e-5
         assert abs((plain(up) - plain(down)) / 2e-5 - gradient[k]) < 1e-6
+
+
+def test_small_blocks_give_the_same_vectors(monkeypatch):
+    texts = ["the quick brown fox", None, "", "7 8 9", "naïve café straße", "".join(chr(0x4E00 + 37 * i % 20_000) for i in range(3_000)), "a b c " * 50]
+    whole, total = language.bundled(texts)
+    monkeypatch.setattr(language, "KEYS", 7)
+    monkeypatch.setattr(language, "CELLS", 20)
+    blocked, again = language.bundled(texts)
+    assert (whole == blocked).all() and (total == again).all()
+    plain = np.zeros(language.DIMENSIONS)
+    keys, owner = language.trigrams(texts)
+    for key in keys[owner == 4]:
+        plain += language.trigram_vectors(np.array([key]))[0]
+    assert (plain == blocked[4]).all()
