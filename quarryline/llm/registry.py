@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_galloping_alignment
 from .decontaminate import op2_seeded_alignment
 from .fixity import OP8_SQL, op8_merkle_fixity
 from .language import op5_hyperdimensional_language
 from .packing import op6_hierarchical_packing
+from .pieces import op13_prefix_table
 from .pii import op1_surrogates
 from .prefix_hash import op9_prefix_fingerprints
 from .probminhash import op10_probminhash
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_merkle_fixity,
         op9_prefix_fingerprints,
         op10_probminhash,
+        op12_galloping_alignment,
+        op13_prefix_table,
     )
 }
 
