@@ -17,6 +17,7 @@ from .prefix_hash import op9_prefix_fingerprints
 from .probminhash import op10_probminhash
 from .quality import op7_ordinal_quality
 from .repair_codec import op3_repair_tokens
+from .runs import op11_grammar_runs
 from .substrings import op4_block_anchors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_merkle_fixity,
         op9_prefix_fingerprints,
         op10_probminhash,
+        op11_grammar_runs,
         op12_galloping_alignment,
         op13_prefix_table,
     )
