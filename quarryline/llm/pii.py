@@ -10,7 +10,7 @@
    their script with an ending for their gender. An attempt fails if its surrogate is an entity of the corpus or was taken; failed ones try
    again, until none is left. So different entities stay different, equal ones equal.
 4. Replacement: texts are cut at their entities and put together again with the surrogates, in the case of the original. Bare mentions of a
-   document's names follow, as they were spelled and in capitals.
+   document's names follow, as they were spelled, in capitals and with either apostrophe; initials move by a keyed number of letters. What has no surrogate stays: no text becomes null.
 
 Only texts with entities are shuffled. Shuffles are keyed by entity (pre-aggregated; joins are split by adaptive execution) and by text.
 
@@ -24,6 +24,8 @@ entities that draw one surrogate the smaller value; an empty table gives no rows
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -31,7 +33,7 @@ from pyspark.sql import Window
 from .common import documents, forget, written
 
 #: Titles with the gender they show, and common first names.
-TITLES = {"m": "Mr|Herr|Monsieur|Señor|Sr|г-н|господин", "f": "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|г-жа|госпожа", "": "Mx|Dr|Prof"}
+TITLES = {"m": r"Mr|Herr|Monsieur|M(?=\.)|Señor|Sr|г-н|господин", "f": "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|г-жа|госпожа", "": "Mx|Dr|Prof"}
 FIRST_NAMES = {
     "m": "james john robert michael david william richard joseph thomas charles christopher daniel matthew anthony mark donald steven paul andrew joshua kenneth kevin brian george edward peter "
     "hans karl klaus stefan jürgen wolfgang uwe dieter heinrich otto jean pierre jacques philippe françois michel louis henri antoine jose josé juan carlos luis miguel antonio javier pedro diego "
@@ -43,10 +45,15 @@ PART = r"\p{Lu}(?:\p{L}|['’-](?=\p{Lu}))+"
 TITLE = "(?<!\\p{L})(?:" + "|".join(TITLES.values()) + ")(?!\\p{L})"
 LISTED = r"(?<!\p{L})(?=\p{Lu})(?:" + "|".join(n.capitalize() for names in FIRST_NAMES.values() for n in names.split()) + ")(?!\\p{L})"
 UNTITLED = rf"{LISTED} (?:{LISTED} )?{PART}"
-NAME = TITLE + rf"\.? {PART}(?: {PART}){{0,2}}"
+#: Initials stand before a titled person's other names.
+INITIAL = r"[A-Z]\."
+NAME = TITLE + rf"\.? (?:{INITIAL} ){{0,3}}{PART}(?: (?:{INITIAL} )?{PART}){{0,2}}"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 ADDRESS = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
+#: Eight groups of hexadecimal digits, or fewer around a double colon.
+GROUP = r"[0-9A-Fa-f]{1,4}"
+ADDRESS_6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}:){{1,6}}(?::{GROUP}){{1,6}}|::(?:{GROUP}:){{1,6}}{GROUP})(?![\p{{L}}\p{{N}}:])"
 PHONE = "|".join(
     (
         r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
@@ -64,9 +71,9 @@ TOKEN = rf"(?<![\p{{L}}\p{{N}}]){PREFIX}[A-Za-z0-9_-]{{16,255}}(?![A-Za-z0-9_-])
 SECRET = r"(?<![\p{L}\p{N}])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\p{L}\p{N}])"
 #: A value with a digit after a word for secrets and a sign that it is one; only the value is taken.
 VALUE = r"(?=[A-Za-z_+/.-]{0,128}\d)[A-Za-z0-9_+/.-]{8,256}(?![A-Za-z0-9_+/.@-])"
-KEYED = r"(?<=[=:\s\"'])" + VALUE.replace("[A-Za-z0-9_+/.-]{8", r"(?<=(?i:token|key|password|passwd|secret)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/.-]{8", 1)
+KEYED = r"(?<=[=:\s\"'])" + VALUE.replace("[A-Za-z0-9_+/.-]{8", r"(?<=(?i:token|key|password|passwd|passphrase|pass|pwd|pin|secret|credentials?)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/.-]{8", 1)
 #: In the order in which they are tried at a place of a text.
-PATTERNS = {"email": EMAIL, "token": TOKEN, "secret": SECRET, "keyed": KEYED, "account": ACCOUNT, "phone": PHONE, "address": ADDRESS, "number": NUMBER, "card": CARD, "untitled": UNTITLED, "name": NAME}
+PATTERNS = {"email": EMAIL, "token": TOKEN, "secret": SECRET, "keyed": KEYED, "account": ACCOUNT, "phone": PHONE, "address": ADDRESS, "number": NUMBER, "card": CARD, "untitled": UNTITLED, "name": NAME, "address_6": ADDRESS_6}
 ANY = "|".join(PATTERNS.values())
 #: Shapes that tell a match's kind, without what stands around it; others are names.
 SHAPES = {k: p for k, p in PATTERNS.items() if k not in ("keyed", "untitled", "name")} | {"keyed": VALUE}
@@ -79,9 +86,10 @@ SCRIPTS = {
 #: First letter and number of letters that stand for a letter of a script.
 ALPHABETS = {"Cyrillic": ("а", 32), "Greek": ("α", 17)}
 KEY = "surrogate key of the sample queries"
-MOST_ATTEMPTS = 200
 #: From this attempt on, local parts, domains and names grow, so that they can't run out.
 GROWS = 8
+#: From this attempt on, surrogates of other kinds get a hyphen and letters behind them: their format has fewer free values than the corpus has entities of it.
+RUNS_OUT = 40
 
 
 def kind_of(match: Column) -> Column:
@@ -112,12 +120,19 @@ def entity(kind: Column, value: Column, gender: Column, role: Column) -> Column:
     return F.struct(kind.alias("kind"), F.lower(value).alias("value"), gender.cast("string").alias("gender"), role.cast("string").alias("role"))
 
 
+def shifted_initial(initial: Column, surname: Column, key: str) -> Column:
+    """Another letter for an initial: all initials of a surname move by the same keyed number of letters, so that different ones stay different."""
+    move = draw(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("initial"), F.lower(surname)), 256), F.lit(0), 25) + 1
+    return F.concat(letter("A", (F.ascii(initial) - ord("A") + move) % 26), F.lit("."))
+
+
 def entities_of(found: Column) -> Column:
     """Entities of a match (kind, match): array of (kind, value, gender, role)."""
     kind, match, none = found["kind"], found["match"], F.lit(None)
     parts = name_parts(match)
     named = F.transform(parts, lambda part, i: entity(F.lit("name"), part, title_gender(F.split(match, " ")[0]), F.when(i == F.size(parts) - 1, "s").otherwise("g")))
     plain = entity(kind, match, none, none)
+    named = F.filter(named, lambda e: ~e["value"].rlike(rf"^(?i:{INITIAL})$"))
     return F.when(kind == "name", named).when(kind == "email", F.array(plain, entity(F.lit("domain"), domain_of(match), none, none))).otherwise(F.array(plain))
 
 
@@ -202,23 +217,24 @@ def surrogate(kind: Column, value: Column, gender: Column, role: Column, attempt
     start = F.when(kind == "phone", F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])|^\(?0", 0)).when(kind == "account", F.substring(value, 1, 2)).when(kind == "token", F.regexp_extract(value, rf"^(?i:{PREFIX})", 0)).otherwise("")
     made = F.concat(start, like_for_like(digest, F.substring(value, F.length(start) + 1, F.length(value))))
     octets = F.array_join(F.transform(F.split(value, r"\."), lambda o, i: (F.conv(F.substring(digest, 4 * i + 1, F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string")), ".")
-    return (
+    own = (
         F.when(kind == "email", F.concat(like_for_like(digest, local), grown(digest, attempt), F.lit("@"), domain_of(value)))
         .when(kind == "domain", F.concat(like_for_like(digest, F.substring(value, F.lit(1), F.length(value) - F.length(top))), grown(digest, attempt), top))
         .when(kind == "address", octets)
-        .when(kind == "secret", like_for_like(digest, value, 6))
+        .when(kind.isin("secret", "address_6"), like_for_like(digest, value, 6))
         .when(kind == "name", made_name(digest, value, gender, role, attempt))
         .when((kind == "card") & (check_sum(value) % 10 == 0), with_check_digit(made))
         .when((kind == "account") & (remainder_97(value, F.substring(value, 3, 2)) == 1), with_account_check(made))
         .otherwise(made)
     )
+    return F.when(~kind.isin("email", "domain", "name") & (attempt >= RUNS_OUT), F.concat(own, F.lit("-"), grown(digest, attempt - RUNS_OUT + GROWS))).otherwise(own)
 
 
 def assigned(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) for every entity (kind, value, gender, role): different ones get different surrogates, none of which is an entity."""
     known = entities.select("kind", F.col("value").alias("surrogate"))
     pending, settled = entities, None
-    for attempt in range(MOST_ATTEMPTS):
+    for attempt in itertools.count():
         tried = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.col("role"), F.lit(attempt), key))
         taken = known if settled is None else known.unionByName(settled.select("kind", "surrogate"))
         won = written(tried.join(taken, ["kind", "surrogate"], "left_anti").groupBy("kind", "surrogate").agg(F.min("value").alias("value")), "surrogates")
@@ -228,7 +244,6 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
             forget(before)
         if pending.isEmpty():
             return settled
-    raise ValueError(f"no free surrogate after {MOST_ATTEMPTS} attempts: a format has fewer values than the corpus has entities of it")
 
 
 def in_case_of(made: Column, original: Column) -> Column:
@@ -244,22 +259,22 @@ def of_map(made: Column, kind: str | Column, value: Column) -> Column:
     return made[F.concat(F.lit(kind) if isinstance(kind, str) else kind, F.lit(":"), F.lower(value))]
 
 
-def replaced(found: Column, made: Column) -> Column:
-    """The match with its entities' surrogates, from the map made (kind:value -> surrogate)."""
+def replaced(found: Column, made: Column, key: str) -> Column:
+    """The match with its entities' surrogates, from the map made (kind:value -> surrogate). The match itself stays if it has none; it is never null."""
     kind, match = found["kind"], found["match"]
     parts = F.split(match, " ")
-    name = F.concat_ws(" ", F.when(F.size(name_parts(match)) < F.size(parts), parts[0]), F.transform(name_parts(match), lambda p: name_in_case_of(of_map(made, "name", p), p)))
+    name = F.concat_ws(" ", F.when(F.size(name_parts(match)) < F.size(parts), parts[0]), F.transform(name_parts(match), lambda p: F.when(p.rlike(f"^{INITIAL}$"), shifted_initial(p, F.element_at(name_parts(match), -1), key)).otherwise(F.coalesce(name_in_case_of(of_map(made, "name", p), p), p))))
     plain = of_map(made, kind, match)
     local, domain = F.substring_index(match, "@", 1), domain_of(match)
     email = F.concat(in_case_of(F.substring_index(plain, "@", 1), local), F.lit("@"), in_case_of(of_map(made, "domain", domain), domain))
-    return F.when(kind == "name", name).when(kind == "email", email).when(kind == "address", plain).otherwise(in_case_of(plain, match))
+    return F.coalesce(F.when(kind == "name", name).when(kind == "email", email).when(kind == "address", plain).otherwise(in_case_of(plain, match)), match)
 
 
 def with_surrogates(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
     """docs with its text's personal data replaced; all columns and rows are kept. count: name of a column for the number of matches."""
     given, void = docs.columns, {c for c, kind in docs.dtypes if kind == "void"}
     own = F.col(f"`{text}`").cast("string")
-    maybe = own.rlike("[0-9@]") | own.rlike(f"{TITLE}|{LISTED}")
+    maybe = own.rlike("[0-9@]|::") | own.rlike(f"{TITLE}|{LISTED}")
     matches = F.when(maybe, F.regexp_extract_all(own, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found = F.transform(F.coalesce(matches, F.array().cast("array<string>")), lambda m: F.struct(kind_of(m).alias("kind"), m.alias("match")))
     # the one pass of the pattern over the corpus
@@ -273,12 +288,16 @@ def with_surrogates(docs: DataFrame, key: str = KEY, text: str = "text", count:
     entities = written(mentions.groupBy("kind", "value").agg(F.min("gender").alias("gender"), F.max("role").alias("role")).withColumn("gender", F.when(F.col("kind") == "name", F.coalesce(listed, "gender"))), "entities")
     made = assigned(entities, key)
     per_text = mentions.select("place", "kind", "value").join(made, ["kind", "value"]).groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(":"), "value"), "surrogate"))).alias("made"))
-    cut = F.zip_with(F.split("text", ANY, -1), F.transform("found", lambda m: replaced(m, F.col("made"))), lambda piece, put: F.concat(piece, F.coalesce(put, F.lit(""))))
-    # the names as they are spelled, and in capitals
-    spelled = F.array_distinct(F.flatten(F.transform(F.filter("found", lambda m: m["kind"] == "name"), lambda m: name_parts(m["match"]))))
-    forms = F.array_union(spelled, F.transform(spelled, F.upper))
+    cut = F.zip_with(F.split("text", ANY, -1), F.transform("found", lambda m: replaced(m, F.col("made"), key)), lambda piece, put: F.concat(piece, F.coalesce(put, F.lit(""))))
+    # the names as they are spelled, in capitals and with the other apostrophe; each form keeps the spelling whose surrogate it gets, as capitals don't always lead back to it
+    spelled = F.filter(F.array_distinct(F.flatten(F.transform(F.filter("found", lambda m: m["kind"] == "name"), lambda m: name_parts(m["match"])))), lambda p: ~p.rlike(f"^{INITIAL}$"))
+
+    def spelled_as(change) -> Column:
+        return F.transform(spelled, lambda p: F.struct(change(p).alias("form"), p.alias("of")))
+
+    forms = F.array_distinct(F.concat(spelled_as(lambda p: p), spelled_as(F.upper), *[spelled_as(lambda p, sign=sign: F.regexp_replace(p, "['’]", sign)) for sign in "'’"]))
     done = some.join(per_text, "place").select("row", "made", forms.alias("forms"), F.array_join(cut, "").alias("text"), F.size("found").alias("n_entities"))
-    bare = F.aggregate("forms", F.col("text"), lambda acc, form: F.regexp_replace(acc, F.concat(F.lit(r"(?<!\p{L})\Q"), form, F.lit(r"\E(?!\p{L})")), name_in_case_of(of_map(F.col("made"), "name", form), form)))
+    bare = F.aggregate("forms", F.col("text"), lambda acc, f: F.regexp_replace(acc, F.concat(F.lit(r"(?<!\p{L})\Q"), f["form"], F.lit(r"\E(?!\p{L})")), F.coalesce(name_in_case_of(of_map(F.col("made"), "name", f["of"]), f["form"]), f["form"])))
     done = done.select("row", F.when(F.size("forms") > 0, bare).otherwise(F.col("text")).alias("text"), "n_entities")
     out = done.unionByName(marked.where(F.size("found") == 0).select("row", "text", F.lit(0).alias("n_entities")))
     kept = [F.col("text").alias(c) if c == text else F.lit(None).alias(c) if c in void else F.col("row").getField(c).alias(c) for c in given]
