@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.sources import tables
+from quarryline.sources.changelog import ChangeLog
 from quarryline.streaming import jobs
 
 from . import texts
@@ -35,10 +36,12 @@ def stream_ingest(spark, sf_dir):
 
 
 def upsert_by_source(spark, sf_dir):
-    """Documents of even sources come again with new text; the others stay."""
+    """Documents in a change log by source; those of even sources come again with new text, the others stay as they are on disk."""
     own = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("chars"))
-    new = own.where(F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 2 == 0).withColumn("chars", -F.col("chars"))
-    return tables.replaced_per_source(own, new)
+    log = ChangeLog(spark, tables.scratch(spark, "chunk-log"), "source", "doc_id long, source string, chars int")
+    log.merge(own, 0)
+    log.merge(own.where(F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 2 == 0).withColumn("chars", -F.col("chars")), 1)
+    return log.read()
 
 
 def bundle_round_trip(spark, sf_dir):

@@ -83,12 +83,28 @@ def stored(table: DataFrame, name: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """The number of the last complete version of a table under root; None if there is none."""
+def complete_versions(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of a table's complete versions under root."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(path):
-        return None
+        return []
     names = [f.getPath() for f in files.listStatus(path) if f.getPath().getName().startswith("version=")]
-    done = [int(p.getName().split("=")[1]) for p in names if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max(done, default=None)
+    return [int(p.getName().split("=")[1]) for p in names if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    """The number of the last complete version of a table under root; None if there is none."""
+    return max(complete_versions(spark, root), default=None)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder; whether it was there."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
+
+
+def bytes_in(spark: SparkSession, path: str) -> int:
+    """Bytes of all files in a folder."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(file).getLength()

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as x
-from quarryline.sources.tables import latest_version, replaced_per_source, scratch, write_version
+from quarryline.sources.changelog import ChangeLog
+from quarryline.sources.tables import latest_version, scratch, stored, write_version
 
 RETENTION = "90 days"
 
@@ -58,36 +59,42 @@ def progress(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("done"))
 
 
+INGESTED = "doc_id long, source string, content_hash string, chars int"
+
+
 def ingest(documents: DataFrame, out: str) -> DataFrame:
     """Batches of documents replace the chunks of their ids where their content has changed: id, source, content hash, size.
 
-    Of a batch's rows with one id the one with the smallest hash counts. Beside the table's versions, out-runs gets a row per batch (new, changed and unchanged ids,
+    The table is a change log by doc_id (a null one is an id like others): a batch reads the buckets of its ids, writes its new and changed rows, and every few batches the log is compacted and what nothing
+    needs any more is removed. Of a batch's rows with one id the one with the smallest hash counts. Beside the log, out-runs gets a row per batch (new, changed and unchanged ids,
     whether anything changed) and out-snapshots the hashes that a batch brought: both are written by batch number, so that a retried batch replaces its own.
     """
     spark = documents.sparkSession
+    log = ChangeLog(spark, out, "doc_id", INGESTED)
 
-    def step(batch: DataFrame, number: int) -> DataFrame:
-        found = batch.select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.length("text").alias("chars"))
+    def step(batch: DataFrame, number: int) -> None:
+        found = batch.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.length("text").alias("chars"))
         new = found.groupBy("doc_id").agg(F.min_by(F.struct("source", "content_hash", "chars"), F.struct("content_hash", "source")).alias("own")).select("doc_id", "own.*")
+        new = stored(new, "ingest-batch")
         # a batch that is tried again starts from the version before it
-        before = latest_before(spark, out, number)
-        old = spark.read.parquet(f"{out}/version={before:09d}") if before is not None else spark.createDataFrame([], new.schema)
-        state = new.join(old.select("doc_id", F.col("content_hash").alias("old_hash")), "doc_id", "left")
+        start = log.before(number)
+        old = log.lookup(new.select("doc_id"), start) if start is not None else spark.createDataFrame([], INGESTED)
+        old = old.select(F.col("doc_id").alias("old_id"), F.col("content_hash").alias("old_hash"))
+        state = new.join(old, F.col("doc_id").eqNullSafe(F.col("old_id")), "left")
         state = state.withColumn("state", F.when(F.col("old_hash").isNull(), "new").when(F.col("old_hash") == F.col("content_hash"), "unchanged").otherwise("changed"))
         write_version(state.select("doc_id", "content_hash", "state"), f"{out}-snapshots", number)
+        known = spark.read.parquet(f"{out}-snapshots/version={number:09d}")
         counts = [F.count_if(F.col("state") == s).alias(s) for s in ("new", "changed", "unchanged")]
-        run = spark.read.parquet(f"{out}-snapshots/version={number:09d}").agg(*counts).select(F.lit(number).alias("run"), "*", ((F.col("new") + F.col("changed")) > 0).alias("diff"))
+        run = known.agg(*counts).select(F.lit(number).alias("run"), "*", ((F.col("new") + F.col("changed")) > 0).alias("diff"))
         write_version(run, f"{out}-runs", number)
-        fresh = state.where("state <> 'unchanged'").select(*new.columns)
-        return replaced_per_source(old, fresh, "doc_id")
-
-    return versioned(documents, out, "append", step)
-
-
-def latest_before(spark: SparkSession, out: str, number: int) -> int | None:
-    """The last complete version before a number: batches are numbered without gaps, so it is the one before or there is none."""
-    last = latest_version(spark, out)
-    return None if last is None or number == 0 else min(last, number - 1)
+        same = known.where("state = 'unchanged'").select(F.col("doc_id").alias("same_id"))
+        log.merge(new.join(same, F.col("doc_id").eqNullSafe(F.col("same_id")), "left_anti"), number)
+        if log.due():
+            log.compact()
+            log.vacuum()
+
+    documents.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
+    return log.read()
 
 
 def ingestion_runs(spark: SparkSession, out: str) -> DataFrame:
