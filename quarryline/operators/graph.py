@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.sources.tables import stored
+
 RELATED_WEIGHT = 0.4
 ENTITY_TYPES = {"business_rule": "rule", "integration_flow": "process", "data_flow": "process", "process_description": "process", "entity_definition": "api_entity", "data_model": "api_entity", "data_schema": "api_entity"}
 LABELS = {"TRANSITIONS_TO": "transitions to", "CALLS": "calls", "GOVERNS": "governs", "TRIGGERS": "triggers", "HANDLES_ERROR": "handles error", "MAPS_TO": "maps to", "DEFINED_BY": "defines", "RELATED_TO": "related to"}
@@ -124,17 +126,6 @@ def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "from_id", "left_semi").join(b, "to_id", "left_semi")
 
 
-def entities_of_chunks(entities: DataFrame, seeds: DataFrame) -> DataFrame:
-    """query_id, entity_id of entities that a query's seed chunks (query_id, chunk_id) support."""
-    return entities.select("entity_id", F.explode("chunk_ids").alias("chunk_id")).join(seeds, "chunk_id").select("query_id", "entity_id").distinct()
-
-
-def supporting_chunks(entities: DataFrame, chosen: DataFrame, per_entity: int = 2, per_query: int = 20) -> DataFrame:
-    """query_id, chunk_id: the first chunks of a query's entities (query_id, entity_id), capped per entity and per query."""
-    own = chosen.join(entities.select("entity_id", "chunk_ids"), "entity_id").select("query_id", "entity_id", F.posexplode(F.slice("chunk_ids", 1, per_entity)).alias("pos", "chunk_id"))
-    return own.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("entity_id", "pos"))).where(F.col("n") <= per_query).select("query_id", "entity_id", "chunk_id")
-
-
 def walked_entities(edges: DataFrame, chosen: DataFrame, depth: int = 2, most: int = 10, typed_only: bool = True) -> DataFrame:
     """query_id, entity_id of entities that edges lead to from a query's first `most` seed entities (query_id, entity_id), within depth + 1 hops.
 
@@ -152,6 +143,46 @@ def walked_entities(edges: DataFrame, chosen: DataFrame, depth: int = 2, most: i
     return found.where(F.lit(not typed_only) | (F.col("rel_type") != "RELATED_TO")).select("query_id", F.col("to_id").alias("entity_id")).distinct()
 
 
+#: Parts over which the edges of one node are dealt.
+EDGE_PARTS = 16
+#: Nodes that a query's walk takes from one hop to the next, by id.
+FRONTIER_MOST = 10_000
+
+
+def salted_edges(edges: DataFrame, parts: int = EDGE_PARTS) -> DataFrame:
+    """Edges with the part of their node's edges that they fall in: with (from_id, part) as key a hub is as many groups as there are parts."""
+    return edges.select("from_id", "to_id", "rel_type", F.pmod(F.xxhash64("to_id"), F.lit(parts)).cast("int").alias("part"))
+
+
+def bounded_walk(edges: DataFrame, chosen: DataFrame, depth: int = 2, most: int = 10, typed_only: bool = True, frontier_most: int = FRONTIER_MOST, parts: int = EDGE_PARTS) -> DataFrame:
+    """As `walked_entities`, with at most frontier_most new nodes per query and hop (the smallest ids): query_id, entity_id, cut.
+
+    A query whose walk met more new nodes in a hop has cut = true on all its rows; its list may then lack nodes. Frontiers are copied to every part of the edges, so that a hub's edges meet them in `parts` tasks, and
+    are cut in each task before they are shuffled: at most parts x frontier_most rows per query and hop, however many edges a hub has.
+    """
+    own = salted_edges(edges, parts)
+    query = Window.partitionBy("query_id").orderBy("from_id")
+    frontier = chosen.select("query_id", F.col("entity_id").alias("from_id")).distinct().withColumn("place", F.row_number().over(query)).where(F.col("place") <= most).select("query_id", "from_id")
+    all_parts = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    seen, found, cuts = frontier, None, None
+    for hop in range(depth + 1):
+        out = frontier.select("query_id", "from_id", all_parts).join(own, ["from_id", "part"]).select("query_id", "to_id", "rel_type")
+        # one row per query and node: whether a typed edge leads there, and whether any does
+        out = out.groupBy("query_id", "to_id").agg(F.max((F.col("rel_type") != "RELATED_TO").cast("int")).alias("typed"))
+        new = out.join(seen.select("query_id", F.col("from_id").alias("to_id")), ["query_id", "to_id"], "left_anti")
+        place = new.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("to_id"))).where(F.col("place") <= frontier_most + 1)
+        place = stored(place, f"walk-{hop}")
+        over = place.where(F.col("place") > frontier_most).select("query_id").distinct()
+        kept = place.where(F.col("place") <= frontier_most)
+        again = out.join(seen.select("query_id", F.col("from_id").alias("to_id")), ["query_id", "to_id"], "left_semi")
+        step = kept.select("query_id", "to_id", "typed").unionByName(again.select("query_id", "to_id", "typed"))
+        found, cuts = (step, over) if found is None else (found.unionByName(step), cuts.unionByName(over))
+        frontier = kept.select("query_id", F.col("to_id").alias("from_id"))
+        seen = seen.unionByName(frontier)
+    ends = found.where(F.lit(not typed_only) | (F.col("typed") == 1)).select("query_id", F.col("to_id").alias("entity_id")).distinct()
+    return ends.join(cuts.distinct().withColumn("cut", F.lit(True)), "query_id", "left").select("query_id", "entity_id", F.coalesce("cut", F.lit(False)).alias("cut"))
+
+
 def entity_detail(entities: DataFrame, edges: DataFrame, texts: DataFrame, previews: int = 3, chars: int = 400) -> DataFrame:
     """entity_id, incoming and outgoing edges (other end and type), and the beginnings of its first chunks' texts (chunk_id, text)."""
 
@@ -178,13 +209,6 @@ def token_search(entities: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("matches"), "entity_id"))).where(F.col("rank") <= k)
 
 
-def delete_document(entities: DataFrame, edges: DataFrame, doc_id: Column, chunk_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Both tables without a document: its id and chunks leave the arrays, rows left empty go, and edges that lose an end. chunk_of(chunk) is null for other chunks."""
-    own = entities.withColumns({"doc_ids": F.array_remove("doc_ids", doc_id), "chunk_ids": F.filter("chunk_ids", chunk_of)}).where(F.size("doc_ids") > 0).withColumn("chunk_count", F.size("chunk_ids"))
-    left = edges.withColumn("doc_ids", F.array_remove("doc_ids", doc_id)).where(F.size("doc_ids") > 0)
-    return own, subgraph(left, own.select(F.col("entity_id").alias("node")))
-
-
 def delete_entities(entities: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     a, b = gone.select(F.col("entity_id").alias("from_id")), gone.select(F.col("entity_id").alias("to_id"))
     return entities.join(gone, "entity_id", "left_anti"), edges.join(a, "from_id", "left_anti").join(b, "to_id", "left_anti")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as x
 from quarryline.operators import graph as g
+from quarryline.operators import membership as m
+from quarryline.sources.tables import scratch
 
 from . import texts
 from .retrieval import table
@@ -33,12 +35,21 @@ ents AS (SELECT part AS entity_id, arg_min(semantic_type, (pos, semantic_type))
 rels AS (SELECT 'REL-' || left(sha1(system || '|' || part || '|' || rel_type), 12) AS rel_id, system AS from_id, part AS to_id, rel_type, CAST(CASE rel_type WHEN 'RELATED_TO' THEN 0.4 ELSE 1.0 END AS DOUBLE) AS weight, list_sort(list(DISTINCT chunk_id)) AS evidence, list_sort(list(DISTINCT doc_id)) AS doc_ids FROM lines GROUP BY system, part, rel_type)"""
 
 
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entity candidates."""
+    return lines(spark, sf_dir).select(F.col("part").alias("entity_id"), F.col("part").alias("name"), F.col("semantic_type").alias("entity_type"), "doc_id", "chunk_id", "semantic_type", "tags_csv", "pos")
+
+
+def found_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select(F.col("system").alias("from_id"), F.col("part").alias("to_id"), "rel_type", "chunk_id", "doc_id")
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.merge_entities(lines(spark, sf_dir).select(F.col("part").alias("entity_id"), F.col("part").alias("name"), F.col("semantic_type").alias("entity_type"), "doc_id", "chunk_id", "semantic_type", "tags_csv", "pos"))
+    return g.merge_entities(found(spark, sf_dir))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.merge_relations(lines(spark, sf_dir).select(F.col("system").alias("from_id"), F.col("part").alias("to_id"), "rel_type", "chunk_id", "doc_id"))
+    return g.merge_relations(found_edges(spark, sf_dir))
 
 
 def graph_entities(spark, sf_dir):
@@ -57,15 +68,15 @@ def graph_cooccurrence(spark, sf_dir):
 
 
 def graph_without_shadowed(spark, sf_dir):
-    return g.without_shadowed(edges(spark, sf_dir)).select("rel_id", "from_id", "to_id", "rel_type")
+    return g.without_shadowed(m.edge_views(found_edges(spark, sf_dir))).select("rel_id", "from_id", "to_id", "rel_type")
 
 
 def graph_stats(spark, sf_dir):
-    return entities(spark, sf_dir).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.sum("chunk_count").alias("chunks")).orderBy(F.desc("n"), "entity_type").limit(10)
+    return m.entity_views(found(spark, sf_dir)).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.sum("chunk_count").alias("chunks")).orderBy(F.desc("n"), "entity_type").limit(10)
 
 
 def graph_top_entities(spark, sf_dir):
-    return entities(spark, sf_dir).select("entity_id", "chunk_count").orderBy(F.desc("chunk_count"), "entity_id").limit(5)
+    return m.counts(found(spark, sf_dir)).select("entity_id", F.col("chunk_count").cast("int").alias("chunk_count")).orderBy(F.desc("chunk_count"), "entity_id").limit(5)
 
 
 def graph_incremental(spark, sf_dir):
@@ -75,6 +86,34 @@ def graph_incremental(spark, sf_dir):
     return g.merge_incremental(*own)
 
 
+def graph_members(spark, sf_dir):
+    return m.members(found(spark, sf_dir))
+
+
+def graph_entity_views(spark, sf_dir):
+    return m.entity_views(found(spark, sf_dir))
+
+
+def graph_edge_views(spark, sf_dir):
+    return m.edge_views(found_edges(spark, sf_dir))
+
+
+def graph_store(spark, sf_dir):
+    """Views of a store that got the even documents, then the odd ones, then lost every document whose id is divisible by 7."""
+    own = found(spark, sf_dir)
+    store = m.EntityStore(spark, scratch(spark, "entity-store"))
+    for k in (0, 1):
+        store.put(own.where(F.col("doc_id") % 2 == k), k)
+    store.put(own.where("false"), 2, own.where("doc_id % 7 = 0").select("doc_id").distinct())
+    return store.views.read()
+
+
+def graph_bounded_walk(spark, sf_dir):
+    """Everything that edges lead to within three hops from a customer's parts, at most 40 new nodes a hop: which were reached, and whether the walk was cut."""
+    own = seeds(spark, sf_dir).where("query_id % 20 = 0")
+    return g.bounded_walk(both_ways(spark, sf_dir), m.entities_of_chunks(m.members(found(spark, sf_dir)), own), 2, frontier_most=40)
+
+
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges region -> nation -> customer -> order."""
     n, c, o = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
@@ -103,21 +142,21 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_seed_entities(spark, sf_dir):
-    return g.entities_of_chunks(entities(spark, sf_dir), seeds(spark, sf_dir))
+    return m.entities_of_chunks(m.members(found(spark, sf_dir)), seeds(spark, sf_dir))
 
 
 def both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from systems to parts, and back as untyped ones."""
-    own = edges(spark, sf_dir).select("from_id", "to_id", "rel_type")
+    own = found_edges(spark, sf_dir).select("from_id", "to_id", "rel_type").distinct()
     return own.unionByName(own.where("rel_type <> 'RELATED_TO'").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), F.lit("RELATED_TO").alias("rel_type")))
 
 
 def graph_expansion(spark, sf_dir):
     """A customer's five best (dearest) orders -> their parts -> parts that typed edges lead to within three hops -> their first orders, at the score of expanded chunks."""
-    e, o = entities(spark, sf_dir), table(spark, sf_dir, "orders").where("o_custkey % 20 = 0")
+    e, o = m.members(found(spark, sf_dir)), table(spark, sf_dir, "orders").where("o_custkey % 20 = 0")
     best = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("n")).where("n <= 5").drop("n")
-    reached = g.walked_entities(both_ways(spark, sf_dir), g.entities_of_chunks(e, best), 2)
-    return g.supporting_chunks(e, reached).withColumn("score", F.lit(0.05))
+    reached = g.walked_entities(both_ways(spark, sf_dir), m.entities_of_chunks(e, best), 2)
+    return m.supporting_chunks(e, reached).withColumn("score", F.lit(0.05))
 
 
 def graph_entity_detail(spark, sf_dir):
@@ -129,19 +168,19 @@ def graph_entity_detail(spark, sf_dir):
 
 def graph_delete_document(spark, sf_dir):
     """The graph without document 3."""
-    own, left = g.delete_document(entities(spark, sf_dir), edges(spark, sf_dir), F.lit(3).cast("long"), lambda c: F.floor(c / 100) != 3)
-    return own.select(F.col("entity_id").alias("id"), F.col("chunk_count").cast("long").alias("n")).unionByName(left.select(F.col("rel_id").alias("id"), F.size("doc_ids").cast("long").alias("n")))
+    own, left = m.without_document(m.members(found(spark, sf_dir)), m.edge_members(found_edges(spark, sf_dir)), F.lit(3).cast("long"))
+    return m.counts(own).select(F.col("entity_id").alias("id"), F.col("chunk_count").alias("n")).unionByName(m.edge_views(left).select(F.col("rel_id").alias("id"), F.col("doc_count").alias("n")))
 
 
 def graph_delete_entities(spark, sf_dir):
     """The edges without entities of fewer than 20 chunks."""
-    e = entities(spark, sf_dir)
-    return g.delete_entities(e, edges(spark, sf_dir), e.where("chunk_count < 20").select("entity_id"))[1].select("rel_id", "from_id", "to_id")
+    e = m.counts(found(spark, sf_dir))
+    return g.delete_entities(e, m.edge_views(found_edges(spark, sf_dir)), e.where("chunk_count < 20").select("entity_id"))[1].select("rel_id", "from_id", "to_id")
 
 
 def entity_search(spark, sf_dir):
     """Tag pattern, type, and a pattern of the name or an alias (the type and the name), third page of ten, with the number of all hits."""
-    own = entities(spark, sf_dir).withColumn("aliases", F.array(F.concat_ws(" ", "entity_type", "name")))
+    own = m.entity_views(found(spark, sf_dir)).withColumn("aliases", F.array(F.concat_ws(" ", "entity_type", "name")))
     return g.entity_page(own, "1[0-9]*$", "N", "O", 20, 10).select("entity_id", "tags_csv", "total")
 
 
@@ -191,7 +230,7 @@ def text_related(spark, sf_dir):
     return g.related(names, g.typed_relations(own)).groupBy("from_name", "to_name").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-QUERIES = {f.__name__: f for f in (graph_entities, graph_edges, graph_cooccurrence, graph_without_shadowed, graph_stats, graph_top_entities, graph_incremental, graph_neighbourhood, graph_subgraph, graph_subgraph_nodes, graph_seed_entities, graph_expansion, graph_entity_detail, graph_delete_document, graph_delete_entities, entity_search, name_token_search, text_entity_candidates, text_typed_relations, text_related)}
+QUERIES = {f.__name__: f for f in (graph_entities, graph_edges, graph_cooccurrence, graph_without_shadowed, graph_stats, graph_top_entities, graph_incremental, graph_neighbourhood, graph_subgraph, graph_subgraph_nodes, graph_seed_entities, graph_expansion, graph_entity_detail, graph_delete_document, graph_delete_entities, entity_search, name_token_search, text_entity_candidates, text_typed_relations, text_related, graph_members, graph_entity_views, graph_edge_views, graph_store, graph_bounded_walk)}
 SEEDS = "seeds AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id FROM orders WHERE o_orderpriority = '1-URGENT'), se AS (SELECT DISTINCT query_id, part AS entity_id FROM lines JOIN seeds USING (chunk_id))"
 SQL = {
     "graph_entities": f"WITH {LINES} SELECT entity_id, entity_id AS name, entity_type, doc_ids, chunk_ids, semantic_types, tags_csv, CAST(len(chunk_ids) AS INTEGER) AS chunk_count FROM ents",
@@ -225,4 +264,23 @@ SQL = {
     "entity_search": f"WITH {LINES}, h AS (SELECT entity_id, tags_csv FROM ents WHERE entity_type = 'N' AND contains(tags_csv, 'O') AND regexp_matches(entity_id, '1[0-9]*$')) SELECT entity_id, tags_csv, (SELECT count(*) FROM h) AS total FROM h ORDER BY entity_id LIMIT 10 OFFSET 20",
     "name_token_search": "WITH t AS (SELECT DISTINCT p_partkey AS entity_id, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type), '\\s+')) AS token FROM part), q AS (SELECT DISTINCT p_partkey AS query_id, unnest(regexp_split_to_array(lower(p_name), '\\s+')) AS token FROM part WHERE p_partkey % 20 = 0), m AS (SELECT query_id, entity_id, count(*) AS matches FROM t JOIN q USING (token) WHERE token <> '' GROUP BY ALL) SELECT query_id, entity_id, matches, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, entity_id) AS INTEGER) AS rank FROM m) WHERE rank <= 5",
     "text_entity_candidates": f"WITH {CLASSIFIED} SELECT name, entity_type, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM cand WHERE name <> '' GROUP BY ALL",
+    "graph_members": f"WITH {LINES} SELECT DISTINCT part AS entity_id, chunk_id, doc_id FROM lines",
+    "graph_entity_views": f"WITH {LINES} SELECT entity_id, entity_id AS name, entity_type, tags_csv, semantic_types, len(chunk_ids) AS chunk_count, len(doc_ids) AS doc_count, chunk_ids[1:3] AS first_chunks FROM ents",
+    "graph_edge_views": f"WITH {LINES} SELECT rel_id, from_id, to_id, rel_type, weight, len(evidence) AS chunk_count, len(doc_ids) AS doc_count FROM rels",
+    "graph_store": f"WITH {LINES}, l AS (SELECT * FROM lines WHERE doc_id % 7 <> 0) SELECT part AS entity_id, part AS name, arg_min(semantic_type, (doc_id % 2, pos, semantic_type)) AS entity_type, arg_max(tags_csv, (doc_id % 2, length(tags_csv), -pos, tags_csv)) AS tags_csv, list_sort(list(DISTINCT semantic_type)) AS semantic_types, count(DISTINCT chunk_id) AS chunk_count, count(DISTINCT doc_id) AS doc_count, list_sort(list(DISTINCT chunk_id))[1:3] AS first_chunks FROM l GROUP BY part",
+    "graph_bounded_walk": f"""WITH {LINES}, {SEEDS.replace("WHERE o_orderpriority = '1-URGENT'", "WHERE o_orderpriority = '1-URGENT' AND o_custkey % 20 = 0")},
+        w AS (SELECT from_id, to_id, rel_type FROM rels UNION ALL SELECT to_id, from_id, 'RELATED_TO' FROM rels WHERE rel_type <> 'RELATED_TO'),
+        f0 AS (SELECT query_id, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY entity_id) AS n FROM se) WHERE n <= 10),
+        o1 AS (SELECT query_id, to_id, max(CAST(rel_type <> 'RELATED_TO' AS INTEGER)) AS typed FROM f0 JOIN w ON entity_id = from_id GROUP BY ALL),
+        n1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY to_id) AS n FROM o1 WHERE (query_id, to_id) NOT IN (SELECT query_id, entity_id FROM f0)),
+        f1 AS (SELECT query_id, to_id AS entity_id FROM n1 WHERE n <= 40), s1 AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1),
+        o2 AS (SELECT query_id, to_id, max(CAST(rel_type <> 'RELATED_TO' AS INTEGER)) AS typed FROM f1 JOIN w ON entity_id = from_id GROUP BY ALL),
+        n2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY to_id) AS n FROM o2 WHERE (query_id, to_id) NOT IN (SELECT query_id, entity_id FROM s1)),
+        f2 AS (SELECT query_id, to_id AS entity_id FROM n2 WHERE n <= 40), s2 AS (SELECT * FROM s1 UNION ALL SELECT * FROM f2),
+        o3 AS (SELECT query_id, to_id, max(CAST(rel_type <> 'RELATED_TO' AS INTEGER)) AS typed FROM f2 JOIN w ON entity_id = from_id GROUP BY ALL),
+        n3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY to_id) AS n FROM o3 WHERE (query_id, to_id) NOT IN (SELECT query_id, entity_id FROM s2)),
+        ends AS (SELECT query_id, to_id FROM n1 WHERE n <= 40 AND typed = 1 UNION SELECT query_id, to_id FROM n2 WHERE n <= 40 AND typed = 1 UNION SELECT query_id, to_id FROM n3 WHERE n <= 40 AND typed = 1
+          UNION SELECT query_id, to_id FROM o1 WHERE typed = 1 AND (query_id, to_id) IN (SELECT query_id, entity_id FROM f0) UNION SELECT query_id, to_id FROM o2 WHERE typed = 1 AND (query_id, to_id) IN (SELECT query_id, entity_id FROM s1) UNION SELECT query_id, to_id FROM o3 WHERE typed = 1 AND (query_id, to_id) IN (SELECT query_id, entity_id FROM s2)),
+        cut AS (SELECT DISTINCT query_id FROM (SELECT query_id, n FROM n1 UNION ALL SELECT query_id, n FROM n2 UNION ALL SELECT query_id, n FROM n3) WHERE n > 40)
+        SELECT query_id, to_id AS entity_id, query_id IN (SELECT query_id FROM cut) AS cut FROM ends""",
 }
