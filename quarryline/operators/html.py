@@ -67,6 +67,17 @@ def clean_text(html: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
+#: Schemes that a link may have; a link without one is relative.
+ALLOWED_SCHEMES = ("http", "https", "mailto")
+
+
+def allowed_link(link: str) -> bool:
+    """Whether a link has an allowed scheme or none, as browsers read it: without control characters and blanks, which may stand inside a scheme's name."""
+    bare = re.sub(r"[\x00-\x20\x7f-\xa0\u2000-\u200f\u2028\u2029\ufeff]", "", link)
+    scheme = re.match(r"([^/?#:]*):", bare)
+    return scheme is None or scheme[1].lower() in ALLOWED_SCHEMES
+
+
 class Sanitizer(HTMLParser):
     """Allowed markup with safe links; other tags go, their text stays. Every element that is opened is closed."""
 
@@ -77,7 +88,7 @@ class Sanitizer(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ALLOWED:
-            safe = "".join(f' {k}="{escape(v or "")}"' for k, v in attrs if tag == "a" and k in ALLOWED_ATTRIBUTES and not re.match(r"\s*(javascript|data|vbscript):", v or "", re.I))
+            safe = "".join(f' {k}="{escape(v or "")}"' for k, v in attrs if tag == "a" and k in ALLOWED_ATTRIBUTES and (k != "href" or allowed_link(v or "")))
             self.out.append(f"<{tag}{safe}>")
             if tag not in VOID:
                 self.open.append(tag)
@@ -116,17 +127,17 @@ class Links(HTMLParser):
 
 
 def page_links(url: str | None, html: str | None, same_domain: bool = True) -> list[str]:
-    """Absolute http(s) links without fragments, sorted, each once; no binary files, of the page's own host if same_domain."""
+    """Absolute http(s) links without fragments, sorted, each once; no binary files, of the page's own host and port if same_domain."""
     parser, out = Links(), set()
     parser.feed(html or "")
-    host = urlsplit(url or "").hostname
+    host = urlsplit(url or "").netloc
     for link in parser.found:
         try:
-            full = urljoin(url or "", link).split("#", 1)[0]
+            full = urljoin(url or "", link.strip()).split("#", 1)[0]
             parts = urlsplit(full)
         except ValueError:
             continue
-        if parts.scheme in ("http", "https") and not parts.path.lower().endswith(REFUSED) and (not same_domain or parts.hostname == host):
+        if parts.scheme in ("http", "https") and not parts.path.lower().endswith(REFUSED) and (not same_domain or parts.netloc == host):
             out.add(full)
     return sorted(out)
 

@@ -66,11 +66,70 @@ def typed_chunks(capabilities: DataFrame) -> DataFrame:
     return own.join(before, ["source", "run"]).select(F.concat(F.lit("src_"), "source", F.lit("-chunk-"), index).alias("chunk_id"), "id", "c.chunk_kind", "c.text", "low_confidence")
 
 
+#: The methods that are operations of a path; other keys of a path (parameters, summary, servers, trace) are none.
+HTTP_METHODS = ["get", "post", "put", "patch", "delete", "options", "head"]
+
+
+def fields_of(json: Column) -> Column:
+    """The keys of a JSON object with their values as text; null for what is no object."""
+    return F.when(F.ltrim(json).startswith("{"), F.from_json(json, "map<string,string>"))
+
+
+def given(json: Column | str, path: str) -> Column:
+    """The text at a path of JSON; null if it is empty."""
+    return F.nullif(F.get_json_object(json, path), F.lit(""))
+
+
+def spec_operations(specs: DataFrame) -> DataFrame:
+    """source, path, method (as written), body of every operation of JSON specs (source, spec): objects under one of HTTP_METHODS, in any case."""
+    own = specs.select("source", F.explode(fields_of(F.get_json_object("spec", "$.paths"))).alias("path", "item"))
+    own = own.select("source", "path", F.explode(fields_of(F.col("item"))).alias("method", "body"))
+    return own.where(F.lower("method").isin(HTTP_METHODS) & F.ltrim("body").startswith("{"))
+
+
 def openapi_operations(specs: DataFrame) -> DataFrame:
     """An operation per path and method of JSON specs (source, spec): its id, or METHOD_path."""
-    paths = F.from_json(F.get_json_object("spec", "$.paths"), "map<string,map<string,string>>")
-    own = specs.select("source", F.explode(paths).alias("path", "methods")).select("source", "path", F.explode("methods").alias("method", "body"))
-    return own.select("source", "path", "method", F.coalesce(F.get_json_object("body", "$.operationId"), F.concat(F.upper("method"), F.lit("_"), "path")).alias("operation_id"), F.get_json_object("body", "$.summary").alias("summary"))
+    operation = F.coalesce(given("body", "$.operationId"), F.concat(F.upper("method"), F.lit("_"), "path"))
+    return spec_operations(specs).select("source", "path", "method", operation.alias("operation_id"), F.get_json_object("body", "$.summary").alias("summary"))
+
+
+def line(label: str, text: Column) -> Column:
+    """A line of a text; nothing where the value is null."""
+    return F.coalesce(F.concat(F.lit(f"\n{label}"), text), F.lit(""))
+
+
+def openapi_capabilities(specs: DataFrame) -> DataFrame:
+    """capability_id, source, kind, name, text of JSON specs (source, spec): an overview (of specs with a title), their operations, their schemas (of version 3, or else of version 2)."""
+    servers = F.transform(F.from_json(F.get_json_object("spec", "$.servers"), "array<string>"), lambda s: F.coalesce(F.get_json_object(s, "$.url"), F.lit("")))
+    title = given("spec", "$.info.title")
+    text = F.concat(F.lit("API: "), title, line("Version: ", given("spec", "$.info.version")), line("", given("spec", "$.info.description")), line("Servers: ", F.when(F.size(servers) > 0, F.array_join(servers, ", "))))
+    overview = specs.where(title.isNotNull()).select(F.concat("source", F.lit("__overview")).alias("capability_id"), "source", F.lit("overview").alias("kind"), title.alias("name"), text.alias("text"))
+
+    method = F.upper("method")
+    name = F.coalesce(given("body", "$.operationId"), F.concat(method, F.lit("_"), F.regexp_replace(F.replace("path", F.lit("/"), F.lit("_")), "^_+|_+$", "")))
+    summary, more = given("body", "$.summary"), given("body", "$.description")
+    listed = F.from_json(F.get_json_object("body", "$.parameters"), "array<string>")
+    parameters = F.transform(F.filter(listed, lambda p: p.startswith("{")), lambda p: F.coalesce(F.get_json_object(p, "$.name"), F.lit("?")))
+    codes = F.map_keys(fields_of(F.get_json_object("body", "$.responses")))
+    text = F.concat(
+        method, F.lit(" "), "path", F.coalesce(F.concat(F.lit(" — "), summary), F.lit("")), line("", F.when(~more.eqNullSafe(summary), more)),
+        line("Parameters: ", F.when(F.size(listed) > 0, F.array_join(parameters, ", "))), line("Response codes: ", F.when(F.size(codes) > 0, F.array_join(codes, ", "))),
+    )
+    endpoints = spec_operations(specs).select("source", name.alias("name"), text.alias("text")).select(F.concat("source", F.lit("__endpoint__"), "name").alias("capability_id"), "source", F.lit("endpoint").alias("kind"), "name", "text")
+
+    names = F.map_keys(fields_of(F.get_json_object("body", "$.properties")))
+    required = F.coalesce(F.from_json(F.get_json_object("body", "$.required"), "array<string>"), F.array().cast("array<string>"))
+    shown = F.transform(names, lambda n: F.concat(n, F.when(F.array_contains(required, n), F.lit(" (required)")).otherwise(" (optional)")))
+    text = F.concat(F.lit("Schema: "), "name", line("Fields: ", F.when(F.size(names) > 0, F.array_join(shown, ", "))))
+    schemas = spec_schemas(specs).select(F.concat("source", F.lit("__schema__"), "name").alias("capability_id"), "source", F.lit("schema").alias("kind"), "name", text.alias("text"))
+    return overview.unionByName(endpoints).unionByName(schemas)
+
+
+def spec_schemas(specs: DataFrame) -> DataFrame:
+    """source, name, body of the schemas of JSON specs of version 3, or if there are none of version 2."""
+    new, old = (fields_of(F.get_json_object("spec", p)) for p in ("$.components.schemas", "$.definitions"))
+    own = specs.select("source", F.explode(F.when(F.size(new) > 0, new).otherwise(old)).alias("name", "body"))
+    return own.where(F.ltrim("body").startswith("{"))
 
 
 def canonical_hash(json: Column) -> Column:
@@ -111,31 +170,55 @@ def evidence_report(claims: DataFrame, least_lists: tuple[str, ...] = ()) -> Dat
     return own.select("pack_id", "claims", duplicated.alias("duplicated"), "invalid", F.round(ratio, 6).alias("missing_ratio"), (ratio > 0.5).alias("weak"), issues.alias("issues"))
 
 
-def section_confidence(sections: DataFrame, claims: DataFrame) -> DataFrame:
-    """Sections (pack_id, section, text) with the mean weight of the pack's claims (claim, confidence, statement) that have a word of more than four letters in
-    common with them, the claims' ids and issues.
+#: Letters of the runs by which long words meet the words that contain them; words of more than four letters have one at least.
+GRAM = 5
+
+
+def grams(word: Column) -> Column:
+    """The different runs of GRAM letters of a word."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - (GRAM - 1), F.lit(0))), lambda i: F.substring(word, i, F.lit(GRAM))))
 
-    Words meet by an equi-join on (pack, word) after each side's words are made distinct, so that a pack's claims and sections are not paired with each other.
+
+def words_within(wanted: DataFrame, words: DataFrame) -> DataFrame:
+    """pack_id, wanted, word: which words (pack_id, word) of a pack contain a wanted one (pack_id, wanted, of GRAM letters or more).
+
+    A wanted word goes by the run of its letters that fewest of the pack's words have; it meets the words with that run, and only then the texts are compared. So nothing is paired that has no run in common.
     """
-    weight = F.coalesce(*[F.when(F.col("confidence") == k, v) for k, v in WEIGHTS.items()], F.lit(UNSUPPORTED))
+    runs = words.where(F.length("word") >= GRAM).select("pack_id", "word", F.explode(grams(F.col("word"))).alias("gram"))
+    often = runs.groupBy("pack_id", "gram").agg(F.count(F.lit(1)).alias("often"))
+    own = wanted.select("pack_id", "wanted", F.explode(grams(F.col("wanted"))).alias("gram")).join(often, ["pack_id", "gram"], "left")
+    # a word one of whose runs is nowhere in the pack is contained in none
+    rarest = own.groupBy("pack_id", "wanted").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("gram"))
+    return runs.join(rarest, ["pack_id", "gram"]).where(F.col("word").contains(F.col("wanted"))).select("pack_id", "wanted", "word")
 
-    def long_words(text: str) -> Column:
-        return F.explode(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > 4)))
 
-    own = claims.select("pack_id", "claim", weight.alias("w"), "confidence", long_words("statement").alias("word"))
-    hits = sections.select("pack_id", "section", long_words("text").alias("word")).join(own, ["pack_id", "word"]).groupBy("pack_id", "section", "claim").agg(F.first("w").alias("w"), F.first("confidence").alias("confidence"))
+def section_confidence(sections: DataFrame, claims: DataFrame) -> DataFrame:
+    """Sections (pack_id, section, text) with the mean weight of the pack's claims (claim, confidence, statement, and if there source_chunks) of which a word of more than four letters occurs in
+    them, also within a longer word; the claims' number and first id, their source chunks and issues.
+
+    Words are made distinct on both sides before they meet (`words_within`), so that a pack's claims and sections are not paired with each other. Only a pack's matches are as many as they are.
+    """
+    weight = F.coalesce(*[F.when(F.col("confidence") == k, v) for k, v in WEIGHTS.items()], F.lit(UNSUPPORTED))
+    cut = F.split("text", r"\s+")
+    in_sections = sections.select("pack_id", "section", F.explode(F.array_distinct(F.transform(F.filter(cut, lambda w: F.length(w) >= GRAM), F.lower))).alias("word"))
+    long_words = F.array_distinct(F.transform(F.filter(F.split("statement", r"\s+"), lambda w: F.length(w) > 4), F.lower))
+    in_claims = claims.select("pack_id", "claim", F.explode(long_words).alias("wanted"))
+    within = words_within(in_claims.select("pack_id", "wanted").distinct(), in_sections.select("pack_id", "word").distinct())
+    places = in_sections.join(within, ["pack_id", "word"]).select("pack_id", "section", "wanted").distinct()
+    matched = places.join(in_claims, ["pack_id", "wanted"]).select("pack_id", "section", "claim").distinct()
+    chunks = F.col("source_chunks") if "source_chunks" in claims.columns else F.array().cast("array<long>")
+    one = claims.groupBy("pack_id", "claim").agg(F.first(F.struct(weight.alias("w"), "confidence", chunks.alias("source_chunks"))).alias("of"))
+    hits = matched.join(one, ["pack_id", "claim"]).select("pack_id", "section", "claim", "of.*")
     found = hits.groupBy("pack_id", "section").agg(F.count("w").alias("claims"), F.avg("w").alias("confidence"), F.count_if(F.col("confidence") == "missing_evidence").alias("missing"), F.min("claim").alias("first_claim"))
+    sources = hits.select("pack_id", "section", F.explode("source_chunks").alias("chunk")).distinct().groupBy("pack_id", "section").agg(F.array_sort(F.collect_list("chunk")).alias("source_chunks"))
     issues = F.when(F.col("claims").isNull(), F.array(F.lit("unverified"))).otherwise(F.array_compact(F.array(F.when(F.round("confidence", 3) < 0.4, "low_evidence_density"), F.when(F.col("missing") > 0, "missing_evidence"))))
-    return sections.select("pack_id", "section").join(found, ["pack_id", "section"], "left").select(
-        "pack_id", "section", F.coalesce("claims", F.lit(0)).alias("claims"), F.round(F.coalesce("confidence", F.lit(UNSUPPORTED)), 6).alias("confidence"), "first_claim", issues.alias("issues"),
-    )
+    own = sections.select("pack_id", "section").join(found, ["pack_id", "section"], "left").join(sources, ["pack_id", "section"], "left")
+    return own.select("pack_id", "section", F.coalesce("claims", F.lit(0)).alias("claims"), F.round(F.coalesce("confidence", F.lit(UNSUPPORTED)), 6).alias("confidence"), "first_claim", F.coalesce("source_chunks", F.slice(F.array(F.lit(None).cast(own.schema["source_chunks"].dataType.elementType)), 1, 0)).alias("source_chunks"), issues.alias("issues"))
 
 
 def openapi_schemas(specs: DataFrame) -> DataFrame:
     """Schemas of version 3 or 2 specs (source, spec): source, name, number of properties."""
-    found = F.coalesce(F.get_json_object("spec", "$.components.schemas"), F.get_json_object("spec", "$.definitions"))
-    own = specs.select("source", F.explode(F.from_json(found, "map<string,string>")).alias("name", "body"))
-    return own.select("source", "name", F.coalesce(F.size(F.from_json(F.get_json_object("body", "$.properties"), "map<string,string>")), F.lit(0)).alias("properties"))
+    return spec_schemas(specs).select("source", "name", F.coalesce(F.size(F.from_json(F.get_json_object("body", "$.properties"), "map<string,string>")), F.lit(0)).alias("properties"))
 
 
 def tool_capabilities(tools: DataFrame) -> DataFrame:

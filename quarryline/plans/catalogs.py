@@ -156,11 +156,23 @@ def capability_chunks(spark, sf_dir):
     return i.typed_chunks(own)
 
 
+def made_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications made of a customer's orders: two operations a path, of which one may have an id, and keys of paths that are no operations."""
+    own = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(', "operationId": "op'), "o_orderkey", F.lit('"'))).otherwise("")
+    parts = [F.lit('"/o'), "o_orderkey", F.lit('": {"summary": "{path}", "parameters": [{"name": "tenant"}], "trace": {"summary": "no operation"}, "get": {"summary": "list"'), own, F.lit(', "parameters": [{"name": "page"}, {"in": "query"}], "responses": {"200": {}, "404": {}}}, "post": {"summary": "add", "description": "add to '), "o_orderpriority", F.lit('"}}')]
+    schema = F.concat(F.lit('"S'), "o_orderkey", F.lit('": {"required": ["id"], "properties": {"id": {}, "status": {}}}'))
+    paths, schemas = (F.array_join(F.array_sort(F.collect_list(c)), ", ") for c in (F.concat(*parts), schema))
+    spec = F.concat(F.lit('{"openapi": "3.0.0", "info": {"title": "Orders of '), F.first("o_custkey"), F.lit('", "version": "1"}, "servers": [{"url": "http://a"}, {"url": "http://b"}], "paths": {'), paths, F.lit('}, "components": {"schemas": {'), schemas, F.lit("}}}"))
+    return table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("spec"), "o_custkey").alias("source")).agg(spec.alias("spec"))
+
+
 def openapi_operations(spark, sf_dir):
-    """Operations of specifications that are made of a customer's orders."""
-    path = F.concat(F.lit('"/o'), "o_orderkey", F.lit('": {"get": {"summary": "list"'), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(', "operationId": "op'), "o_orderkey", F.lit('"'))).otherwise(""), F.lit('}, "post": {"summary": "add"}}'))
-    own = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("spec"), "o_custkey").alias("source")).agg(F.concat(F.lit('{"openapi": "3.0.0", "paths": {'), F.array_join(F.array_sort(F.collect_list(path)), ", "), F.lit("}}")).alias("spec"))
-    return i.openapi_operations(own)
+    return i.openapi_operations(made_specs(spark, sf_dir))
+
+
+def openapi_capabilities(spark, sf_dir):
+    """The specifications' overviews, operations and schemas with the texts that are made of them."""
+    return i.openapi_capabilities(made_specs(spark, sf_dir))
 
 
 def spec_hashes(spark, sf_dir):
@@ -234,7 +246,7 @@ def log_page(spark, sf_dir):
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as claims: confidence by quality and abuse, some of them invalid."""
     level = F.when(F.col("doc_id") % 13 == 0, "maybe").when(F.col("toxic") == 1, "to_validate").when(F.col("quality") == 1, "confirmed").otherwise("inferred")
-    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id").select(F.col("source").alias("pack_id"), F.concat(F.lit("C-"), (F.col("doc_id") % 97).cast("string")).alias("claim_id"), F.substring("text", 1, 80).alias("statement"), level.alias("confidence"), "doc_id")
+    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id").select(F.col("source").alias("pack_id"), F.concat(F.lit("C-"), (F.col("doc_id") % 97).cast("string")).alias("claim_id"), F.col("text").alias("statement"), level.alias("confidence"), "doc_id")
 
 
 def claims_normalised(spark, sf_dir):
@@ -252,10 +264,10 @@ def evidence_validation(spark, sf_dir):
 
 
 def section_evidence(spark, sf_dir):
-    """Documents as sections, in packs of a source's 64 neighbouring ids; a claim is part of its document's pack. Sections with the claims that share a long word with them."""
+    """Documents as sections, in packs of a source's 64 neighbouring ids; a claim is part of its document's pack. Sections with the claims of which a long word occurs in them, and these claims' source chunks (a claim has two)."""
     pack = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 64).cast("string"))
     sections = table(spark, sf_dir, "documents").select(pack.alias("pack_id"), F.col("doc_id").alias("section"), "text")
-    own = i.normalised_claims(claims(spark, sf_dir)).select(F.concat_ws("-", "pack_id", F.floor(F.col("doc_id") / 64).cast("string")).alias("pack_id"), F.col("doc_id").alias("claim"), "statement", "confidence")
+    own = i.normalised_claims(claims(spark, sf_dir)).select(F.concat_ws("-", "pack_id", F.floor(F.col("doc_id") / 64).cast("string")).alias("pack_id"), F.col("doc_id").alias("claim"), "statement", "confidence", F.array(F.col("doc_id"), F.floor(F.col("doc_id") / 2)).alias("source_chunks"))
     return i.section_confidence(sections, own)
 
 
@@ -311,10 +323,10 @@ def model_replies(spark, sf_dir):
     return i.parsed_replies(table(spark, sf_dir, "events").select("event_id", reply.alias("reply")))
 
 
-QUERIES = {f.__name__: f for f in (requirement_csv, requirement_bullets, requirement_overrides, requirement_groups, requirement_pairs, requirement_incomplete, entry_requirements, entry_category_tags, entry_merged_tags, catalog_listing, catalog_status_counts, catalog_pending_gate, status_invalid_steps, status_transitions, promoted_documents, kb_statistics, source_listing, corpus_by_source, snapshot_history, snapshot_last_runs, operation_diff, capability_reconciliation, capability_rows, capability_chunks, openapi_operations, spec_hashes, capability_set_hash, verdict_join, situated_chunks, kb_export, kb_import, run_status, run_progress, breaking_alerts, log_retention, log_page, claims_normalised, claim_counts, evidence_validation, section_evidence, golden_union, eval_compare, unified_documents, document_tag_search, refresh_selection, source_dashboard, retagged, model_replies)}
+QUERIES = {f.__name__: f for f in (requirement_csv, requirement_bullets, requirement_overrides, requirement_groups, requirement_pairs, requirement_incomplete, entry_requirements, entry_category_tags, entry_merged_tags, catalog_listing, catalog_status_counts, catalog_pending_gate, status_invalid_steps, status_transitions, promoted_documents, kb_statistics, source_listing, corpus_by_source, snapshot_history, snapshot_last_runs, operation_diff, capability_reconciliation, capability_rows, capability_chunks, openapi_operations, openapi_capabilities, spec_hashes, capability_set_hash, verdict_join, situated_chunks, kb_export, kb_import, run_status, run_progress, breaking_alerts, log_retention, log_page, claims_normalised, claim_counts, evidence_validation, section_evidence, golden_union, eval_compare, unified_documents, document_tag_search, refresh_selection, source_dashboard, retagged, model_replies)}
 SNAP = """day AS (SELECT user_id AS source_id, CAST(ts AS DATE) AS day, list_sort(list(DISTINCT event_type || ':' || CAST(floor(value) AS BIGINT))) AS items FROM events GROUP BY ALL),
 snap AS (SELECT *, sha256(array_to_string(items, '|')) AS content_hash, row_number() OVER (PARTITION BY source_id ORDER BY day DESC) AS back, lag(sha256(array_to_string(items, '|'))) OVER (PARTITION BY source_id ORDER BY day) AS before FROM day)"""
-CLAIMS = """cl AS (SELECT source AS pack_id, 'C-' || (doc_id % 97) AS claim_id, left(text, 80) AS statement, CASE WHEN doc_id % 13 = 0 THEN 'missing_evidence' WHEN toxic = 1 THEN 'to_validate' WHEN quality = 1 THEN 'confirmed' ELSE 'inferred' END AS confidence, doc_id FROM labels JOIN documents USING (doc_id))"""
+CLAIMS = """cl AS (SELECT source AS pack_id, 'C-' || (doc_id % 97) AS claim_id, text AS statement, CASE WHEN doc_id % 13 = 0 THEN 'missing_evidence' WHEN toxic = 1 THEN 'to_validate' WHEN quality = 1 THEN 'confirmed' ELSE 'inferred' END AS confidence, doc_id FROM labels JOIN documents USING (doc_id))"""
 SQL = {
     "requirement_csv": "SELECT 'R' || o_orderkey AS \"ReqID\", CASE WHEN o_orderkey % 3 = 0 THEN 'Unknown' ELSE trim(o_orderpriority) END AS source, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus ELSE 'Unknown' END AS target, 'Sync' AS category, 'd' || o_custkey AS description, o_orderstatus = 'F' AS mandatory FROM orders",
     "requirement_bullets": "SELECT 'erp' || o_custkey || '-to-shop.md' AS file_name, 'Q' || o_orderkey AS req_id, CASE WHEN o_custkey % 2 = 0 THEN 'S' ELSE 'erp' END || o_custkey AS source, 'shop' AS target, trim(o_orderpriority) AS category, 'status ' || o_orderstatus AS description, o_orderstatus = 'F' AS mandatory FROM orders",
@@ -340,6 +352,11 @@ SQL = {
     "capability_reconciliation": "WITH k AS (SELECT p_brand AS source, p_type AS kind, lower(trim(p_name)) AS name, p_name || ' ' || p_size AS description, p_retailprice / 3000 AS confidence, p_partkey AS id FROM part) SELECT source, kind, name, count(*) AS merged, round(max(confidence), 6) AS confidence, arg_max(id, (length(description), -id)) AS best_id, array_to_string(list_sort(list(DISTINCT description)), ' / ') AS description FROM k GROUP BY source, kind, name",
     "capability_rows": "SELECT 'src_' || p_brand || '-' || p_partkey AS capability_id, p_name AS name, CASE WHEN lower(p_type) IN ('economy', 'small', 'medium', 'large') THEN lower(p_type) ELSE 'guide_step' END AS kind, CASE WHEN p_partkey % 4 > 0 THEN p_size / 50 ELSE 1.0 END AS confidence FROM part WHERE p_partkey % 11 <> 0",
     "capability_chunks": "WITH k AS (SELECT lower(replace(p_brand, '#', '_')) AS source, p_partkey AS id, p_name AS text, p_size / 50 < 0.7 AS low_confidence, CASE WHEN p_size % 4 = 0 THEN list_concat([{'k': 'flow', 't': p_name}], list_transform(string_split(p_name, ' '), lambda r: {'k': 'validation', 't': r}), list_transform(string_split(p_type, ' '), lambda r: {'k': 'transition', 't': r})) ELSE [{'k': 'text', 't': p_name}] END AS parts FROM part), u AS (SELECT source, id, low_confidence, unnest(parts) AS c, generate_subscripts(parts, 1) AS pos FROM k) SELECT 'src_' || source || '-chunk-' || (row_number() OVER (PARTITION BY source ORDER BY id, pos) - 1) AS chunk_id, id, c.k AS chunk_kind, c.t AS text, low_confidence FROM u",
+    "openapi_capabilities": """WITH c AS (SELECT DISTINCT 'spec' || o_custkey AS source, o_custkey FROM orders)
+        SELECT source || '__overview' AS capability_id, source, 'overview' AS kind, 'Orders of ' || o_custkey AS name, 'API: Orders of ' || o_custkey || chr(10) || 'Version: 1' || chr(10) || 'Servers: http://a, http://b' AS text FROM c
+        UNION ALL SELECT source || '__endpoint__' || name, source, 'endpoint', name, text FROM (SELECT 'spec' || o_custkey AS source, CASE WHEN o_orderkey % 2 = 0 THEN 'op' || o_orderkey ELSE 'GET_o' || o_orderkey END AS name,
+          'GET /o' || o_orderkey || ' — list' || chr(10) || 'Parameters: page, ?' || chr(10) || 'Response codes: 200, 404' AS text FROM orders UNION ALL SELECT 'spec' || o_custkey, 'POST_o' || o_orderkey, 'POST /o' || o_orderkey || ' — add' || chr(10) || 'add to ' || o_orderpriority FROM orders)
+        UNION ALL SELECT 'spec' || o_custkey || '__schema__S' || o_orderkey, 'spec' || o_custkey, 'schema', 'S' || o_orderkey, 'Schema: S' || o_orderkey || chr(10) || 'Fields: id (required), status (optional)' FROM orders""",
     "openapi_operations": "SELECT 'spec' || o_custkey AS source, '/o' || o_orderkey AS path, m AS method, CASE WHEN m = 'get' AND o_orderkey % 2 = 0 THEN 'op' || o_orderkey ELSE upper(m) || '_/o' || o_orderkey END AS operation_id, CASE m WHEN 'get' THEN 'list' ELSE 'add' END AS summary FROM orders, (VALUES ('get'), ('post')) t(m)",
     "spec_hashes": "SELECT event_id, true AS same, true AS rejected FROM events",
     "capability_set_hash": "SELECT p_brand, sha256(string_agg(p_partkey || ':' || p_name, '|' ORDER BY p_partkey || ':' || p_name)) AS hash FROM part GROUP BY 1",
@@ -360,12 +377,12 @@ SQL = {
         SELECT pack_id, claims, coalesce(duplicated, 0) AS duplicated, invalid, round(missing / claims, 6) AS missing_ratio, missing / claims > 0.5 AS weak,
           list_filter([CASE WHEN off > 0 THEN 'scope' END, CASE WHEN flows = 0 THEN 'empty_flows' END, CASE WHEN rules = 0 THEN 'empty_rules' END, CASE WHEN duplicated > 0 THEN 'duplicates' END, CASE WHEN invalid > 0 THEN 'invalid_confidence' END, CASE WHEN missing / claims > 0.5 THEN 'missing_evidence' END], lambda x: x IS NOT NULL) AS issues
         FROM a LEFT JOIN d USING (pack_id)""",
-    "section_evidence": f"""WITH {CLAIMS}, s AS (SELECT source || '-' || (doc_id // 64) AS pack_id, doc_id AS section, text FROM documents),
-        cw AS (SELECT DISTINCT pack_id || '-' || (doc_id // 64) AS pack_id, doc_id AS claim, confidence, unnest(list_filter(regexp_split_to_array(lower(statement), '\\s+'), lambda x: length(x) > 4)) AS word FROM cl),
-        sw AS (SELECT DISTINCT pack_id, section, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(x) > 4)) AS word FROM s),
-        m AS (SELECT DISTINCT pack_id, section, claim, confidence, CASE confidence WHEN 'confirmed' THEN 1.0 WHEN 'inferred' THEN 0.7 WHEN 'to_validate' THEN 0.5 ELSE 0.2 END AS w FROM cw JOIN sw USING (pack_id, word)),
-        g AS (SELECT pack_id, section, count(*) AS claims, avg(w) AS confidence, count(*) FILTER (confidence = 'missing_evidence') AS missing, min(claim) AS first_claim FROM m GROUP BY ALL)
-        SELECT s.pack_id, s.section, coalesce(claims, 0) AS claims, CAST(round(coalesce(confidence, 0.5), 6) AS DOUBLE) AS confidence, first_claim,
+    "section_evidence": f"""WITH {CLAIMS}, s AS (SELECT source || '-' || (doc_id // 64) AS pack_id, doc_id AS section, lower(text) AS text FROM documents),
+        cw AS (SELECT DISTINCT pack_id || '-' || (doc_id // 64) AS pack_id, doc_id AS claim, confidence, lower(unnest(list_filter(regexp_split_to_array(statement, '\\s+'), lambda x: length(x) > 4))) AS word FROM cl),
+        pw AS (SELECT DISTINCT pack_id, word FROM cw), h AS (SELECT pack_id, section, word FROM pw JOIN s USING (pack_id) WHERE contains(text, word)),
+        m AS (SELECT DISTINCT pack_id, section, claim, confidence, CASE confidence WHEN 'confirmed' THEN 1.0 WHEN 'inferred' THEN 0.7 WHEN 'to_validate' THEN 0.5 ELSE 0.2 END AS w FROM cw JOIN h USING (pack_id, word)),
+        g AS (SELECT pack_id, section, count(*) AS claims, avg(w) AS confidence, count(*) FILTER (confidence = 'missing_evidence') AS missing, min(claim) AS first_claim, list_sort(list_distinct(flatten(list([claim, claim // 2])))) AS source_chunks FROM m GROUP BY ALL)
+        SELECT s.pack_id, s.section, coalesce(claims, 0) AS claims, CAST(round(coalesce(confidence, 0.5), 6) AS DOUBLE) AS confidence, first_claim, coalesce(source_chunks, []) AS source_chunks,
           CASE WHEN claims IS NULL THEN ['unverified'] ELSE list_filter([CASE WHEN round(confidence, 3) < 0.4 THEN 'low_evidence_density' END, CASE WHEN missing > 0 THEN 'missing_evidence' END], lambda x: x IS NOT NULL) END AS issues
         FROM s LEFT JOIN g ON s.pack_id = g.pack_id AND s.section = g.section""",
     "golden_union": "WITH u AS (SELECT item_id AS id, 0 AS domain, length(text) AS chars FROM benchmark UNION ALL SELECT doc_id, 1, length(text) FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY domain) AS n FROM u) SELECT id, CAST(domain AS INTEGER) AS domain, CAST(chars AS INTEGER) AS chars FROM n WHERE n = 1",
