@@ -58,6 +58,11 @@ class Items:
         self.keys = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
         self.places = [np.searchsorted(self.keys, g) for g in grams]
         self.use(np.ones(len(self.keys), bool))
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        # the items of each word, one word after the other
+        pairs = np.unique(np.concatenate([np.stack([w, np.full(len(w), i)], 1) for i, w in enumerate(self.words)]), axis=0) if self.words else np.zeros((0, 2), np.int64)
+        self.of_word = pairs[:, 1]
+        self.word_starts, self.word_ends = (np.searchsorted(pairs[:, 0], np.arange(len(self.vocabulary) + 1), side) for side in ("left", "right"))
 
     def grams(self, numbers: np.ndarray) -> np.ndarray:
         """Key of each run of SEED words; 0 where one of them is in no item."""
@@ -156,10 +161,19 @@ def regions(items: Items, numbers: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def matched(items: Items, texts: list[str | None], least: float) -> list[list[tuple[int, float, int, int]]]:
-    """For each text its (item, score, first word, word after the last), best region of each item."""
+def whole(items: Items, numbers: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """(item, 0, number of words) of items whose alignment with the document can score `least`: each match scores MATCH, so at least that share of the item's length has to be words of the item."""
+    known = numbers[numbers > 0]
+    lengths = items.word_ends[known] - items.word_starts[known]
+    at = np.repeat(items.word_starts[known] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+    n = np.bincount(items.of_word[at], minlength=len(items.ids))
+    return [(i, 0, len(numbers)) for i in np.flatnonzero(n >= least * items.lengths).tolist()]
+
+
+def matched(items: Items, texts: list[str | None], least: float, exact: bool = False) -> list[list[tuple[int, float, int, int]]]:
+    """For each text its (item, score, first word, word after the last), best region of each item; exact: of the whole text, without seeds."""
     numbers = [items.numbers(words_of(t)) for t in texts]
-    tasks = [(d, *r) for d, n in enumerate(numbers) for r in regions(items, n)]
+    tasks = [(d, *r) for d, n in enumerate(numbers) for r in (whole(items, n, least) if exact else regions(items, n))]
     best, end = align([numbers[d][a:b] for d, _, a, b in tasks], [items.words[i] for _, i, _, _ in tasks])
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     good = [(t, e) for t, s, e in zip(range(len(tasks)), best.tolist(), end.tolist(), strict=True) if s >= least * MATCH * len(items.words[tasks[t][1]])]
@@ -187,8 +201,8 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
             yield batch.slice(start)
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
-    """Blocks of test items with their seeds chosen. A block is collected; its size is bounded by BLOCK_WORDS."""
+def blocks(docs: DataFrame, benchmark: DataFrame, exact: bool = False) -> Iterator[Items]:
+    """Blocks of test items with their seeds chosen (exact: without). A block is collected; its size is bounded by BLOCK_WORDS."""
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // (4 * BLOCK_WORDS))
@@ -205,7 +219,9 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
 
     for block in range(n):
         items = Items(sorted(map(tuple, benchmark.where(F.pmod(F.xxhash64("text"), F.lit(n)) == block).collect()), key=str))
-        if items.ids:
+        if items.ids and exact:
+            yield items
+        elif items.ids:
             rows = docs.where("text IS NOT NULL").select(F.col("text").cast("string")).mapInArrow(functools.partial(count, items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
             counts = np.zeros(len(items.keys), np.int64)
             for r in rows:  # one per gram of the block
@@ -214,32 +230,32 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
             yield items
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, item_id, score, first_word, end_word of every contaminated pair."""
+def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, exact: bool = False) -> DataFrame:
+    """doc_id, item_id, score, first_word, end_word of every contaminated pair. exact: each document is aligned whole with every item that it has enough words of, whatever its seeds; that costs much more."""
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
 
     def run(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         for batch in grouped(batches, "text"):
-            rows = [(doc_id, items.ids[i], s, a, b) for doc_id, own in zip(batch.column(0).to_pylist(), matched(items, batch.column(1).to_pylist(), least), strict=True) for i, s, a, b in own]
+            rows = [(doc_id, items.ids[i], s, a, b) for doc_id, own in zip(batch.column(0).to_pylist(), matched(items, batch.column(1).to_pylist(), least, exact), strict=True) for i, s, a, b in own]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = [own.mapInArrow(functools.partial(run, items), schema) for items in blocks(docs, benchmark)]
+    found = [own.mapInArrow(functools.partial(run, items), schema) for items in blocks(docs, benchmark, exact)]
     return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def kept(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+def kept(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, exact: bool = False) -> DataFrame:
     """The rows of docs, all columns, without the contaminated ones."""
 
     def run(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         for batch in grouped(batches, "text"):
-            yield batch.filter(pa.array([not own for own in matched(items, batch.column("text").to_pylist(), least)], pa.bool_()))
+            yield batch.filter(pa.array([not own for own in matched(items, batch.column("text").to_pylist(), least, exact)], pa.bool_()))
 
-    for items in blocks(docs, benchmark):
+    for items in blocks(docs, benchmark, exact):
         docs = docs.mapInArrow(functools.partial(run, items), docs.schema)
     return docs
 

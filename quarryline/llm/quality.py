@@ -159,9 +159,12 @@ def learn(docs: DataFrame, ratings: DataFrame, levels: int, sample_rows: int = S
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in got], pa.binary())], ["grade", "index", "value"])
 
     rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, levels - 1))
-    sample = rated.select("doc_id", F.col("grade").cast("int")).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample_rows)
+    # one rating per id, the lowest, and one text, so that repeated rows neither weigh more nor make the sample larger
+    rated = rated.groupBy("doc_id").agg(F.min(F.col("grade").cast("int")).alias("grade"))
+    sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # the sample's size is bounded, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(run, "grade int, index binary, value binary").toArrow().to_pylist()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = texts.select("grade", "text").mapInArrow(run, "grade int, index binary, value binary").toArrow().to_pylist()
     if not any(r["index"] for r in rows):
         return Model(np.zeros(FEATURES, np.float32), np.full(levels - 1, 30.0))
     rows.sort(key=lambda r: (r["grade"], r["index"], r["value"]))

@@ -187,3 +187,14 @@ def test_small_blocks_give_the_same_vectors(monkeypatch):
     for key in keys[owner == 4]:
         plain += language.trigram_vectors(np.array([key]))[0]
     assert (plain == blocked[4]).all()
+
+
+def test_repeated_rows_neither_weigh_more_nor_grow_the_sample(spark):
+    texts = {1: "bad words here", 2: "good words there", 3: "fine words all over"}
+    docs = spark.createDataFrame([*texts.items(), *[(1, texts[1])] * 300], "doc_id long, text string")
+    ratings = spark.createDataFrame([(1, 0), (2, 1), (3, 1), *[(1, 0)] * 50], "doc_id long, grade int")
+    once = quality.learn(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), ratings.distinct(), 2)
+    again = quality.learn(docs, ratings, 2)
+    assert (once.weights == again.weights).all() and (once.thresholds == again.thresholds).all()
+    two = quality.learn(docs, ratings, 2, sample_rows=2)
+    assert (two.weights == quality.learn(docs.distinct(), ratings.distinct(), 2, sample_rows=2).weights).all()

@@ -232,6 +232,44 @@ def test_contamination_of_documents(spark, sf_dir):
     assert {x for x in got if x[1] in {j for j, _ in items[:6]}} == plain
 
 
+def with_edits(rng, words, rate, vocabulary):
+    """Words replaced, dropped or preceded by others, at that rate."""
+    out = []
+    for w in words:
+        x = rng.random()
+        out += [w] if x >= rate else [rng.choice(vocabulary)] if x < rate / 2 else [] if x < 3 * rate / 4 else [rng.choice(vocabulary), w]
+    return out
+
+
+def test_recall_on_edited_copies_and_the_exact_mode(spark):
+    """Items in common words (frequencies as 1 / rank), copies edited at four rates: what seeds find of all that full alignment finds."""
+    rng = random.Random(12)
+    vocabulary, weights = [f"v{i}" for i in range(3000)], [1 / (i + 1) for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, weights, k=rng.randrange(15, 60)))) for i in range(40)]
+    docs = []
+    for rate in (0.0, 0.2, 0.3, 0.4):
+        for _, text in items:
+            before, after = (rng.choices(vocabulary, weights, k=rng.randrange(0, 300)) for _ in range(2))
+            docs.append((len(docs), " ".join([*before, *with_edits(rng, text.split(), rate, vocabulary), *after])))
+    docs += [(len(docs) + i, " ".join(rng.choices(vocabulary, weights, k=200))) for i in range(60)]
+    block = decontaminate.Items(items)
+    want = set()
+    for d, text in docs:
+        best, _ = decontaminate.align([block.numbers(decontaminate.words_of(text))] * len(items), block.words)
+        want |= {(d, i) for i, s in enumerate(best.tolist()) if s >= decontaminate.LEAST * decontaminate.MATCH * len(block.words[i])}
+    assert set(pairs(spark, docs, items, exact=True)) == want
+    found = set(pairs(spark, docs, items))
+    assert found <= want
+    for k, rate in enumerate((0.0, 0.2, 0.3, 0.4)):
+        own = {x for x in want if 40 * k <= x[0] < 40 * k + 40}
+        share = len(own & found) / len(own)
+        print(f"edit rate {rate}: {len(own & found)} of {len(own)}")
+        assert share >= (1 if rate == 0 else 0.95)
+    # an item with a word after each of its own has no run of two words left, and scores enough
+    apart = " x1 ".join(items[0][1].split()[:12])
+    assert pairs(spark, [(1, apart)], [(5, " ".join(items[0][1].split()[:12]))], exact=True)
+
+
 def test_contamination_odd_rows(spark, monkeypatch):
     assert set(pairs(spark, [(None, ITEM), (1, None), (2, ""), (3, ITEM), (3, ITEM)], [(1, ITEM), (2, None), (3, "word"), (4, ""), (None, ITEM)])) == {(None, 1), (None, None), (3, 1), (3, None)}
     assert pairs(spark, [(1, ITEM)], []) == {} and pairs(spark, [], [(1, ITEM)]) == {}
