@@ -204,16 +204,12 @@ def mapping_table_check(spark, sf_dir):
     return design_documents(spark, sf_dir).select("conv_id", F.size(tables).alias("tables"), (F.size(mapping) > 0).alias("has_mapping"))
 
 
-def chunk_stats(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"), F.max("chunk_index").alias("last"))
-
-
 def chunk_fixed(spark, sf_dir):
     return chunking.fixed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def chunk_recursive(spark, sf_dir):
-    return chunk_stats(chunking.recursive(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return chunking.recursive(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def html_clean(spark, sf_dir):

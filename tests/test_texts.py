@@ -64,20 +64,41 @@ def test_fixed_chunks(spark, sf_dir):
         assert not text or (own[0].char_start == 0 and max(r.char_end for r in own) == len(text))
 
 
-def test_recursive_chunks_cover_the_text():
+def recursive(text, size, overlap=0):
+    return [t for *_, t in chunking.recursive_pieces(text, size, overlap)]
+
+
+def test_recursive_chunks_by_level():
+    assert recursive("aaaa bbbb cccc", 10) == ["aaaa bbbb", "cccc"]
+    assert recursive("aaaa bbbb cccc", 10, 5) == ["aaaa bbbb", "bbbb cccc"]
+    # a word that no separator cuts stays whole and closes what stands before it; one of just the size is long too
+    assert recursive("ab " + "x" * 12 + " cd", 10) == ["ab", "x" * 12, "cd"]
+    assert recursive("ab " + "y" * 9 + " cd", 10) == ["ab", "y" * 9, "cd"]
+    # short parts are merged with those of their own level alone
+    assert recursive("a\n\nb\n\nccc " + "d" * 12 + "\n\ne", 10) == ["a\n\nb", "ccc", "d" * 12, "e"]
+    assert recursive("## A\nab\n## B\nno blank\n## C", 12) == ["## A\nab", "## B", "no blank", "## C"]
+    assert recursive("z" * 30, 10) == ["z" * 30] and recursive("", 10) == [] == recursive(" \n ", 10)
+    two = "## A\n" + "a" * 300 + "\n## B\n" + "b" * 300
+    assert [t[:4] for t in recursive(two, 400)] == ["## A", "## B"]
+
+
+def test_recursive_chunks_cover_the_text(spark, sf_dir):
     rng = random.Random(1)
     for _ in range(50):
-        text = "".join(rng.choice(["\n## ", "\n### ", "\n\n", "\n", ". ", " ", "word", "longerword", "x" * 30]) for _ in range(rng.randrange(1, 200)))
+        text = "".join(rng.choice(["\n## ", "\n### ", "\n\n", "\n", ". ", " ", "word", "longerword", "x" * 30, "y" * 150]) for _ in range(rng.randrange(1, 200)))
         own = chunking.recursive_pieces(text, 120, 30)
-        assert all(len(t) <= 120 and t for _, _, t in own)
+        text = chunking.normalised(text)
         covered = set()
         for a, b, t in own:
-            assert chunking.normalised(text)[a:b].strip() == t
+            assert text[a:b].strip() == t and (len(t) <= 120 or " " not in t and "\n" not in t)
             covered.update(range(a, b))
-        text = chunking.normalised(text)
         assert all(i in covered or text[i].isspace() for i in range(len(text)))
-    two = "## A\n" + "a" * 300 + "\n## B\n" + "b" * 300
-    assert [t[:4] for *_, t in chunking.recursive_pieces(two, 400, 0)] == ["## A", "## B"]
+        assert all(x[0] < y[0] or x[1] <= y[0] for x, y in zip(own, own[1:], strict=False))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(40)
+    got = {}
+    for r in chunking.recursive(docs.unionByName(docs.sparkSession.createDataFrame([(-1, None)], docs.schema))).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append((r.char_start, r.char_end, r.text))
+    assert got == {r.doc_id: own for r in docs.collect() if (own := chunking.recursive_pieces(r.text or ""))}
 
 
 PAGE = '<html><nav><a href="/n">menu</a></nav><script>var x</script><h1>Title</h1><p>One <b>two</b></p><div class="cookie-banner"><p>no</p></div><ul><li>item</li></ul><a href="/a#f">l</a><a href="http://other.org/">o</a><a href="b.pdf">p</a><footer>end</footer></html>'
