@@ -25,7 +25,7 @@ MARKERS = {
 ENTITY = r"\b([A-Z][a-z]+(?:[A-Z][a-zA-Z0-9]+)+)\b"
 FIELD = r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"
 TRANSITION = r"\b([A-Z][a-zA-Z]+)\s*(?:->|→|to)\s*([A-Z][a-zA-Z]+)\b"
-SYSTEM = r"(?i)\b([a-z][a-z]+(?:\s[a-z][a-z]+)?)\s+(?:system|service|platform|module|component)\b"
+SYSTEM = r"(?i)\b([A-Z][a-zA-Z]+(?:\s[A-Z][a-zA-Z]+)?)\s+(?:system|service|platform|module|component)\b"
 #: (markers, least number of them, type), in order of priority; then fields and entities, then the overview.
 PRIORITY = [("validation", 3, "validation_rule"), ("rule", 2, "business_rule"), ("error", 2, "error_handling"), ("security", 2, "security_requirement"), ("mapping", 2, "data_mapping_candidate"), ("state", 3, "state_model"), ("event", 2, "event_definition"), ("ui", 3, "ui_interaction"), ("integration", 3, "api_contract"), ("architecture", 2, "integration_flow")]
 

@@ -98,10 +98,11 @@ def merge_relations(found: DataFrame) -> DataFrame:
 
 
 def merge_incremental(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Existing and new entities: arrays united, name and type of the existing one, tags of the new one; chunk_count counted anew."""
-    both = existing.withColumn("__age", F.lit(0)).unionByName(new.withColumn("__age", F.lit(1)))
+    """Existing and new entities: arrays united, name and type of the existing one, tags of the new one; chunk_count counted anew. `membership.EntityStore` does this without arrays."""
+    columns = ["entity_id", "name", "entity_type", "doc_ids", "chunk_ids", "tags_csv"]
+    both = existing.select(*columns, F.lit(0).alias("age")).unionByName(new.select(*columns, F.lit(1).alias("age")))
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    own = both.groupBy("entity_id").agg(F.min_by(F.struct("name", "entity_type"), "__age").alias("first"), union("doc_ids").alias("doc_ids"), union("chunk_ids").alias("chunk_ids"), F.max_by("tags_csv", "__age").alias("tags_csv"))
+    own = both.groupBy("entity_id").agg(F.min_by(F.struct("name", "entity_type"), "age").alias("first"), union("doc_ids").alias("doc_ids"), union("chunk_ids").alias("chunk_ids"), F.max_by("tags_csv", "age").alias("tags_csv"))
     return own.select("entity_id", "first.name", "first.entity_type", "doc_ids", "chunk_ids", "tags_csv", F.size("chunk_ids").alias("chunk_count"))
 
 
@@ -194,10 +195,18 @@ def entity_detail(entities: DataFrame, edges: DataFrame, texts: DataFrame, previ
     return entities.select("entity_id").join(ends("to_id", "from_id", "incoming"), "entity_id", "left").join(ends("from_id", "to_id", "outgoing"), "entity_id", "left").join(shown, "entity_id", "left")
 
 
-def entity_page(entities: DataFrame, pattern: str, entity_type: str, tag: str, offset: int, limit: int) -> DataFrame:
-    """A page of the entities (with aliases) whose name or an alias matches a pattern, of a type and with a tag; `total` is the number of all hits."""
-    named_ = F.col("name").rlike(pattern) | F.exists("aliases", lambda x: x.rlike(pattern))
-    hits = entities.where((F.col("entity_type") == entity_type) & F.col("tags_csv").contains(tag) & named_)
+def entity_page(entities: DataFrame, pattern: str | None, entity_type: str | None, tags: list[str], offset: int, limit: int) -> DataFrame:
+    """A page of the entities (with aliases) whose name or an alias matches a pattern, of a type, and whose tags_csv matches one of several patterns, in any case; what is None or empty filters nothing.
+
+    `total` is the number of all hits.
+    """
+    hits = entities
+    if entity_type:
+        hits = hits.where(F.col("entity_type") == entity_type)
+    if wanted := [t.strip() for t in tags if t.strip()]:
+        hits = hits.where(F.col("tags_csv").rlike("(?i)" + "|".join(wanted)))
+    if pattern:
+        hits = hits.where(F.col("name").rlike(f"(?i){pattern}") | F.exists("aliases", lambda x: x.rlike(f"(?i){pattern}")))
     return hits.orderBy("entity_id").offset(offset).limit(limit).withColumn("total", F.lit(hits.count()).cast("long"))
 
 

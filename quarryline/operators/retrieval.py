@@ -13,14 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 RRF_K = 60
 ENSEMBLE = (0.6, 0.4)
 #: Query vectors that a task gets at once; more queries mean more passes over the chunks.
 QUERY_BLOCK = 4096
-#: Terms of a small query set are broadcast up to this many; beyond it postings and query terms are joined by shuffling.
-BROADCAST_TERMS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -47,8 +46,6 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """
     wanted = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     vocabulary = wanted.select("term").distinct()
-    small = queries.agg(F.sum(F.size(words(F.col("text"))))).first()[0] or 0
-    vocabulary = F.broadcast(vocabulary) if small <= BROADCAST_TERMS else vocabulary
     own = chunks.select("chunk_id", words(F.col("text")).alias("w")).select("chunk_id", F.explode("w").alias("term"), F.size("w").cast("double").alias("dl"))
     found = own.join(vocabulary, "term", "left_semi").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.first("dl").alias("dl"))
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -56,18 +53,10 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     weighted = wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * F.log((stats.n + 1) / F.col("df"))).alias("w"))
     floor = weighted.groupBy("query_id").agg(F.sum(F.col("w") * DELTA).alias("floor"))
     weighted = weighted.join(floor, "query_id")
-    weighted = F.broadcast(weighted) if small <= BROADCAST_TERMS else weighted
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (stats.avgdl or 1.0)))
     return found.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part) + F.first("floor"), 6).alias("score"))
 
 
-def overlap(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Share of a query's different terms that a chunk has: query_id, chunk_id, score."""
-    wanted = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("t")).select("query_id", F.explode("t").alias("term"), F.size("t").alias("size"))
-    own = chunks.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    return own.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.count(F.lit(1)) / F.first("size"), 6).alias("score"))
-
-
 #: Queries and chunks that are multiplied at once in a task; more queries mean more passes over the chunks.
 TERM_QUERIES, TERM_CHUNKS = 512, 256
 
@@ -223,49 +212,96 @@ def tag_filter_or_all(candidates: DataFrame, match: Column) -> DataFrame:
     return own.withColumn("some", some).where((F.col("some") == 0) | F.col("match")).select("row.*")
 
 
+def held(candidates: DataFrame, **more: Column) -> DataFrame:
+    """query_id, chunk_id, score, the whole row in a struct, and further columns: helpers beside it can't meet a column of the input."""
+    return candidates.select("query_id", "chunk_id", "score", F.struct(*[F.col(f"`{c}`") for c in candidates.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
+def row_columns(candidates: DataFrame, **new: Column) -> list[Column]:
+    """The columns of a held row; those in new take their place or come after them."""
+    own = [new.get(c, F.col("row").getField(c)).alias(c) for c in candidates.columns]
+    return own + [c.alias(k) for k, c in new.items() if k not in candidates.columns]
+
+
 def primary_tag_top(candidates: DataFrame, tag: Column, fetch: int = 10, keep: int = 2) -> DataFrame:
-    """Of the first `fetch` candidates those whose tags_csv contains the tag, at most `keep`; else the first `keep`. Adds `label`."""
-    own = ranked(candidates, fetch, rank="fetched").withColumn("__match", F.coalesce("tags_csv", F.lit("")).contains(tag))
-    own = own.withColumn("__some", F.max(F.col("__match").cast("int")).over(Window.partitionBy("query_id"))).where((F.col("__some") == 0) | F.col("__match"))
-    own = own.withColumn("label", F.when(F.col("__some") == 1, "tag_filtered").otherwise("similarity_fallback")).drop("__match", "__some", "fetched")
-    return ranked(own, keep)
+    """Of the first `fetch` candidates those whose tags_csv contains the tag, at most `keep`; else the first `keep`. Adds `label` and `rank`."""
+    own = ranked(held(candidates, match=F.coalesce("tags_csv", F.lit("")).contains(tag)), fetch, rank="fetched")
+    own = own.withColumn("some", F.max(F.col("match").cast("int")).over(Window.partitionBy("query_id"))).where((F.col("some") == 0) | F.col("match"))
+    return ranked(own, keep).select(*row_columns(candidates, label=F.when(F.col("some") == 1, "tag_filtered").otherwise("similarity_fallback"), rank=F.col("rank")))
 
 
 def rescored(scores: DataFrame, judged: DataFrame) -> DataFrame:
     """Judges' scores (query_id, chunk_id, judge_score) replace scores; unjudged rows go unless their query has no judgement at all."""
-    own = scores.join(judged, ["query_id", "chunk_id"], "left")
-    n = F.count("judge_score").over(Window.partitionBy("query_id"))
-    return own.withColumn("__n", n).where((F.col("__n") == 0) | F.col("judge_score").isNotNull()).select("query_id", "chunk_id", F.coalesce("judge_score", "score").alias("score"))
+    own = scores.select("query_id", "chunk_id", "score").join(judged.select("query_id", "chunk_id", "judge_score"), ["query_id", "chunk_id"], "left")
+    own = own.withColumn("judgements", F.count("judge_score").over(Window.partitionBy("query_id"))).where((F.col("judgements") == 0) | F.col("judge_score").isNotNull())
+    return own.select("query_id", "chunk_id", F.coalesce("judge_score", "score").alias("score"))
+
+
+def query_variants(queries: DataFrame, external: DataFrame | None = None, most: int = 2) -> DataFrame:
+    """query_id, variant, text: a query (query_id, text, source, target, category), a sentence of its fields, and of other phrasings (query_id, pos, text) the first `most` that aren't blank.
+
+    External phrasings come from a table, whoever wrote them; a query without any keeps its own two.
+    """
+    sentence = F.concat("source", F.lit(" to "), "target", F.lit(" "), "category", F.lit(" integration pattern"))
+    own = queries.select("query_id", F.posexplode(F.array("text", sentence)).alias("variant", "text"))
+    if external is None:
+        return own
+    first = external.select("query_id", "pos", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "text"))).where((F.col("place") <= most) & (F.col("text") != ""))
+    known = first.join(queries.select("query_id").distinct(), "query_id", "left_semi")
+    return own.unionByName(known.select("query_id", (F.row_number().over(Window.partitionBy("query_id").orderBy("place")) + 1).alias("variant"), "text"))
+
+
+def term_weights(codes: np.ndarray, owner: np.ndarray, terms: pa.Array, n: int, most_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, weight) of each text's different terms: count times the smoothed log of n texts to those with the term; of more than most_terms terms the most frequent count."""
+    cell, tf = np.unique(owner * len(terms) + codes, return_counts=True)
+    who, term = np.divmod(cell, max(1, len(terms)))
+    df, cf = np.bincount(term, minlength=len(terms)), np.bincount(term, tf, minlength=len(terms))
+    if len(terms) > most_terms:
+        names = [t.encode() for t in terms.to_pylist()]
+        known = np.zeros(len(terms), bool)
+        known[sorted(range(len(names)), key=lambda t: (-cf[t], names[t]))[:most_terms]] = True
+        who, term, tf = who[known[term]], term[known[term]], tf[known[term]]
+    return who, term, tf * (np.log((1 + n) / (1 + df[term])) + 1)
 
 
 def tfidf_rerank(candidates: DataFrame, queries: DataFrame, stop_words: list[str], most_terms: int = 5000) -> DataFrame:
     """Half the score, half the TF-IDF cosine to the query, fitted on each query with its candidates (query_id, chunk_id, text, score).
 
-    A query's candidates are few (they are cut before), so everything is grouped by query_id.
+    A query's candidates are few (they are cut before), so a query and they are one group: one shuffle of their words. Words are two or more letters, digits and underscores of any script.
     """
-    texts = candidates.select("query_id", "chunk_id", "text").unionByName(queries.select("query_id", F.lit(-1).cast("long").alias("chunk_id"), "text"))
-    tokens = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"([0-9a-z_à-öø-ÿ]{2,})"), F.lit(1)), lambda t: ~t.isin(stop_words))
-    query, term = Window.partitionBy("query_id"), Window.partitionBy("query_id", "term")
-    # a text without terms keeps one row, so that it counts
-    tf = texts.select("query_id", "chunk_id", F.explode_outer(tokens).alias("term")).groupBy("query_id", "chunk_id", "term").agg(F.count("term").alias("tf"))
-    own = tf.withColumns({"df": F.count(F.lit(1)).over(term), "cf": F.sum("tf").over(term)})
-    own = own.withColumns({"place": F.dense_rank().over(query.orderBy(F.desc("cf"), "term")), "n": F.size(F.collect_set("chunk_id").over(query))})
-    known = F.col("term").isNotNull() & (F.col("place") <= most_terms)
-    own = own.withColumn("w", F.when(known, F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).otherwise(0.0))
-    own = own.withColumn("q", F.coalesce(F.max(F.when(F.col("chunk_id") == -1, F.col("w"))).over(term), F.lit(0.0)))
-    dots = own.groupBy("query_id", "chunk_id").agg(F.first("n").alias("n"), F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    dots = dots.withColumn("qnorm", F.max(F.when(F.col("chunk_id") == -1, F.col("norm"))).over(query))
-    cosine = F.when((F.col("norm") > 0) & (F.col("qnorm") > 0), F.col("dot") / (F.col("norm") * F.col("qnorm"))).otherwise(0.0)
-    found = dots.select("query_id", "chunk_id", F.struct("n", cosine.alias("cosine")).alias("found"))
-    row = candidates.select("query_id", "chunk_id", F.struct(*candidates.columns).alias("row")).join(found, ["query_id", "chunk_id"])
-    mixed = F.when(F.col("found.n") <= 2, F.col("row.score")).otherwise(F.round(0.5 * F.col("row.score") + 0.5 * F.col("found.cosine"), 6))
-    return row.select(*[mixed.alias(c) if c == "score" else F.col(f"row.{c}").alias(c) for c in candidates.columns])
+    tokens = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda t: ~t.isin(stop_words)) if stop_words else F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
+    own = held(candidates, tokens=tokens).select("query_id", "row", "tokens")
+    asked = queries.select("query_id", F.lit(None).cast(own.schema["row"].dataType).alias("row"), tokens.alias("tokens"))
+
+    def one(group: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        row, lists = group.column("row").combine_chunks(), group.column("tokens").combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        words_ = pc.dictionary_encode(pc.list_flatten(lists))
+        n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        who, term, w = term_weights(words_.indices.to_numpy().astype(np.int64), owner, words_.dictionary, n, most_terms)
+        is_query = row.is_null().to_numpy(zero_copy_only=False)
+        q = np.zeros(len(words_.dictionary))
+        for k in np.flatnonzero(is_query)[:1]:
+            q[term[who == k]] = w[who == k]
+        norm = np.sqrt(np.bincount(who, w * w, n)) * np.sqrt((q * q).sum())
+        cosine = np.divide(np.bincount(who, w * q[term], n), norm, out=np.zeros(n), where=norm > 0)
+        keep = pa.array(~is_query)
+        return pa.table({"row": row.filter(keep), "cosine": pa.array(cosine).filter(keep), "n": pa.array(np.full(n, n)).filter(keep)})
+
+    schema = StructType([StructField("row", own.schema["row"].dataType), StructField("cosine", DoubleType()), StructField("n", LongType())])
+    found = own.unionByName(asked).groupBy("query_id").applyInArrow(one, schema)
+    score = F.col("row").getField("score")
+    return found.select(*row_columns(candidates, score=F.when(F.col("n") <= 2, score).otherwise(F.round(0.5 * score + 0.5 * F.col("cosine"), 6))))
 
 
 def semantic_bonus(candidates: DataFrame, bonus_types: DataFrame, bonus: float = 0.08) -> DataFrame:
     """Adds the bonus where (intent, semantic_type) is listed."""
-    listed = bonus_types.select("intent", "semantic_type").distinct().withColumn("__bonus", F.lit(bonus))
-    return candidates.join(listed, ["intent", "semantic_type"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("__bonus", F.lit(0.0)), 6)).drop("__bonus")
+    listed = bonus_types.select("intent", "semantic_type", F.lit(bonus).alias("bonus")).distinct()
+    own = held(candidates, intent=F.col("intent"), semantic_type=F.col("semantic_type")).join(listed, ["intent", "semantic_type"], "left")
+    return own.select(*row_columns(candidates, score=F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 6)))
 
 
 def recall_at(ranks: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -324,15 +360,16 @@ def budgeted(entries: DataFrame, budget: int, by: tuple[str, ...], size: Column)
 
 def assembled(entries: DataFrame, most: int, summary_most: int) -> DataFrame:
     """Context of a query from entries (query_id, section, chunk_id, score, size): summaries within their own budget, then approved examples, then patterns of the
-    knowledge base in what is left. Adds the section's running size."""
+    knowledge base in what is left. Adds the section's running size as `used`."""
     query = Window.partitionBy("query_id")
     used = F.sum("size").over(Window.partitionBy("query_id", "section").orderBy(F.desc("score"), "chunk_id").rowsBetween(Window.unboundedPreceding, 0))
-    own = entries.withColumn("used", used)
+    own = held(entries, section=F.col("section"), size=F.col("size")).withColumn("used", used)
 
     def taken(section: str, fits: Column) -> Column:
         return F.coalesce(F.max(F.when((F.col("section") == section) & fits, F.col("used"))).over(query), F.lit(0))
 
-    own = own.withColumn("__s", taken("summary", F.col("used") <= summary_most))
-    own = own.withColumn("__a", taken("approved", F.col("__s") + F.col("used") <= most))
-    before = F.when(F.col("section") == "approved", F.col("__s")).otherwise(F.col("__s") + F.col("__a"))
-    return own.where(F.when(F.col("section") == "summary", F.col("used") <= summary_most).otherwise(before + F.col("used") <= most)).drop("__s", "__a")
+    own = own.withColumn("summaries", taken("summary", F.col("used") <= summary_most))
+    own = own.withColumn("approved", taken("approved", F.col("summaries") + F.col("used") <= most))
+    before = F.when(F.col("section") == "approved", F.col("summaries")).otherwise(F.col("summaries") + F.col("approved"))
+    own = own.where(F.when(F.col("section") == "summary", F.col("used") <= summary_most).otherwise(before + F.col("used") <= most))
+    return own.select(*row_columns(entries, used=F.col("used")))

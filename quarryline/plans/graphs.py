@@ -179,9 +179,9 @@ def graph_delete_entities(spark, sf_dir):
 
 
 def entity_search(spark, sf_dir):
-    """Tag pattern, type, and a pattern of the name or an alias (the type and the name), third page of ten, with the number of all hits."""
+    """Tag patterns, type, and a pattern of the name or an alias (the type and the name), third page of ten, with the number of all hits."""
     own = m.entity_views(found(spark, sf_dir)).withColumn("aliases", F.array(F.concat_ws(" ", "entity_type", "name")))
-    return g.entity_page(own, "1[0-9]*$", "N", "O", 20, 10).select("entity_id", "tags_csv", "total")
+    return g.entity_page(own, "1[0-9]*$", "N", ["^n?oo", " ", "x|of$"], 20, 10).select("entity_id", "tags_csv", "total")
 
 
 def name_token_search(spark, sf_dir):
@@ -261,7 +261,7 @@ SQL = {
         SELECT node, depth, CASE left(node, 1) WHEN 'R' THEN 'region' WHEN 'N' THEN 'nation' WHEN 'C' THEN 'customer' ELSE 'order' END AS label, coalesce(edges, 0) AS edges FROM n LEFT JOIN e USING (node)""",
     "graph_delete_document": f"WITH {LINES}, e AS (SELECT part AS id, count(DISTINCT chunk_id) AS n FROM lines WHERE doc_id <> 3 GROUP BY 1), r AS (SELECT rel_id AS id, len(list_filter(doc_ids, lambda d: d <> 3)) AS n, from_id, to_id FROM rels) SELECT id, n FROM e UNION ALL SELECT id, n FROM r WHERE n > 0 AND from_id IN (SELECT id FROM e) AND to_id IN (SELECT id FROM e)",
     "graph_delete_entities": f"WITH {LINES} SELECT rel_id, from_id, to_id FROM rels WHERE to_id NOT IN (SELECT entity_id FROM ents WHERE len(chunk_ids) < 20)",
-    "entity_search": f"WITH {LINES}, h AS (SELECT entity_id, tags_csv FROM ents WHERE entity_type = 'N' AND contains(tags_csv, 'O') AND regexp_matches(entity_id, '1[0-9]*$')) SELECT entity_id, tags_csv, (SELECT count(*) FROM h) AS total FROM h ORDER BY entity_id LIMIT 10 OFFSET 20",
+    "entity_search": f"WITH {LINES}, h AS (SELECT entity_id, tags_csv FROM ents WHERE entity_type = 'N' AND regexp_matches(lower(tags_csv), '^n?oo|x|of$') AND regexp_matches(entity_id, '1[0-9]*$')) SELECT entity_id, tags_csv, (SELECT count(*) FROM h) AS total FROM h ORDER BY entity_id LIMIT 10 OFFSET 20",
     "name_token_search": "WITH t AS (SELECT DISTINCT p_partkey AS entity_id, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type), '\\s+')) AS token FROM part), q AS (SELECT DISTINCT p_partkey AS query_id, unnest(regexp_split_to_array(lower(p_name), '\\s+')) AS token FROM part WHERE p_partkey % 20 = 0), m AS (SELECT query_id, entity_id, count(*) AS matches FROM t JOIN q USING (token) WHERE token <> '' GROUP BY ALL) SELECT query_id, entity_id, matches, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, entity_id) AS INTEGER) AS rank FROM m) WHERE rank <= 5",
     "text_entity_candidates": f"WITH {CLASSIFIED} SELECT name, entity_type, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM cand WHERE name <> '' GROUP BY ALL",
     "graph_members": f"WITH {LINES} SELECT DISTINCT part AS entity_id, chunk_id, doc_id FROM lines",

@@ -104,16 +104,18 @@ def retrieval_bm25_topk(spark, sf_dir):
 
 
 def query_variants(spark, sf_dir):
-    """The item and a sentence made of its first words; both are scored and a chunk keeps its best."""
+    """The item, a sentence made of its first words, and phrasings from another table: of every third item three, the first of them blank where the id is even, the last beyond the two that count."""
     q = text_queries(spark, sf_dir)
     part = lambda n: F.coalesce(F.get(F.split("text", " "), F.lit(n)), F.lit(""))
-    second = F.concat(part(0), F.lit(" to "), part(1), F.lit(" "), part(2), F.lit(" integration pattern"))
-    return q.select("query_id", F.posexplode(F.array("text", second)).alias("variant", "text"))
+    other = F.array(F.when(F.col("query_id") % 2 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" about "), part(3))), F.concat(part(4), F.lit(" in other words\n")), F.lit("one too many"))
+    external = q.where("query_id % 3 = 0").select("query_id", F.posexplode(other).alias("pos", "text"))
+    return r.query_variants(q.select("query_id", "text", part(0).alias("source"), part(1).alias("target"), part(2).alias("category")), external)
 
 
 def retrieval_bm25_variants(spark, sf_dir):
-    q = query_variants(spark, sf_dir).select((F.col("query_id") * 2 + F.col("variant")).alias("query_id"), "text")
-    best = r.bm25(chunks(spark, sf_dir), q).groupBy(F.floor(F.col("query_id") / 2).alias("query_id"), "chunk_id").agg(F.max("score").alias("score"))
+    """All variants are scored and a chunk keeps its best."""
+    q = query_variants(spark, sf_dir).select((F.col("query_id") * 4 + F.col("variant")).alias("query_id"), "text")
+    best = r.bm25(chunks(spark, sf_dir), q).groupBy(F.floor(F.col("query_id") / 4).alias("query_id"), "chunk_id").agg(F.max("score").alias("score"))
     return r.ranked(best, 10)
 
 
@@ -182,7 +184,7 @@ def tfidf_rerank(spark, sf_dir):
 TFIDF = FUSED + """,
 boosted AS (SELECT query_id, text || ' ' || CASE """ + INTENT_SQL + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in INTENT_WORDS.items()) + """ END AS text FROM qw),
 texts AS (SELECT query_id, chunk_id, text FROM fused UNION ALL SELECT query_id, -1, text FROM boosted),
-toks AS (SELECT query_id, chunk_id, unnest(regexp_extract_all(lower(text), '[0-9a-z_à-öø-ÿ]{2,}')) AS term FROM texts),
+toks AS (SELECT query_id, chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM texts),
 ttf AS (SELECT query_id, chunk_id, term, count(*) AS tf FROM toks WHERE term NOT IN (""" + ", ".join(f"'{w}'" for w in STOP_WORDS) + """) GROUP BY ALL),
 tdf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cf DESC, term) AS place FROM (SELECT query_id, term, count(*) AS df, sum(tf) AS cf FROM ttf GROUP BY ALL)),
 tn AS (SELECT query_id, count(*) AS n FROM texts GROUP BY ALL),
@@ -259,14 +261,13 @@ def top_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_keyword_coverage(spark, sf_dir):
-    words = F.slice(F.array_sort(F.array_distinct(r.words(F.col("text")))), 1, 8)
+    words = F.array_distinct(r.words(F.col("text")))
     return r.keyword_coverage(top_texts(spark, sf_dir), text_queries(spark, sf_dir).select("query_id", F.explode(words).alias("keyword")))
 
 
 def metric_faithfulness(spark, sf_dir):
-    words = F.slice(F.array_sort(F.array_distinct(r.words(F.col("text")))), -6, 6)
-    own = text_queries(spark, sf_dir).where(F.size(F.array_distinct(r.words(F.col("text")))) >= 6)
-    return r.faithfulness(top_texts(spark, sf_dir), own.select("query_id", F.explode(words).alias("token")))
+    words = F.array_distinct(r.words(F.col("text")))
+    return r.faithfulness(top_texts(spark, sf_dir), text_queries(spark, sf_dir).select("query_id", F.explode(words).alias("token")))
 
 
 def metric_index_percentiles(spark, sf_dir):
@@ -351,15 +352,17 @@ SQL = {
         p AS (SELECT s.query_id, round(count(rank) FILTER (rank <= 5) / least(any_value(size), 5), 6) AS recall, round(coalesce(1 / min(rank), 0), 6) AS rr,
               round(coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 5), 0) / list_sum(list_transform(range(1, least(any_value(size), 5) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM s LEFT JOIN h USING (query_id) GROUP BY s.query_id)
         SELECT count(*) AS n_queries, round(avg(recall), 5) AS recall5, round(avg(rr), 5) AS mrr, round(avg(ndcg), 5) AS ndcg5 FROM p""",
-    "metric_keyword_coverage": f"WITH {TOP5}, k AS (SELECT query_id, unnest(list_sort(list_distinct(w))[1:8]) AS keyword FROM qw), h AS (SELECT k.query_id, keyword, max(CAST(coalesce(contains(lower(text), keyword), false) AS INTEGER)) AS hit FROM k LEFT JOIN tt ON k.query_id = tt.query_id GROUP BY ALL) SELECT query_id, round(sum(hit) / count(*), 6) AS coverage FROM h GROUP BY ALL",
-    "metric_faithfulness": f"WITH {TOP5}, k AS (SELECT query_id, unnest(list_sort(list_distinct(w))[-6:]) AS token FROM qw WHERE len(list_distinct(w)) >= 6), a AS (SELECT query_id, lower(string_agg(text, ' ' ORDER BY rank)) AS answer FROM tt WHERE rank <= 3 GROUP BY ALL) SELECT query_id, round(sum(CAST(coalesce(contains(answer, token), false) AS INTEGER)) / count(*), 6) AS faithfulness FROM k LEFT JOIN a USING (query_id) GROUP BY ALL",
+    "metric_keyword_coverage": f"WITH {TOP5}, k AS (SELECT query_id, unnest(list_distinct(w)) AS keyword FROM qw), h AS (SELECT k.query_id, keyword, max(CAST(coalesce(contains(lower(text), keyword), false) AS INTEGER)) AS hit FROM k LEFT JOIN tt ON k.query_id = tt.query_id GROUP BY ALL) SELECT query_id, round(sum(hit) / count(*), 6) AS coverage FROM h GROUP BY ALL",
+    "metric_faithfulness": f"WITH {TOP5}, k AS (SELECT query_id, unnest(list_distinct(w)) AS token FROM qw), a AS (SELECT query_id, lower(string_agg(text, ' ' ORDER BY rank)) AS answer FROM tt WHERE rank <= 3 GROUP BY ALL) SELECT query_id, round(sum(CAST(coalesce(contains(answer, token), false) AS INTEGER)) / count(*), 6) AS faithfulness FROM k LEFT JOIN a USING (query_id) GROUP BY ALL",
     "metric_index_percentiles": "WITH o AS (SELECT event_type AS label, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT label, max(value) FILTER (place = floor(n * 0.5)) AS p50, max(value) FILTER (place = floor(n * 0.95)) AS p95 FROM o GROUP BY label",
     "context_budget": f"WITH {FUSED}, u AS (SELECT query_id, chunk_id, score, CAST(sum(length('### Source: kb_file · score: ' || printf('%.2f', score) || chr(10) || text)) OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM fused) SELECT * FROM u WHERE used <= 6000",
     "context_pinned": f"WITH {BM25}, p AS (SELECT query_id, item, text, 1200 // count(*) OVER (PARTITION BY query_id) AS cap FROM truth JOIN documents ON item = doc_id), u AS (SELECT query_id, item AS chunk_id, cap, CAST(sum(length('### Source: pinned · doc: ' || item || chr(10) || left(text, cap) || CASE WHEN length(text) > cap THEN '…' ELSE '' END)) OVER (PARTITION BY query_id ORDER BY item ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM p) SELECT * FROM u WHERE used <= 1200",
     "context_text": f"WITH {TOP5} SELECT query_id, left(string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank), 3000) AS context FROM tt WHERE rank <= 3 GROUP BY query_id",
     "source_attribution": f"WITH {FUSED}, f AS (SELECT *, left(text, 150) AS preview FROM fused), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, preview ORDER BY score DESC, chunk_id) AS n FROM f) SELECT * FROM (SELECT query_id, chunk_id, round(score, 3) AS score, preview, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o.score DESC, chunk_id) AS INTEGER) AS rank FROM o WHERE n = 1) WHERE rank <= 10",
-    "query_variants": "SELECT item_id AS query_id, 0 AS variant, text FROM benchmark UNION ALL SELECT item_id, 1, coalesce(split_part(text, ' ', 1), '') || ' to ' || coalesce(split_part(text, ' ', 2), '') || ' ' || coalesce(split_part(text, ' ', 3), '') || ' integration pattern' FROM benchmark",
+    "query_variants": """SELECT item_id AS query_id, CAST(0 AS INTEGER) AS variant, text FROM benchmark UNION ALL SELECT item_id, 1, coalesce(split_part(text, ' ', 1), '') || ' to ' || coalesce(split_part(text, ' ', 2), '') || ' ' || coalesce(split_part(text, ' ', 3), '') || ' integration pattern' FROM benchmark
+        UNION ALL SELECT item_id, 2, trim('about ' || coalesce(split_part(text, ' ', 4), '')) FROM benchmark WHERE item_id % 3 = 0 AND item_id % 2 <> 0
+        UNION ALL SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 3 END, trim(coalesce(split_part(text, ' ', 5), '') || ' in other words') FROM benchmark WHERE item_id % 3 = 0""",
 }
 QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_corpus_stats, retrieval_bm25_scores, retrieval_bm25_topk, query_variants, retrieval_bm25_variants, fusion_rrf, fusion_ensemble, ensemble_threshold, candidate_cut, tag_whole_token, tag_with_fallback, tag_primary_top2, tag_kb_variant, judge_rescore, tfidf_rerank, semantic_bonus, dense_top10, dense_cosine_search, dense_best_per_label, summary_retrieval, metric_recall5_dense, metric_mrr_dense, metric_ndcg5_dense, metric_summary_bm25, metric_keyword_coverage, metric_faithfulness, metric_index_percentiles, context_budget, context_pinned, context_text, source_attribution)}
-VARIANT_SQL = BM25.replace("SELECT item_id AS query_id, text, list_filter", "SELECT query_id, text, list_filter").replace("AS w FROM benchmark)", "AS w FROM (SELECT query_id * 2 + variant AS query_id, text FROM (" + SQL["query_variants"] + ")))")
-SQL["retrieval_bm25_variants"] = f"WITH {VARIANT_SQL}, best AS (SELECT query_id // 2 AS query_id, chunk_id, max(score) AS score FROM bm25 GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM best) WHERE rank <= 10"
+VARIANT_SQL = BM25.replace("SELECT item_id AS query_id, text, list_filter", "SELECT query_id, text, list_filter").replace("AS w FROM benchmark)", "AS w FROM (SELECT query_id * 4 + variant AS query_id, text FROM (" + SQL["query_variants"] + ")))")
+SQL["retrieval_bm25_variants"] = f"WITH {VARIANT_SQL}, best AS (SELECT query_id // 4 AS query_id, chunk_id, max(score) AS score FROM bm25 GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM best) WHERE rank <= 10"
