@@ -31,6 +31,11 @@ def stream_run_progress(spark, sf_dir):
     return jobs.run_progress(spark, f"{sf_dir}/events.parquet")
 
 
+def stream_retention(spark, sf_dir):
+    """Events of the newest day and the 20 before it."""
+    return jobs.run_retention(spark, f"{sf_dir}/events.parquet", 20).select("event_id", "event_type", "day")
+
+
 def stream_ingest(spark, sf_dir):
     return jobs.run_ingest(spark, f"{sf_dir}/documents.parquet")
 
@@ -70,11 +75,12 @@ def report_sink(spark, sf_dir):
     return spark.read.schema("metric string, value double, label string").parquet(path)
 
 
-QUERIES = {f.__name__: f for f in (stream_log_levels, stream_audit_counts, stream_run_progress, stream_ingest, upsert_by_source, bundle_round_trip, text_files, report_sink)}
+QUERIES = {f.__name__: f for f in (stream_log_levels, stream_audit_counts, stream_run_progress, stream_retention, stream_ingest, upsert_by_source, bundle_round_trip, text_files, report_sink)}
 SQL = {
     "stream_log_levels": texts.SQL["log_levels"],
     "stream_audit_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_run_progress": "SELECT user_id, count(*) AS done FROM events GROUP BY 1",
+    "stream_retention": "SELECT event_id, event_type, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) >= (SELECT max(CAST(ts AS DATE)) - 20 FROM events)",
     "stream_ingest": "SELECT doc_id, source, sha256(coalesce(text, '')) AS content_hash, CAST(length(text) AS INTEGER) AS chars FROM documents",
     "upsert_by_source": "SELECT doc_id, source, CAST(CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 2 = 0 THEN -length(text) ELSE length(text) END AS INTEGER) AS chars FROM documents",
     "bundle_round_trip": "SELECT doc_id AS chunk_id, lang AS source_type, CAST(length(text) AS INTEGER) AS chars FROM documents WHERE doc_id % 2 = 0 OR lang = 'fr'",

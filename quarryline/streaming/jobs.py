@@ -1,7 +1,7 @@
 """Structured Streaming jobs: logs, audit events, progress and incremental ingestion. Each runs with availableNow and ends when its input is read.
 
-Watermarks equal the retention of the logs: later rows are dropped. Aggregates are written per batch as a new version of their table, so that a retried batch
-replaces its own version. All state is in the checkpoint and in the tables themselves, none in the driver: a stopped job that is started again on the same
+Watermarks equal the retention of the logs: later rows are dropped, and state older than that leaves. Tables are change logs: a batch writes the rows of the keys that it changed under its number, so that a retried batch
+replaces its own. All state is in the checkpoint and in the tables themselves, none in the driver: a stopped job that is started again on the same
 folders goes on where it was.
 """
 
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as x
 from quarryline.sources.changelog import ChangeLog
-from quarryline.sources.tables import latest_version, scratch, stored, write_version
+from quarryline.sources.tables import scratch, stored, write_version
 
-RETENTION = "90 days"
+RETENTION_DAYS = 90
+RETENTION = f"{RETENTION_DAYS} days"
 
 
 def stream_of(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
@@ -32,31 +33,86 @@ def appended(stream: DataFrame, out: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def versioned(stream: DataFrame, out: str, mode: str, step: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Runs a stream whose batches (after step) are versions of a table; the last one that is complete is the result, also of a run without new input."""
-    spark = stream.sparkSession
+def structured_log(messages: DataFrame) -> DataFrame:
+    """level and text of log messages (message)."""
+    return messages.select("*", x.log_level(F.col("message")).alias("level"), x.without_log_prefix(F.col("message")).alias("clean")).drop("message")
 
-    def write(batch: DataFrame, number: int) -> None:
-        write_version(step(batch, number) if step else batch, out, number)
 
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
-    last = latest_version(spark, out)
-    return spark.createDataFrame([], stream.schema) if last is None else spark.read.parquet(f"{out}/version={last:09d}")
+AUDIT = "key string, start timestamp_ntz, event_type string, n long"
+PROGRESS = "user_id long, done long"
 
 
-def structured_log(messages: DataFrame) -> DataFrame:
-    """level and text of log messages (message)."""
-    return messages.select("*", x.log_level(F.col("message")).alias("level"), x.without_log_prefix(F.col("message")).alias("clean")).drop("message")
+def once_within_retention(events: DataFrame, key: str = "event_id") -> DataFrame:
+    """Events (ts and a key) without repeats: a repeat within RETENTION of the newest event goes, and so does what comes later than that. State holds the keys of that time alone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", RETENTION).dropDuplicatesWithinWatermark([key])
 
 
 def audit_counts(events: DataFrame, length: str = "1 day") -> DataFrame:
-    """Events per window and type: events (ts, event_type)."""
-    own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", RETENTION).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return own.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    """Different events per window and type, as rows of AUDIT: events (ts, event_id, event_type). Windows leave the state once the watermark has passed them."""
+    own = once_within_retention(events).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return own.select(F.concat_ws("|", F.col("w.start").cast("string"), "event_type").alias("key"), F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-def progress(events: DataFrame) -> DataFrame:
-    return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("done"))
+def merged(stream: DataFrame, log: ChangeLog, step: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """Runs a stream in update mode; the rows that a batch changed (after step) replace those of their keys in a change log, whose table is the result."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        log.merge(step(batch, number) if step else batch, number)
+        tidied(log)
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{log.root}-progress").trigger(availableNow=True).start().awaitTermination()
+    return log.read()
+
+
+def tidied(log: ChangeLog) -> None:
+    if log.due():
+        log.compact()
+        log.vacuum()
+
+
+def progress(events: DataFrame, out: str) -> DataFrame:
+    """Events done per user (a null one too). A batch's counts are added to those that the table had before it, so the stream itself keeps no state, and a batch that is tried again adds to the same numbers."""
+    log = ChangeLog(events.sparkSession, out, "user_id", PROGRESS)
+
+    def step(batch: DataFrame, number: int) -> DataFrame:
+        new = stored(batch.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("done")), "progress-batch")
+        start = log.before(number)
+        if start is None:
+            return new
+        old = log.lookup(new.select("user_id"), start).select(F.col("user_id").alias("old_user"), F.col("done").alias("before"))
+        return new.join(old, F.col("user_id").eqNullSafe(F.col("old_user")), "left").select("user_id", (F.col("done") + F.coalesce("before", F.lit(0))).alias("done"))
+
+    return merged(events, log, step)
+
+
+RETAINED = "day date, event_id long, event_type string, ts timestamp"
+
+
+def retained(events: DataFrame, out: str, days: int = RETENTION_DAYS) -> DataFrame:
+    """Events (ts, event_id, event_type) of the newest day and the `days` before it, each once.
+
+    The table is a change log by day: a batch writes its own days again with what is new, and days that have grown too old are dropped by name, without reading them. The newest day is that of all
+    batches so far, so that late events of days that are gone stay out.
+    """
+    spark = events.sparkSession
+    log = ChangeLog(spark, out, "day", RETAINED)
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = stored(batch.where("ts IS NOT NULL").select(F.to_date("ts").alias("day"), F.col("event_id").cast("long"), F.col("event_type").cast("string"), F.col("ts").cast("timestamp").alias("ts")), "retained-batch")
+        start = log.before(number)
+        old = log.lookup(new.select("day"), start) if start is not None else spark.createDataFrame([], RETAINED)
+        days_ = new.select("day").unionByName(log.read(start).select("day")) if start is not None else new.select("day")
+        newest = days_.agg(F.max("day")).first()[0]
+        if newest is None:
+            log.merge(new, number)
+            return
+        least = F.date_sub(F.lit(newest), days)
+        rows = old.unionByName(new).where(F.col("day") >= least).dropDuplicates(["day", "event_id"])
+        log.merge(rows, number, days_.where(F.col("day") < least).distinct())
+        tidied(log)
+
+    events.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
+    return log.read()
 
 
 INGESTED = "doc_id long, source string, content_hash string, chars int"
@@ -89,9 +145,7 @@ def ingest(documents: DataFrame, out: str) -> DataFrame:
         write_version(run, f"{out}-runs", number)
         same = known.where("state = 'unchanged'").select(F.col("doc_id").alias("same_id"))
         log.merge(new.join(same, F.col("doc_id").eqNullSafe(F.col("same_id")), "left_anti"), number)
-        if log.due():
-            log.compact()
-            log.vacuum()
+        tidied(log)
 
     documents.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
     return log.read()
@@ -107,11 +161,15 @@ def run_log_stream(spark: SparkSession, path: str, message: Callable[[DataFrame]
 
 
 def run_audit(spark: SparkSession, path: str) -> DataFrame:
-    return versioned(audit_counts(stream_of(spark, path)), scratch(spark, "audit"), "complete")
+    return merged(audit_counts(stream_of(spark, path)), ChangeLog(spark, scratch(spark, "audit"), "key", AUDIT)).drop("key")
 
 
 def run_progress(spark: SparkSession, path: str) -> DataFrame:
-    return versioned(progress(stream_of(spark, path)), scratch(spark, "progress"), "complete")
+    return progress(stream_of(spark, path), scratch(spark, "progress"))
+
+
+def run_retention(spark: SparkSession, path: str, days: int = RETENTION_DAYS) -> DataFrame:
+    return retained(stream_of(spark, path, 1), scratch(spark, "retained"), days)
 
 
 def run_ingest(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
