@@ -174,9 +174,9 @@ def evidence_report(claims: DataFrame, least_lists: tuple[str, ...] = ()) -> Dat
 GRAM = 5
 
 
-def grams(word: Column) -> Column:
-    """The different runs of GRAM letters of a word."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - (GRAM - 1), F.lit(0))), lambda i: F.substring(word, i, F.lit(GRAM))))
+def grams(word: Column, n: int = GRAM) -> Column:
+    """The different runs of n letters of a word; none if it is shorter."""
+    return F.array_distinct(F.transform(F.when(F.length(word) >= n, F.sequence(F.lit(1), F.length(word) - (n - 1))), lambda i: F.substring(word, i, F.lit(n))))
 
 
 def words_within(wanted: DataFrame, words: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def top_by_terms(chunks: DataFrame, weights: DataFrame, k: int, part: str, avera
         n = [len(s) for s, _ in best]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.concatenate([i for _, i in best]).astype(np.int64)), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "chunk_id", "score"])
 
-    spark, own = chunks.sparkSession, chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long"), words(F.col("text")).alias("w"))
+    spark, own = chunks.sparkSession, chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long"), "text").select("chunk_id", words(F.col("text")).alias("w"))
     blocks = -(-weights.select("query_id").distinct().count() // TERM_QUERIES)
     found = []
     for b in range(blocks):
@@ -304,23 +304,48 @@ def semantic_bonus(candidates: DataFrame, bonus_types: DataFrame, bonus: float =
     return own.select(*row_columns(candidates, score=F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 6)))
 
 
+def relevant(ranks: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, rank) of the retrieved items (query_id, item, rank) that are in truth (query_id, item), and (query_id, size) of every query in truth."""
+    own = truth.select("query_id", "item").distinct()
+    return ranks.select("query_id", "item", "rank").join(own, ["query_id", "item"]).select("query_id", "rank"), own.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
+
+
+def relevant_by_label(ranks: DataFrame, items: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same where an item (item, label) is relevant to a query (query_id, label) with its label, but for the item that is the query itself: from labels' counts, without the pairs."""
+    hits = ranks.join(items.select("item", "label"), "item").join(queries.select("query_id", F.col("label").alias("wanted")), "query_id").where("label = wanted AND item <> query_id").select("query_id", "rank")
+    counts = items.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    itself = queries.select("query_id", "label").join(items.select(F.col("item").alias("query_id"), F.col("label").alias("own")), "query_id", "left")
+    return hits, itself.join(counts, "label").select("query_id", (F.col("n") - F.coalesce((F.col("own") == F.col("label")).cast("int"), F.lit(0))).alias("size")).where("size > 0")
+
+
+def recall_of(hits: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """query_id, recall of hits (query_id, rank) against sizes (query_id, size)."""
+    found = hits.where(F.col("rank") <= k).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    return sizes.join(found, "query_id", "left").select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.least("size", F.lit(k)), 6).alias("recall"))
+
+
+def reciprocal_rank_of(hits: DataFrame, sizes: DataFrame) -> DataFrame:
+    first = hits.groupBy("query_id").agg(F.min("rank").alias("first"))
+    return sizes.select("query_id").join(first, "query_id", "left").select("query_id", F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr"))
+
+
+def ndcg_of(hits: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    gains = hits.where(F.col("rank") <= k).groupBy("query_id").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("size", F.lit(k)).cast("int")), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1))
+    return sizes.join(gains, "query_id", "left").select("query_id", F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"))
+
+
 def recall_at(ranks: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """query_id, recall of every query in truth (query_id, item)."""
-    hits = ranks.where(F.col("rank") <= k).select("query_id", "item").distinct().join(truth, ["query_id", "item"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
-    sizes = truth.groupBy("query_id").agg(F.count_distinct("item").alias("size"))
-    return sizes.join(hits, "query_id", "left").select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.least("size", F.lit(k)), 6).alias("recall"))
+    return recall_of(*relevant(ranks, truth), k)
 
 
 def reciprocal_ranks(ranks: DataFrame, truth: DataFrame) -> DataFrame:
-    first = ranks.join(truth.select("query_id", "item").distinct(), ["query_id", "item"]).groupBy("query_id").agg(F.min("rank").alias("first"))
-    return truth.select("query_id").distinct().join(first, "query_id", "left").select("query_id", F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr"))
+    return reciprocal_rank_of(*relevant(ranks, truth))
 
 
 def ndcg_at(ranks: DataFrame, truth: DataFrame, k: int) -> DataFrame:
-    gains = ranks.where(F.col("rank") <= k).join(truth.select("query_id", "item").distinct(), ["query_id", "item"]).groupBy("query_id").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
-    sizes = truth.groupBy("query_id").agg(F.least(F.count_distinct("item"), F.lit(k)).cast("int").alias("ideal"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.col("ideal")), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1))
-    return sizes.join(gains, "query_id", "left").select("query_id", F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"))
+    return ndcg_of(*relevant(ranks, truth), k)
 
 
 def keyword_coverage(ranks: DataFrame, keywords: DataFrame) -> DataFrame:

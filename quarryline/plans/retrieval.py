@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.operators import retrieval as r
-from quarryline.sources.tables import stored
+from quarryline.operators.ingest import grams, words_within
+from quarryline.sources.tables import spread, stored
 
 INTENTS = ("overview", "business_rules", "data_mapping", "errors", "architecture")
 #: Word lists that are added to a query for its intent, and the chunk types that earn a bonus.
@@ -72,19 +73,34 @@ truth AS (SELECT DISTINCT item_id AS query_id, doc_id AS item FROM benchmark JOI
 
 
 def two_lists(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    c, q = chunks(spark, sf_dir), text_queries(spark, sf_dir)
+    c, q = spread(chunks(spark, sf_dir)), text_queries(spark, sf_dir)
     a = r.bm25_top(c, q, k).withColumn("list", F.lit("a"))
     b = r.overlap_top(c, q, k).withColumn("list", F.lit("b"))
     return a.unionByName(b).drop("rank").join(c.select("chunk_id", F.substring("text", 1, 100).alias("key")), "chunk_id")
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that stand word for word in a document. Pairs come from an equi-join on the longest of an item's inner words (items of three words and more)."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    longest = F.array_max(F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    q = text_queries(spark, sf_dir).select("query_id", F.col("text").alias("item_text"), longest.alias("key")).where("key IS NOT NULL")
-    c = chunks(spark, sf_dir).select("chunk_id", "text", F.explode(F.array_distinct(words)).alias("key"))
-    return c.join(q, "key").where(F.col("text").contains(F.col("item_text"))).select("query_id", F.col("chunk_id").alias("item")).distinct()
+    """Items that stand word for word in a document, from an equi-join: an item of three words and more goes by the longest of its inner words, which a document with the item has as a word; texts come only to the pairs that
+    share it. The first word of an item of one or two may be a part of a longer one: such items go by the runs of letters of their longest word (`words_within`), and if no word has five letters by all
+    runs of their own length. An empty item stands in no document.
+    """
+    cut = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    longest = F.array_max(F.transform(F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    q = text_queries(spark, sf_dir).where("text IS NOT NULL").select("query_id", F.col("text").alias("item_text"), longest.alias("key"), F.array_max(F.transform(cut, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+    c = spread(chunks(spark, sf_dir).select("chunk_id", "text"))
+    words = c.select("chunk_id", F.explode(F.array_distinct(cut)).alias("key"))
+    pairs = words.join(q.where("key IS NOT NULL").select("query_id", "key"), "key").select("query_id", "chunk_id")
+    short = stored(q.where("key IS NULL"), "short-items")
+    if not short.isEmpty():
+        one = F.lit("all").alias("pack_id")
+        within = words_within(short.where("length(word) >= 5").select(one, F.col("word").alias("wanted")).distinct(), words.select(one, F.col("key").alias("word")).distinct())
+        named = within.join(short.select("query_id", F.col("word").alias("wanted")), "wanted").select("query_id", F.col("word").alias("key")).distinct()
+        pairs = pairs.unionByName(words.join(named, "key").select("query_id", "chunk_id")).distinct()
+        rest = short.where("coalesce(length(word), 0) < 5 AND item_text <> ''")
+        for n in [x.n for x in rest.select(F.length("item_text").alias("n")).distinct().collect()]:  # two short words: a few lengths
+            runs = c.select("chunk_id", F.explode(grams(F.col("text"), n)).alias("item_text"))
+            pairs = pairs.unionByName(runs.join(rest, "item_text").select("query_id", "chunk_id"))
+    return pairs.join(c, "chunk_id").join(q.select("query_id", "item_text"), "query_id").where(F.col("text").contains(F.col("item_text"))).select("query_id", F.col("chunk_id").alias("item")).distinct()
 
 
 def bm25_term_stats(spark, sf_dir):
@@ -100,7 +116,7 @@ def retrieval_bm25_scores(spark, sf_dir):
 
 
 def retrieval_bm25_topk(spark, sf_dir):
-    return r.bm25_top(chunks(spark, sf_dir), text_queries(spark, sf_dir), 5)
+    return r.bm25_top(spread(chunks(spark, sf_dir)), text_queries(spark, sf_dir), 5)
 
 
 def query_variants(spark, sf_dir):
@@ -226,38 +242,35 @@ def summary_retrieval(spark, sf_dir):
     return r.ranked(r.tag_filter(own, F.array(F.col("query_label").cast("string"))), 3).select("query_id", "chunk_id", "score", "rank")
 
 
-def label_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dense_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ranks of the retrieved vectors that have the query's label, and how many others have it."""
     c, q = vectors(spark, sf_dir)
-    return q.join(c.select(F.col("chunk_id").alias("item"), "label"), F.col("query_label") == F.col("label")).where("item <> query_id").select("query_id", "item")
-
-
-def dense_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, q = vectors(spark, sf_dir)
-    return r.ranked(r.dense_scores(r.dense_top(c, q, 11)).where("query_id <> chunk_id"), 10).withColumnRenamed("chunk_id", "item")
+    ranks = r.ranked(r.dense_scores(r.dense_top(c, q, 11)).where("query_id <> chunk_id"), 10).withColumnRenamed("chunk_id", "item")
+    return r.relevant_by_label(ranks, c.select(F.col("chunk_id").alias("item"), "label"), q.select("query_id", F.col("query_label").alias("label")))
 
 
 def metric_recall5_dense(spark, sf_dir):
-    return r.recall_at(dense_ranks(spark, sf_dir), label_truth(spark, sf_dir), 5)
+    return r.recall_of(*dense_hits(spark, sf_dir), 5)
 
 
 def metric_mrr_dense(spark, sf_dir):
-    return r.reciprocal_ranks(dense_ranks(spark, sf_dir), label_truth(spark, sf_dir))
+    return r.reciprocal_rank_of(*dense_hits(spark, sf_dir))
 
 
 def metric_ndcg5_dense(spark, sf_dir):
-    return r.ndcg_at(dense_ranks(spark, sf_dir), label_truth(spark, sf_dir), 5)
+    return r.ndcg_of(*dense_hits(spark, sf_dir), 5)
 
 
 def metric_summary_bm25(spark, sf_dir):
     """Mean recall@5, reciprocal rank and NDCG@5 of BM25+ against word-for-word truth."""
-    ranks = r.bm25_top(chunks(spark, sf_dir), text_queries(spark, sf_dir), 10).withColumnRenamed("chunk_id", "item")
-    t = truth(spark, sf_dir)
-    own = r.recall_at(ranks, t, 5).join(r.reciprocal_ranks(ranks, t), "query_id").join(r.ndcg_at(ranks, t, 5), "query_id")
+    ranks = r.bm25_top(spread(chunks(spark, sf_dir)), text_queries(spark, sf_dir), 10).withColumnRenamed("chunk_id", "item")
+    hits, sizes = (stored(d, "judged") for d in r.relevant(ranks, truth(spark, sf_dir)))  # at most ten rows a query, and one
+    own = r.recall_of(hits, sizes, 5).join(r.reciprocal_rank_of(hits, sizes), "query_id").join(r.ndcg_of(hits, sizes, 5), "query_id")
     return own.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("recall"), 5).alias("recall5"), F.round(F.avg("rr"), 5).alias("mrr"), F.round(F.avg("ndcg"), 5).alias("ndcg5"))
 
 
 def top_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.bm25_top(chunks(spark, sf_dir), text_queries(spark, sf_dir), 5).join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    return r.bm25_top(spread(chunks(spark, sf_dir)), text_queries(spark, sf_dir), 5).join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
 
 
 def metric_keyword_coverage(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as x
 from quarryline.operators import chunking, html
+from quarryline.sources.tables import spread
 
 from .retrieval import table
 
@@ -25,7 +26,8 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, v in WORDS_BY_SOURCE.items():
         out = F.when(F.col("doc_id") % 6 == k, v) if out is None else out.when(F.col("doc_id") % 6 == k, v)
     kind = F.when(F.col("doc_id") % 50 == 7, "table").when(F.col("doc_id") % 50 == 8, "figure").when(F.col("doc_id") % 50 == 9, "code").otherwise("text")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.concat(out, F.lit("\n"), "text").alias("text"), kind.alias("chunk_type"))
+    own = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return own.select("doc_id", "source", "lang", F.concat(out, F.lit("\n"), "text").alias("text"), kind.alias("chunk_type"))
 
 
 MARKED = f"""marked AS (SELECT doc_id, source, lang, {sentence_sql()} || chr(10) || text AS text,
@@ -205,11 +207,11 @@ def mapping_table_check(spark, sf_dir):
 
 
 def chunk_fixed(spark, sf_dir):
-    return chunking.fixed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return chunking.fixed(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def chunk_recursive(spark, sf_dir):
-    return chunking.recursive(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return chunking.recursive(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def html_clean(spark, sf_dir):

@@ -93,6 +93,12 @@ def complete_versions(spark: SparkSession, root: str) -> list[int]:
     return [int(p.getName().split("=")[1]) for p in names if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan over as many tasks as run at once, where its files give fewer (few files, or row groups too large to split); otherwise the scan as it is, so large inputs are not shuffled."""
+    tasks = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(tasks) if scan.rdd.getNumPartitions() < tasks else scan
+
+
 def latest_version(spark: SparkSession, root: str) -> int | None:
     """The number of the last complete version of a table under root; None if there is none."""
     return max(complete_versions(spark, root), default=None)
