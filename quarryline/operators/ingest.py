@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 #: Weights of a claim by its confidence, and that of a section without claims.
 WEIGHTS = {"confirmed": 1.0, "inferred": 0.7, "to_validate": 0.5, "missing_evidence": 0.2}
 UNSUPPORTED = 0.5
@@ -48,22 +50,17 @@ def normalised_capabilities(rows: DataFrame, kinds: list[str]) -> DataFrame:
     return rows.where(F.trim("name") != "").select(F.concat(F.lit("src_"), "source", F.lit("-"), "id").alias("capability_id"), "name", F.when(F.col("kind").isin(kinds), F.col("kind")).otherwise("guide_step").alias("kind"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
 
 
-#: Ids of a source whose chunks are numbered together.
-INDEX_IDS = 10_000
 
 
 def typed_chunks(capabilities: DataFrame) -> DataFrame:
     """Chunks of capabilities (source, id, kind, text, rules, moves, confidence): a screen gives a flow, its validations and its transitions, others one text.
 
-    A chunk's index in its source is its place in a run of INDEX_IDS ids and the number of chunks in the runs before, so that a hot source is numbered by many tasks.
+    A chunk's index is its running number in its source (`order.numbered`), so that a hot source is numbered by many tasks.
     """
     part = lambda kind, text: F.struct(F.lit(kind).alias("chunk_kind"), text.alias("text"))
     screen = F.concat(F.array(part("flow", F.col("text"))), F.transform("rules", lambda r: part("validation", r)), F.transform("moves", lambda r: part("transition", r)))
-    own = capabilities.select("source", "id", F.floor(F.col("id") / INDEX_IDS).alias("run"), (F.col("confidence") < LOW_CONFIDENCE).alias("low_confidence"), F.posexplode(F.when(F.col("kind") == "screen", screen).otherwise(F.array(part("text", F.col("text"))))).alias("pos", "c"))
-    sizes = own.groupBy("source", "run").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("source", "run", (F.sum("n").over(Window.partitionBy("source").orderBy("run")) - F.col("n")).alias("before"))
-    index = F.col("before") + F.row_number().over(Window.partitionBy("source", "run").orderBy("id", "pos")) - 1
-    return own.join(before, ["source", "run"]).select(F.concat(F.lit("src_"), "source", F.lit("-chunk-"), index).alias("chunk_id"), "id", "c.chunk_kind", "c.text", "low_confidence")
+    own = capabilities.select("source", "id", (F.col("confidence") < LOW_CONFIDENCE).alias("low_confidence"), F.posexplode(F.when(F.col("kind") == "screen", screen).otherwise(F.array(part("text", F.col("text"))))).alias("pos", "c"))
+    return numbered(own, ["source"], ["id", "pos"]).select("row.*", "index").select(F.concat(F.lit("src_"), "source", F.lit("-chunk-"), "index").alias("chunk_id"), "id", "c.chunk_kind", "c.text", "low_confidence")
 
 
 #: The methods that are operations of a path; other keys of a path (parameters, summary, servers, trace) are none.

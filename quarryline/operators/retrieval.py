@@ -362,21 +362,6 @@ def faithfulness(ranks: DataFrame, musts: DataFrame, top: int = 3) -> DataFrame:
     return musts.distinct().join(answer, "query_id", "left").groupBy("query_id").agg(F.round(F.sum(hit) / F.count(F.lit(1)), 6).alias("faithfulness"))
 
 
-def index_percentiles(values: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """Values at place floor(n * share) in ascending order, not interpolated: values (label, value).
-
-    Equal values are counted first; a label's different values are dealt out by their leading digits, whose counts show which part a place falls in, so
-    that a window only sees one part of a label.
-    """
-    counts = values.where("value IS NOT NULL").groupBy("label", "value").agg(F.count(F.lit(1)).alias("m")).withColumn("part", F.floor("value"))
-    parts = counts.groupBy("label", "part").agg(F.sum("m").alias("m"))
-    before = parts.select("label", "part", (F.sum("m").over(Window.partitionBy("label").orderBy("part")) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy("label")).alias("n"))
-    upto = F.sum("m").over(Window.partitionBy("label", "part").orderBy("value"))
-    own = counts.join(before, ["label", "part"]).withColumn("stop", F.col("before") + upto).withColumn("start", F.col("stop") - F.col("m"))
-    place = lambda p: F.floor(F.col("n") * p)
-    return own.groupBy("label").agg(*[F.max(F.when((F.col("start") <= place(p)) & (place(p) < F.col("stop")), F.col("value"))).alias(name) for name, p in shares.items()])
-
-
 def budgeted(entries: DataFrame, budget: int, by: tuple[str, ...], size: Column) -> DataFrame:
     """Entries in descending score order until the next one would pass the budget; nothing after it is taken."""
     used = F.sum(size).over(Window.partitionBy(*by).orderBy(F.desc("score"), "chunk_id").rowsBetween(Window.unboundedPreceding, 0))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import retrieval as r
 from quarryline.operators.ingest import grams, words_within
+from quarryline.operators.order import at_shares
 from quarryline.sources.tables import spread, stored
 
 INTENTS = ("overview", "business_rules", "data_mapping", "errors", "architecture")
@@ -285,7 +286,7 @@ def metric_faithfulness(spark, sf_dir):
 
 def metric_index_percentiles(spark, sf_dir):
     own = table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), "value")
-    return r.index_percentiles(own, {"p50": 0.5, "p95": 0.95})
+    return at_shares(own, {"p50": 0.5, "p95": 0.95})
 
 
 def context_budget(spark, sf_dir):
