@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import catalog as c
 from quarryline.operators import ingest as i
+from quarryline.operators.yaml_specs import specs_as_json
 
 from .retrieval import table
 
@@ -166,6 +167,32 @@ def made_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("spec"), "o_custkey").alias("source")).agg(spec.alias("spec"))
 
 
+def made_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The specifications of `made_specs` in YAML: flow and block nodes, folded and quoted texts, comments."""
+    own = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("      operationId: op"), "o_orderkey", F.lit("\n"))).otherwise("")
+    head = "    # not operations\n    summary: '{path}'\n    parameters:\n    - name: tenant\n    trace: {summary: no operation}\n    get:\n      summary: list\n"
+    rest = "      parameters: [{name: page}, {in: query}]\n      responses:\n        200: {}\n        '404': {}\n    post:\n      summary: \"add\"\n      description: >-\n        add\n        to "
+    path = F.concat(F.lit("  /o"), "o_orderkey", F.lit(":\n" + head), own, F.lit(rest), "o_orderpriority", F.lit("\n"))
+    schema = F.concat(F.lit("    S"), "o_orderkey", F.lit(":\n      required: [id]\n      properties: {id: {}, status: {}}  # two\n"))
+    paths, schemas = (F.array_join(F.array_sort(F.collect_list(c)), "") for c in (path, schema))
+    spec = F.concat(F.lit("---\nopenapi: 3.0.0\ninfo:\n  title: Orders of "), F.first("o_custkey"), F.lit("\n  version: '1'\nservers:\n- url: http://a\n-\n  url: http://b\npaths:\n"), paths, F.lit("components:\n  schemas:\n"), schemas)
+    return table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("spec"), "o_custkey").alias("source")).agg(spec.alias("spec"))
+
+
+def yaml_capabilities(spark, sf_dir):
+    """Specifications of which those of odd customers are YAML and the others JSON."""
+    odd = F.substring("source", 5, 20).cast("long") % 2 == 1
+    return i.openapi_capabilities(specs_as_json(made_yaml(spark, sf_dir).where(odd).unionByName(made_specs(spark, sf_dir).where(~odd))))
+
+
+def yaml_spec_hashes(spark, sf_dir):
+    """Per specification whether YAML and JSON have one canonical hash, and whether YAML with an alias is rejected."""
+    texts = made_yaml(spark, sf_dir)
+    alias = F.concat("spec", F.lit("other: *x\n"))
+    own = specs_as_json(texts).select("source", i.canonical_hash(F.col("spec")).alias("hash")).join(specs_as_json(texts.withColumn("spec", alias)).select("source", F.col("spec").isNull().alias("rejected")), "source")
+    return own.join(made_specs(spark, sf_dir), "source").select("source", F.col("hash").eqNullSafe(i.canonical_hash(F.col("spec"))).alias("same"), "rejected")
+
+
 def openapi_operations(spark, sf_dir):
     return i.openapi_operations(made_specs(spark, sf_dir))
 
@@ -323,7 +350,7 @@ def model_replies(spark, sf_dir):
     return i.parsed_replies(table(spark, sf_dir, "events").select("event_id", reply.alias("reply")))
 
 
-QUERIES = {f.__name__: f for f in (requirement_csv, requirement_bullets, requirement_overrides, requirement_groups, requirement_pairs, requirement_incomplete, entry_requirements, entry_category_tags, entry_merged_tags, catalog_listing, catalog_status_counts, catalog_pending_gate, status_invalid_steps, status_transitions, promoted_documents, kb_statistics, source_listing, corpus_by_source, snapshot_history, snapshot_last_runs, operation_diff, capability_reconciliation, capability_rows, capability_chunks, openapi_operations, openapi_capabilities, spec_hashes, capability_set_hash, verdict_join, situated_chunks, kb_export, kb_import, run_status, run_progress, breaking_alerts, log_retention, log_page, claims_normalised, claim_counts, evidence_validation, section_evidence, golden_union, eval_compare, unified_documents, document_tag_search, refresh_selection, source_dashboard, retagged, model_replies)}
+QUERIES = {f.__name__: f for f in (requirement_csv, requirement_bullets, requirement_overrides, requirement_groups, requirement_pairs, requirement_incomplete, entry_requirements, entry_category_tags, entry_merged_tags, catalog_listing, catalog_status_counts, catalog_pending_gate, status_invalid_steps, status_transitions, promoted_documents, kb_statistics, source_listing, corpus_by_source, snapshot_history, snapshot_last_runs, operation_diff, capability_reconciliation, capability_rows, capability_chunks, openapi_operations, openapi_capabilities, spec_hashes, yaml_capabilities, yaml_spec_hashes, capability_set_hash, verdict_join, situated_chunks, kb_export, kb_import, run_status, run_progress, breaking_alerts, log_retention, log_page, claims_normalised, claim_counts, evidence_validation, section_evidence, golden_union, eval_compare, unified_documents, document_tag_search, refresh_selection, source_dashboard, retagged, model_replies)}
 SNAP = """day AS (SELECT user_id AS source_id, CAST(ts AS DATE) AS day, list_sort(list(DISTINCT event_type || ':' || CAST(floor(value) AS BIGINT))) AS items FROM events GROUP BY ALL),
 snap AS (SELECT *, sha256(array_to_string(items, '|')) AS content_hash, row_number() OVER (PARTITION BY source_id ORDER BY day DESC) AS back, lag(sha256(array_to_string(items, '|'))) OVER (PARTITION BY source_id ORDER BY day) AS before FROM day)"""
 CLAIMS = """cl AS (SELECT source AS pack_id, 'C-' || (doc_id % 97) AS claim_id, text AS statement, CASE WHEN doc_id % 13 = 0 THEN 'missing_evidence' WHEN toxic = 1 THEN 'to_validate' WHEN quality = 1 THEN 'confirmed' ELSE 'inferred' END AS confidence, doc_id FROM labels JOIN documents USING (doc_id))"""
@@ -394,3 +421,5 @@ SQL = {
     "retagged": "WITH a AS (SELECT doc_id, NULL AS chunk_id, source || ',' || lang AS tags_csv FROM documents UNION ALL SELECT conv_id, conv_id || '-' || turn, role FROM conversations) SELECT a.doc_id, chunk_id, CASE WHEN quality = 0 THEN 'review' ELSE tags_csv END AS tags_csv FROM a LEFT JOIN labels ON a.doc_id = labels.doc_id",
     "model_replies": "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_id END AS id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_type END AS kind, event_id % 4 = 3 AS rejected FROM events",
 }
+SQL["yaml_capabilities"] = SQL["openapi_capabilities"]
+SQL["yaml_spec_hashes"] = "SELECT DISTINCT 'spec' || o_custkey AS source, true AS same, true AS rejected FROM orders"
