@@ -227,6 +227,10 @@ def html_sanitized(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (classify_names, classify_markers, classify_flags, classify_semantic_type, enriched_rows, enrich_forced, enrich_summary, flatten_metadata, split_csv, slugs, slugs_of_accents, clean_tags, html_plain, url_checks, file_routes, log_levels, structural_guard, quality_scores, section_split, diagram_check, mapping_table_check, chunk_fixed, chunk_recursive, html_clean, html_links, html_sanitized)}
+#: What the pages' markup holds: one heading, paragraphs of which some are never closed, marks by name, and parts that are dropped. A paragraph's text goes on to its end or, without one, to that of the page.
+PLAIN_SQL = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+DATA_SQL = "array_to_string(list_transform(regexp_split_to_array({}, '(?s)<!--.*?-->|<[^>]*>'), lambda d: regexp_replace(" + PLAIN_SQL.format("d") + ", '^\\s+|\\s+$', '', 'g')), '')"
+ABSENT_SQL = "</?(?:html|head|meta|title|style|script|body|nav|article|footer|b|div)(?:\\s[^>]*)?>"
 LOG_SQL = "log AS (SELECT conv_id, turn, ['[LLM] ', '[KB-RAG] ', '[ERROR] ', '[GUARD] ', '[STEP 2/5] ', '', '[llm] ', 'run completed: ', 'cancelled '][(conv_id * 7 + turn) % 9 + 1] || text AS message FROM conversations)"
 LEVEL_SQL = "CASE WHEN contains(message, '[LLM]') THEN 'LLM' WHEN contains(message, '[RAG]') OR contains(message, '[KB-RAG]') THEN 'RAG' WHEN contains(message, '[ERROR]') THEN 'ERROR' WHEN contains(message, '[GUARD]') THEN 'WARN' WHEN contains(message, '⛔') OR contains(message, 'cancelled') THEN 'CANCEL' WHEN contains(message, 'completed') OR contains(message, 'Approved') OR contains(message, '✓') THEN 'SUCCESS' ELSE 'INFO' END"
 SQL = {
@@ -253,4 +257,12 @@ SQL = {
     "section_split": f"WITH {DESIGN}, p AS (SELECT conv_id, unnest(string_split(chr(10) || content, chr(10) || '## ')) AS part, generate_subscripts(string_split(chr(10) || content, chr(10) || '## '), 1) - 1 AS idx FROM design) SELECT conv_id, CAST(idx AS INTEGER) AS idx, CASE WHEN idx > 0 THEN trim(split_part(part, chr(10), 1)) END AS title, CASE WHEN idx = 0 THEN length(part) - 1 WHEN contains(part, chr(10)) THEN length(part) - length(split_part(part, chr(10), 1)) - 1 ELSE 0 END AS body_chars FROM p",
     "diagram_check": f"WITH {DESIGN}, b AS (SELECT conv_id, regexp_extract_all(content, '(?is)```mermaid\\s*\\n(.*?)```', 1) AS bs FROM design), u AS (SELECT conv_id, unnest(bs) AS body, generate_subscripts(bs, 1) - 1 AS block FROM b) SELECT conv_id, CAST(block AS INTEGER) AS block, lower(regexp_extract(body, '(?i)^\\s*(flowchart|graph|sequenceDiagram|classDiagram|stateDiagram|erDiagram|gantt|pie)\\b', 1)) AS kind, CAST(len(list_filter(string_split(body, chr(10)), lambda n: trim(n) <> '')) AS INTEGER) AS lines, regexp_matches(body, '-->|---|==>|-\\.->|==') AS has_arrow, regexp_matches(body, '(?i)\\b(Source|Target)\\s+System|participant\\s+(Src|Int|Tgt)\\b') AS is_stub FROM u",
     "mapping_table_check": f"WITH {DESIGN}, t AS (SELECT conv_id, regexp_extract_all(regexp_replace(content, '(?s)```.*?```', '', 'g'), '((?:\\|[^\\n]+\\|\\n)+\\|[\\s\\-|:]+\\|\\n(?:\\|[^\\n]+\\|\\n?)+)', 1) AS ts FROM design) SELECT conv_id, CAST(len(ts) AS INTEGER) AS tables, len(list_filter(ts, lambda t: regexp_matches(split_part(t, chr(10), 1), '(?i)\\b(source|src|target|tgt|field|mapping|transformation|transform|rule)\\b'))) > 0 AS has_mapping FROM t",
+    "html_links": "SELECT page_id, list_sort(list_distinct(list_transform(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda h: regexp_extract(url, '^https?://[^/]+') || h))) AS links FROM pages",
+    "html_sanitized": f"""WITH s AS (SELECT page_id, replace(html, '\"</p>\"', '\"&lt;/p&gt;\"') AS html FROM pages),
+        t AS (SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|{ABSENT_SQL}', '', 'g'), '<(p|li|ul|h1)\\s[^>]*>', '<\\1>', 'g') AS html FROM s)
+        SELECT page_id, html || repeat('</p>', CAST(len(regexp_extract_all(html, '<p>')) - len(regexp_extract_all(html, '</p>')) AS INTEGER)) AS html FROM t""",
+    "html_clean": f"""WITH b AS (SELECT page_id, regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<nav>.*?</nav>|<footer>.*', '', 'g') AS html FROM pages),
+        h AS (SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS head, string_split(html, '<p>') AS parts FROM b),
+        p AS (SELECT page_id, head, list_transform(range(2, len(parts) + 1), lambda i: CASE WHEN contains(parts[i], '</p>') THEN split_part(parts[i], '</p>', 1) ELSE array_to_string(parts[i:], '<p>') END) AS parts FROM h)
+        SELECT page_id, array_to_string(list_filter(list_prepend('## ' || {DATA_SQL.format('head')}, list_transform(parts, lambda q: {DATA_SQL.format('q')})), lambda t: t <> '' AND t <> '## '), chr(10)) AS text FROM p""",
 }
