@@ -230,8 +230,33 @@ def text_related(spark, sf_dir):
     return g.related(names, g.typed_relations(own)).groupBy("from_name", "to_name").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+KINDS = ["api_contract", "business_rule", "event_definition", "error_handling", "data_mapping_candidate", "field_definition", "generic_context"]
+
+
+def order_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as chunks of every kind: parts are their entities, suppliers their systems, line numbers their fields, flags of lines their moves. An order has seven lines at most."""
+    some = lambda prefix, column: F.array_sort(F.collect_set(F.concat(F.lit(prefix), column)))
+    names = [some("P", "l_partkey").alias("entity_names"), some("S", "l_suppkey").alias("system_names"), some("line_", "l_linenumber").alias("field_names")]
+    moves = F.array_sort(F.collect_set(F.concat("l_returnflag", F.lit(" -> "), "l_linestatus"))).alias("state_transitions")
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("l_orderkey") % len(KINDS) + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*names, moves).select(F.col("l_orderkey").alias("chunk_id"), F.col("l_orderkey").alias("doc_id"), kind.alias("semantic_type"), "entity_names", "system_names", "field_names", "state_transitions")
+
+
+def order_typed_relations(spark, sf_dir):
+    return g.typed_relations(order_chunks(spark, sf_dir)).select("doc_id", "from_name", "to_name", "rel_type")
+
+
+def order_related(spark, sf_dir):
+    """Names of an order that no typed relation of it links, in twos."""
+    own = order_chunks(spark, sf_dir)
+    names = own.select("chunk_id", "doc_id", F.concat("entity_names", "system_names").alias("names"))
+    return g.related(names, g.typed_relations(own)).select("doc_id", "from_name", "to_name")
+
+
+ORDER_CHUNKS = f"""c AS (SELECT l_orderkey AS doc_id, {KINDS}[l_orderkey % {len(KINDS)} + 1] AS semantic_type, list_sort(list(DISTINCT 'P' || l_partkey)) AS entity_names, list_sort(list(DISTINCT 'S' || l_suppkey)) AS system_names,
+  list_sort(list(DISTINCT 'line_' || l_linenumber)) AS field_names, list_sort(list(DISTINCT l_returnflag || ' -> ' || l_linestatus)) AS state_transitions FROM lineitem GROUP BY l_orderkey)"""
 #: Names in a row by twos, and each kind of chunk's relations.
-TYPED = f"""{CLASSIFIED}, t AS (SELECT doc_id, split_part(t, ' -> ', 1) AS a, split_part(t, ' -> ', 2) AS b, 'TRANSITIONS_TO' AS r FROM (SELECT doc_id, unnest(state_transitions) AS t FROM c)
+RELATIONS = """t AS (SELECT doc_id, split_part(t, ' -> ', 1) AS a, split_part(t, ' -> ', 2) AS b, 'TRANSITIONS_TO' AS r FROM (SELECT doc_id, unnest(state_transitions) AS t FROM c)
   UNION ALL SELECT doc_id, system_names[i], system_names[i + 1], 'CALLS' FROM (SELECT *, unnest(range(1, len(system_names))) AS i FROM c WHERE semantic_type = 'api_contract')
   UNION ALL SELECT doc_id, entity_names[1], entity_names[2], 'GOVERNS' FROM c WHERE semantic_type = 'business_rule'
   UNION ALL SELECT doc_id, entity_names[1], unnest(entity_names[2:21]), 'TRIGGERS' FROM c WHERE semantic_type = 'event_definition'
@@ -239,7 +264,8 @@ TYPED = f"""{CLASSIFIED}, t AS (SELECT doc_id, split_part(t, ' -> ', 1) AS a, sp
   UNION ALL SELECT doc_id, entity_names[i], entity_names[i + 1], 'MAPS_TO' FROM (SELECT *, unnest(range(1, len(entity_names))) AS i FROM c WHERE semantic_type = 'data_mapping_candidate')
   UNION ALL SELECT doc_id, system_names[1], unnest(field_names[1:3]), 'DEFINED_BY' FROM c WHERE semantic_type = 'field_definition' AND len(entity_names) > 0 AND len(system_names) > 0),
 typed AS (SELECT * FROM t WHERE a <> b AND a <> '' AND b <> '')"""
-QUERIES = {f.__name__: f for f in (graph_entities, graph_edges, graph_cooccurrence, graph_without_shadowed, graph_stats, graph_top_entities, graph_incremental, graph_neighbourhood, graph_subgraph, graph_subgraph_nodes, graph_seed_entities, graph_expansion, graph_entity_detail, graph_delete_document, graph_delete_entities, entity_search, name_token_search, text_entity_candidates, text_typed_relations, text_related, graph_members, graph_entity_views, graph_edge_views, graph_store, graph_bounded_walk)}
+NAMED = "n AS (SELECT DISTINCT doc_id, unnest(list_concat(entity_names, system_names)) AS name FROM c), pairs AS (SELECT x.doc_id, x.name AS a, y.name AS b FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.name < y.name EXCEPT SELECT doc_id, least(a, b), greatest(a, b) FROM typed)"
+QUERIES = {f.__name__: f for f in (graph_entities, graph_edges, graph_cooccurrence, graph_without_shadowed, graph_stats, graph_top_entities, graph_incremental, graph_neighbourhood, graph_subgraph, graph_subgraph_nodes, graph_seed_entities, graph_expansion, graph_entity_detail, graph_delete_document, graph_delete_entities, entity_search, name_token_search, text_entity_candidates, text_typed_relations, text_related, order_typed_relations, order_related, graph_members, graph_entity_views, graph_edge_views, graph_store, graph_bounded_walk)}
 SEEDS = "seeds AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id FROM orders WHERE o_orderpriority = '1-URGENT'), se AS (SELECT DISTINCT query_id, part AS entity_id FROM lines JOIN seeds USING (chunk_id))"
 SQL = {
     "graph_entities": f"WITH {LINES} SELECT entity_id, entity_id AS name, entity_type, doc_ids, chunk_ids, semantic_types, tags_csv, CAST(len(chunk_ids) AS INTEGER) AS chunk_count FROM ents",
@@ -273,10 +299,10 @@ SQL = {
     "entity_search": f"WITH {LINES}, h AS (SELECT entity_id, tags_csv FROM ents WHERE entity_type = 'N' AND regexp_matches(lower(tags_csv), '^n?oo|x|of$') AND regexp_matches(entity_id, '1[0-9]*$')) SELECT entity_id, tags_csv, (SELECT count(*) FROM h) AS total FROM h ORDER BY entity_id LIMIT 10 OFFSET 20",
     "name_token_search": "WITH t AS (SELECT DISTINCT p_partkey AS entity_id, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type), '\\s+')) AS token FROM part), q AS (SELECT DISTINCT p_partkey AS query_id, unnest(regexp_split_to_array(lower(p_name), '\\s+')) AS token FROM part WHERE p_partkey % 20 = 0), m AS (SELECT query_id, entity_id, count(*) AS matches FROM t JOIN q USING (token) WHERE token <> '' GROUP BY ALL) SELECT query_id, entity_id, matches, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, entity_id) AS INTEGER) AS rank FROM m) WHERE rank <= 5",
     "text_entity_candidates": f"WITH {CLASSIFIED} SELECT name, entity_type, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM cand WHERE name <> '' GROUP BY ALL",
-    "text_typed_relations": f"WITH {TYPED} SELECT a AS from_name, b AS to_name, r AS rel_type, count(*) AS chunks FROM typed GROUP BY ALL",
-    "text_related": f"""WITH {TYPED}, n AS (SELECT DISTINCT doc_id, unnest(list_concat(entity_names, system_names)) AS name FROM c)
-        SELECT x.name AS from_name, y.name AS to_name, count(*) AS chunks FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.name < y.name
-        WHERE NOT EXISTS (SELECT 1 FROM typed WHERE typed.doc_id = x.doc_id AND least(a, b) = x.name AND greatest(a, b) = y.name) GROUP BY ALL""",
+    "text_typed_relations": f"WITH {CLASSIFIED}, {RELATIONS} SELECT a AS from_name, b AS to_name, r AS rel_type, count(*) AS chunks FROM typed GROUP BY ALL",
+    "text_related": f"WITH {CLASSIFIED}, {RELATIONS}, {NAMED} SELECT a AS from_name, b AS to_name, count(*) AS chunks FROM pairs GROUP BY ALL",
+    "order_typed_relations": f"WITH {ORDER_CHUNKS}, {RELATIONS} SELECT doc_id, a AS from_name, b AS to_name, r AS rel_type FROM typed",
+    "order_related": f"WITH {ORDER_CHUNKS}, {RELATIONS}, {NAMED} SELECT doc_id, a AS from_name, b AS to_name FROM pairs",
     "graph_members": f"WITH {LINES} SELECT DISTINCT part AS entity_id, chunk_id, doc_id FROM lines",
     "graph_entity_views": f"WITH {LINES} SELECT entity_id, entity_id AS name, entity_type, tags_csv, semantic_types, len(chunk_ids) AS chunk_count, len(doc_ids) AS doc_count, chunk_ids[1:3] AS first_chunks FROM ents",
     "graph_edge_views": f"WITH {LINES} SELECT rel_id, from_id, to_id, rel_type, weight, len(evidence) AS chunk_count, len(doc_ids) AS doc_count FROM rels",
