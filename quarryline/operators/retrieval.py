@@ -112,21 +112,36 @@ def top_by_terms(chunks: DataFrame, weights: DataFrame, k: int, part: str, avera
     return ranked(functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema), k)
 
 
-def bm25_top(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best chunks of each query by BM25+, with their rank: one pass for the query terms' document counts, one for each block of queries."""
+def query_weights(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """query_id, term, w, floor of the query terms that one of the n chunks has."""
     wanted = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     own = chunks.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     df = own.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * F.log((n + 1) / F.col("df"))).alias("w"))
+    return weighted.join(weighted.groupBy("query_id").agg(F.sum(F.col("w") * DELTA).alias("floor")), "query_id")
+
+
+def bm25_top(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best chunks of each query by BM25+, with their rank: one pass for the query terms' document counts, one for each block of queries."""
     stats = corpus_stats(chunks).first()
-    weighted = wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * F.log((stats.n + 1) / F.col("df"))).alias("w"))
-    floor = weighted.groupBy("query_id").agg(F.sum(F.col("w") * DELTA).alias("floor"))
-    return top_by_terms(chunks, weighted.join(floor, "query_id"), k, "bm25", stats.avgdl or 1.0)
+    return top_by_terms(chunks, query_weights(chunks, queries, stats.n), k, "bm25", stats.avgdl or 1.0)
+
 
+def bm25_top_of_all(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As `bm25_top`, but also with chunks that have none of a query's terms: BM25+ gives them the query's floor, so that a query with a known term has k chunks if there are k.
 
-def overlap_top(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k chunks with the largest share of each query's different terms, with their rank."""
-    own = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("t")).select("query_id", F.explode("t").alias("term"), (1 / F.size("t")).alias("w"), F.lit(0.0).alias("floor"))
-    return top_by_terms(chunks, own, k, "once")
+    A query with fewer than k matches is filled up with the smallest chunk ids that it doesn't match. It matches fewer than k, so the 2 k smallest ids of all are enough, whatever the corpus' size; only
+    these go through the driver. Null ids are left out, a repeated id counts once; queries without a known term have no rows.
+    """
+    stats = corpus_stats(chunks).first()
+    weights = query_weights(chunks, queries, stats.n)
+    best = top_by_terms(chunks, weights, k, "bm25", stats.avgdl or 1.0).drop("rank")
+    least = [x.chunk_id for x in chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id")).distinct().orderBy("chunk_id").limit(2 * k).collect()]
+    found = weights.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.round(F.first("floor"), 6).alias("score"))
+    matched = best.groupBy("query_id").agg(F.collect_list("chunk_id").alias("matched"))  # k at most
+    short = found.join(matched, "query_id", "left").where(F.coalesce(F.size("matched"), F.lit(0)) < k)
+    unmatched = F.array_except(F.array(*[F.lit(x).cast("long") for x in least]) if least else F.array().cast("array<long>"), F.coalesce("matched", F.array().cast("array<long>")))
+    return ranked(best.unionByName(short.select("query_id", F.explode(F.slice(unmatched, 1, k)).alias("chunk_id"), "score")), k)
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: tuple[str, ...] = ("query_id",), rank: str = "rank") -> DataFrame:

@@ -120,6 +120,12 @@ def retrieval_bm25_topk(spark, sf_dir):
     return r.bm25_top(spread(chunks(spark, sf_dir)), text_queries(spark, sf_dir), 5)
 
 
+def bm25_topk_of_all(spark, sf_dir):
+    """The ten best documents of each item's longest word, which few documents have; the rest are those of the smallest ids at the floor."""
+    longest = F.array_max(F.transform(r.words(F.col("text")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    return r.bm25_top_of_all(spread(chunks(spark, sf_dir)), text_queries(spark, sf_dir).select("query_id", longest.alias("text")), 10)
+
+
 def query_variants(spark, sf_dir):
     """The item, a sentence made of its first words, and phrasings from another table: of every third item three, the first of them blank where the id is even, the last beyond the two that count."""
     q = text_queries(spark, sf_dir)
@@ -335,6 +341,9 @@ SQL = {
     "bm25_corpus_stats": f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
     "retrieval_bm25_scores": f"WITH {BM25} SELECT query_id, chunk_id, score FROM bm25",
     "retrieval_bm25_topk": f"WITH {BM25} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM top_bm25 WHERE rank <= 5",
+    "bm25_topk_of_all": f"""WITH {BM25.replace("AS w FROM benchmark)", "AS all_w, [list_max(list_transform(all_w, lambda w: {'n': length(w), 'w': w})).w] AS w FROM benchmark)")},
+        every AS (SELECT query_id, chunk_id, coalesce(bm25.score, round(floor, 6)) AS score FROM floors CROSS JOIN cw LEFT JOIN bm25 USING (query_id, chunk_id))
+        SELECT * FROM (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM every) WHERE rank <= 10""",
     "fusion_rrf": f"WITH {BM25} SELECT * FROM (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM rrf) WHERE rank <= 10",
     "fusion_ensemble": f"WITH {BM25} SELECT * FROM (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM ens) WHERE rank <= 10",
     "ensemble_threshold": f"WITH {BM25} SELECT query_id, chunk_id, score FROM ens WHERE score >= 1 / 1.8",
@@ -377,6 +386,6 @@ SQL = {
         UNION ALL SELECT item_id, 2, trim('about ' || coalesce(split_part(text, ' ', 4), '')) FROM benchmark WHERE item_id % 3 = 0 AND item_id % 2 <> 0
         UNION ALL SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 3 END, trim(coalesce(split_part(text, ' ', 5), '') || ' in other words') FROM benchmark WHERE item_id % 3 = 0""",
 }
-QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_corpus_stats, retrieval_bm25_scores, retrieval_bm25_topk, query_variants, retrieval_bm25_variants, fusion_rrf, fusion_ensemble, ensemble_threshold, candidate_cut, tag_whole_token, tag_with_fallback, tag_primary_top2, tag_kb_variant, judge_rescore, tfidf_rerank, semantic_bonus, dense_top10, dense_cosine_search, dense_best_per_label, summary_retrieval, metric_recall5_dense, metric_mrr_dense, metric_ndcg5_dense, metric_summary_bm25, metric_keyword_coverage, metric_faithfulness, metric_index_percentiles, context_budget, context_pinned, context_text, source_attribution)}
+QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_corpus_stats, retrieval_bm25_scores, retrieval_bm25_topk, bm25_topk_of_all, query_variants, retrieval_bm25_variants, fusion_rrf, fusion_ensemble, ensemble_threshold, candidate_cut, tag_whole_token, tag_with_fallback, tag_primary_top2, tag_kb_variant, judge_rescore, tfidf_rerank, semantic_bonus, dense_top10, dense_cosine_search, dense_best_per_label, summary_retrieval, metric_recall5_dense, metric_mrr_dense, metric_ndcg5_dense, metric_summary_bm25, metric_keyword_coverage, metric_faithfulness, metric_index_percentiles, context_budget, context_pinned, context_text, source_attribution)}
 VARIANT_SQL = BM25.replace("SELECT item_id AS query_id, text, list_filter", "SELECT query_id, text, list_filter").replace("AS w FROM benchmark)", "AS w FROM (SELECT query_id * 4 + variant AS query_id, text FROM (" + SQL["query_variants"] + ")))")
 SQL["retrieval_bm25_variants"] = f"WITH {VARIANT_SQL}, best AS (SELECT query_id // 4 AS query_id, chunk_id, max(score) AS score FROM bm25 GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM best) WHERE rank <= 10"
