@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from quarryline.sources.tables import stored
+
 K1, B, DELTA = 1.5, 0.75, 1.0
 RRF_K = 60
 ENSEMBLE = (0.6, 0.4)
@@ -134,8 +136,8 @@ def bm25_top_of_all(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     these go through the driver. Null ids are left out, a repeated id counts once; queries without a known term have no rows.
     """
     stats = corpus_stats(chunks).first()
-    weights = query_weights(chunks, queries, stats.n)
-    best = top_by_terms(chunks, weights, k, "bm25", stats.avgdl or 1.0).drop("rank")
+    weights = stored(query_weights(chunks, queries, stats.n), "query-weights")
+    best = stored(top_by_terms(chunks, weights, k, "bm25", stats.avgdl or 1.0).drop("rank"), "best-matches")
     least = [x.chunk_id for x in chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id")).distinct().orderBy("chunk_id").limit(2 * k).collect()]
     found = weights.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.round(F.first("floor"), 6).alias("score"))
     matched = best.groupBy("query_id").agg(F.collect_list("chunk_id").alias("matched"))  # k at most
