@@ -258,7 +258,8 @@ SQL = {
     "diagram_check": f"WITH {DESIGN}, b AS (SELECT conv_id, regexp_extract_all(content, '(?is)```mermaid\\s*\\n(.*?)```', 1) AS bs FROM design), u AS (SELECT conv_id, unnest(bs) AS body, generate_subscripts(bs, 1) - 1 AS block FROM b) SELECT conv_id, CAST(block AS INTEGER) AS block, lower(regexp_extract(body, '(?i)^\\s*(flowchart|graph|sequenceDiagram|classDiagram|stateDiagram|erDiagram|gantt|pie)\\b', 1)) AS kind, CAST(len(list_filter(string_split(body, chr(10)), lambda n: trim(n) <> '')) AS INTEGER) AS lines, regexp_matches(body, '-->|---|==>|-\\.->|==') AS has_arrow, regexp_matches(body, '(?i)\\b(Source|Target)\\s+System|participant\\s+(Src|Int|Tgt)\\b') AS is_stub FROM u",
     "mapping_table_check": f"WITH {DESIGN}, t AS (SELECT conv_id, regexp_extract_all(regexp_replace(content, '(?s)```.*?```', '', 'g'), '((?:\\|[^\\n]+\\|\\n)+\\|[\\s\\-|:]+\\|\\n(?:\\|[^\\n]+\\|\\n?)+)', 1) AS ts FROM design) SELECT conv_id, CAST(len(ts) AS INTEGER) AS tables, len(list_filter(ts, lambda t: regexp_matches(split_part(t, chr(10), 1), '(?i)\\b(source|src|target|tgt|field|mapping|transformation|transform|rule)\\b'))) > 0 AS has_mapping FROM t",
     "html_links": "SELECT page_id, list_sort(list_distinct(list_transform(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda h: regexp_extract(url, '^https?://[^/]+') || h))) AS links FROM pages",
-    "html_sanitized": f"""WITH s AS (SELECT page_id, replace(replace({PLAIN_SQL.format('html')}, '&', '&amp;'), '\"</p>\"', '\"&lt;/p&gt;\"') AS html FROM pages),
+    "html_sanitized": f"""WITH u AS (SELECT page_id, CASE WHEN length(html) > {html.MOST_CHARS} THEN regexp_replace(left(html, {html.MOST_CHARS}), '<[^<>]*$', '') ELSE html END AS html FROM pages),
+        s AS (SELECT page_id, replace(replace({PLAIN_SQL.format('html')}, '&', '&amp;'), '\"</p>\"', '\"&lt;/p&gt;\"') AS html FROM u),
         t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|{ABSENT_SQL}', '', 'g'), '<(p|li|ul|h1)\\s[^>]*>', '<\\1>', 'g') AS html FROM s)
         SELECT page_id, html || repeat('</p>', CAST(len(regexp_extract_all(html, '<p>')) - len(regexp_extract_all(html, '</p>')) AS INTEGER)) AS html FROM t""",
     "html_clean": f"""WITH b AS (SELECT page_id, regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<nav>.*?</nav>|<footer>.*', '', 'g') AS html FROM pages),
