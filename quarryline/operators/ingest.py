@@ -193,16 +193,15 @@ def section_confidence(sections: DataFrame, claims: DataFrame) -> DataFrame:
     """Sections (pack_id, section, text) with the mean weight of the pack's claims (claim, confidence, statement, and if there source_chunks) of which a word of more than four letters occurs in
     them, also within a longer word; the claims' number and first id, their source chunks and issues.
 
-    Words are made distinct on both sides before they meet (`words_within`), so that a pack's claims and sections are not paired with each other. Only a pack's matches are as many as they are.
+    A claim's different long words travel in one row and meet the pack's sections there, until one is found: a text and a claim's words are shuffled once, whatever the number of their words, and only
+    matches go on, which the result counts one by one anyway. A pack's pairs of a section and a claim are looked at, in one task; packs are parts of a corpus.
     """
     weight = F.coalesce(*[F.when(F.col("confidence") == k, v) for k, v in WEIGHTS.items()], F.lit(UNSUPPORTED))
-    cut = F.split("text", r"\s+")
-    in_sections = sections.select("pack_id", "section", F.explode(F.array_distinct(F.transform(F.filter(cut, lambda w: F.length(w) >= GRAM), F.lower))).alias("word"))
     long_words = F.array_distinct(F.transform(F.filter(F.split("statement", r"\s+"), lambda w: F.length(w) > 4), F.lower))
-    in_claims = claims.select("pack_id", "claim", F.explode(long_words).alias("wanted"))
-    within = words_within(in_claims.select("pack_id", "wanted").distinct(), in_sections.select("pack_id", "word").distinct())
-    places = in_sections.join(within, ["pack_id", "word"]).select("pack_id", "section", "wanted").distinct()
-    matched = places.join(in_claims, ["pack_id", "wanted"]).select("pack_id", "section", "claim").distinct()
+    in_claims = claims.select("pack_id", "claim", long_words.alias("wanted")).where(F.size("wanted") > 0)
+    texts = sections.select("pack_id", "section", F.lower("text").alias("text")).where("text IS NOT NULL")
+    found = texts.hint("merge").join(in_claims, "pack_id").where(F.exists("wanted", lambda w: F.col("text").contains(w)))
+    matched = found.select("pack_id", "section", "claim").distinct()
     chunks = F.col("source_chunks") if "source_chunks" in claims.columns else F.array().cast("array<long>")
     one = claims.groupBy("pack_id", "claim").agg(F.first(F.struct(weight.alias("w"), "confidence", chunks.alias("source_chunks"))).alias("of"))
     hits = matched.join(one, ["pack_id", "claim"]).select("pack_id", "section", "claim", "of.*")

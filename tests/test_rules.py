@@ -17,6 +17,15 @@ def test_claims_meet_sections_within_words(spark):
     assert i.section_confidence(sections.limit(0), claims).count() == 0 and i.section_confidence(sections, claims.limit(0)).count() == 4
 
 
+def test_words_of_sections_and_claims_are_not_rows_of_a_shuffle(spark, capsys):
+    sections = spark.range(3).selectExpr("'p' AS pack_id", "id AS section", "concat_ws(' ', transform(sequence(0, 999), i -> concat('word', i))) AS text")
+    claims = spark.createDataFrame([("p", 7, "xword WORD99", "confirmed")], "pack_id string, claim long, statement string, confidence string")
+    own = i.section_confidence(sections, claims)
+    assert {(r.section, r.claims) for r in own.collect()} == {(0, 1), (1, 1), (2, 1)}
+    own.explain("formatted")
+    assert capsys.readouterr().out.count(") Generate") <= 2  # of source chunks alone: once in the tree and once in the details
+
+
 def test_words_within_equal_brute_force(spark):
     rng = random.Random(6)
     make = lambda n: "".join(rng.choice("abc") for _ in range(n))
