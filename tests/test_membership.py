@@ -116,6 +116,13 @@ def test_walk_through_a_hub(spark):
     assert {(r.query_id, r.entity_id) for r in whole.collect()} == got and not any(r.cut for r in whole.collect())
 
 
+def test_a_name_in_two_rows_counts_once(spark):
+    entities = spark.createDataFrame([(1, ["red bolt", "x"]), (1, ["red bolt"]), (2, ["red nut bolt"]), (3, [""]), (4, ["red bolt x"]), (5, None)], "entity_id long, names array<string>")
+    queries = spark.createDataFrame([(7, "Red bolt nut"), (8, "bolt red nut nut"), (9, " "), (10, None)], "query_id long, text string")
+    got = sorted(tuple(r) for r in g.token_search(entities, queries, 2).collect())
+    assert got == [(q, *r) for q in (7, 8) for r in ((1, 2, 2), (2, 3, 1))]
+
+
 def test_a_hub_of_a_million_edges_is_split(spark):
     edges = spark.range(1_000_000).select(F.lit("hub").alias("from_id"), F.format_string("n%07d", "id").alias("to_id"), F.lit("CALLS").alias("rel_type"))
     chosen = spark.createDataFrame([(1, "hub")], "query_id long, entity_id string")
