@@ -116,6 +116,21 @@ def test_walk_through_a_hub(spark):
     assert {(r.query_id, r.entity_id) for r in whole.collect()} == got and not any(r.cut for r in whole.collect())
 
 
+def test_walks_with_few_results_and_without_broadcasts(spark):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}", rng.choice(["CALLS", "RELATED_TO", "RELATED_TO"])) for _ in range(150)], "from_id string, to_id string, rel_type string")
+    chosen = spark.createDataFrame([(q, f"n{rng.randrange(60):02d}") for q in range(8) for _ in range(2)], "query_id long, entity_id string").distinct()
+    all_, among = {}, spark.createDataFrame([(f"n{i:02d}",) for i in range(0, 60, 2)], "entity_id string")
+    for r in g.walked_entities(edges, chosen, 2).collect():
+        if int(r.entity_id[1:]) % 2 == 0:
+            all_.setdefault(r.query_id, []).append(r.entity_id)
+    got = {(r.query_id, r.entity_id) for r in g.walked_entities(edges, chosen, 2, first=3, among=among).collect()}
+    assert got == {(q, e) for q, own in all_.items() for e in sorted(own)[:3]} and got
+    walked, bounded = g.walked_entities(edges, chosen, 2), g.bounded_walk(edges, chosen, 2, frontier_most=1000)
+    assert {tuple(r) for r in walked.collect()} == {(r.query_id, r.entity_id) for r in bounded.collect()}
+    assert "Broadcast" not in bounded._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_a_name_in_two_rows_counts_once(spark):
     entities = spark.createDataFrame([(1, ["red bolt", "x"]), (1, ["red bolt"]), (2, ["red nut bolt"]), (3, [""]), (4, ["red bolt x"]), (5, None)], "entity_id long, names array<string>")
     queries = spark.createDataFrame([(7, "Red bolt nut"), (8, "bolt red nut nut"), (9, " "), (10, None)], "query_id long, text string")
