@@ -26,6 +26,25 @@ def test_words_of_sections_and_claims_are_not_rows_of_a_shuffle(spark, capsys):
     assert capsys.readouterr().out.count(") Generate") <= 2  # of source chunks alone: once in the tree and once in the details
 
 
+def test_names_beside_other_letters_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from quarryline.plans import texts
+
+    parts = ["OrderMaster", "order_id", "Billing platform", "Pending", "->", "to", "→", "Done", "Kas SERVICE", "saP system", "Abc module"]
+    rng, marks = random.Random(1), ["é", "É", "ß", "_", "1", " ", " ", "\v", "\u00a0", "\n", "\t", "-", "٣", "\u0301", ""]
+    docs = [(i * 6 + 5, "".join(rng.choice(parts) + rng.choice(marks) for _ in range(12)), "s", "en") for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in texts.classify_names(spark, f"file://{tmp_path}").collect()}
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(texts.SQL["classify_names"])
+    for row in want.fetchall():
+        own = dict(zip(want.columns, row, strict=True))
+        assert {c: own[c] for c in own} == got[own["doc_id"]].asDict(), docs[own["doc_id"] // 6][1]
+    assert len(got) == 400
+
+
 def test_words_within_equal_brute_force(spark):
     rng = random.Random(6)
     make = lambda n: "".join(rng.choice("abc") for _ in range(n))
