@@ -142,3 +142,19 @@ def test_requirement_files(spark):
 def test_approval_steps(spark, before, after, bad):
     log = spark.createDataFrame([("d", 1, before), ("d", 2, after)], "entity string, pos int, status string")
     assert catalog.invalid_steps(log, catalog.APPROVAL_STEPS).count() == bad
+
+
+def test_pieces_leave_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(chunking, "BATCH_CHARS", 3000)
+    texts = ["word " * 2000, None, "", "short", "x" * 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, None, 5], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    out = list(chunking.fixed(Docs())(iter([batch])))
+    assert len(out) > 3 and max(sum(map(len, b.column(4).to_pylist())) for b in out) < 3000 + chunking.SIZE
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert rows == [(d, k, *p) for d, t in zip([1, 2, 3, None, 5], texts) for k, p in enumerate(chunking.fixed_pieces(t or ""))]
