@@ -131,6 +131,16 @@ def test_walks_with_few_results_and_without_broadcasts(spark):
     assert "Broadcast" not in bounded._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_related_in_a_row_equals_the_join(spark):
+    rng, kinds = random.Random(3), ["api_contract", "business_rule", "event_definition", "error_handling", "data_mapping_candidate", "field_definition", None]
+    some = lambda: None if rng.random() < 0.1 else [rng.choice("abcde") for _ in range(rng.randrange(5))]
+    own = spark.createDataFrame([(i, i, kinds[i % 7], some(), some(), ["x_y"], ["a -> b", "c -> c"][: i % 3]) for i in range(70)], "chunk_id long, doc_id long, semantic_type string, entity_names array<string>, system_names array<string>, field_names array<string>, state_transitions array<string>")
+    own = own.withColumn("names", F.concat("entity_names", "system_names"))
+    got = g.related_in_row(own)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, g.related(own, g.typed_relations(own)).collect())) != []
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_name_in_two_rows_counts_once(spark):
     entities = spark.createDataFrame([(1, ["red bolt", "x"]), (1, ["red bolt"]), (2, ["red nut bolt"]), (3, [""]), (4, ["red bolt x"]), (5, None)], "entity_id long, names array<string>")
     queries = spark.createDataFrame([(7, "Red bolt nut"), (8, "bolt red nut nut"), (9, " "), (10, None)], "query_id long, text string")
