@@ -45,6 +45,21 @@ def test_names_beside_other_letters_equal_the_sql(spark, tmp_path):
     assert len(got) == 400
 
 
+def test_letters_that_fold_to_ascii_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from quarryline.plans import graphs
+
+    parts = ["OrderMaster", "\u017fku", "Billing plat\u0130nvoice", "Wor\u212aflow \u017fy\u017ftem", "\u212aas SERVICE", "del\u0130very", "\u0130nvoice module", "order_id", "\u0131n component"]
+    rng = random.Random(2)
+    docs = [(i * 6 + 5, "".join(rng.choice(parts) + rng.choice([" ", "\u017f", "\u212a", "\u0130", "a", ""]) for _ in range(8)), "s", "en") for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in graphs.text_entity_candidates(spark, f"file://{tmp_path}").collect())
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(graphs.SQL["text_entity_candidates"]).fetchall()) and any("\u017f" in r[0] for r in got)
+
+
 def test_words_within_equal_brute_force(spark):
     rng = random.Random(6)
     make = lambda n: "".join(rng.choice("abc") for _ in range(n))
