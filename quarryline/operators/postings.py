@@ -23,7 +23,10 @@ scores add up; ties go to the smaller chunk_id, as in `retrieval.ranked`; an emp
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ from .retrieval import B, DELTA, K1, ranked, words
 ZONES = 16
 BUCKETS = 8
 BLOCK = 128
+#: Words that a task counts at once, in whole blocks.
+WORDS_AT_ONCE = 500_000
 #: Blocks of a query that are scored before there is a threshold, as a multiple of k.
 FIRST = 1
 CHUNKS = "chunk_id long, source string, dl int, block long, zone int"
@@ -75,13 +80,82 @@ def front(entries: Column) -> Column:
     return F.transform(kept, lambda p: F.struct((-p["tf"]).alias("tf"), p["dl"].alias("dl")))
 
 
-def write_generation(counts: DataFrame, chunks: DataFrame, root: str, generation: int) -> DataFrame:
-    """counts: zone, block, chunk_id, dl, term, tf; chunks: zone, chunk_id, source, dl, block. Returns the zones' rows of a manifest."""
-    spark, path = counts.sparkSession, f"{root}/generation={generation:09d}"
+def exploded(chunks: DataFrame) -> DataFrame:
+    """term, block, entries, front, zone of chunks (zone, block, chunk_id, source, dl, w).
+
+    The chunks of a block come together and leave as postings: words are counted where they are, so that neither they nor their counts are shuffled. A task looks at whole blocks of about WORDS_AT_ONCE words at once. Rows of a block that share
+    chunk_id, source and dl are counted as one.
+    """
+    spark = chunks.sparkSession
+    entry, pair = pa.struct([("chunk_id", pa.int64()), ("tf", pa.int32()), ("dl", pa.int32())]), pa.struct([("tf", pa.int32()), ("dl", pa.int32())])
+    names = ["term", "block", "entries", "front", "zone"]
+
+    def starts(*keys: np.ndarray) -> np.ndarray:
+        """Where one of the keys changes."""
+        new = np.ones(len(keys[0]), bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        return new
+
+    def made(own: pa.Table) -> pa.RecordBatch:
+        zone, block, chunk_id, dl = (own.column(c).to_numpy() for c in ("zone", "block", "chunk_id", "dl"))
+        which = np.cumsum(starts(zone, block)) - 1
+        first: dict[tuple, int] = {}
+        keys = zip(which.tolist(), chunk_id.tolist(), dl.tolist(), own.column("source").to_pylist(), strict=True)
+        row = np.fromiter((first.setdefault(key, k) for k, key in enumerate(keys)), np.int64, own.num_rows)
+        lists = own.column("w").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        terms = coded.dictionary
+        cell, tf = np.unique(np.repeat(row, lists.value_lengths().to_numpy(zero_copy_only=False)) * max(1, len(terms)) + coded.indices.to_numpy(), return_counts=True)
+        row, term = np.divmod(cell, max(1, len(terms)))
+        order = np.lexsort((dl[row], tf, chunk_id[row], term, which[row]))
+        row, term, tf = row[order], term[order], tf[order]
+        begin = np.flatnonzero(starts(which[row], term)) if len(row) else np.zeros(0, np.int64)
+        group = np.repeat(np.arange(len(begin)), np.diff([*begin, len(row)]))
+        entries = pa.StructArray.from_arrays([pa.array(chunk_id[row]), pa.array(tf.astype(np.int32)), pa.array(dl[row].astype(np.int32))], fields=list(entry))
+        # the front: by falling tf, those shorter than all before; a later group's lengths are made smaller than any before
+        by = np.lexsort((dl[row], -tf, group))
+        far = dl[row][by].astype(np.int64) - group[by] * (1 << 32)
+        kept = by[far < np.minimum.accumulate(np.concatenate([[np.iinfo(np.int64).max], far[:-1]]))] if len(by) else by
+        front = pa.StructArray.from_arrays([pa.array(tf[kept].astype(np.int32)), pa.array(dl[row][kept].astype(np.int32))], fields=list(pair))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(group[kept], minlength=len(begin)))]).astype(np.int32)
+        at = row[begin]
+        columns = [terms.take(pa.array(term[begin])), pa.array(block[at]), pa.ListArray.from_arrays(pa.array([*begin, len(row)], pa.int32()), entries), pa.ListArray.from_arrays(pa.array(ends), front), pa.array(zone[at].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def parts(own: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Postings of whole blocks, of about WORDS_AT_ONCE words together."""
+        begin = np.flatnonzero(starts(own.column("zone").to_numpy(), own.column("block").to_numpy()))
+        before = np.concatenate([[0], np.cumsum(own.column("w").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))])
+        cuts = begin[starts(before[begin] // WORDS_AT_ONCE)].tolist()
+        for a, b in zip(cuts, [*cuts[1:], own.num_rows], strict=True):
+            yield made(own.slice(a, b - a))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = (batch.column("zone")[-1].as_py(), batch.column("block")[-1].as_py())
+            same = (batch.column("zone").to_numpy() == last[0]) & (batch.column("block").to_numpy() == last[1])
+            cut = batch.num_rows - int(same.sum())  # rows are sorted: those of the last block are at the end
+            whole = cut > 0 or (held and (held[-1].column("zone")[-1].as_py(), held[-1].column("block")[-1].as_py()) != last)
+            if whole:
+                yield from parts(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from parts(pa.Table.from_batches(held))
+
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = chunks.select("zone", "block", F.col("chunk_id").cast("long"), "source", F.col("dl").cast("int"), "w").repartition(tasks, "zone", "block").sortWithinPartitions("zone", "block")
+    return own.mapInArrow(local, ", ".join(c for c in POSTINGS.split(", ") if not c.startswith("bucket")))
+
+
+def write_generation(rows: DataFrame, chunks: DataFrame, root: str, generation: int) -> DataFrame:
+    """rows: term, block, entries, front, zone; chunks: zone, chunk_id, source, dl, block. Returns the zones' rows of a manifest."""
+    spark, path = rows.sparkSession, f"{root}/generation={generation:09d}"
     chunks.select(*[c.split()[0] for c in CHUNKS.split(", ")]).hint("rebalance", "zone").write.mode("overwrite").partitionBy("zone").parquet(f"{path}/chunks")
-    entries = F.sort_array(F.collect_list(F.struct("chunk_id", F.col("tf").cast("int").alias("tf"), "dl")))  # at most the chunks of a block
-    rows = counts.groupBy("term", "zone", "block").agg(entries.alias("entries"))
-    rows = rows.select("term", "block", "entries", front(F.col("entries")).alias("front"), "zone", bucket_of(F.col("term")).alias("bucket"))
+    rows = rows.select("term", "block", "entries", "front", "zone", bucket_of(F.col("term")).alias("bucket"))
     rows.hint("rebalance", "zone", "bucket").sortWithinPartitions("zone", "bucket", "term", "block").write.mode("overwrite").partitionBy("zone", "bucket").parquet(f"{path}/postings")
     own = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
     df = own.groupBy("term", "zone", "bucket").agg(F.sum(F.size("entries")).alias("df"))
@@ -89,11 +163,6 @@ def write_generation(counts: DataFrame, chunks: DataFrame, root: str, generation
     return spark.read.schema(CHUNKS).parquet(f"{path}/chunks").groupBy("zone").agg(F.lit(generation).cast("long").alias("generation"), F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words"))
 
 
-def exploded(chunks: DataFrame) -> DataFrame:
-    each = chunks.select("zone", "block", "chunk_id", "source", "dl", F.explode("w").alias("term"))
-    return each.groupBy("zone", "block", "chunk_id", "source", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).drop("source")
-
-
 def write_index(chunks: DataFrame, root: str) -> None:
     """A new index of chunks (chunk_id, source, text) under root, or a new version of all of it."""
     own = with_blocks(counted(chunks))
@@ -128,14 +197,16 @@ def replace_sources(chunks: DataFrame, root: str, gone: DataFrame | None = None)
     number = latest_version(spark, f"{root}/manifest") + 1
     kept = current(spark, root, "chunks", CHUNKS, zones).join(old.withColumnRenamed("source", "old"), F.col("source").eqNullSafe(F.col("old")), "left_anti")
     kept = stored(kept, "kept-chunks")
-    counts = current(spark, root, "postings", POSTINGS, zones).select("term", "zone", "block", F.explode("entries").alias("e")).select("zone", "block", "term", "e.*")
-    counts = counts.join(kept.select("zone", "block", "chunk_id", "dl").distinct(), ["zone", "block", "chunk_id", "dl"], "left_semi")
+    # a block's chunks that stay are few: its postings meet them in one row, and keep their front if no entry goes
+    ids = kept.groupBy("zone", "block").agg(F.collect_set(F.struct("chunk_id", "dl")).alias("ids"))
+    left = F.filter("entries", lambda e: F.array_contains("ids", F.struct(e["chunk_id"].alias("chunk_id"), e["dl"].alias("dl"))))
+    old_rows = current(spark, root, "postings", POSTINGS, zones).join(ids, ["zone", "block"]).withColumn("left", left).where(F.size("left") > 0)
+    old_rows = old_rows.select("term", "block", F.col("left").alias("entries"), F.when(F.size("left") == F.size("entries"), F.col("front")).otherwise(front(F.col("left"))).alias("front"), "zone")
     new = counted(chunks)
     # chunks that stay keep their block; new ones get blocks of their own, as many as they need
     generation_bit = F.lit(number).cast("long") * (1 << 48)
     new = with_blocks(new).withColumn("block", F.col("block") + generation_bit)
-    columns = ["zone", "block", "chunk_id", "dl", "term", "tf"]
-    made = write_generation(counts.select(*columns).unionByName(exploded(new).withColumn("tf", F.col("tf").cast("int")).select(*columns)), kept.unionByName(new.select(*kept.columns)), root, number)
+    made = write_generation(old_rows.unionByName(exploded(new)), kept.unionByName(new.select(*kept.columns)), root, number)
     rest = manifest(spark, root).where(~F.col("zone").isin(zones))
     write_version(rest.unionByName(made), f"{root}/manifest", number)
 

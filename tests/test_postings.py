@@ -102,3 +102,20 @@ def test_entries_stay_out_of_the_scan_for_bounds(spark, queries):
     postings.write_index(chunks(spark, rows(1, 50)), root)
     plan = postings.current(spark, root, "postings", postings.POSTINGS).select("term", "zone", "block", F.array_max("front.tf"))._jdf.queryExecution().executedPlan().toString()
     assert "entries" not in plan.split("ReadSchema")[1]
+
+
+def test_words_are_counted_where_they_are(spark, capsys):
+    own = [(k, "s", " ".join(f"w{(k * j) % 7}" for j in range(1, 5 + k % 3))) for k in range(40)] + [(3, "s", "w1 w1"), (3, "s", "w1 w2"), (50, "s", ""), (51, None, None)]
+    dealt = postings.with_blocks(postings.counted(chunks(spark, own)))
+    want = {}
+    for r in dealt.collect():
+        for w in r.w:
+            cell = want.setdefault((w, r.zone, r.block), {})
+            cell[r.chunk_id, r.dl] = cell.get((r.chunk_id, r.dl), 0) + 1
+    made = postings.exploded(dealt)
+    got = {(r.term, r.zone, r.block): r for r in made.collect()}
+    assert {k: [tuple(e) for e in r.entries] for k, r in got.items()} == {k: sorted((c, tf, dl) for (c, dl), tf in v.items()) for k, v in want.items()}
+    for r in got.values():
+        assert [tuple(p) for p in r.front] == sorted({(e.tf, e.dl) for e in r.entries if not any((o.tf > e.tf and o.dl <= e.dl) or (o.tf >= e.tf and o.dl < e.dl) for o in r.entries)}, key=lambda p: -p[0])
+    made.explain()
+    assert "Generate" not in capsys.readouterr().out
