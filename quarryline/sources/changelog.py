@@ -3,6 +3,7 @@
 Layout under a folder, all Parquet with columns key, row (a struct of the table's columns) and deleted, in folders by bucket (a hash of the key):
   base=n       merged rows of some buckets after batch n
   delta=n      the rows of batch n
+  keys=n       the different keys that batch n names, each once (column key alone)
   manifest/version=v   which buckets of which bases and deltas make up the table: v = 2n after batch n, 2n + 1 once it has been compacted
 
 The rows of a key in the newest delta that names the key replace all older rows of that key; a key can have many rows (a source and its documents), and one that is deleted has none. A batch writes its own rows
@@ -62,19 +63,29 @@ class ChangeLog:
         own = self.spark.read.schema(f"key {self.fields[self.key]}, row struct<{row}>, deleted boolean, bucket int").parquet(f"{self.root}/{kind}={number:09d}")
         return own.where(F.col("bucket").isin(held if buckets is None else sorted({*held} & {*buckets}))).withColumn("number", F.lit(number))
 
+    def keys(self, number: int) -> DataFrame:
+        """The different keys that batch `number` wrote or deleted."""
+        return self.spark.read.schema(f"key {self.fields[self.key]}").parquet(f"{self.root}/keys={number:09d}")
+
+    def rows_of(self, number: int) -> DataFrame:
+        """The rows that batch `number` wrote, none of them joined with anything."""
+        return self.files(("delta", number, list(range(BUCKETS))), None).where(~F.col("deleted")).select("row.*")
+
     def live(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """key, row, bucket of the table; the base is only joined with the deltas' different keys."""
+        """key, row, bucket of the table. What is not of the newest delta is joined with the keys that later deltas name, from their own small files, so that few of them are broadcast; a lone delta or base is read as it is."""
         entries = self.entries(version)
-        base, deltas = ([self.files(e, buckets) for e in entries if e[0] == kind] for kind in ("base", "delta"))
+        entries = sorted(entries, key=lambda e: (e[0] == "delta", e[1]))
         columns = ["key", "row", "bucket"]
-        old = functools.reduce(DataFrame.unionByName, base).select(*columns) if base else None
-        if not deltas:
-            return old if old is not None else self.nothing()
-        new = functools.reduce(DataFrame.unionByName, deltas)
-        last = new.groupBy(F.col("key").alias("named")).agg(F.max("number").alias("last"))
-        named = F.col("key").eqNullSafe(F.col("named"))
-        rows = new.join(last, named & (F.col("number") == F.col("last"))).where(~F.col("deleted")).select(*columns)
-        return rows if old is None else old.join(last, named, "left_anti").unionByName(rows)
+        if not entries:
+            return self.nothing()
+        deltas = [n for kind, n, _ in entries if kind == "delta"]
+        # bases come before all deltas, whatever their number
+        each = [self.files(e, buckets).where(~F.col("deleted")).withColumn("number", F.lit(e[1] if e[0] == "delta" else -1)) for e in entries]
+        if not deltas or len(each) == 1:
+            return functools.reduce(DataFrame.unionByName, each).select(*columns)
+        old, later = functools.reduce(DataFrame.unionByName, each[:-1]), [n for n in deltas if n > deltas[0] or len(deltas) < len(each)]
+        named = functools.reduce(DataFrame.unionByName, [self.keys(n).select(F.col("key").alias("named"), F.lit(n).alias("later")) for n in later])
+        return old.join(named, F.col("key").eqNullSafe(F.col("named")) & (F.col("number") < F.col("later")), "left_anti").unionByName(each[-1]).select(*columns)
 
     def nothing(self) -> DataFrame:
         row = ", ".join(f"`{c}`: {t}" for c, t in self.fields.items())
@@ -110,7 +121,9 @@ class ChangeLog:
         if gone is not None:
             named = gone.select(F.col(f"`{self.key}`").cast(self.fields[self.key]).alias("key"), F.lit(None).cast(own.schema["row"].dataType).alias("row"), F.lit(True).alias("deleted")).distinct()
             own = own.unionByName(named.join(own.select(F.col("key").alias("named")).distinct(), F.col("key").eqNullSafe(F.col("named")), "left_anti"))
-        buckets = self.write(own.withColumn("bucket", bucket_of(F.col("key"))), f"{self.root}/delta={number:09d}")
+        path = f"{self.root}/delta={number:09d}"
+        buckets = self.write(own.withColumn("bucket", bucket_of(F.col("key"))), path)
+        self.spark.read.schema(f"key {self.fields[self.key]}, bucket int").parquet(path).select("key").distinct().write.mode("overwrite").parquet(f"{self.root}/keys={number:09d}")
         self.commit([*entries, *([("delta", number, buckets)] if buckets else [])], 2 * number)
 
     def commit(self, entries: list[tuple[str, int, list[int]]], version: int) -> None:
@@ -142,5 +155,6 @@ class ChangeLog:
         named = {(kind, n) for v in done if v >= first for kind, n, _ in self.entries(v)}
         old = [f"manifest/version={v:09d}" for v in done if v < first]
         for kind in ("base", "delta"):
-            old += [f"{kind}={n:09d}" for n in range(numbers[-1] + 1) if (kind, n) not in named]
+            gone = [n for n in range(numbers[-1] + 1) if (kind, n) not in named]
+            old += [f"{folder}={n:09d}" for n in gone for folder in ([kind, "keys"] if kind == "delta" else [kind])]
         return [x for x in old if remove(self.spark, f"{self.root}/{x}")]

@@ -95,6 +95,22 @@ def test_bytes_follow_the_changed_keys(spark, log):
     assert bytes_in(spark, f"{log.root}/delta={1:09d}") < whole / 10
 
 
+def test_rows_of_a_table_are_not_shuffled_to_be_read(spark, log):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    log.merge(frame(spark, [(i, "a", None) for i in range(300)] + [(None, "a", None)]), 0)
+    assert "Join" not in plan(log.read())
+    log.merge(frame(spark, [(2, "b", None), (2, "c", None), (None, "d", None)]), 1, keys(spark, 1))
+    assert plan(log.read()).count("Join") == 1 and "hashpartitioning" not in plan(log.read())
+    assert sorted((r.key for r in log.keys(1).collect()), key=repr) == [1, 2, None]
+    assert sorted(map(tuple, log.rows_of(1).collect()), key=repr) == sorted([(2, "b", None), (2, "c", None), (None, "d", None)], key=repr)
+    want = sorted([(i, "a", None) for i in range(3, 300)] + [(0, "a", None), (2, "b", None), (2, "c", None), (None, "d", None)], key=repr)
+    assert state(log) == want
+    log.compact()
+    log.merge(frame(spark, []), 2, keys(spark, 2))
+    log.merge(frame(spark, [(1, "e", None)]), 3)
+    assert state(log) == sorted([r for r in want if r[0] != 2] + [(1, "e", None)], key=repr)
+
+
 def test_a_lookup_reads_only_its_buckets(spark, log):
     log.merge(frame(spark, [(i, "a", None) for i in range(200)]), 0)
     plan = log.lookup(keys(spark, 17))._jdf.queryExecution().executedPlan().toString()

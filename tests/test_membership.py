@@ -73,6 +73,26 @@ def test_store_follows_documents(spark, tmp_path):
     assert {(r.entity_id, r.chunk_id, r.doc_id) for r in store.members().collect()} == {(r[0], r[4], r[3]) for _, own in state.values() for r in own}
 
 
+def test_views_at_once_equal_the_others_with_one_shuffle(spark):
+    own = rows(4, range(40)) + rows(4, range(40)) + [("hot", "hot-0", "a", 1, None, "x", "t", 5), ("e1", "e1-0", "b", None, 17, "y", None, 9), ("e1", "e1-0", "b", 99, 17, "y", "tt", 9)]  # a chunk of two documents, and nulls
+    found = frame(spark, own)
+    got = m.entity_views_at_once(found)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert views(got) == views(m.entity_views(found)) and got.dtypes == m.entity_views(found).dtypes
+    assert plan.count("Exchange") == 1 and "collect_set(chunk_id" not in plan and "collect_set(doc_id" not in plan
+
+
+def test_store_with_hot_entities(spark, monkeypatch):
+    monkeypatch.setattr(m, "HOT_ROWS", 8)
+    store = m.EntityStore(spark, scratch(spark, "entities"))
+    state, batches = {}, [(rows(6, range(30)), []), (rows(7, range(25, 32)), [3, 4]), ([], list(range(20)))]
+    for k, (own, gone) in enumerate(batches):
+        store.put(frame(spark, own), k, spark.createDataFrame([(d,) for d in gone], "doc_id long") if gone else None)
+        state = {d: x for d, x in state.items() if d not in gone} | by_document(own, k)
+        assert views(store.views.read()) == plain_views(state)
+    assert len(state) > 5
+
+
 def test_chunks_of_entities_and_deletion(spark):
     own = rows(5, range(30))
     long = m.members(frame(spark, own))
