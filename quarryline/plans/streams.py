@@ -60,11 +60,11 @@ def bundle_round_trip(spark, sf_dir):
 def text_files(spark, sf_dir):
     """Conversations as markdown files (every seventh empty), read back whole: file name, length and hash of those that aren't empty."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
-    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.when(F.col("conv_id") % 7 == 0, " ").otherwise(F.array_join(ordered, "\n")).alias("text"))
+    own = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.when(F.col("conv_id") % 7 == 0, " ").otherwise(F.array_join(ordered, "\n")).alias("text"))
     path = tables.scratch(spark, "texts")
-    own.repartition("conv_id").write.partitionBy("conv_id").option("lineSep", "\n\n").text(path)
-    found, _ = tables.read_text_files(spark, f"{path}/*/*.txt")
-    return found.select(F.regexp_extract("path", r"/conv_id=(\d+)/", 1).cast("long").alias("conv_id"), F.md5(F.regexp_replace("text", r"\n\n$", "")).alias("text_md5"))
+    tables.write_text_files(own.select(F.concat(F.col("conv_id").cast("string"), F.lit(".md")).alias("name"), "text"), path)
+    found, _ = tables.read_text_files(spark, path)
+    return found.select(F.regexp_extract("path", r"/(-?\d+)\.md$", 1).cast("long").alias("conv_id"), F.md5("text").alias("text_md5"))
 
 
 def report_sink(spark, sf_dir):

@@ -18,6 +18,19 @@ def test_text_files(spark, tmp_path):
     assert [r.path.rsplit("/", 1)[1] for r in empty.collect()] == ["c.txt"]
 
 
+def test_text_files_are_written_by_tasks(spark, tmp_path):
+    texts = {f"{i}.md": f"é {i}\n\n" if i % 3 else None if i % 2 else " " for i in range(500)}
+    own = spark.createDataFrame(list(texts.items()), "name string, text string")
+    assert [tables.write_text_files(own, f"file://{tmp_path}/x", 40) for _ in range(2)] == [500, 500]  # a second attempt replaces the first
+    assert tables.write_text_files(own.limit(0), f"file://{tmp_path}/none") == 0
+    files = [p for p in (tmp_path / "x").rglob("*") if p.is_file()]
+    assert {p.name: p.read_text() for p in files} == {k: v or "" for k, v in texts.items()} and len(files) == 500
+    assert len([*(tmp_path / "x").iterdir()]) <= 40  # not a folder each
+    good, empty = tables.read_text_files(spark, f"file://{tmp_path}/x")
+    assert {r.path.rsplit("/", 1)[1]: r.text for r in good.collect()} == {k: v for k, v in texts.items() if (v or "").strip()}
+    assert {k for k, v in texts.items() if v == " "} <= {r.path.rsplit("/", 1)[1] for r in empty.collect()}  # Spark's reader passes over files of no byte
+
+
 def test_bundle_import_skips_or_overwrites(spark, tmp_path):
     rows = [(1, "file", "a"), (2, "url", "b"), (3, "file", "c")]
     own = spark.createDataFrame(rows, "chunk_id long, source_type string, text string")
