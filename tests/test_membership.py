@@ -151,6 +151,39 @@ def test_walks_with_few_results_and_without_broadcasts(spark):
     assert "Broadcast" not in bounded._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_a_walk_without_bounds_reaches_everything(spark, sf_dir, monkeypatch):
+    from quarryline.plans import graphs
+
+    monkeypatch.setattr(g, "NODES_AT_ONCE", 50)
+    monkeypatch.setattr(g, "ENDS_AT_ONCE", 300)
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet").collect() for t in ("lineitem", "orders"))
+    ways, parts, want = {}, {}, set()
+    for r in lines:
+        part, system, typed = f"P{r.l_partkey}", f"S{r.l_suppkey}", r.l_returnflag in "RA"
+        ways.setdefault(system, set()).add((part, typed))
+        parts.setdefault(r.l_orderkey, set()).add(part)
+        if typed:
+            ways.setdefault(part, set()).add((system, False))
+    chosen = {}
+    for r in orders:
+        if r.o_custkey % 20 == 0 and r.o_orderpriority == "1-URGENT":
+            chosen.setdefault(r.o_custkey, set()).update(parts.get(r.o_orderkey, ()))
+    for q, own in chosen.items():
+        seen, frontier = set(own), own
+        for _ in range(3):
+            steps = {w for n in frontier for w in ways.get(n, ())}
+            want |= {(q, n, False) for n, typed in steps if typed}
+            frontier = {n for n, _ in steps} - seen
+            seen |= frontier
+    got = list(map(tuple, graphs.graph_bounded_walk(spark, sf_dir).select("query_id", "entity_id", "cut").collect()))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert max(map(len, chosen.values())) > 10 and len(got) > 40 * 3 * len(chosen) / 2
+    edges = spark.createDataFrame([("a", "b", "RELATED_TO"), ("b", "c", "RELATED_TO"), ("c", "a", "CALLS"), ("c", "d", "CALLS"), ("d", "e", "CALLS")], "from_id string, to_id string, rel_type string")
+    one = spark.createDataFrame([("x", "a"), ("x", "a"), ("y", "d"), ("z", "none")], "query_id string, entity_id string")
+    assert sorted(map(tuple, g.whole_walk(edges, one).collect())) == [("x", "a"), ("x", "d"), ("y", "e")]
+    assert g.whole_walk(edges.limit(0), one).count() == 0 == g.whole_walk(edges, one.limit(0)).count()
+
+
 def test_related_in_a_row_equals_the_join(spark):
     rng, kinds = random.Random(3), ["api_contract", "business_rule", "event_definition", "error_handling", "data_mapping_candidate", "field_definition", None]
     some = lambda: None if rng.random() < 0.1 else [rng.choice("abcde") for _ in range(rng.randrange(5))]
