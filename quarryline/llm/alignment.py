@@ -9,7 +9,7 @@ the other tokenizer's ends give the range of tokens that it overlaps.
    Documents' groups are those of their units, one after the other. A block of documents (BLOCK_CHARS characters) is written as one row: its documents' digests and units, the units' links, the
    different id pairs and how often each is linked in the block.
 2. Pairs are added up over the corpus, from one row per block and pair: a pair that occurs in every document has no more rows than there are blocks. Each B id has a highest count.
-3. A block's pairs meet their corpus-wide counts by a join, come back as one row per block (never more than its different pairs), and are summed by unit and by document.
+3. A block's pairs meet their corpus-wide counts by a join, come back to their block (never more than its different pairs), and are summed by unit and by document, one block at a time.
 
 Nothing is broadcast or collected; blocks are written before their pairs are counted, so that a lost task is made anew with the same numbers.
 
@@ -41,6 +41,8 @@ KEPT_UNITS = 600_000
 JOINED = 20_000
 #: Characters of a block: those of a group of texts.
 BLOCK_CHARS = GROUP_CHARS
+#: Blocks of a file: a block is some megabytes, and Spark's reader holds up to 4,096 rows of a file at once.
+BLOCKS_A_FILE = 4
 BLOCK_SCHEMA = "block long, doc_ids array<long>, sums binary, shas binary, doc_units binary, unit_of binary, unit_links binary, link_of binary, pairs array<long>, counts array<long>"
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -265,28 +267,25 @@ def pair_counts(made: DataFrame, shift: int) -> DataFrame:
 
 def scored(docs: DataFrame, a: str, b: str) -> DataFrame:
     """DIGEST of every row."""
-    made = written(blocks(docs, a, b), "alignments")
+    made = written(blocks(docs, a, b), "alignments", BLOCKS_A_FILE)
     counts = pair_counts(made, aligner(a, b).shift)
-    asked = made.select("block", F.posexplode("pairs").alias("place", "pair"))
-    answers = asked.join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("place", "count", "best")).alias("answers"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in ("doc_ids", "sums", "shas", "doc_units", "unit_of", "unit_links", "link_of", "answers")}
-                counted, best = (np.zeros(0, np.int64),) * 2
-                if row["answers"].is_valid:
-                    place, count, is_best = (f.to_numpy(zero_copy_only=False) for f in row["answers"].values.flatten())
-                    counted, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-                    counted[place], best[place] = count, is_best
-                link = from_planes(row["link_of"].as_py())
-                by_unit = sums_of(np.stack([best[link], counted[link]], 1), from_planes(row["unit_links"].as_py()))
-                by_doc = sums_of(by_unit[from_planes(row["unit_of"].as_py())], from_planes(row["doc_units"].as_py()))
-                sums, shas = np.frombuffer(row["sums"].as_py(), "<i8").reshape(-1, 4), row["shas"].as_py().hex()
-                texts = ["" if s == "0" * 64 else s for s in (shas[k : k + 64] for k in range(0, len(shas), 64))]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"].as_py(), pa.int64()), *[pa.array(x) for x in (*sums.T, *by_doc.T)], pa.array(texts, pa.string())], [c.split()[0] for c in DIGEST.split(", ")])
-
-    return made.drop("pairs", "counts").join(answers.hint("merge"), "block", "left").mapInArrow(run, DIGEST)
+    answers = made.select(F.col("block").alias("of"), F.posexplode("pairs").alias("place", "pair")).join(counts, "pair").select("of", "place", "count", "best")
+
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        """Of a block and its pairs' answers."""
+        row = {c: own.column(c)[0] for c in ("doc_ids", "sums", "shas", "doc_units", "unit_of", "unit_links", "link_of")}
+        place, count, is_best = (answers.column(c).to_numpy() for c in ("place", "count", "best"))
+        counted, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        counted[place], best[place] = count, is_best
+        link = from_planes(row["link_of"].as_py())
+        by_unit = sums_of(np.stack([best[link], counted[link]], 1), from_planes(row["unit_links"].as_py()))
+        by_doc = sums_of(by_unit[from_planes(row["unit_of"].as_py())], from_planes(row["doc_units"].as_py()))
+        sums, shas = np.frombuffer(row["sums"].as_py(), "<i8").reshape(-1, 4), row["shas"].as_py().hex()
+        texts = ["" if s == "0" * 64 else s for s in (shas[k : k + 64] for k in range(0, len(shas), 64))]
+        return pa.Table.from_arrays([pa.array(row["doc_ids"].as_py(), pa.int64()), *[pa.array(x) for x in (*sums.T, *by_doc.T)], pa.array(texts, pa.string())], [c.split()[0] for c in DIGEST.split(", ")])
+
+    # a group at a time goes to Python, where batches of a join's rows would hold all blocks of a task
+    return made.drop("pairs", "counts").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(run, DIGEST)
 
 
 def groups(docs: DataFrame, a: str, b: str) -> DataFrame:

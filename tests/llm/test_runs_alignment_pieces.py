@@ -147,6 +147,17 @@ def test_op12_counts_over_all_blocks(spark, sf_dir, monkeypatch):
     assert one == many and len(one) == docs.count()
 
 
+def test_op12_holds_few_blocks_at_once(spark):
+    n = 2 * alignment.BLOCKS_A_FILE + 1
+    texts = ["again and again " * 260_000, *["so be it " * 450_000] * (n - 1)]  # a block each
+    got = alignment.scored(frame(spark, texts).coalesce(1), A, B)
+    assert len(got.inputFiles()) >= 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" not in plan  # blocks go to Python one by one
+    rows = sorted(got.collect())
+    assert len(rows) == n and len({r[1:] for r in rows}) == 2 and all(r.n_links > 0 and r.count_sum > 0 for r in rows)
+
+
 def test_rows_without_ids_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, None), (5, "a b"), (5, "a b"), (5, "c")], "doc_id long, text string")
     got = Counter(r.doc_id for r in alignment.scored(docs, A, B).collect())
