@@ -104,3 +104,11 @@ def test_links_of_a_page(spark):
     page = '<a href=" /b ">x</a><a href="http://a.com:8080/x">y</a><a href="http://a.com:80/z">z</a><a href="\n/b#f">again</a>'
     assert html.page_links("http://a.com:80/", page) == ["http://a.com:80/b", "http://a.com:80/z"]
     assert html.page_links("http://a.com:80/", page, same_domain=False) == ["http://a.com:80/b", "http://a.com:80/z", "http://a.com:8080/x"]
+
+
+def test_texts_are_lowered_and_searched_once(spark, sf_dir):
+    from quarryline.plans import graphs
+
+    plan = graphs.text_entity_candidates(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    assert plan.count("regexp_extract_all(") == 4  # systems, transitions, entities, fields
