@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.sources.tables import latest_version, stored, write_version
+from quarryline.sources.tables import latest_version, shuffles_removed, stored, write_version
 
 from .retrieval import B, DELTA, K1, ranked, words
 
@@ -42,6 +42,8 @@ BLOCK = 128
 WORDS_AT_ONCE = 500_000
 #: Blocks of a query that are scored before there is a threshold, as a multiple of k.
 FIRST = 1
+#: Rows of queries' terms that are sent to all tasks; more are joined by a shuffle of the postings.
+SENT_ROWS = 200_000
 CHUNKS = "chunk_id long, source string, dl int, block long, zone int"
 POSTINGS = "term string, block long, entries array<struct<chunk_id:long,tf:int,dl:int>>, front array<struct<tf:int,dl:int>>, zone int, bucket int"
 TERMS = "term string, df long, zone int, bucket int"
@@ -154,12 +156,13 @@ def exploded(chunks: DataFrame) -> DataFrame:
 def write_generation(rows: DataFrame, chunks: DataFrame, root: str, generation: int) -> DataFrame:
     """rows: term, block, entries, front, zone; chunks: zone, chunk_id, source, dl, block. Returns the zones' rows of a manifest."""
     spark, path = rows.sparkSession, f"{root}/generation={generation:09d}"
-    chunks.select(*[c.split()[0] for c in CHUNKS.split(", ")]).hint("rebalance", "zone").write.mode("overwrite").partitionBy("zone").parquet(f"{path}/chunks")
-    rows = rows.select("term", "block", "entries", "front", "zone", bucket_of(F.col("term")).alias("bucket"))
-    rows.hint("rebalance", "zone", "bucket").sortWithinPartitions("zone", "bucket", "term", "block").write.mode("overwrite").partitionBy("zone", "bucket").parquet(f"{path}/postings")
-    own = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
-    df = own.groupBy("term", "zone", "bucket").agg(F.sum(F.size("entries")).alias("df"))
-    df.select("term", "df", "zone", "bucket").hint("rebalance", "zone", "bucket").write.mode("overwrite").partitionBy("zone", "bucket").parquet(f"{path}/terms")
+    with shuffles_removed(spark):
+        chunks.select(*[c.split()[0] for c in CHUNKS.split(", ")]).hint("rebalance", "zone").write.mode("overwrite").partitionBy("zone").parquet(f"{path}/chunks", compression="zstd")
+        rows = rows.select("term", "block", "entries", "front", "zone", bucket_of(F.col("term")).alias("bucket"))
+        rows.hint("rebalance", "zone", "bucket").sortWithinPartitions("zone", "bucket", "term", "block").write.mode("overwrite").partitionBy("zone", "bucket").parquet(f"{path}/postings", compression="zstd")
+        own = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+        df = own.groupBy("term", "zone", "bucket").agg(F.sum(F.size("entries")).alias("df"))
+        df.select("term", "df", "zone", "bucket").hint("rebalance", "zone", "bucket").write.mode("overwrite").partitionBy("zone", "bucket").parquet(f"{path}/terms", compression="zstd")
     return spark.read.schema(CHUNKS).parquet(f"{path}/chunks").groupBy("zone").agg(F.lit(generation).cast("long").alias("generation"), F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words"))
 
 
@@ -234,22 +237,30 @@ class Search:
         df = current(spark, root, "terms", TERMS).where(F.col("bucket").isin(buckets)).join(terms, ["term", "bucket"]).groupBy("term").agg(F.sum("df").alias("df"))
         weights = wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * F.log((self.n + 1) / F.col("df"))).alias("w"))
         self.weights = stored(weights, "query-weights")
+        self.asked = self.weights.count()
         self.floors = self.weights.groupBy("query_id").agg(F.sum(F.col("w") * DELTA).alias("floor"))
-        self.postings = current(spark, root, "postings", POSTINGS).where(F.col("bucket").isin(buckets))
+        # only postings of the queries' terms are shuffled
+        self.postings = current(spark, root, "postings", POSTINGS).where(F.col("bucket").isin(buckets)).join(self.sent(self.weights.select("term").distinct(), self.asked), "term", "left_semi")
         most = F.array_max(F.transform("front", lambda p: part(p["tf"], p["dl"], self.average)))
-        bounds = self.postings.select("term", "zone", "block", most.alias("most")).join(self.weights, "term").groupBy("query_id", "zone", "block").agg(F.sum(F.col("w") * F.col("most")).alias("score"))
+        bounds = self.postings.select("term", "zone", "block", most.alias("most")).join(self.sent(self.weights, self.asked), "term").groupBy("query_id", "zone", "block").agg(F.sum(F.col("w") * F.col("most")).alias("score"))
         self.bounds = stored(bounds.join(self.floors, "query_id").select("query_id", "zone", "block", (F.col("score") + F.col("floor")).alias("score")), "block-bounds")
         key = F.struct("zone", "block").alias("chunk_id")
         self.first = stored(ranked(self.bounds.select("query_id", key, "score"), FIRST * k).select("query_id", "chunk_id.zone", "chunk_id.block"), "first-blocks")
-        self.found = stored(self.scored(self.first), "first-scores")
+        self.found = stored(self.scored(self.first, FIRST * k * self.asked), "first-scores")
         least = ranked(self.found, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("least")).where(F.col("found") == k)
         rest = self.bounds.join(self.first, ["query_id", "zone", "block"], "left_anti").join(least, "query_id", "left")
         # scores are rounded to six places before they are ranked
         self.rest = stored(rest.where(F.col("least").isNull() | (F.col("score") >= F.col("least") - 2e-6)).select("query_id", "zone", "block"), "other-blocks")
 
-    def scored(self, blocks: DataFrame) -> DataFrame:
-        """query_id, chunk_id, score of all chunks of blocks (query_id, zone, block)."""
+    @staticmethod
+    def sent(table: DataFrame, rows: int) -> DataFrame:
+        """A table of a few rows (`rows` at most), for a join without a shuffle of the postings; a larger one as it is."""
+        return F.broadcast(table) if rows <= SENT_ROWS else table
+
+    def scored(self, blocks: DataFrame, rows: int | None = None) -> DataFrame:
+        """query_id, chunk_id, score of all chunks of blocks (query_id, zone, block), which have `rows` terms of their queries at most."""
         asked = blocks.join(self.weights, "query_id")
+        asked = asked if rows is None else self.sent(asked, rows)
         each = self.postings.select("term", "zone", "block", "entries").join(asked, ["term", "zone", "block"]).select("query_id", "w", F.explode("entries").alias("e"))
         sums = each.groupBy("query_id", "e.chunk_id").agg(F.sum(F.col("w") * part(F.col("e.tf"), F.col("e.dl"), self.average)).alias("sum"))
         return sums.join(self.floors, "query_id").select("query_id", "chunk_id", F.round(F.col("sum") + F.col("floor"), 6).alias("score"))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,28 @@ def test_words_are_counted_where_they_are(spark, capsys):
         assert [tuple(p) for p in r.front] == sorted({(e.tf, e.dl) for e in r.entries if not any((o.tf > e.tf and o.dl <= e.dl) or (o.tf >= e.tf and o.dl < e.dl) for o in r.entries)}, key=lambda p: -p[0])
     made.explain()
     assert "Generate" not in capsys.readouterr().out
+
+
+def shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (held.apply(i).getName() for i in range(held.size())) if name.startswith("shuffle_")}
+
+
+def test_an_index_leaves_no_shuffle_files(spark):
+    before, root = shuffle_files(spark), scratch(spark, "postings")
+    postings.write_index(chunks(spark, rows(1, 200)), root)
+    for _ in range(40):  # they go soon after
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.5)
+    assert not left
+
+
+def test_only_postings_of_the_queries_terms_are_shuffled(spark, queries):
+    root, own = scratch(spark, "postings"), rows(1, 200)
+    postings.write_index(chunks(spark, own), root)
+    got, search = found(spark, root, queries.where("query_id = 92"), 3)
+    assert got == scanned(spark, own, queries.where("query_id = 92"), 3)
+    assert {r.term for r in search.postings.select("term").collect()} == {"w58", "w59"}
+    plan = search.postings._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
